@@ -83,15 +83,13 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    total = int(lengths.sum())
-    # positions of all word bytes, one word after the other
-    at = np.ones(total, dtype=np.int64)
     heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    at[0] = starts[0]
-    at[heads[1:]] = starts[1:] - ends[:-1] + 1
-    np.cumsum(at, out=at)
-    within = np.arange(total, dtype=np.int64) - np.repeat(heads, lengths)
-    keys = (_BYTE_KEYS_LOWER if lower else _BYTE_KEYS)[raw[at]]
+    inside = np.zeros(len(raw) + 1, dtype=np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1  # words of two texts can touch: their marks cancel
+    letters = raw[np.cumsum(inside[:-1], dtype=np.int8).view(bool)] if int(lengths.sum()) != len(raw) else raw
+    within = np.arange(len(letters), dtype=np.int32) - np.repeat(heads.astype(np.int32), lengths)
+    keys = (_BYTE_KEYS_LOWER if lower else _BYTE_KEYS)[letters]
     keys *= _POSITION_KEYS[within & 0xFFFF]
     if lengths.max() > 0xFFFF:
         keys += (within >> 16).astype(np.uint64) * _BYTE_KEYS[7]
@@ -123,9 +121,10 @@ def shingle_sets(hashes: np.ndarray, first_word: np.ndarray, width: int) -> tupl
         h += part
     h[short] += size[short].astype(np.uint64) * _STEP_KEYS[15]
     h = mix(h)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
     fresh = np.ones(total, dtype=bool)
+    for a, b in zip(heads.tolist(), (heads + count).tolist()):
+        if b - a > 1:
+            h[a:b].sort()
     fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[fresh], doc[fresh]
     return h, np.searchsorted(doc, np.arange(n + 1))
