@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import decontamination, exact_dedup, quality, warc
+from helioframe.llm import decontamination, exact_dedup, language_id, quality, warc
 from helioframe.llm.shared import shared_dir, table
 
 
@@ -31,11 +31,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_warc": op5_warc,
     "op9_decontamination": op9_decontamination,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
