@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import decontamination, exact_dedup, language_id, quality, toxicity, warc
+from helioframe.llm import decontamination, exact_dedup, language_id, ngram_join, quality, toxicity, warc
 from helioframe.llm.shared import shared_dir, table
 
 
@@ -30,6 +30,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder).select("page_id", F.col("length").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
+    "op6_ngram_join": op6_ngram_join,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
