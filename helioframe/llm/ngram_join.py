@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import components, written
+from helioframe.llm.shared import components, likely_in, written
 from helioframe.llm.text_arrays import SPACE_SPLIT, mix, shingle_sets, slices, text_bytes, word_hashes, word_spans
 
 WIDTH = 5
@@ -157,31 +157,41 @@ def shards(prefix: DataFrame, parts: int) -> DataFrame:
     return prefix.repartition(parts, "token").sortWithinPartitions("token", "sig").mapInArrow(run, "token long, sig long, n int, lead long, lead_n int")
 
 
-def group_counts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The point of each set: its shingles per group, exact up to 65535 and never less than the count."""
+def group_points(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The point of each set in bytes: a scale, then its shingles per group in units of it, rounded up."""
     n = len(at) - 1
     cell = np.repeat(np.arange(n), np.diff(at)) * GROUPS + (mix(h) & np.uint64(GROUPS - 1)).astype(np.int64)
-    return np.bincount(cell, minlength=n * GROUPS).reshape(n, GROUPS)
+    counts = np.bincount(cell, minlength=n * GROUPS).reshape(n, GROUPS)
+    scale = np.maximum(1, -(-counts.max(1, initial=0) // 255))
+    return np.concatenate((scale.astype(np.uint16)[:, None].view(np.uint8), (-(-counts // scale[:, None])).astype(np.uint8)), axis=1)
 
 
-def entity_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig, n, point and sorted shingles (as binary) of the entities in wanted (rep: a document, sig)."""
-    rows = docs.join(wanted.select(F.col("rep").alias("id"), "sig"), "id").select("sig", "text")
+def coordinates(points: list[bytes]) -> np.ndarray:
+    """Upper bounds of the group counts, from the bytes of points."""
+    raw = np.frombuffer(b"".join(points), dtype=np.uint8).reshape(len(points), GROUPS + 2)
+    scale = np.ascontiguousarray(raw[:, :2]).view(np.uint16).astype(np.int32)
+    return raw[:, 2:] * scale
+
+
+def entity_sets(docs: DataFrame, entities: DataFrame, wanted: DataFrame, points: bool) -> DataFrame:
+    """Of the entities in wanted (sig): sig and either the point or the sorted shingles, as data."""
+    rows = entities.join(wanted, "sig").select(F.col("rep").alias("id"), "sig")
+    rows = written(rows, "wanted")
+    rows = docs.where(likely_in(rows, "id")).join(rows, "id").select("sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 h, at = sets_of(batch)
-                points = np.minimum(group_counts(h, at), 65535).astype(np.uint16)
-                over = group_counts(h, at) > 65535
-                if over.any():  # a coordinate that large bounds nothing
-                    points[over] = 65535
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("sig"), pa.array(np.diff(at), pa.int32()), pa.array([p.tobytes() for p in points], pa.binary()), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())],
-                    ["sig", "n", "point", "tokens"],
-                )
+                data = [p.tobytes() for p in group_points(h, at)] if points else [h[a:b].tobytes() for a, b in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(data, pa.binary())], ["sig", "data"])
+
+    return written(rows.mapInArrow(run, "sig long, data binary"), "sets")
+
 
-    return rows.mapInArrow(run, "sig long, n int, point binary, tokens binary")
+def ends(pairs: DataFrame) -> DataFrame:
+    """The distinct entities of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
 
 
 def enough(shared, a, b):
@@ -203,7 +213,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(bool(enough(int((q[at] == p).sum()), len(p), len(q))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    got = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb")), "b")
+    got = pairs.join(sets.select(F.col("sig").alias("a"), F.col("data").alias("ta")), "a").join(sets.select(F.col("sig").alias("b"), F.col("data").alias("tb")), "b")
     return got.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -295,7 +305,7 @@ def walk(batch: pa.RecordBatch, last: bool, emit) -> Iterator[pa.RecordBatch]:
         return
     batch = batch.slice(0, stop)
     cols = {c: batch.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j", "mine", "sig", "n", "root")}
-    points = np.frombuffer(b"".join(batch.column("point").to_pylist()), dtype=np.uint16).reshape(stop, GROUPS)
+    points = coordinates(batch.column("point").to_pylist())
     fresh = np.concatenate(([True], (cols["token"][1:] != cols["token"][:-1]) | (cols["i"][1:] != cols["i"][:-1]) | (cols["j"][1:] != cols["j"][:-1])))
     heads = np.flatnonzero(fresh)
     ends = np.concatenate((heads[1:], [stop]))
@@ -349,10 +359,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = first_links(narrow, entities, shared)
     roots = components(links, "a", "b")
     left = unlinked(shared, roots)
-    sets = written(entity_sets(narrow, entities.join(left.select("sig").distinct(), "sig")), "sets")
-    members = left.join(sets.select("sig", "point"), "sig")
-    more = verified(candidates(members), sets)
-    more = written(more, "links")
+    points = entity_sets(narrow, entities, left.select("sig").distinct(), True)
+    pairs = written(candidates(left.join(points.withColumnRenamed("data", "point"), "sig")), "pairs")
+    more = written(verified(pairs, entity_sets(narrow, entities, ends(pairs), False)), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more), "a", "b")
     known = entities.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -368,8 +377,7 @@ def first_links(docs: DataFrame, entities: DataFrame, shared: DataFrame) -> Data
     seen = shared.where(fit).groupBy("sig", "lead").agg(F.count("*").alias("c"))
     pairs = seen.groupBy("sig").agg(F.max(F.struct("c", "lead")).alias("x")).select(F.col("sig").alias("a"), F.col("x.lead").alias("b"))
     pairs = written(pairs, "leaders")
-    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    return written(verified(pairs, entity_sets(docs, entities.join(wanted, "sig"))), "links")
+    return written(verified(pairs, entity_sets(docs, entities, ends(pairs), False)), "links")
 
 
 def unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of the filter in likely_in, as a power of two: 1 MB, however many keys there are.
+FILTER_BITS = 23
+
+
+def likely_in(keys: DataFrame, key: str) -> Column:
+    """A condition on a column named key that holds for all keys and for few other values (a Bloom filter).
+
+    It is a constant of the plan of fixed size, to be checked before a shuffle; with very many keys it
+    lets more through, so an exact join has to follow.
+    """
+    h = F.xxhash64(key)
+    cell = F.shiftrightunsigned(h, 64 - FILTER_BITS)
+    bit = cell.bitwiseAND(F.lit(63)).cast("int")
+    words = keys.select(F.shiftright(cell, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = [0] * (1 << FILTER_BITS - 6)
+    for r in words.toLocalIterator():
+        bits[r["w"]] = r["b"]
+    constant = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+    return F.call_function("shiftrightunsigned", F.get(constant, F.shiftright(cell, 6)), bit).bitwiseAND(F.lit(1)) == 1
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """Connected components of an edge list by alternating large-star and small-star rounds.
 
