@@ -35,6 +35,8 @@ WIDTH = 5
 #: The least similarity, as a fraction: 100 * shared >= 75 * union.
 PERCENT = 75
 GROUPS = 64
+#: Groups of the finer points that pairs are held against before their whole sets are.
+FINE_GROUPS = 1024
 COUNT_BITS = 18
 BLOCK = 2048
 LEAF = 16
@@ -157,36 +159,66 @@ def shards(prefix: DataFrame, parts: int) -> DataFrame:
     return prefix.repartition(parts, "token").sortWithinPartitions("token", "sig").mapInArrow(run, "token long, sig long, n int, lead long, lead_n int")
 
 
-def group_points(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+def group_points(h: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """The point of each set in bytes: a scale, then its shingles per group in units of it, rounded up."""
     n = len(at) - 1
-    cell = np.repeat(np.arange(n), np.diff(at)) * GROUPS + (mix(h) & np.uint64(GROUPS - 1)).astype(np.int64)
-    counts = np.bincount(cell, minlength=n * GROUPS).reshape(n, GROUPS)
+    cell = np.repeat(np.arange(n), np.diff(at)) * groups + (mix(h) & np.uint64(groups - 1)).astype(np.int64)
+    counts = np.bincount(cell, minlength=n * groups).reshape(n, groups)
     scale = np.maximum(1, -(-counts.max(1, initial=0) // 255))
     return np.concatenate((scale.astype(np.uint16)[:, None].view(np.uint8), (-(-counts // scale[:, None])).astype(np.uint8)), axis=1)
 
 
-def coordinates(points: list[bytes]) -> np.ndarray:
+def coordinates(points: list[bytes], groups: int = GROUPS) -> np.ndarray:
     """Upper bounds of the group counts, from the bytes of points."""
-    raw = np.frombuffer(b"".join(points), dtype=np.uint8).reshape(len(points), GROUPS + 2)
+    raw = np.frombuffer(b"".join(points), dtype=np.uint8).reshape(len(points), groups + 2)
     scale = np.ascontiguousarray(raw[:, :2]).view(np.uint16).astype(np.int32)
     return raw[:, 2:] * scale
 
 
-def entity_sets(docs: DataFrame, entities: DataFrame, wanted: DataFrame, points: bool) -> DataFrame:
-    """Of the entities in wanted (sig): sig and either the point or the sorted shingles, as data."""
-    rows = entities.join(wanted, "sig").select(F.col("rep").alias("id"), "sig")
-    rows = written(rows, "wanted")
-    rows = docs.where(likely_in(rows, "id")).join(rows, "id").select("sig", "text")
+def needed(docs: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sig and text of one document of each entity in wanted (sig); other texts are not shuffled."""
+    rows = written(entities.join(wanted, "sig").select(F.col("rep").alias("id"), "sig"), "wanted")
+    return docs.where(likely_in(rows, "id")).join(rows, "id").select("sig", "text")
+
+
+def entity_points(docs: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sig and point of the entities in wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array([p.tobytes() for p in group_points(*sets_of(batch))], pa.binary())], ["sig", "point"])
+
+    return written(needed(docs, entities, wanted).mapInArrow(run, "sig long, point binary"), "points")
+
+
+def entity_sets(docs: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sig, n, fine point and sorted shingles (as bytes) of the entities in wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 h, at = sets_of(batch)
-                data = [p.tobytes() for p in group_points(h, at)] if points else [h[a:b].tobytes() for a, b in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(data, pa.binary())], ["sig", "data"])
+                fine = pa.array([p.tobytes() for p in group_points(h, at, FINE_GROUPS)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(np.diff(at), pa.int32()), fine, pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["sig", "n", "fine", "tokens"])
 
-    return written(rows.mapInArrow(run, "sig long, data binary"), "sets")
+    return written(needed(docs, entities, wanted).mapInArrow(run, "sig long, n int, fine binary, tokens binary"), "sets")
+
+
+def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose fine points allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2048):
+                batch = whole.slice(k, 2048)
+                p, q = (coordinates(batch.column(c).to_pylist(), FINE_GROUPS) for c in ("pa", "pb"))
+                n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+                yield batch.select(["a", "b"]).filter(pa.array(enough(np.minimum(p, q).sum(1, dtype=np.int64), n, m)))
+
+    side = lambda x: sets.select(F.col("sig").alias(x), F.col("n").alias("n" + x), F.col("fine").alias("p" + x))
+    got = pairs.join(side("a"), "a").join(side("b"), "b")
+    return written(got.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long"), "bounded")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -213,10 +245,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(bool(enough(int((q[at] == p).sum()), len(p), len(q))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    got = pairs.join(sets.select(F.col("sig").alias("a"), F.col("data").alias("ta")), "a").join(sets.select(F.col("sig").alias("b"), F.col("data").alias("tb")), "b")
+    got = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb")), "b")
     return got.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def linked(docs: DataFrame, entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links among pairs (a, b): held against fine points first, then on whole sets."""
+    sets = entity_sets(docs, entities, ends(pairs))
+    return written(verified(bounded(pairs, sets), sets), "links")
+
+
 class Tree:
     """An R-tree packed bottom up over points sorted by set size; boxes hold coordinate maxima."""
 
@@ -359,9 +397,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = first_links(narrow, entities, shared)
     roots = components(links, "a", "b")
     left = unlinked(shared, roots)
-    points = entity_sets(narrow, entities, left.select("sig").distinct(), True)
-    pairs = written(candidates(left.join(points.withColumnRenamed("data", "point"), "sig")), "pairs")
-    more = written(verified(pairs, entity_sets(narrow, entities, ends(pairs), False)), "links")
+    points = entity_points(narrow, entities, left.select("sig").distinct())
+    more = linked(narrow, entities, written(candidates(left.join(points, "sig")), "pairs"))
     if not more.isEmpty():
         roots = components(links.unionByName(more), "a", "b")
     known = entities.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -377,7 +414,7 @@ def first_links(docs: DataFrame, entities: DataFrame, shared: DataFrame) -> Data
     seen = shared.where(fit).groupBy("sig", "lead").agg(F.count("*").alias("c"))
     pairs = seen.groupBy("sig").agg(F.max(F.struct("c", "lead")).alias("x")).select(F.col("sig").alias("a"), F.col("x.lead").alias("b"))
     pairs = written(pairs, "leaders")
-    return written(verified(pairs, entity_sets(docs, entities, ends(pairs), False)), "links")
+    return linked(docs, entities, pairs)
 
 
 def unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
