@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import byte_bpe, decontamination, exact_dedup, html_extract, language_id, ngram_join, quality, toxicity, warc
+from helioframe.llm import byte_bpe, decontamination, exact_dedup, html_extract, language_id, ngram_join, pii, quality, toxicity, warc
 from helioframe.llm.shared import shared_dir, table
 
 
@@ -44,6 +44,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digests=True)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_ngram_join": op6_ngram_join,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
