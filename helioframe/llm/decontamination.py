@@ -17,7 +17,6 @@ empty document table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,7 +143,7 @@ class FmIndex:
         return self.samples[rows] + steps
 
 
-def search_shard(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, ...]:
+def search_shard(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple:
     """Words, hit words, spans and found items of the texts in a shard."""
     starts, ends, first = word_spans(raw, offsets, ALNUM_WORDS)
     n_docs, n_words = len(offsets) - 1, len(starts)
@@ -262,6 +261,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_phrases: int = MAX_PHRASES) -> DataFrame:
+    """The documents without any phrase, with all their columns; no row is shuffled."""
+
+    def clean(part: DataFrame, phrases: Phrases) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(phrases)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, text_col, SHARD_BYTES):
+                    _, _, first, hit, _ = search_shard(*text_bytes(batch.column(text_col)), sent.value)
+                    sums = np.concatenate(([0], np.cumsum(hit)))
+                    yield batch.filter(pa.array(sums[first[1:]] == sums[first[:-1]]))
+
+        return part.mapInArrow(run, part.schema)
+
+    for items in blocks(benchmark, item_col, item_text_col, max_phrases):
+        docs = clean(docs, Phrases(items))
+    return docs
+
+
 def merged_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Join the spans of several passes where they overlap, and count the hit words anew."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(found, "id")
