@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-A block of documents becomes one row: its distinct words (pieces of the pre-tokeniser's pattern) as arrays
-of byte ranks, and for every document which words follow each other. Higher-order functions fold each
+A block of documents becomes one row: the distinct words (pieces of the pre-tokeniser's pattern) that are
+new to its task, as arrays of byte ranks, and for every document which words follow each other. Higher-order functions fold each
 distinct word: in every step the neighbouring pair of the lowest rank merges, until no pair is in the rank
 map. The map is a literal of the plan: two constant arrays, with the rank of (left, right) at base[left] +
 right, as the look-up in Spark's own map type is a linear search. Then the encoded words are strung together for each document,
 and decoding concatenates the binary pieces of the ids. No row is shuffled; what a task holds is bounded
-by BLOCK_BYTES (or one longer text).
+by BLOCK_BYTES (or one longer text) and MAX_WORDS.
 
 Words of more than FOLD_BYTES bytes, on which the folding would take quadratic time, are merged with a heap
 by the same rule. Ranks are read on the driver from a file whose path is a parameter.
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from helioframe.llm.text_arrays import slices, text_bytes, word_hashes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: A task starts a new list of words beyond so many.
+MAX_WORDS = 400_000
 FOLD_BYTES = 96
 #: Bits of a rank and of a place in a word; what an empty cell of the rank table holds.
 RANK_BITS = 17
@@ -147,6 +149,11 @@ def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return base, table[: int(np.flatnonzero(table != EMPTY).max()) + width]
 
 
+@lru_cache(maxsize=2)
+def table_of(path: str) -> tuple[np.ndarray, np.ndarray]:
+    return rank_table(read_ranks(path))
+
+
 def literal(values: np.ndarray) -> Column:
     """A constant array of the plan."""
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
@@ -218,78 +225,94 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_byte, ranks, _ = sent.value
+        place: dict[int, int] = {}  # of the words so far in this task
         for whole in batches:
             for batch in slices(whole, "text", BLOCK_BYTES):
                 raw, offsets = text_bytes(batch.column("text"))
                 starts, ends, first = pieces(raw, offsets)
-                _, one, use = np.unique(word_hashes(raw, starts, ends, lower=False), return_index=True, return_inverse=True)
+                distinct, one, use = np.unique(word_hashes(raw, starts, ends, lower=False), return_index=True, return_inverse=True)
+                fresh = len(place) > MAX_WORDS
+                if fresh:
+                    place.clear()
+                begun = len(place)
+                at = np.array([place.setdefault(h, len(place)) for h in distinct.tolist()], dtype=np.int32)
+                new = np.flatnonzero(at >= begun)
                 data = raw.tobytes()
-                words, known, rest, known_at, rest_at = [], [], [], [], []
-                for k, (a, b) in enumerate(zip(starts[one].tolist(), ends[one].tolist())):
+                spans, kinds, known, long = [], [], [], []
+                for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist()):
                     rank = ranks.get(data[a:b])
                     if rank is not None:  # an entry as a whole is its own encoding
                         known.append(rank)
-                        known_at.append(k)
+                        kinds.append(0)
                     elif b - a <= FOLD_BYTES:
-                        words.append((a, b))
-                        rest_at.append(k)
+                        spans.append((a, b))
+                        kinds.append(1)
                     else:
-                        rest.append((k, a, b))
-                lengths = np.array([b - a for a, b in words], dtype=np.int64)
+                        long.append(data[a:b])
+                        kinds.append(2)
+                bounds = np.array(spans, dtype=np.int64).reshape(-1, 2)
+                lengths = bounds[:, 1] - bounds[:, 0]
                 heads = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                at = np.arange(heads[-1]) - np.repeat(heads[:-1], lengths) + np.repeat(np.array([a for a, _ in words], dtype=np.int64), lengths)
-                lists = pa.ListArray.from_arrays(pa.array(heads), pa.array(of_byte[raw[at]] if len(at) else np.zeros(0, np.int64)))
-                long_at = [k for k, _, _ in rest]
-                long_bytes = [data[a:b] for _, a, b in rest]
+                cells = np.arange(heads[-1]) - np.repeat(heads[:-1] - bounds[:, 0], lengths)
+                words = pa.ListArray.from_arrays(pa.array(heads), pa.array(of_byte[raw[cells]] if len(cells) else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id")),
+                        pa.array([fresh]),
                         pa.array([first.astype(np.int64).tobytes()], pa.binary()),
-                        pa.array([use.astype(np.int32).tobytes()], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists),
-                        pa.array([np.array(rest_at, np.int32).tobytes()], pa.binary()),
-                        pa.array([np.array([known_at, known], np.int32).tobytes()], pa.binary()),
-                        pa.array([np.array(long_at, np.int32).tobytes()], pa.binary()),
-                        pa.array([long_bytes], pa.list_(pa.binary())),
+                        pa.array([at[use].tobytes() if len(use) else b""], pa.binary()),
+                        pa.array([bytes(kinds)], pa.binary()),
+                        pa.array([np.array(known, np.int32).tobytes()], pa.binary()),
+                        pa.array([long], pa.list_(pa.binary())),
+                        pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
                     ],
-                    ["ids", "first", "use", "words", "words_at", "known", "long_at", "long"],
+                    ["ids", "fresh", "first", "use", "kinds", "known", "long", "words"],
                 )
 
-    schema = f"ids array<{kind}>, first binary, use binary, words array<array<bigint>>, words_at binary, known binary, long_at binary, long array<binary>"
+    schema = f"ids array<{kind}>, fresh boolean, first binary, use binary, kinds binary, known binary, long array<binary>, words array<array<bigint>>"
     blocks = narrow.mapInArrow(split, schema)
-    base, table = map(literal, rank_table(ranks))
+    base, table = map(literal, table_of(rank_path))
     folded = blocks.withColumn("words", F.transform("words", lambda w: fold_word(w, base, table)))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_byte, ranks, by_rank = sent.value
         pairs = None
+        encoded: list[tuple[int, ...]] = []  # of the words so far in this task, as split numbers them
+        text: list[str] = []
+        binary: list[bytes] = []
+        sizes = np.zeros(0, np.int32)
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
                 ids = row.column("ids").flatten()
-                first, use, words_at, known, long_at = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("first", np.int64), ("use", np.int32), ("words_at", np.int32), ("known", np.int32), ("long_at", np.int32)))
-                encoded: list[list[int]] = [[]] * (len(words_at) + len(known) // 2 + len(long_at))
+                first, use, known = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("first", np.int64), ("use", np.int32), ("known", np.int32)))
+                if row.column("fresh")[0].as_py():
+                    encoded, text, binary, sizes = [], [], [], sizes[:0]
                 inner = row.column("words").flatten()
-                values, heads = inner.flatten().to_numpy().tolist(), inner.value_lengths().to_numpy().cumsum().tolist()
-                a = 0
-                for k, b in zip(words_at.tolist(), heads):
-                    encoded[k] = values[a + 1 : b] if b > a and values[a] == -1 else values[a:b]
-                    a = b
-                for k, v in zip(*known.reshape(2, -1).tolist()):
-                    encoded[k] = [v]
-                for k, v in zip(long_at.tolist(), row.column("long")[0].as_py()):
-                    pairs = merges(ranks) if pairs is None else pairs
-                    encoded[k] = merge_long([int(of_byte[b]) for b in v], pairs)
+                values, heads = inner.flatten().to_numpy().tolist(), iter(inner.value_lengths().to_numpy().cumsum().tolist())
+                whole, long, a = iter(known.tolist()), iter(row.column("long")[0].as_py()), 0
+                new: list[tuple[int, ...]] = []
+                for k in row.column("kinds")[0].as_py():
+                    if k == 0:
+                        new.append((next(whole),))
+                    elif k == 1:
+                        b = next(heads)
+                        new.append(tuple(values[a + (values[a] < 0) : b]))  # a leading -1 marks the end of the fold
+                        a = b
+                    else:
+                        pairs = merges(ranks) if pairs is None else pairs
+                        new.append(tuple(merge_long([int(of_byte[b]) for b in next(long)], pairs)))
                 bounds = zip(first.tolist(), first[1:].tolist())
                 order = use.tolist()
                 if not digests:
+                    encoded += new
                     out = [[x for w in order[a:b] for x in encoded[w]] for a, b in bounds]
                     yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
                     continue
-                sizes = np.array([len(x) for x in encoded], dtype=np.int64)
-                text = [",".join(map(str, x)) for x in encoded]
-                binary = [b"".join([by_rank[i] for i in x]) for x in encoded]
-                total = np.concatenate(([0], np.cumsum(sizes[use]))) if len(use) else np.zeros(1, np.int64)
+                sizes = np.concatenate((sizes, np.array([len(x) for x in new], dtype=np.int32)))
+                text += [",".join(map(str, x)) for x in new]
+                binary += [b"".join([by_rank[i] for i in x]) for x in new]
+                total = np.concatenate(([0], np.cumsum(sizes[use], dtype=np.int64)))
                 shas = [(hashlib.sha256(",".join([text[w] for w in order[a:b]]).encode()).hexdigest(), hashlib.sha256(b"".join([binary[w] for w in order[a:b]])).hexdigest()) for a, b in bounds]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(total[first[1:]] - total[first[:-1]]), pa.array([x for x, _ in shas], pa.string()), pa.array([x for _, x in shas], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
