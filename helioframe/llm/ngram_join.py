@@ -36,7 +36,7 @@ WIDTH = 5
 PERCENT = 75
 GROUPS = 64
 #: Groups of the finer points that pairs are held against before their whole sets are.
-FINE_GROUPS = 1024
+FINE_GROUPS = 512
 COUNT_BITS = 18
 BLOCK = 2048
 LEAF = 16
@@ -175,34 +175,35 @@ def coordinates(points: list[bytes], groups: int = GROUPS) -> np.ndarray:
     return raw[:, 2:] * scale
 
 
-def needed(docs: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig and text of one document of each entity in wanted (sig); other texts are not shuffled."""
-    rows = written(entities.join(wanted, "sig").select(F.col("rep").alias("id"), "sig"), "wanted")
-    return docs.where(likely_in(rows, "id")).join(rows, "id").select("sig", "text")
+def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of ids (id) and perhaps a few more, without a shuffle of texts."""
+    return docs.where(likely_in(ids, "id"))
 
 
 def entity_points(docs: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig and point of the entities in wanted."""
+    """sig and point of the entities in wanted (sig), each from its one document rep."""
+    rows = written(entities.join(wanted, "sig").select(F.col("rep").alias("id"), "sig"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array([p.tobytes() for p in group_points(*sets_of(batch))], pa.binary())], ["sig", "point"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p.tobytes() for p in group_points(*sets_of(batch))], pa.binary())], ["id", "point"])
 
-    return written(needed(docs, entities, wanted).mapInArrow(run, "sig long, point binary"), "points")
+    points = chosen(docs, rows).select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, point binary")
+    return written(points.join(rows, "id").select("sig", "point"), "points")
 
 
-def entity_sets(docs: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig, n, fine point and sorted shingles (as bytes) of the entities in wanted."""
+def entity_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n, fine point and sorted shingles (as bytes) of the documents of ids, and perhaps of a few more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 h, at = sets_of(batch)
                 fine = pa.array([p.tobytes() for p in group_points(h, at, FINE_GROUPS)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(np.diff(at), pa.int32()), fine, pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["sig", "n", "fine", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at), pa.int32()), fine, pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["id", "n", "fine", "tokens"])
 
-    return written(needed(docs, entities, wanted).mapInArrow(run, "sig long, n int, fine binary, tokens binary"), "sets")
+    return written(chosen(docs, ids).select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, fine binary, tokens binary"), "sets")
 
 
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,14 +217,10 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
                 yield batch.select(["a", "b"]).filter(pa.array(enough(np.minimum(p, q).sum(1, dtype=np.int64), n, m)))
 
-    side = lambda x: sets.select(F.col("sig").alias(x), F.col("n").alias("n" + x), F.col("fine").alias("p" + x))
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("fine").alias("p" + x))
     got = pairs.join(side("a"), "a").join(side("b"), "b")
-    return written(got.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long"), "bounded")
-
-
-def ends(pairs: DataFrame) -> DataFrame:
-    """The distinct entities of pairs (a, b)."""
-    return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    kind = pairs.schema["a"].dataType.simpleString()
+    return written(got.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, f"a {kind}, b {kind}"), "bounded")
 
 
 def enough(shared, a, b):
@@ -232,7 +229,7 @@ def enough(shared, a, b):
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) of documents whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,14 +242,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(bool(enough(int((q[at] == p).sum()), len(p), len(q))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    got = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb")), "b")
-    return got.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    got = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return got.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def linked(docs: DataFrame, entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links among pairs (a, b): held against fine points first, then on whole sets."""
-    sets = entity_sets(docs, entities, ends(pairs))
-    return written(verified(bounded(pairs, sets), sets), "links")
+    """The links among pairs of entities (a, b): held against fine points first, then on whole sets."""
+    of = lambda x: entities.select(F.col("sig").alias(x), F.col("rep").alias("id_" + x))
+    placed = written(pairs.join(of("a"), "a").join(of("b"), "b"), "placed")
+    by_id = placed.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    sets = entity_sets(docs, by_id.select(F.col("a").alias("id")).unionByName(by_id.select(F.col("b").alias("id"))))
+    found = verified(bounded(by_id, sets), sets)
+    links = found.join(entities.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(entities.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    return written(links.select(F.col("sa").alias("a"), F.col("sb").alias("b")), "links")
 
 
 class Tree:
