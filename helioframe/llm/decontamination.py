@@ -308,12 +308,14 @@ def merged_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str)
 
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the spans of found cut out of the text (identifiers must be unique)."""
-    cut = docs.join(found.select(F.col(id_col).alias("x_id"), F.col("spans").alias("x_spans")), F.col(id_col) == F.col("x_id"))
-    raw = F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row"))
+    cut = rows.join(found.select(F.col(id_col).alias("id"), F.col("spans")), "id")
+    old = F.col("row")[text_col]
+    raw = F.encode(F.coalesce(old, F.lit("")), "UTF-8")
     keep = F.aggregate(
-        "x_spans", F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out")),
+        "spans", F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out")),
         lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(raw, s["at"] + 1, x["start"] - s["at"])).alias("out")),
         lambda s: F.concat(s["out"], F.substring(raw, s["at"] + 1, F.octet_length(raw))),
     )
-    text = F.when(F.size("x_spans") > 0, F.decode(keep, "UTF-8")).otherwise(F.col(text_col))
-    return cut.withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.size("spans") > 0, F.decode(keep, "UTF-8")).otherwise(old)
+    return cut.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

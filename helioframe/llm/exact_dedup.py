@@ -68,5 +68,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their columns unchanged (identifiers must be unique)."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("d_keep"))
-    return docs.join(kept, docs[id_col] == F.col("d_keep"), "left_semi")
+    kept = exact_duplicates(docs, id_col, text_col).where("kept")
+    return docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)

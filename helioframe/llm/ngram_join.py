@@ -430,5 +430,5 @@ def unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: the one with the smallest identifier (identifiers must be unique)."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("x_id"))
-    return docs.join(kept, docs[id_col] == F.col("x_id"), "left_semi")
+    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
+    return docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)

@@ -139,20 +139,24 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and n_discovered."""
     rows = find(docs, id_col, text_col)
-    counts = [F.size(F.filter("base", lambda b, i=i: b["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    of_kind = F.transform("base", lambda b: b["k"])
+    counts = [(F.size("base") - F.size(F.array_remove(of_kind, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select(id_col, *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_discovered"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets (identifiers must be unique)."""
-    spans = find(docs, id_col, text_col).select(F.col(id_col).alias("x_id"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k")))).alias("x_spans"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
+    spans = find(docs, id_col, text_col).select(F.col(id_col).alias("id"), ordered.alias("spans"))
+    joined = docs.select(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row")).join(spans, "id")
+    old = F.col("row")[text_col]
+    text = F.coalesce(old, F.lit(""))
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
 
     def put(s: Column, x: Column) -> Column:
         cut = F.concat(s["out"], F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0))), F.get(names, x["k"]))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], cut).otherwise(s["out"]).alias("out"))
 
-    new = F.aggregate("x_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    joined = docs.join(spans, F.col(id_col) == F.col("x_id"))
-    return joined.withColumn(text_col, F.when(F.size("x_spans") > 0, new).otherwise(F.col(text_col))).select(*docs.columns)
+    new = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    changed = F.when(F.size("spans") > 0, new).otherwise(old)
+    return joined.select(*(changed.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
