@@ -2,7 +2,7 @@
 
 Base expressions find e-mail addresses, IP addresses, card and phone numbers; these are the seeds. The
 words next to a seed make lexical patterns (two before it, or the one after it). All other tokens with a
-digit or an @ that have the shape of a kind are unseen instances. Spark scores the bipartite graph of
+digit, an @ or an [at] that have the shape of a kind are unseen instances. Spark scores the bipartite graph of
 patterns and instances in ROUNDS: a pattern is as sure as the mean of its distinct instances, an instance
 as sure as its patterns taken together. Instances of patterns with at least MIN_SEEDS seeds that come to
 MIN_SCORE are added as spans of that kind; base spans stay.
@@ -34,7 +34,8 @@ BASE = {
 #: What a text must have for a kind's expression to be tried at all.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 #: Tokens that may be unseen instances, and the shapes of kinds.
-TOKEN = r"(?<![^\s])[^\s]*[0-9@][^\s]*+"
+TOKEN = r"(?<!\S)\S*(?:[0-9@]|\[at\]|\(at\))\S*+"
+HAS_TOKEN = r"[0-9@]|\[at\]|\(at\)"
 SHAPES = {"email": r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$|^[^@\s]+(?:\[at\]|\(at\))[^@\s]+$", "ip": r"^[0-9]{1,3}(?:[.:\-][0-9]{1,3}){3}$", "card": r"^(?:[0-9][ .\-]?){13,19}$", "phone": r"^\(?[0-9](?:[0-9().\-/]){6,18}$"}
 ROUNDS = 3
 MIN_SEEDS = 5
@@ -83,7 +84,7 @@ def before(text: Column, start: Column) -> Column:
 
 def after(text: Column, end: Column) -> Column:
     """The word after a place, lower case, digits as 0."""
-    return F.regexp_replace(F.regexp_extract(F.lower(F.substring(text, end + 1, F.lit(40))), r"^\s*(\S+)\s", 1), "[0-9]", "0")
+    return F.regexp_replace(F.regexp_extract(F.lower(F.substring(text, end + 1, F.lit(40))), r"^\s*(\S+)", 1), "[0-9]", "0")
 
 
 def listed(spans: Column) -> Column:
@@ -95,9 +96,9 @@ def listed(spans: Column) -> Column:
 def occurrences(docs: DataFrame) -> DataFrame:
     """Per document (id, text): its base spans, and what the graph needs of seeds and unseen tokens."""
     base = docs.withColumn("base", F.concat(*(base_spans(F.col("text"), k) for k in KINDS)))
-    tokens = F.when(F.col("text").rlike("[0-9@]"), placed(F.col("text"), TOKEN)).otherwise(F.array().cast("array<struct<value:string,start:int,end:int>>"))
+    tokens = F.when(F.col("text").rlike(HAS_TOKEN), placed(F.col("text"), TOKEN)).otherwise(F.array().cast("array<struct<value:string,start:int,end:int>>"))
     free = F.filter(tokens, lambda t: (t["end"] - t["start"] <= MOST_TOKEN) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    trimmed = F.transform(free, lambda t: F.struct(F.lit(-1).alias("k"), t["start"].alias("start"), (t["start"] + F.length(F.rtrim(F.lit(".,;:!?)"), t["value"]))).alias("end"), F.rtrim(F.lit(".,;:!?)"), t["value"]).alias("value")))
+    trimmed = F.transform(free, lambda t: F.struct(F.lit(-1).alias("k"), t["start"].alias("start"), (t["start"] + F.length(F.rtrim(t["value"], F.lit(".,;:!?)")))).alias("end"), F.rtrim(t["value"], F.lit(".,;:!?)")).alias("value")))
     everything = F.concat("base", F.col("free"))
     seen = F.transform(everything, lambda o: F.struct(o["k"].alias("k"), o["start"].alias("start"), o["end"].alias("end"), F.lower(o["value"]).alias("value"), before(F.col("text"), o["start"]).alias("before"), after(F.col("text"), o["end"]).alias("after")))
     return base.withColumn("free", trimmed).select("id", F.transform("base", lambda b: F.struct(b["k"], b["start"], b["end"])).alias("base"), seen.alias("seen"))
