@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import written
+from helioframe.llm.shared import without, written
 
 FAN_IN = 8
 KEY = ["d_sha", "d_len", "d_xx"]
@@ -68,5 +68,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their columns unchanged (identifiers must be unique)."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept")
-    return docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)
+    return without(docs, exact_duplicates(docs, id_col, text_col).where("not kept"), id_col)

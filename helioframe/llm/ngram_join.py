@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import components, likely_in, written
+from helioframe.llm.shared import components, likely_in, without, written
 from helioframe.llm.text_arrays import SPACE_SPLIT, mix, shingle_sets, slices, text_bytes, word_hashes, word_spans
 
 WIDTH = 5
@@ -430,5 +430,4 @@ def unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: the one with the smallest identifier (identifiers must be unique)."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    return docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)
+    return without(docs, near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")), id_col)

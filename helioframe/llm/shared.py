@@ -59,6 +59,18 @@ def likely_in(keys: DataFrame, key: str) -> Column:
     return F.call_function("shiftrightunsigned", F.get(constant, F.shiftright(cell, 6)), bit).bitwiseAND(F.lit(1)) == 1
 
 
+def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose identifier is in dropped (id_col).
+
+    Only the rows that the filter takes for dropped ones are shuffled, for the exact anti-join; the
+    others, texts and all, stay where they are.
+    """
+    dropped = written(dropped.select(id_col).distinct(), "dropped")
+    perhaps = F.coalesce(likely_in(dropped, id_col), F.lit(False))
+    rest = docs.where(perhaps).join(dropped, id_col, "left_anti").select(*docs.columns)
+    return docs.where(~perhaps).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """Connected components of an edge list by alternating large-star and small-star rounds.
 
