@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import components, likely_in, without, written
+from helioframe.llm.shared import components, discard, likely_in, without, written
 from helioframe.llm.text_arrays import SPACE_SPLIT, mix, shingle_sets, slices, text_bytes, word_hashes, word_spans
 
 WIDTH = 5
@@ -193,17 +193,24 @@ def entity_points(docs: DataFrame, entities: DataFrame, wanted: DataFrame) -> Da
     return written(points.join(rows, "id").select("sig", "point"), "points")
 
 
-def entity_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, n, fine point and sorted shingles (as bytes) of the documents of ids, and perhaps of a few more."""
+def entity_data(docs: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
+    """id, n and data of the documents of ids, and perhaps of a few more.
+
+    The data are the sorted shingles (as bytes) if whole is set, else the fine point.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
+        for big in batches:
+            for batch in slices(big, "text", SLICE_BYTES):
                 h, at = sets_of(batch)
-                fine = pa.array([p.tobytes() for p in group_points(h, at, FINE_GROUPS)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at), pa.int32()), fine, pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["id", "n", "fine", "tokens"])
+                data = [h[a:b].tobytes() for a, b in zip(at, at[1:])] if whole else [p.tobytes() for p in group_points(h, at, FINE_GROUPS)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at), pa.int32()), pa.array(data, pa.binary())], ["id", "n", "data"])
+
+    return written(chosen(docs, ids).select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, data binary"), "sets" if whole else "fine")
+
 
-    return written(chosen(docs, ids).select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, fine binary, tokens binary"), "sets")
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
 
 
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -217,7 +224,7 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
                 yield batch.select(["a", "b"]).filter(pa.array(enough(np.minimum(p, q).sum(1, dtype=np.int64), n, m)))
 
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("fine").alias("p" + x))
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("data").alias("p" + x))
     got = pairs.join(side("a"), "a").join(side("b"), "b")
     kind = pairs.schema["a"].dataType.simpleString()
     return written(got.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, f"a {kind}, b {kind}"), "bounded")
@@ -242,7 +249,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(bool(enough(int((q[at] == p).sum()), len(p), len(q))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    got = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    got = pairs.join(sets.select(F.col("id").alias("a"), F.col("data").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("data").alias("tb")), "b")
     kind = pairs.schema["a"].dataType.simpleString()
     return got.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -252,8 +259,10 @@ def linked(docs: DataFrame, entities: DataFrame, pairs: DataFrame) -> DataFrame:
     of = lambda x: entities.select(F.col("sig").alias(x), F.col("rep").alias("id_" + x))
     placed = written(pairs.join(of("a"), "a").join(of("b"), "b"), "placed")
     by_id = placed.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    sets = entity_sets(docs, by_id.select(F.col("a").alias("id")).unionByName(by_id.select(F.col("b").alias("id"))))
-    found = verified(bounded(by_id, sets), sets)
+    fine = entity_data(docs, ends(by_id), False)
+    near = bounded(by_id, fine)
+    discard(fine)
+    found = verified(near, entity_data(docs, ends(near), True))
     links = found.join(entities.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(entities.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
     return written(links.select(F.col("sa").alias("a"), F.col("sb").alias("b")), "links")
 
@@ -400,8 +409,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = first_links(narrow, entities, shared)
     roots = components(links, "a", "b")
     left = unlinked(shared, roots)
+    discard(shared)
     points = entity_points(narrow, entities, left.select("sig").distinct())
-    more = linked(narrow, entities, written(candidates(left.join(points, "sig")), "pairs"))
+    pairs = written(candidates(left.join(points, "sig")), "pairs")
+    discard(left)
+    more = linked(narrow, entities, pairs)
     if not more.isEmpty():
         roots = components(links.unionByName(more), "a", "b")
     known = entities.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -425,7 +437,9 @@ def unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
     rows = shared.select("token", "sig", "n").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     rows = written(rows, "members")
     mixed = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    return written(rows.join(mixed, "token"), "mixed")
+    left = written(rows.join(mixed, "token"), "mixed")
+    discard(rows)
+    return left
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
