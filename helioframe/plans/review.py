@@ -79,7 +79,7 @@ def best_estimate(dc_kw: Column, units: Column, floor_m2: Column) -> Column:
 
 def storeys(height_m: Column) -> Column:
     """At least one storey of 3.3 m, half-even; two where the height is unknown."""
-    return F.coalesce(F.greatest(F.lit(1.0), F.bround(height_m / 3.3, 0)), F.lit(2.0))
+    return F.when(height_m.isNull(), 2.0).otherwise(F.greatest(F.lit(1.0), F.bround(height_m / 3.3, 0)))
 
 
 def demoted(manual: Column, harmless: list[str]) -> Column:

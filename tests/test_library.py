@@ -137,9 +137,9 @@ def test_size_sites(spark):
 
 
 def test_review_rules(spark):
-    got = values(spark, review.building_reasons(F.lit(100.0), F.lit(50.0), F.array(), F.lit(False), F.lit(0.5)).alias("b"), review.best_estimate(F.lit(10.0), F.lit(5000), F.lit(100.0)).alias("u"), review.storeys(F.lit(8.25)).alias("s"), review.pin_quality(F.lit(1), F.lit(False), F.lit(20.0)).alias("q"), review.demoted(F.array(F.lit("google_imagery_x"), F.lit("y")), ["google_imagery_"]).alias("d"))
+    got = values(spark, review.building_reasons(F.lit(100.0), F.lit(50.0), F.array(), F.lit(False), F.lit(0.5)).alias("b"), review.best_estimate(F.lit(10.0), F.lit(5000), F.lit(100.0)).alias("u"), review.storeys(F.lit(8.25)).alias("s"), review.storeys(F.lit(None).cast("double")).alias("s0"), review.pin_quality(F.lit(1), F.lit(False), F.lit(20.0)).alias("q"), review.demoted(F.array(F.lit("google_imagery_x"), F.lit("y")), ["google_imagery_"]).alias("d"))
     assert got["b"] == ["methods_disagree_ratio_0.50", "uncalibrated", "no_usable_roof_area"]
-    assert tuple(got["u"]) == (8500.0, "units") and got["s"] == 2.0 and got["q"] == 2 and got["d"] == ["y"]
+    assert tuple(got["u"]) == (8500.0, "units") and got["s"] == 2.0 and got["s0"] == 2.0 and got["q"] == 2 and got["d"] == ["y"]
 
 
 def test_site_csv(spark, tmp_path):
