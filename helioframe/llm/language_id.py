@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.labelled import remainder, sample, sigmoid
+from helioframe.llm.labelled import remainder, sample
 from helioframe.llm.text_arrays import SPACE_SPLIT, slices, text_bytes, word_hashes, word_spans
 
 SEQUENCE = 16

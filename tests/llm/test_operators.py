@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from helioframe.llm import byte_bpe, decontamination, exact_dedup, html_extract, language_id, ngram_join, pii, quality, toxicity, warc
 from helioframe.llm.shared import components
@@ -332,3 +331,20 @@ def test_network_gradients():
         down = loss()
         net.w[k][at] = keep
         assert abs((up - down) / (2 * e) - grads[k][at]) < 2e-3
+
+
+def test_empty_tables(spark):
+    import public_tokenizers
+
+    from helioframe.llm.shared import shared_dir
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archive(pages, shared_dir(spark) + "/warc-empty")
+    results = [
+        quality.classify(docs, labels), html_extract.extract(pages), toxicity.classify(docs, labels), warc.read_archive(spark, shared_dir(spark) + "/warc-empty"),
+        byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), pii.report(docs), language_id.identify(docs),
+        decontamination.decontaminate(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")),
+    ]
+    assert [r.count() for r in results] == [0] * len(results)
