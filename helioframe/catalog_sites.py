@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helioframe.catalog import ORACLES, QUERIES, cells, near_boxes, query, table  # noqa: F401
-from helioframe.catalog import CELLS_SQL, PLACES_SQL
+from helioframe.catalog import CELLS_SQL, PLACES_SQL, cells, near_boxes, query, table
 from helioframe.functions import solar, text
 from helioframe.operators import ordered, stateful
 from helioframe.plans import review, sites
