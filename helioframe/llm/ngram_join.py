@@ -10,7 +10,7 @@ The points are dealt to shards by shingle: in a global order of all shingles, ra
 that are similar enough share one of the first quarter of their shingles, so each entity joins the shards
 of those. How rare a shingle is comes from exact counts of all documents in 2^COUNT_BITS buckets; the order
 only decides how large shards get, never what is found. Most members of a large shard are near copies of
-one text, so first each entity is verified against one leader, and only shards whose members are not
+one text, so first each entity is verified against two of them, and only shards whose members are not
 linked to each other yet are walked. A shard of more than BLOCK entities is cut into blocks, and each
 pair of blocks is a task's work of its own, so that no group is gathered whole.
 
@@ -115,7 +115,7 @@ def leading(docs: DataFrame, level: np.ndarray) -> DataFrame:
 
 
 def shards(prefix: DataFrame, parts: int) -> DataFrame:
-    """The rows of tokens that several entities have: token, sig, n and the first entity of the shard.
+    """The rows of tokens that several entities have: token, sig, n, the shard's first entity and the one before.
 
     Rows arrive sorted, so only the last row is carried from batch to batch, whatever a shard's size.
     """
@@ -138,7 +138,11 @@ def shards(prefix: DataFrame, parts: int) -> DataFrame:
                 lead, lead_n = np.where(head == 0, first, lead), np.where(head == 0, first_n, lead_n)
                 multi |= head == 0
             stop = len(token) if last else len(token) - 1
-            row = pa.RecordBatch.from_arrays([pa.array(x[:stop][multi[:stop]]) for x in (token, sig, n.astype(np.int32), lead, lead_n.astype(np.int32))], ["token", "sig", "n", "lead", "lead_n"])
+            # the row before in the shard; its first entity where there is none or it was passed on
+            at = np.where(heads, np.arange(len(token)), np.arange(len(token)) - 1)
+            prev, prev_n = np.where(heads, lead, sig[at]), np.where(heads, lead_n, n[at])
+            columns = {"token": token, "sig": sig, "n": n.astype(np.int32), "lead": lead, "lead_n": lead_n.astype(np.int32), "prev": prev, "prev_n": prev_n.astype(np.int32)}
+            row = pa.RecordBatch.from_arrays([pa.array(x[:stop][multi[:stop]]) for x in columns.values()], list(columns))
             # a token that goes on keeps its first entity, if one row or more of it has been passed on
             ongoing = head[-1] < len(token) - 1 or (first is not None and head[-1] == 0)
             return row, (lead[-1], lead_n[-1]) if ongoing else (None, None)
@@ -156,7 +160,7 @@ def shards(prefix: DataFrame, parts: int) -> DataFrame:
         if len(token):
             yield cut(token, sig, n, lead, lead_n, True)[0]
 
-    return prefix.repartition(parts, "token").sortWithinPartitions("token", "sig").mapInArrow(run, "token long, sig long, n int, lead long, lead_n int")
+    return prefix.repartition(parts, "token").sortWithinPartitions("token", "sig").mapInArrow(run, "token long, sig long, n int, lead long, lead_n int, prev long, prev_n int")
 
 
 def group_points(h: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -424,12 +428,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_links(docs: DataFrame, entities: DataFrame, shared: DataFrame) -> DataFrame:
-    """Verified links of each entity with the leader it shares most shards with."""
-    fit = (100 * F.least("n", "lead_n") >= PERCENT * F.greatest("n", "lead_n")) & (F.col("sig") != F.col("lead"))
-    seen = shared.where(fit).groupBy("sig", "lead").agg(F.count("*").alias("c"))
-    pairs = seen.groupBy("sig").agg(F.max(F.struct("c", "lead")).alias("x")).select(F.col("sig").alias("a"), F.col("x.lead").alias("b"))
-    pairs = written(pairs, "leaders")
-    return linked(docs, entities, pairs)
+    """Verified links of each entity with two others: the leader, and the neighbour, of most of its shards.
+
+    Members of a shard stand in the same order in all their shards, so near copies of one text are each
+    other's neighbours again and again, while texts with one passage in common are so a few times.
+    """
+    side = lambda c: shared.select("sig", "n", F.lit(c).alias("kind"), F.col(c).alias("other"), F.col(c + "_n").alias("other_n"))
+    rows = side("lead").unionByName(side("prev"))
+    fit = (100 * F.least("n", "other_n") >= PERCENT * F.greatest("n", "other_n")) & (F.col("sig") != F.col("other"))
+    seen = rows.where(fit).groupBy("sig", "kind", "other").agg(F.count("*").alias("c"))
+    pairs = seen.groupBy("sig", "kind").agg(F.max(F.struct("c", "other")).alias("x")).select(F.least("sig", "x.other").alias("a"), F.greatest("sig", "x.other").alias("b"))
+    return linked(docs, entities, written(pairs.distinct(), "leaders"))
 
 
 def unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
