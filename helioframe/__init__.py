@@ -1 +1 @@
-"""helioframe: rooftop solar analytics as Spark DataFrame operators."""
+"""helioframe: solar sizing of roofs as Spark DataFrame operators."""

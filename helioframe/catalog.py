@@ -393,7 +393,7 @@ def x6_x11_x16_text(spark, sf_dir):
            NOT contains(t, 'carport') AS new_rooftop FROM d""")
 def x8_f12_permits(spark, sf_dir):
     t = F.concat(F.lit("Install "), F.col("p_size").cast("string"), F.lit(".5 kW solar and "), (F.col("p_size") % 3).cast("string"), F.lit(" MW"), F.when(F.col("p_partkey") % 4 == 0, " carport").otherwise(""))
-    return table(spark, sf_dir, "part").select("p_partkey", text.kw_from_text(t).alias("kw"), text.new_rooftop_solar(t).alias("new_rooftop"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.kw_from_text(t).alias("kw"), text.new_roof_install(t).alias("new_rooftop"))
 
 
 @query("j24_t4_shared_names", """

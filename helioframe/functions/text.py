@@ -94,7 +94,7 @@ def kw_from_text(text: Column) -> Column:
     return F.array_max(F.filter(F.concat(kw, mw), lambda v: (v > 0) & (v < 20000)))
 
 
-def new_rooftop_solar(text: Column) -> Column:
+def new_roof_install(text: Column) -> Column:
     return text.rlike(SOLAR) & ~text.rlike(NOT_ROOF) & ~text.rlike(NOT_NEW)
 
 

@@ -83,7 +83,7 @@ def test_text_rules(spark):
     score = lambda q, c: text.street_score(text.street_tokens(F.lit(q)), text.street_tokens(F.lit(c)))
     got = values(
         spark, score("North Main Street", "N MAIN ST").alias("same"), score("N Main St", "MAIN ST").alias("part"), score("Main St", "OAK ST").alias("none"), text.parse_address(F.lit("12b-14 Oak Ave Apt 3, LA, CA 90001-1234, USA")).alias("a"), text.parse_address(F.lit("Oak Ave")).alias("no"),
-        text.owner_name(F.lit("The Oak Park, L.L.C.")).alias("o"), text.plane_from_name(F.lit("Plane 6/12 SW")).alias("p"), text.obstruction_kind(F.lit("Smoke vent 2")).alias("k"), text.redact(F.lit("u?api_key=s3&x=1 TOKEN=y")).alias("r"), text.existing_solar_check(F.lit("1 A St, X, CA 90001"), F.lit(2021), F.lit(False)).alias("e"), text.new_rooftop_solar(F.lit("PV carport")).alias("c"),
+        text.owner_name(F.lit("The Oak Park, L.L.C.")).alias("o"), text.plane_from_name(F.lit("Plane 6/12 SW")).alias("p"), text.obstruction_kind(F.lit("Smoke vent 2")).alias("k"), text.redact(F.lit("u?api_key=s3&x=1 TOKEN=y")).alias("r"), text.existing_solar_check(F.lit("1 A St, X, CA 90001"), F.lit(2021), F.lit(False)).alias("e"), text.new_roof_install(F.lit("PV carport")).alias("c"),
     )
     assert (got["same"], got["none"]) == (1.0, 0.0) and got["part"] == pytest.approx(2 / 3)
     assert tuple(got["a"]) == ("12B", "Oak Ave", "90001") and got["no"] is None and got["o"] == "OAK PARK" and got["k"] == "smoke_vent"
