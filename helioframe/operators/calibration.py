@@ -23,11 +23,10 @@ def accuracy(samples: DataFrame, predicted: str, true: str, by: list[str], toler
     """Per group: n, share within tolerance, median and mean absolute error, 90th percentile, median signed error."""
     rows = samples.where(F.col(true) > 0).withColumn("e", signed_error(predicted, true)).withColumn("ae", F.abs("e"))
     base = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg((F.col("ae") <= tolerance).cast("double")).alias("within"), F.median("ae").alias("median_abs"),
-        F.avg("ae").alias("mean_abs"), F.median("e").alias("median_signed"),
+        F.count("*").alias("n"), F.avg((F.col("ae") <= tolerance).cast("double")).alias("within"), F.avg("ae").alias("mean_abs"),
     )
-    p90 = quantiles.at_rank(rows, by, "ae", quantiles.p90_round_rank(), "p90_abs")
-    return base.join(p90, by)
+    found = quantiles.with_medians(base, rows, by, {"median_abs": "ae", "median_signed": "e"}, {"ae": {"p90_abs": quantiles.p90_round_rank()}})
+    return found.select(*by, "n", "within", "median_abs", "mean_abs", "median_signed", "p90_abs")
 
 
 def fit(samples: DataFrame, predicted: str, true: str, key: str, min_samples: int = MIN_SAMPLES) -> tuple[DataFrame, float | None]:

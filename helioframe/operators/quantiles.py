@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A bracket of at most so many rows is sorted on the driver.
+#: A bracket of at most so many rows is sorted on the driver; of brackets of groups, all together.
 MOST_COLLECTED = 10_000
 BUCKETS = 1024
+#: With more groups than this, ranks_by sorts each group in a window.
+MOST_GROUPS = 1000
 
 
 def order_statistics(df: DataFrame, value: str, ranks: list[int]) -> list[float]:
@@ -55,6 +60,93 @@ def at_rank(df: DataFrame, by: list[str], value: str, rank: Column, name: str) -
     return rows.where(F.col("place") == rank).select(*by, F.col(value).alias(name))
 
 
+def same(by: list[str]) -> Column:
+    """A row's group is that of the row joined to it, whose columns are named g_...; null is a group of its own."""
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in by), F.lit(True))
+
+
+def ranks_by(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Per group, the values at named 0-based ranks, each computed from the group's size `n` (nulls left out).
+
+    As order_statistics does for one column, each pass counts rows in ranges of every group's brackets, so that
+    a group may be as large as the table. Groups are for a report: up to MOST_GROUPS have their brackets on the
+    driver; more of them are sorted group by group in windows that spill.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null").persist()
+    try:
+        finite = F.when(~F.isnan("v") & (F.abs("v") < math.inf), F.col("v"))
+        sizes = rows.groupBy(*by).agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count("*").alias("n"))
+        groups = sizes.withColumns({f"rank_{k}": r.cast("bigint") for k, r in ranks.items()}).limit(MOST_GROUPS + 1).collect()
+        if len(groups) <= MOST_GROUPS:
+            return df.sparkSession.createDataFrame(*_ranks_of(rows, by, groups, list(ranks)))
+    finally:
+        rows.unpersist()
+    w = Window.partitionBy(*by)
+    placed = rows.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("v")) - 1)
+    return placed.groupBy(*by).agg(*(F.max(F.when(F.col("place") == r, F.col("v"))).alias(k) for k, r in ranks.items()))
+
+
+def _ranks_of(rows: DataFrame, by: list[str], groups: list, names: list[str]) -> tuple[list[tuple], str]:
+    """Rows and schema of ranks_by. A bracket is (group, lowest, highest value, rows below, rows inside)."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in by)
+    found, wanted = {}, {}
+    for g, r in enumerate(groups):
+        for k in names:
+            wanted[g, k] = (g, -math.inf if r["lo"] is None else r["lo"], math.inf if r["hi"] is None else r["hi"], 0, r["n"])
+    first = True
+    while wanted:
+        brackets = sorted({b for b in wanted.values()})
+        fine = max(16, min(BUCKETS, 64 * BUCKETS // len(brackets)))
+        # the rows of small brackets, and of those too narrow to cut, are counted value by value
+        least, split = max(16, MOST_COLLECTED // len(brackets)), []
+        for i, (g, a, b, _, inside) in enumerate(brackets):
+            width = b / fine - a / fine
+            split.append((*(groups[g][c] for c in by), i, a, b, width if inside > least and 0 < width < math.inf and a + width > a else None))
+        table = rows.sparkSession.createDataFrame(split, f"{schema}, i int, a double, b double, width double").withColumnsRenamed({c: f"g_{c}" for c in by})
+        # values that are no number or infinite only meet the first brackets and have cells of their own
+        inside = F.col("v").between(F.col("a"), F.col("b")) | F.lit(first)
+        cell = F.when(F.isnan("v"), float(fine + 1)).when(F.col("v") == math.inf, float(fine)).when(F.col("v") == -math.inf, -1.0)
+        cell = cell.otherwise(F.least(F.floor((F.col("v") - F.col("a")) / F.col("width")), F.lit(fine - 1)).cast("double"))
+        key = F.when(F.col("width").isNull(), F.col("v")).otherwise(cell)
+        joined = rows.join(F.broadcast(table), same(by) & inside)
+        cells = joined.groupBy("i", key.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("i", "c").collect()
+        at: dict[int, list] = {}
+        for r in cells:
+            at.setdefault(r["i"], []).append(r)
+        place = {b: i for i, b in enumerate(brackets)}
+        for (g, k), bracket in list(wanted.items()):
+            below, rank = bracket[3], groups[g][f"rank_{k}"]
+            for r in at[place[bracket]]:
+                if rank < below + r["n"]:
+                    if r["lo"] == r["hi"] or math.isnan(r["lo"]):
+                        found[g, k] = r["lo"]
+                        del wanted[g, k]
+                    else:
+                        wanted[g, k] = (g, r["lo"], r["hi"], below, r["n"])
+                    break
+                below += r["n"]
+            else:
+                raise ValueError(f"no rank {rank} in a group of {groups[g]['n']} rows")
+        first = False
+    out = [(*(r[c] for c in by), *(found[g, k] for k in names)) for g, r in enumerate(groups)]
+    return out, f"{schema}, " + ", ".join(f"`{k}` double" for k in names)
+
+
+def median_ranks(name: str) -> dict[str, Column]:
+    """The two ranks whose mean is the interpolating median."""
+    return {f"{name}_lo": F.floor((F.col("n") - 1) / 2), f"{name}_hi": F.floor(F.col("n") / 2)}
+
+
+def with_medians(base: DataFrame, df: DataFrame, by: list[str], values: dict[str, str], more: dict[str, dict[str, Column]] | None = None) -> DataFrame:
+    """base (a row per group) with medians of df's value columns, and with `more` values at ranks: column to names and ranks."""
+    for name, value in values.items():
+        extra = (more or {}).get(value, {})
+        got = ranks_by(df, by, value, median_ranks("x") | extra)
+        got = got.select(*(F.col(c).alias(f"g_{c}") for c in by), ((F.col("x_lo") + F.col("x_hi")) / 2).alias(name), *extra)
+        base = base.join(got, same(by), "left").drop(*(f"g_{c}" for c in by))
+    return base
+
+
 def upper_median_rank() -> Column:
     return F.floor(F.col("n") / 2)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helioframe.operators import quantiles
+
 
 def ordered_reasons(order: Column, reason: Column) -> Column:
     """An aggregate: distinct reasons in the order in which they came first."""
@@ -68,7 +70,6 @@ def best_design(predictions: DataFrame, designs: DataFrame, key: str, predicted:
 def sweep(samples: DataFrame, scenarios: DataFrame, predicted: str, true: str, tolerance: float = 0.10) -> DataFrame:
     """Per scenario (name, factor; a short list): hits, median errors and floors below -10 %."""
     rows = samples.crossJoin(F.broadcast(scenarios)).withColumn("err", (F.col(predicted) * F.col("factor") - F.col(true)) / F.col(true))
-    return rows.groupBy("scenario").agg(
-        F.count("*").alias("n"), F.sum((F.abs("err") <= tolerance).cast("int")).alias("hits"), F.median(F.abs("err")).alias("median_abs"),
-        F.median("err").alias("median_err"), F.sum((F.col("err") < -0.1).cast("int")).alias("floors"),
-    )
+    base = rows.groupBy("scenario").agg(F.count("*").alias("n"), F.sum((F.abs("err") <= tolerance).cast("int")).alias("hits"), F.sum((F.col("err") < -0.1).cast("int")).alias("floors"))
+    found = quantiles.with_medians(base, rows.withColumn("abs", F.abs("err")), ["scenario"], {"median_abs": "abs", "median_err": "err"})
+    return found.select("scenario", "n", "hits", "median_abs", "median_err", "floors")

@@ -106,6 +106,31 @@ def test_order_statistics(spark, monkeypatch):
     assert quantiles.median(df, "v") == (xs[499] + xs[500]) / 2 and quantiles.median(df.limit(0), "v") is None
 
 
+def test_ranks_of_large_groups_by_bucket_counts(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MOST_COLLECTED", 5)
+    rng = np.random.default_rng(3)
+    rows = [("wide", float(x)) for x in np.exp(rng.normal(0, 9, 900))] + [("ties", float(x)) for x in rng.integers(0, 3, 901)] + [(None, float(x)) for x in rng.normal(size=40)]
+    rows += [("odd", x) for x in (math.inf, -math.inf, math.nan, 1.0, 2.0, -3.0, 2.0)] + [("ties", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ranks = quantiles.median_ranks("m") | {"p90": quantiles.p90_round_rank()}
+    expected = {}
+    for g in ("wide", "ties", None, "odd"):
+        xs = sorted((x for k, x in rows if k == g and x is not None), key=lambda x: (math.isnan(x), x))
+        expected[g] = (xs[(len(xs) - 1) // 2], xs[len(xs) // 2], xs[round(0.9 * (len(xs) - 1))])
+    for most in (1000, 2):  # bucket counts; windows
+        monkeypatch.setattr(quantiles, "MOST_GROUPS", most)
+        assert {r["g"]: tuple(r)[1:] for r in quantiles.ranks_by(df, ["g"], "v", ranks).collect()} == expected
+    assert quantiles.ranks_by(df.limit(0), ["g"], "v", ranks).collect() == []
+
+
+@pytest.mark.parametrize("name", ["a1_accuracy", "a3_cross_validation", "a22_parameter_sweep"])
+def test_no_aggregate_buffers_the_values_of_a_report_group(spark, name):
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "median(" in line or "percentile(" in line]
+    assert [line for line in gathered if "segment" not in line.split("]")[0]] == []
+
+
+
 def test_calibration_recovers_a_bias(spark):
     rows = spark.range(200).select("id", F.lit("a").alias("key"), (F.col("id") + 10.0).alias("known"), ((F.col("id") + 10.0) * 1.25).alias("pred"))
     factors, overall = calibration.fit(rows, "pred", "known", "key")
