@@ -2,7 +2,8 @@
 
 Folding lower-cases, maps look-alike letters of other scripts and substituted digits and signs to one
 letter, and drops zero-width characters; the lexicon is folded the same way. Entries are whole words or
-word beginnings (marked by a trailing *). Where an exception phrase covers a match, the match does not
+word beginnings (marked by a trailing *). Signs such as ! that stand for letters also end a word where no
+letter follows them. Where an exception phrase covers a match, the match does not
 count. What is left is the summed weight, seen both as such and against the text's length; a logistic
 curve over the two turns it into a score.
 
@@ -29,16 +30,13 @@ from helioframe.llm.text_arrays import slices
 
 THRESHOLD = 0.7
 SLICE_BYTES = 4 << 20
-#: Entries in the lexicon at most, and in the exception phrases.
-MAX_ENTRIES = 2_000
-MAX_EXCEPTIONS = 500
 #: A word or beginning must be in so many toxic texts, and so many times as common there.
 LEAST_TEXTS = 4
 LEAST_LOG_ODDS = 3.5
 #: ... and the log odds times the number of toxic texts must reach this, against chance finds.
 LEAST_EVIDENCE = 20.0
 PREFIX_LENGTHS = range(4, 7)
-#: Labelled texts to learn from at most.
+#: Labelled texts to learn from at most; they bound the lexicon, which has no limit of its own.
 MAX_ROWS = 10_000
 
 #: Letters and signs that stand for a Latin letter. i, l, 1, ! and | fold to one letter.
@@ -48,7 +46,11 @@ LOOK_ALIKES = {
     "u": "υսｕ", "v": "νѵｖ", "w": "ѡԝｗ", "x": "хχｘ", "y": "уγｙ", "z": "ᴢｚ2",
 }
 FOLD = {ord(x): a for a, many in LOOK_ALIKES.items() for x in many} | {ord(c): "" for c in "​‌‍⁠﻿­"}
+DROPPED = {c: "" for c, a in FOLD.items() if not a}
+#: Signs that fold to a letter: after a word, they are its end as well as a letter of it.
+SIGNS = "".join(chr(c) for c, a in FOLD.items() if a and not chr(c).isalnum())
 WORD = re.compile(r"\w+")
+SIGNED_WORD = re.compile(rf"[\w{re.escape(SIGNS)}]+")
 #: Mild uses of words that lexicons list; checked as folded phrases before learnt ones.
 EXCEPTIONS = ["trash can", "trash bin", "clown fish", "trash bag"]
 
@@ -57,6 +59,19 @@ def fold(text: str) -> str:
     return text.lower().translate(FOLD)
 
 
+def unfolded(text: str) -> str:
+    """The text of which each character stands at the place of its letter in fold(text)."""
+    return text.lower().translate(DROPPED)
+
+
+def terms_of(text: str) -> set[str]:
+    """The distinct folded words of a text, those before signs with and without them."""
+    words = set(WORD.findall(fold(text)))
+    if any(c in text for c in SIGNS):
+        words |= {fold(w.rstrip(SIGNS)) for w in SIGNED_WORD.findall(unfolded(text)) if w[-1] in SIGNS}
+    return words
+
+
 @dataclass
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
@@ -82,8 +97,12 @@ class Lexicon:
         return found if entries else None
 
 
-def matches(folded: str, automaton) -> list[tuple[int, int, float]]:
-    """Start, end and weight of the matches in a folded text; at one word only the heaviest counts."""
+def matches(folded: str, automaton, plain: str | None = None) -> list[tuple[int, int, float]]:
+    """Start, end and weight of the matches in a folded text; at one word only the heaviest counts.
+
+    Word ends are seen in plain, the unfolded text (the folded one if there is none).
+    """
+    plain = folded if plain is None else plain
     hits: dict[int, tuple[int, float]] = {}
     excused: list[tuple[int, int]] = []
     size = len(folded)
@@ -91,7 +110,10 @@ def matches(folded: str, automaton) -> list[tuple[int, int, float]]:
         a, b = last - length + 1, last + 1
         if a and _wordy(folded[a - 1]):
             continue
-        open_end = b < size and _wordy(folded[b])
+        end = b
+        while end < size and plain[end] in SIGNS:
+            end += 1
+        open_end = end < size and _wordy(plain[end])
         for kind, weight in kinds:
             if kind == "exception":
                 if not open_end:
@@ -113,7 +135,7 @@ def measures(text: str | None, automaton) -> tuple[float, float]:
     """Summed weight, and weight per hundred characters of text (of at least a hundred)."""
     if not text or automaton is None:
         return 0.0, 0.0
-    weight = sum(w for _, _, w in matches(fold(text), automaton))
+    weight = sum(w for _, _, w in matches(fold(text), automaton, unfolded(text)))
     return weight, 100 * weight / max(100, len(text))
 
 
@@ -136,21 +158,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             for batch in slices(whole, "text", SLICE_BYTES):
                 seen = {0: Counter(), 1: Counter()}
                 for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
-                    words = {w for w in WORD.findall(fold(text)) if len(w) >= 3}
+                    words = {w for w in terms_of(text) if len(w) >= 3}
                     seen[y].update(words | {w[:k] + "*" for w in words for k in PREFIX_LENGTHS if len(w) > k})
                 out = sorted(seen[0].keys() | seen[1].keys())
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array([seen[1][t] for t in out], pa.int64()), pa.array([seen[0][t] for t in out], pa.int64())], ["term", "p", "n"])
 
     counts = rows.where("y in (0, 1)").mapInArrow(terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
-    best = counts.where(f"p >= {LEAST_TEXTS}").withColumn("w", odds).where((F.col("w") >= LEAST_LOG_ODDS) & (F.col("w") * F.col("p") >= LEAST_EVIDENCE)).orderBy(F.desc(F.col("w") * F.col("p")), "term").limit(MAX_ENTRIES).collect()
+    best = counts.where(f"p >= {LEAST_TEXTS}").withColumn("w", odds).where((F.col("w") >= LEAST_LOG_ODDS) & (F.col("w") * F.col("p") >= LEAST_EVIDENCE)).orderBy("term").collect()
     words = {r["term"]: r["w"] for r in best if not r["term"].endswith("*")}
     starts = {r["term"][:-1]: r["w"] for r in best if r["term"].endswith("*")}
     # a beginning is kept where no shorter one is as sure, and only if several words share it
     kept: dict[str, float] = {}
+    shared = Counter(w[:k] for w in words for k in PREFIX_LENGTHS if len(w) >= k)
     for s in sorted(starts, key=lambda x: (len(x), x)):
-        shared = sum(w.startswith(s) for w in words)
-        if shared >= 2 and not any(s.startswith(k) for k in kept):
+        if shared[s] >= 2 and not any(s[:k] in kept for k in PREFIX_LENGTHS):
             kept[s] = starts[s]
     lexicon = Lexicon(words, kept)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -164,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
                     seen: set[str] = set()
                     folded = fold(text)
-                    for a, b, _ in matches(folded, automaton) if automaton else ():
+                    for a, b, _ in matches(folded, automaton, unfolded(text)) if automaton else ():
                         after, before = re.match(r"\w* \w+", folded[b : b + 60]), re.search(r"\w+ $", folded[max(0, a - 60) : a])
                         seen |= {folded[a:b] + after[0]} if after else set()
                         seen |= {before[0] + folded[a:b] + re.match(r"\w*", folded[b:])[0]} if before else set()
@@ -173,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(out_t, pa.string()), pa.array(out_y, pa.int32())], ["term", "y"])
 
     phrases = rows.mapInArrow(contexts, "term string, y int").groupBy("term").agg(F.sum("y").alias("p"), F.count("*").alias("all"))
-    mild = phrases.where(f"all - p >= {LEAST_TEXTS} and p * 20 <= all").orderBy(F.desc("all"), "term").limit(MAX_EXCEPTIONS).collect()
+    mild = phrases.where(f"all - p >= {LEAST_TEXTS} and p * 20 <= all").orderBy("term").collect()
     lexicon.exceptions += [r["term"] for r in mild]
     got = rows.mapInArrow(_measured(docs.sparkSession.sparkContext.broadcast(lexicon), ["y"]), "y int, a double, b double").toPandas().sort_values(["y", "a", "b"])
     lexicon.curve = _fit_curve(_curve_inputs(got[["a", "b"]].to_numpy()), got["y"].to_numpy(dtype=float))

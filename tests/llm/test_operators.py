@@ -292,6 +292,20 @@ def test_toxicity(labelled):
     assert [w for _, _, w in toxicity.matches(toxicity.fold("TR4SH in the trash can, lowly slow"), automaton)] == [2.0, 1.0]
 
 
+def test_toxicity_signs_end_words_and_the_lexicon_is_whole(spark):
+    automaton = toxicity.Lexicon({toxicity.fold("idiot"): 2.0}).automaton()
+    found = {t: toxicity.measures(t, automaton)[0] for t in ("you idiot!", "IDI0T!!", "an idi\u200bot$ | x", "idiot!x", "idiots!", "idiot@home")}
+    assert found == {"you idiot!": 2.0, "IDI0T!!": 2.0, "an idi\u200bot$ | x": 2.0, "idiot!x": 0.0, "idiots!": 0.0, "idiot@home": 0.0}
+    assert {"ldlotl", "ldlot"} <= toxicity.terms_of("idiot!")
+    excused = toxicity.Lexicon({toxicity.fold("trash"): 2.0}).automaton()
+    assert toxicity.measures("into the trash can!", excused)[0] == 0.0
+    words = [f"{a}{b}{c}q" for a in "cdfghkmnpr" for b in "cdfghkmnprtvwx" for c in "cdfghkmnprtvwxyqab"]
+    docs = spark.createDataFrame([(i, " ".join(words) if i < 6 else "calm and plain words") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(200)], "doc_id long, toxic int")
+    assert len(words) > 2000 and set(toxicity.fit(docs, labels).words) == {toxicity.fold(w) for w in words}
+
+
+
 def test_language(spark):
     rng = random.Random(6)
     syllables = {"aa": ["the", "ing", "th", "ou", "er"], "bb": ["ção", "lha", "ão", "nha", "os"], "cc": ["sch", "ung", "ü", "ein", "tz"]}
