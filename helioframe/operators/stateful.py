@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,22 +15,17 @@ def budgeted(df: DataFrame, group: str, order: list[str], budget: int) -> DataFr
 def covering_points(points: DataFrame, group: str, x: str, y: str, radius: float, most: int) -> DataFrame:
     """Farthest-point sampling: points of a group picked until all are within radius of one, at most so many.
 
-    The first point of the group (by `ord`) is picked first; of equally far ones the first. A group is one
-    building's candidate points, which are few.
+    The first point of the group (by `ord`) is picked first; of equally far ones the first. Each pick is an
+    aggregate over the points joined to their group's picks so far, so no group is gathered, however large.
     """
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", kind="stable").reset_index(drop=True)
-        at = rows[[x, y]].to_numpy(dtype=float)
-        picked, far = [0], np.hypot(*(at - at[0]).T)
-        while len(picked) < most and far.max() > radius:
-            k = int(far.argmax())
-            picked.append(k)
-            far = np.minimum(far, np.hypot(*(at - at[k]).T))
-        return rows.iloc[picked].assign(pick=range(1, len(picked) + 1))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in points.dtypes) + ", pick int"
-    return points.groupBy(group).applyInPandas(pick, schema)
+    point = F.struct(*points.columns)
+    far = F.array_min(F.transform("x_picks", lambda p: F.hypot(F.col(x) - p[x], F.col(y) - p[y])))
+    picks = points.groupBy(group).agg(F.array(F.min_by(point, "ord")).alias("x_picks"))
+    for _ in range(most - 1):
+        joined = points.join(picks.withColumnRenamed(group, "x_group"), F.col(group).eqNullSafe(F.col("x_group"))).withColumn("x_far", far)
+        farthest = joined.groupBy(group).agg(F.first("x_picks").alias("x_picks"), F.max("x_far").alias("x_most"), F.min_by(point, F.struct(-F.col("x_far"), F.col("ord"))).alias("x_next"))
+        picks = farthest.select(group, F.when(F.col("x_most") > radius, F.concat("x_picks", F.array("x_next"))).otherwise(F.col("x_picks")).alias("x_picks"))
+    return picks.select(F.posexplode("x_picks").alias("x_pos", "x_point")).select("x_point.*", (F.col("x_pos") + 1).alias("pick"))
 
 
 def raster_components(cells: DataFrame, raster: str, row: str, col: str, least: int) -> DataFrame:

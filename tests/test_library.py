@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from helioframe.functions import geometry, solar, text
-from helioframe.operators import addresses, calibration, ordered, packing, quantiles, spatial
+from helioframe.operators import addresses, calibration, ordered, packing, quantiles, spatial, stateful
 from helioframe.plans import review, sites
 from helioframe.sources import readers, writers
 from helioframe.streaming import lookups
@@ -123,6 +123,24 @@ def test_ranks_of_large_groups_by_bucket_counts(spark, monkeypatch):
     assert quantiles.ranks_by(df.limit(0), ["g"], "v", ranks).collect() == []
 
 
+def test_covering_points_without_gathering_a_group(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, int(k), float(a), float(b)) for g, n in ((1, 60), (2, 5), (None, 12), (4, 1)) for k, (a, b) in enumerate(rng.integers(0, 12, (n, 2)))]
+    expected = set()
+    for g in {r[0] for r in rows}:
+        of = sorted(r for r in rows if r[0] == g) if g else [r for r in rows if r[0] is None]
+        picked = [of[0]]
+        while len(picked) < 4:
+            d = [min(math.hypot(r[2] - p[2], r[3] - p[3]) for p in picked) for r in of]
+            if max(d) <= 3.0:
+                break
+            picked.append(of[d.index(max(d))])
+        expected |= {(*p, k) for k, p in enumerate(picked, 1)}
+    got = stateful.covering_points(spark.createDataFrame(rows, "g int, ord long, x double, y double").repartition(3), "g", "x", "y", 3.0, 4)
+    assert {tuple(r) for r in got.collect()} == expected
+    assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["a1_accuracy", "a3_cross_validation", "a22_parameter_sweep"])
 def test_no_aggregate_buffers_the_values_of_a_report_group(spark, name):
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
