@@ -48,7 +48,8 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: No stage but the second can be told in SQL: each is tested against a brute-force version.
+#: No stage but the second can be told in SQL: tests/llm/test_pipeline.py runs them all and holds each against a
+#: brute-force version on its predecessor's result, the first against its own scores and planted rows.
 ORACLE_SQL = None
 
 
