@@ -1,9 +1,10 @@
-"""Exact deduplication by a tree of merges of sorted digest runs.
+"""Exact deduplication by a tree of merges of digest runs.
 
 Every input partition becomes one run: its distinct digests with the smallest identifier and the count
-of each. In binomial rounds, FAN_IN runs at a time merge into one, until one run is left. A run is cut
-into digest ranges, so that the tasks of a round merge ranges, never a whole run: the last round has as
-many tasks as the first. Then the kept identifiers go down the same way: from the last run to the leaf
+of each. In binomial rounds, FAN_IN runs at a time merge into one, until one run is left. A round is Spark's hash aggregate over run and
+digest: no run is sorted or merged multiway. Rows are dealt by the hash of both, so that the tasks of a
+round get parts of runs, never a whole run: the last round has as many tasks as the first. With one input
+partition there is no round. Then the kept identifiers go down the same way: from the last run to the leaf
 runs, and from a leaf run to its rows, so that no task gets more than one row per leaf run of a digest,
 however many copies it has.
 
@@ -43,8 +44,7 @@ def digest_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def merge_round(runs: DataFrame) -> DataFrame:
     """Merge the runs whose numbers agree after division by FAN_IN: smallest identifier, sum of counts.
 
-    Ordering the rows by (run, digest) before a streaming aggregate is the multiway merge of sorted
-    runs; Spark plans it as sort and aggregate within each digest range.
+    Spark plans it as a hash aggregate behind an exchange by the hash of run and digest.
     """
     return runs.withColumn("d_run", F.shiftright("d_run", FAN_IN.bit_length() - 1)).groupBy("d_run", *KEY).agg(F.min("d_min").alias("d_min"), F.sum("d_n").alias("d_n"))
 
