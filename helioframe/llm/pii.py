@@ -5,7 +5,9 @@ words next to a seed make lexical patterns (two before it, or the one after it).
 digit, an @ or an [at] that have the shape of a kind are unseen instances. Spark scores the bipartite graph of
 patterns and instances in ROUNDS: a pattern is as sure as the mean of its distinct instances, an instance
 as sure as its patterns taken together. Instances of patterns with at least MIN_SEEDS seeds that come to
-MIN_SCORE are added as spans of that kind; base spans stay.
+MIN_SCORE are added as spans of that kind; base spans stay. Patterns come from seeds alone: what the rounds
+accept makes no new ones. Unseen instances are single tokens between white space, of at most MOST_TOKEN
+characters; longer ones are left out (base spans may be of any length).
 
 The expressions are written so that long runs of one class take linear time; they find the same matches
 as the plain ones in the comments. Spans are in code points, the end exclusive. Null texts count as
