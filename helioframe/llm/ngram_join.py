@@ -6,17 +6,23 @@ is what prunes pairs: an R-tree of points (boxes hold coordinate maxima and the
 walked against itself, subtrees whose bound is too low for any pair in them are left out, and surviving
 pairs are verified on the whole sets.
 
-The points are dealt to shards by shingle: in a global order of all shingles, rare ones first, two sets
-that are similar enough share one of the first quarter of their shingles, so each entity joins the shards
-of those. How rare a shingle is comes from exact counts of all documents in 2^COUNT_BITS buckets; the order
-only decides how large shards get, never what is found. Most members of a large shard are near copies of
-one text, so first each entity is verified against two of them, and only shards whose members are not
-linked to each other yet are walked. A shard of more than BLOCK entities is cut into blocks, and each
-pair of blocks is a task's work of its own, so that no group is gathered whole.
-
-Results are connected components, not pairs; no link between different texts is lost. Null and empty
-texts, and texts without words, have an empty set and are linked with nothing. Repeated rows are each
-reported. Extra columns are ignored; an empty table gives no rows.
+The points are dealt to shards by shingle: in a global order of all shingles, two sets that are similar
+enough share some of the first quarter of their shingles, so each entity joins the shards of those. The
+order is that of a hash, but shingles which more than HEAVY documents would so be dealt to (counted
+exactly) come last; the order only decides how large shards get, never what is found. Sets of sizes n and m
+must share a known number of their first shingles, so a pair that the trees bring up in fewer shards than
+that is dropped unseen. Large groups of near copies would be brought up again and again: each entity is
+first verified against the one that leads most of its shards, or stands before it in most, and shards
+whose members are all linked by then are not walked. Of the pairs from the trees, the one that shares most
+shards with an entity is verified first, and then those whose ends are not linked yet. A shard of more
+than BLOCK entities is cut into blocks, and each pair of blocks is a task's work of its own, so that no
+group is gathered whole.
+
+Results are connected components, not pairs; no link between different texts is lost. Shingles are
+compared as 64-bit hashes, whole sets as 128-bit ones. Null and empty texts, and texts without words, have
+an empty set and are linked with nothing. Rows are documents: repeated identifiers and repeated rows are
+each reported; a null identifier is never the smallest of a component that has another one. Extra columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,22 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import components, discard, likely_in, without, written
+from helioframe.llm.shared import Members, components, discard, in_arrow, likely_in, members, without, written
 from helioframe.llm.text_arrays import SPACE_SPLIT, mix, shingle_sets, slices, text_bytes, word_hashes, word_spans
 
 WIDTH = 5
 #: The least similarity, as a fraction: 100 * shared >= 75 * union.
 PERCENT = 75
 GROUPS = 64
-#: Groups of the finer points that pairs are held against before their whole sets are.
-FINE_GROUPS = 512
-COUNT_BITS = 18
+#: A shingle that is among the first quarter of more documents' than this goes to the end of the order.
+HEAVY = 256
 BLOCK = 2048
 LEAF = 16
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Keys beyond which the filter of a plan's constants lets too much through, and a table is sent as well.
+FILTER_KEYS = 1 << 19
 
 
 def sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -49,69 +56,81 @@ def sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(word_hashes(raw, starts, ends), first, WIDTH)
 
 
-def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+def signatures(h: np.ndarray, at: np.ndarray, key: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A 64-bit hash of each set (0 for the empty one)."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(key)), dtype=np.uint64)))
     size = np.diff(at).astype(np.uint64)
     return np.where(size == 0, np.uint64(0), mix((sums[at[1:]] - sums[at[:-1]]) ^ (size * np.uint64(0xD6E8FEB86659FD93))) | np.uint64(1))
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+def first_quarter(n):
+    """Of how many shingles a set of size n joins the shards."""
+    return n - (PERCENT * n + 99) // 100 + np.minimum(n, 1)
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """id, n (set size) and sig of each document, and one row per task with its shingle counts by bucket."""
+def least_in_common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many of their first shingles two sets of these sizes share at least, if they are similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-        names = ["id", "n", "sig", "counts"]
-        kind = None
-        for whole in batches:
-            kind = whole.schema.field("id").type
-            for batch in slices(whole, "text", SLICE_BYTES):
-                h, at = sets_of(batch)
-                counts += np.bincount(bucket(h), minlength=len(counts))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at), pa.int64()), pa.array(signatures(h, at).view(np.int64)), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], names)
-        if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts], pa.list_(pa.int64()))], names)
+    They share s or more in all; of those, the set whose first quarter ends earlier in the order has all but
+    the ones beyond it.
+    """
+    s = -(-PERCENT * (n + m) // (100 + PERCENT))
+    return np.maximum(1, np.minimum(s - n + first_quarter(n), s - m + first_quarter(m)))
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, sig long, counts array<long>")
 
+def leading(h: np.ndarray, at: np.ndarray, heavy: Members | None) -> list[np.ndarray]:
+    """The first quarter of each set's shingles."""
+    order = mix(h) >> np.uint64(1)
+    if heavy is not None:
+        order |= heavy.has(h).astype(np.uint64) << np.uint64(63)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        p = int(first_quarter(b - a))
+        out.append(h[a:b] if p >= b - a else h[a:b][np.argpartition(order[a:b], p - 1)[:p]])
+    return out
 
-def levels(profiles: DataFrame) -> np.ndarray:
-    """How far each bucket's count is above the usual one, in quarters of a power of two: 2^18 bytes."""
-    rows = profiles.where("counts is not null").select(F.posexplode("counts").alias("b", "c")).groupBy("b").agg(F.sum("c").alias("c")).toPandas()
-    counts = np.zeros(1 << COUNT_BITS)
-    counts[rows["b"].to_numpy(dtype=np.int64)] = rows["c"].to_numpy()
-    usual = max(4.0, float(np.median(counts)))
-    return np.clip(np.ceil(4 * np.log2(np.maximum(counts, 1) / (usual + 4 * np.sqrt(usual)))), 0, 255).astype(np.uint8)
 
+def profile(docs: DataFrame) -> DataFrame:
+    """id, key, n (set size), the set's two signatures, its points and its first shingles in the order of the hash."""
 
-def leading(docs: DataFrame, level: np.ndarray) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                h, at = sets_of(batch)
+                tokens = leading(h, at, None)
+                heads = np.concatenate(([0], np.cumsum([len(x) for x in tokens])))
+                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id"), batch.column("key"), pa.array(np.diff(at), pa.int32()), pa.array(signatures(h, at).view(np.int64)),
+                        pa.array(signatures(h, at, 0xA0761D6478BD642F).view(np.int64)), pa.array([p.tobytes() for p in group_points(h, at)], pa.binary()), pa.array(fine_points(h, at), pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(flat.view(np.int64))),
+                    ],
+                    ["id", "key", "n", "sig", "check", "point", "fine", "tokens"],
+                )
+
+    return in_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, key long, n int, sig long, check long, point binary, fine binary, tokens array<long>")
+
+
+def dealt(docs: DataFrame, heavy: Members) -> DataFrame:
     """token, sig and n: the shingles under which each set joins a shard."""
-    sent = docs.sparkSession.sparkContext.broadcast(level)
+    sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = sent.value
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 h, at = sets_of(batch)
-                n = np.diff(at)
-                sig = signatures(h, at)
-                _, one = np.unique(sig, return_index=True)
+                n, sig = np.diff(at), signatures(h, at)
+                one = np.unique(sig, return_index=True)[1]
                 one = one[n[one] > 0]
-                take = n - (PERCENT * n + 99) // 100 + 1
-                order = (level[bucket(h)].astype(np.uint64) << np.uint64(56)) | (mix(h) >> np.uint64(8))
-                out = []
-                for k in one.tolist():
-                    a, b, p = at[k], at[k + 1], take[k]
-                    out.append(h[a:b] if p >= b - a else h[a:b][np.argpartition(order[a:b], p - 1)[:p]])
-                tokens = np.concatenate(out) if out else np.zeros(0, np.uint64)
-                times = np.minimum(take[one], n[one])
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.repeat(sig[one], times).view(np.int64)), pa.array(np.repeat(n[one], times), pa.int32())], ["token", "sig", "n"])
+                heads = np.concatenate(([0], np.cumsum(n[one])))
+                kept = h[np.arange(heads[-1]) - np.repeat(heads[:-1] - at[one], n[one])]
+                tokens = leading(kept, heads, sent.value)
+                times = [len(x) for x in tokens]
+                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(sig[one], times).view(np.int64)), pa.array(np.repeat(n[one], times), pa.int32())], ["token", "sig", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, sig long, n int")
+    return in_arrow(docs.select("text"), run, "token long, sig long, n int")
 
 
 def shards(prefix: DataFrame, parts: int) -> DataFrame:
@@ -160,89 +179,94 @@ def shards(prefix: DataFrame, parts: int) -> DataFrame:
         if len(token):
             yield cut(token, sig, n, lead, lead_n, True)[0]
 
-    return prefix.repartition(parts, "token").sortWithinPartitions("token", "sig").mapInArrow(run, "token long, sig long, n int, lead long, lead_n int, prev long, prev_n int")
+    return in_arrow(prefix.repartition(parts, "token").sortWithinPartitions("token", "sig"), run, "token long, sig long, n int, lead long, lead_n int, prev long, prev_n int")
 
 
-def group_points(h: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def group_points(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The point of each set in bytes: a scale, then its shingles per group in units of it, rounded up."""
     n = len(at) - 1
-    cell = np.repeat(np.arange(n), np.diff(at)) * groups + (mix(h) & np.uint64(groups - 1)).astype(np.int64)
-    counts = np.bincount(cell, minlength=n * groups).reshape(n, groups)
+    cell = np.repeat(np.arange(n), np.diff(at)) * GROUPS + (mix(h) & np.uint64(GROUPS - 1)).astype(np.int64)
+    counts = np.bincount(cell, minlength=n * GROUPS).reshape(n, GROUPS)
     scale = np.maximum(1, -(-counts.max(1, initial=0) // 255))
-    return np.concatenate((scale.astype(np.uint16)[:, None].view(np.uint8), (-(-counts // scale[:, None])).astype(np.uint8)), axis=1)
+    return np.concatenate((scale.astype(np.uint32)[:, None].view(np.uint8), (-(-counts // scale[:, None])).astype(np.uint8)), axis=1)
 
 
-def coordinates(points: list[bytes], groups: int = GROUPS) -> np.ndarray:
+def coordinates(points: pa.Array) -> np.ndarray:
     """Upper bounds of the group counts, from the bytes of points."""
-    raw = np.frombuffer(b"".join(points), dtype=np.uint8).reshape(len(points), groups + 2)
-    scale = np.ascontiguousarray(raw[:, :2]).view(np.uint16).astype(np.int32)
-    return raw[:, 2:] * scale
+    raw = np.frombuffer(b"".join(points.to_pylist()), dtype=np.uint8).reshape(len(points), GROUPS + 4)
+    scale = np.ascontiguousarray(raw[:, :4]).view(np.uint32).astype(np.int32)
+    return raw[:, 4:] * scale
 
 
-def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of ids (id) and perhaps a few more, without a shuffle of texts."""
-    return docs.where(likely_in(ids, "id"))
+def fine_points(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A finer point of each set: as many groups as it has shingles or more (a power of two), counts of two bits.
 
+    The first byte is the logarithm of the number of groups, the next eight the shingles that the counts leave out.
+    """
+    out, group = [], mix(h ^ np.uint64(0x94D049BB133111EB))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        bits = max(6, (b - a).bit_length())
+        counts = np.bincount((group[a:b] & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+        low = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+        out.append(bytes([bits]) + int(b - a - low.sum()).to_bytes(8, "little") + (low << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes())
+    return out
+
+
+def fine_bounds(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """How many shingles the sets of two columns of finer points share at most; the larger one folds to fewer groups."""
+    x, y = left.to_pylist(), right.to_pylist()
+    out = np.zeros(len(x), dtype=np.int64)
+    kinds = np.array([(p[0], q[0]) for p, q in zip(x, y)], dtype=np.int64).reshape(-1, 2)
+
+    def counts(points: list[bytes], bits: int, fewest: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(points), dtype=np.uint8).reshape(len(points), -1)
+        cells = (raw[:, 9:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(len(points), 1 << bits)
+        folded = cells.reshape(len(points), -1, 1 << fewest).sum(1, dtype=np.int32) if bits > fewest else cells
+        return folded, np.ascontiguousarray(raw[:, 1:9]).view(np.int64)[:, 0]
+
+    for b, c in np.unique(kinds, axis=0).tolist():
+        rows = np.flatnonzero((kinds == (b, c)).all(1))
+        step = max(1, (1 << 22) >> max(b, c))
+        for k in range(0, len(rows), step):
+            at = rows[k : k + step]
+            (p, e), (q, f) = counts([x[i] for i in at], b, min(b, c)), counts([y[i] for i in at], c, min(b, c))
+            out[at] = np.minimum(p, q).sum(1, dtype=np.int64) + e + f
+    return out
 
-def entity_points(docs: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig and point of the entities in wanted (sig), each from its one document rep."""
-    rows = written(entities.join(wanted, "sig").select(F.col("rep").alias("id"), "sig"), "wanted")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p.tobytes() for p in group_points(*sets_of(batch))], pa.binary())], ["id", "point"])
-
-    points = chosen(docs, rows).select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, point binary")
-    return written(points.join(rows, "id").select("sig", "point"), "points")
 
+def enough(shared, a, b):
+    """Whether so many shared shingles make sets of sizes a and b similar enough."""
+    return 100 * shared >= PERCENT * (a + b - shared)
 
-def entity_data(docs: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
-    """id, n and data of the documents of ids, and perhaps of a few more.
 
-    The data are the sorted shingles (as bytes) if whole is set, else the fine point.
-    """
+def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, sig and the sorted shingles (as bytes) of the documents of nodes (key), and perhaps of a few more."""
+    nodes = written(nodes.distinct(), "wanted")
+    table = docs.sparkSession.sparkContext.broadcast(members(nodes, "key") if nodes.count() > FILTER_KEYS else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
+            if table.value is not None:
+                big = big.filter(pa.array(table.value.has(big.column("key").to_numpy().view(np.uint64))))
             for batch in slices(big, "text", SLICE_BYTES):
                 h, at = sets_of(batch)
-                data = [h[a:b].tobytes() for a, b in zip(at, at[1:])] if whole else [p.tobytes() for p in group_points(h, at, FINE_GROUPS)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at), pa.int32()), pa.array(data, pa.binary())], ["id", "n", "data"])
-
-    return written(chosen(docs, ids).select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, data binary"), "sets" if whole else "fine")
-
-
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-
-
-def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose fine points allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                batch = whole.slice(k, 2048)
-                p, q = (coordinates(batch.column(c).to_pylist(), FINE_GROUPS) for c in ("pa", "pb"))
-                n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-                yield batch.select(["a", "b"]).filter(pa.array(enough(np.minimum(p, q).sum(1, dtype=np.int64), n, m)))
+                sig = signatures(h, at).view(np.int64)
+                data = [h[a:b].tobytes() for a, b in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sig), pa.array(data, pa.binary())], ["key", "sig", "data"])
 
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("data").alias("p" + x))
-    got = pairs.join(side("a"), "a").join(side("b"), "b")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return written(got.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, f"a {kind}, b {kind}"), "bounded")
+    found = in_arrow(docs.where(likely_in(nodes, "key")).select("key", "text"), run, "key long, sig long, data binary")
+    return written(found.join(nodes, "key", "left_semi").groupBy("key", "sig").agg(F.first("data").alias("data")), "sets")
 
 
-def enough(shared, a, b):
-    """Whether so many shared shingles make sets of sizes a and b similar enough."""
-    return 100 * shared >= PERCENT * (a + b - shared)
-
+def linked(docs: DataFrame, entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links (a, b as nodes) among pairs of entities (a, b as sig): held against their finer points, then on whole sets."""
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents whose whole sets are similar enough."""
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            yield batch.select(["a", "sa", "b", "sb"]).filter(pa.array(enough(fine_bounds(batch.column("pa"), batch.column("pb")), n, m)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ta"), batch.column("tb")):
@@ -253,22 +277,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(bool(enough(int((q[at] == p).sum()), len(p), len(q))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    got = pairs.join(sets.select(F.col("id").alias("a"), F.col("data").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("data").alias("tb")), "b")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return got.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def linked(docs: DataFrame, entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links among pairs of entities (a, b): held against fine points first, then on whole sets."""
-    of = lambda x: entities.select(F.col("sig").alias(x), F.col("rep").alias("id_" + x))
-    placed = written(pairs.join(of("a"), "a").join(of("b"), "b"), "placed")
-    by_id = placed.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    fine = entity_data(docs, ends(by_id), False)
-    near = bounded(by_id, fine)
-    discard(fine)
-    found = verified(near, entity_data(docs, ends(near), True))
-    links = found.join(entities.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(entities.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    return written(links.select(F.col("sa").alias("a"), F.col("sb").alias("b")), "links")
+    of = lambda x: entities.select(F.col("sig").alias("s" + x), F.col("node").alias(x), F.col("n").alias("n" + x), F.col("fine").alias("p" + x))
+    node = entities.schema["node"].dataType.simpleString()
+    placed = pairs.select(F.col("a").alias("sa"), F.col("b").alias("sb")).join(of("a"), "sa").join(of("b"), "sb")
+    near = written(in_arrow(placed.select("a", "sa", "b", "sb", "na", "nb", "pa", "pb"), bounded, f"a {node}, sa long, b {node}, sb long"), "near")
+    sets = whole_sets(docs, near.select("a.key").unionByName(near.select("b.key")))
+    side = lambda x: sets.select(F.col("key").alias("k" + x), F.col("sig").alias("s" + x), F.col("data").alias("t" + x))
+    got = near.withColumn("ka", F.col("a.key")).withColumn("kb", F.col("b.key")).join(side("a"), ["ka", "sa"]).join(side("b"), ["kb", "sb"])
+    links = written(in_arrow(got.select("a", "b", "ta", "tb"), verified, f"a {node}, b {node}"), "links")
+    discard(sets)
+    discard(near)
+    return links
 
 
 class Tree:
@@ -316,22 +335,24 @@ class Tree:
         return a[fit], b[fit]
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs of entities of one shard with different roots whose points allow a link.
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs of entities with different roots whose points allow a link, and in how many shards (c) they meet.
 
-    members: token, sig, n, root and point, in shards of which those above BLOCK are cut into blocks.
+    rows: token, sig, n, root and point, in shards of which those above BLOCK are cut into blocks. Pairs that
+    meet in fewer shards than similar sets of their sizes do are left out.
     """
-    sizes = members.groupBy("token").agg(F.count("*").alias("m"))
+    sizes = rows.groupBy("token").agg(F.count("*").alias("m"))
     blocks = (F.floor((F.col("m") + BLOCK - 1) / BLOCK)).cast("int")
-    rows = members.join(sizes.where(f"m > {BLOCK}").select("token", blocks.alias("blocks")), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.join(sizes.where(f"m > {BLOCK}").select("token", blocks.alias("blocks")), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "sig", "n", "root", "point")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        def emit(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            both = np.stack((np.minimum(x, y), np.maximum(x, y), least_in_common(n, m)), axis=1) if len(x) else np.zeros((0, 3), np.int64)
+            both, times = np.unique(both, axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in both.T.copy()), pa.array(times.astype(np.int64))], ["a", "b", "r", "c"])
 
         rest = None
         for batch in batches:
@@ -341,7 +362,8 @@ def candidates(members: DataFrame) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from walk(rest, True, emit)
 
-    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+    met = in_arrow(rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "sig"), run, "a long, b long, r long, c long")
+    return met.groupBy("a", "b").agg(F.max("r").alias("r"), F.sum("c").alias("c")).where("c >= r").select("a", "b", "c")
 
 
 def tail(batch: pa.RecordBatch) -> int:
@@ -359,7 +381,7 @@ def walk(batch: pa.RecordBatch, last: bool, emit) -> Iterator[pa.RecordBatch]:
         return
     batch = batch.slice(0, stop)
     cols = {c: batch.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j", "mine", "sig", "n", "root")}
-    points = coordinates(batch.column("point").to_pylist())
+    points = coordinates(batch.column("point"))
     fresh = np.concatenate(([True], (cols["token"][1:] != cols["token"][:-1]) | (cols["i"][1:] != cols["i"][:-1]) | (cols["j"][1:] != cols["j"][:-1])))
     heads = np.flatnonzero(fresh)
     ends = np.concatenate((heads[1:], [stop]))
@@ -397,60 +419,88 @@ def walk(batch: pa.RecordBatch, last: bool, emit) -> Iterator[pa.RecordBatch]:
         left.append(p[fit])
         right.append(q[fit])
     if left:
-        yield emit(cols["sig"][np.concatenate(left)], cols["sig"][np.concatenate(right)])
+        p, q = np.concatenate(left), np.concatenate(right)
+        yield emit(cols["sig"][p], cols["sig"][q], cols["n"][p], cols["n"][q])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, n_shingles and component_id (the smallest identifier reachable)."""
+def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key, n and component_id of each row; key is the hash of the row's identifier and text."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     profiles = written(profile(narrow), "profile")
-    docs_of = profiles.where("counts is null").select("id", "n", "sig")
-    entities = docs_of.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
-    entities = written(entities, "entities")
+    rows = written(profiles.select("id", "key", "n", "sig", "check"), "rows")
+    node = F.struct(F.col("id").isNull().alias("nameless"), "id", "key")
+    entities = written(profiles.where("n > 0").groupBy("sig", "check", "n").agg(F.min(node).alias("node"), F.first("point").alias("point"), F.first("fine").alias("fine")), "entities")
+    firsts = profiles.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    heavy = written(firsts.where(f"c > {HEAVY}").select("token"), "heavy")
+    discard(profiles)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    shared = written(shards(leading(narrow, levels(profiles)), parts), "shards")
-    links = first_links(narrow, entities, shared)
+    shared = written(shards(dealt(narrow, members(heavy, "token")), parts), "shards")
+
+    links = linked(narrow, entities, favourites(shared, "lead").unionByName(favourites(shared, "prev")).distinct())
     roots = components(links, "a", "b")
-    left = unlinked(shared, roots)
+
+    left = unlinked(shared, rooted(entities, roots))
     discard(shared)
-    points = entity_points(narrow, entities, left.select("sig").distinct())
-    pairs = written(candidates(left.join(points, "sig")), "pairs")
+    pairs = written(candidates(left.join(entities.select("sig", "point"), "sig")), "pairs")
     discard(left)
-    more = linked(narrow, entities, pairs)
+    ends = pairs.select(F.col("a").alias("sig"), "c", F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("sig"), "c", F.col("a").alias("other")))
+    best = ends.groupBy("sig").agg(F.max(F.struct("c", "other")).alias("x")).select(F.least("sig", "x.other").alias("a"), F.greatest("sig", "x.other").alias("b")).distinct()
+    best = written(best, "best")
+    links = written(links.unionByName(linked(narrow, entities, best)), "links")
+    roots = components(links, "a", "b")
+    root = lambda x: rooted(entities, roots).select(F.col("sig").alias(x), F.col("root").alias("r" + x))
+    rest = pairs.join(best, ["a", "b"], "left_anti").join(root("a"), "a").join(root("b"), "b").where("ra <> rb").select("a", "b").distinct()
+    more = linked(narrow, entities, rest)
     if not more.isEmpty():
         roots = components(links.unionByName(more), "a", "b")
-    known = entities.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = known.join(least, "root").select("sig", "component_id")
-    rows = docs_of.join(named, "sig", "left")
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    named = entities.join(roots, "node", "left").select("sig", "check", "n", F.coalesce("root.id", "node.id").alias("component_id"))
+    return rows.join(named, ["sig", "check", "n"], "left").select("id", "key", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def rooted(entities: DataFrame, roots: DataFrame) -> DataFrame:
+    """sig and root (the key of the root's row) of each entity."""
+    return entities.select("sig", "node").join(roots, "node", "left").select("sig", F.coalesce("root.key", "node.key").alias("root"))
 
 
-def first_links(docs: DataFrame, entities: DataFrame, shared: DataFrame) -> DataFrame:
-    """Verified links of each entity with two others: the leader, and the neighbour, of most of its shards.
+def favourites(shared: DataFrame, other: str) -> DataFrame:
+    """Each entity with the one that is its other ("lead" or "prev") in most of its shards, as pairs (a, b).
 
     Members of a shard stand in the same order in all their shards, so near copies of one text are each
     other's neighbours again and again, while texts with one passage in common are so a few times.
     """
-    side = lambda c: shared.select("sig", "n", F.lit(c).alias("kind"), F.col(c).alias("other"), F.col(c + "_n").alias("other_n"))
-    rows = side("lead").unionByName(side("prev"))
-    fit = (100 * F.least("n", "other_n") >= PERCENT * F.greatest("n", "other_n")) & (F.col("sig") != F.col("other"))
-    seen = rows.where(fit).groupBy("sig", "kind", "other").agg(F.count("*").alias("c"))
-    pairs = seen.groupBy("sig", "kind").agg(F.max(F.struct("c", "other")).alias("x")).select(F.least("sig", "x.other").alias("a"), F.greatest("sig", "x.other").alias("b"))
-    return linked(docs, entities, written(pairs.distinct(), "leaders"))
+    n, m = F.col("n"), F.col(other + "_n")
+    fit = (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (F.col("sig") != F.col(other))
+    seen = shared.where(fit).groupBy("sig", F.col(other).alias("other")).agg(F.count("*").alias("c"))
+    best = seen.groupBy("sig").agg(F.max(F.struct("c", "other")).alias("x"))
+    return best.select(F.least("sig", "x.other").alias("a"), F.greatest("sig", "x.other").alias("b"))
 
 
 def unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of shards whose members are not all in one component yet: token, sig, n and root."""
-    rows = shared.select("token", "sig", "n").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    rows = written(rows, "members")
+    rows = written(shared.select("token", "sig", "n").join(roots, "sig"), "members")
     mixed = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     left = written(rows.join(mixed, "token"), "mixed")
     discard(rows)
     return left
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id_col, n_shingles and component_id (the smallest identifier reachable)."""
+    return classes(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest identifier (identifiers must be unique)."""
-    return without(docs, near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")), id_col)
+    """One document of each component, the one with the smallest identifier.
+
+    Rows that repeat an identifier and its text stay or go together; rows without an identifier go if their
+    component has another one.
+    """
+    found = classes(docs, id_col, text_col)
+    key = max([*docs.columns, ""], key=len) + "_key"
+    gone = found.where("component_id is not null and not (id <=> component_id)").select(F.col("key").alias(key))
+    return without(docs.withColumn(key, row_key(id_col, text_col)), gone, key).select(*docs.columns)

@@ -88,11 +88,11 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     inside[starts] += 1
     inside[ends] -= 1  # words of two texts can touch: their marks cancel
     letters = raw[np.cumsum(inside[:-1], dtype=np.int8).view(bool)] if int(lengths.sum()) != len(raw) else raw
-    within = np.arange(len(letters), dtype=np.int32) - np.repeat(heads.astype(np.int32), lengths)
+    within = np.arange(len(letters), dtype=np.int64) - np.repeat(heads, lengths) if len(letters) >> 31 else np.arange(len(letters), dtype=np.int32) - np.repeat(heads.astype(np.int32), lengths)
     keys = (_BYTE_KEYS_LOWER if lower else _BYTE_KEYS)[letters]
     keys *= _POSITION_KEYS[within & 0xFFFF]
-    if lengths.max() > 0xFFFF:
-        keys += (within >> 16).astype(np.uint64) * _BYTE_KEYS[7]
+    if lengths.max() > 0xFFFF:  # no two positions of a word have the same key
+        keys *= mix((within >> 16).astype(np.uint64) * _BYTE_KEYS[7]) | np.uint64(1)
     return mix(np.add.reduceat(keys, heads) + lengths.astype(np.uint64))
 
 
