@@ -7,7 +7,8 @@ is the sum of one table entry per feature and pair, taken for whole batches at o
 
 The model is fitted on the driver from the features of at most labelled.MAX_ROWS labelled rows (a few
 doubles each); texts never leave the tasks. Null texts count as empty and get a score like any other;
-null labels and labelled rows without a document are left out. With no labels of one kind every score
+null labels, labels other than 0 and 1 and labelled rows without a document are left out. A score depends
+on the text alone, not on the rows beside it. With no labels of one kind every score
 is the share of label 1 (0.5 without any labels). Repeated rows each get their score; extra columns are
 ignored; an empty table gives no rows.
 """
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helioframe.llm.labelled import MAX_ROWS, remainder, sample, sigmoid
+from helioframe.llm.shared import in_arrow
 from helioframe.llm.text_arrays import SPACE_SPLIT, slices, text_bytes, word_hashes, word_spans
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 THRESHOLD = 0.7
 
-FEATURES = ["log_bytes", "log_words", "word_length", "letters", "upper", "digits", "stops", "symbols", "other_ascii", "spaces", "repeated_next", "distinct_words", "distinct_skips", "no_letter_words", "all_upper_words", "symbol_ended", "long_words", "words_per_line"]
+FEATURES = ["log_bytes", "log_words", "word_length", "letters", "upper", "digits", "stops", "symbols", "other_ascii", "spaces", "repeated_next", "distinct_words", "distinct_pairs", "no_letter_words", "all_upper_words", "symbol_ended", "long_words", "words_per_line"]
 
 _CLASS = {
     "letters": np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128, 256)]),
@@ -79,10 +81,13 @@ def text_features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     x[:, col["symbol_ended"]] = by_doc(_CLASS["symbols"][raw[ends - 1]], first) / per_word
     h = word_hashes(raw, starts, ends)
     x[:, col["repeated_next"]] = by_doc(np.concatenate(((h[1:] == h[:-1]) & (doc[1:] == doc[:-1]), [False])), first) / per_word
-    # distinct words and distinct neighbouring pairs, each against a power of the length
-    for name, keys in (("distinct_words", h), ("distinct_skips", h * np.uint64(3) + np.concatenate((h[1:], h[:1])))):
+    # distinct words and distinct neighbouring pairs of one text, each against a power of the length
+    pair = np.flatnonzero(doc[1:] == doc[:-1])
+    for name, keys, of in (("distinct_words", h, doc), ("distinct_pairs", h[pair] * np.uint64(3) + h[pair + 1], doc[pair])):
+        if not len(keys):
+            continue
         # 40 bits of the hash below the number of the text: counts for a feature need no more
-        both = np.sort(doc.astype(np.uint64) << np.uint64(40) | keys >> np.uint64(24))
+        both = np.sort(of.astype(np.uint64) << np.uint64(40) | keys >> np.uint64(24))
         fresh = np.concatenate(([True], both[1:] != both[:-1]))
         x[:, col[name]] = np.bincount((both[fresh] >> np.uint64(40)).astype(np.int64), minlength=n) / per_word ** (0.8 if name == "distinct_words" else 1.0)
     return x
@@ -122,9 +127,9 @@ class AdditiveModel:
         self.pair_tables = [np.zeros((self.coarse, self.coarse)) for _ in self.chosen]
         for _ in range(self.pair_rounds):
             for (a, b), table in zip(self.chosen, self.pair_tables):
-                g, h = self._gradients(raw, y)
-                table += self._pair_tree(cells[a], cells[b], g, h)
-                raw = self._sum(at, cells)
+                step = self._pair_tree(cells[a], cells[b], *self._gradients(raw, y))
+                table += step
+                raw += step[cells[a], cells[b]]
         return self
 
     @staticmethod
@@ -191,12 +196,12 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "x"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(count, f"id {narrow.schema['id'].dataType.simpleString()}, x array<double>")
+    return in_arrow(narrow, count, f"id {narrow.schema['id'].dataType.simpleString()}, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> AdditiveModel:
     """Fit the model on at most max_rows labelled documents."""
-    chosen = sample(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y")), id_col, max_rows)
+    chosen = sample(labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y")), id_col, max_rows)
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
     # the fit must not depend on the order in which rows arrive
     got = features(rows.withColumn("pair", F.struct(F.col(id_col).alias("k"), "y")), "pair", text_col).select("id.k", "id.y", "x").toPandas().sort_values("k", kind="stable")
@@ -215,7 +220,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s, pa.float64())], ["id", "score"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, score double").select(F.col("id").alias(id_col), "score")
+    return in_arrow(narrow, run, f"id {narrow.schema['id'].dataType.simpleString()}, score double").select(F.col("id").alias(id_col), "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,4 +239,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             for batch in slices(whole, text_col, SLICE_BYTES):
                 yield batch.filter(pa.array(sent.value.score(text_features(*text_bytes(batch.column(text_col)))) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
