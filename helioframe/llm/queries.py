@@ -31,7 +31,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
-    return warc.read_archive(spark, folder).select("page_id", F.col("length").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
+    return warc.report(warc.read_archive(spark, folder))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
