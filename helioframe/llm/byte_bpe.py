@@ -4,12 +4,13 @@ A block of documents becomes one row: the distinct words (pieces of the pre-toke
 new to its task, as arrays of byte ranks, and for every document which words follow each other. Higher-order functions fold each
 distinct word: in every step the neighbouring pair of the lowest rank merges, until no pair is in the rank
 map. The map is a literal of the plan: two constant arrays, with the rank of (left, right) at base[left] +
-right, as the look-up in Spark's own map type is a linear search. Then the encoded words are strung together for each document,
-and decoding concatenates the binary pieces of the ids. No row is shuffled; what a task holds is bounded
-by BLOCK_BYTES (or one longer text) and MAX_WORDS.
+right, as the look-up in Spark's own map type is a linear search. Then the encoded words are strung
+together for each document, and decoding, in Spark functions too, concatenates the binary pieces of the ids.
+No row is shuffled; what a task holds is bounded by BLOCK_BYTES (or one longer text) and MAX_WORDS.
 
 Words of more than FOLD_BYTES bytes, on which the folding would take quadratic time, are merged with a heap
-by the same rule. Ranks are read on the driver from a file whose path is a parameter.
+by the same rule. Ranks are read on the driver from a file whose path is a parameter; they must be below
+2^MOST_RANK_BITS. Words are told apart by 64-bit hashes in which no two bytes of a word have the same key.
 
 Null texts count as empty: no ids. Repeated rows are each reported, extra columns are ignored, an empty
 table gives no rows. A pattern other than the default one needs its own splitter.
@@ -18,7 +19,6 @@ table gives no rows. A pattern other than the default one needs its own splitter
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator
@@ -29,16 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helioframe.llm.shared import in_arrow
 from helioframe.llm.text_arrays import slices, text_bytes, word_hashes
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: A task starts a new list of words beyond so many.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 FOLD_BYTES = 96
-#: Bits of a rank and of a place in a word; what an empty cell of the rank table holds.
-RANK_BITS = 17
+#: Bits of a place in a word, of the largest ranks there may be, and of the right one of two in a key.
 PLACE_BITS = 8
-EMPTY = 1 << 40
+MOST_RANK_BITS = 21
+RIGHT = 32
+#: What an empty cell of the rank table holds.
+EMPTY = 1 << 50
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -105,26 +108,35 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def merges(ranks: dict[bytes, int]) -> dict[int, int]:
-    """left * 65536 + right -> rank of the two together, for all pairs of entries whose join is an entry."""
+    """left << RIGHT | right -> rank of the two together, for all pairs of entries whose join is an entry."""
     out = {}
     for word, rank in ranks.items():
         for k in range(1, len(word)):
             left, right = ranks.get(word[:k]), ranks.get(word[k:])
             if left is not None and right is not None:
-                out[left << 16 | right] = rank
+                out[left << RIGHT | right] = rank
     return out
 
 
-def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The merges as overlaid rows: the entry of (left, right) is at base[left] + right.
+def rank_bits(ranks: dict[bytes, int]) -> int:
+    """Bits of the largest rank."""
+    bits = max(ranks.values()).bit_length()
+    if bits > MOST_RANK_BITS:
+        raise ValueError(f"ranks of {bits} bits; at most {MOST_RANK_BITS} fit the table")
+    return bits
 
-    An entry holds its left rank above RANK_BITS, so that a cell of another row is told apart. Rows are
+
+def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The merges as overlaid rows: the entry of (left, right) is at base[left] + right; and the bits of a rank.
+
+    An entry holds its left rank above those bits, so that a cell of another row is told apart. Rows are
     laid, longest first, where all their cells are free; the search goes on from where the last row of the
     same length was laid.
     """
+    bits = rank_bits(ranks)
     rows: dict[int, list[tuple[int, int]]] = {}
     for key, rank in merges(ranks).items():
-        rows.setdefault(key >> 16, []).append((key & 65535, rank))
+        rows.setdefault(key >> RIGHT, []).append((key & (1 << RIGHT) - 1, rank))
     width = max(ranks.values()) + 1
     table = np.full(20 * width, EMPTY, dtype=np.int64)
     base = np.zeros(width, dtype=np.int64)
@@ -143,14 +155,14 @@ def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
                 break
             at += 512
         base[left] = at
-        table[at + cells] = (left << RANK_BITS) | np.array([r for _, r in row])
+        table[at + cells] = (left << bits) | np.array([r for _, r in row])
         while table[free_from] != EMPTY:
             free_from += 1
-    return base, table[: int(np.flatnonzero(table != EMPTY).max()) + width]
+    return base, table[: int(np.flatnonzero(table != EMPTY).max(initial=0)) + width], bits
 
 
 @lru_cache(maxsize=2)
-def table_of(path: str) -> tuple[np.ndarray, np.ndarray]:
+def table_of(path: str) -> tuple[np.ndarray, np.ndarray, int]:
     return rank_table(read_ranks(path))
 
 
@@ -159,7 +171,7 @@ def literal(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
 
-def fold_word(word: Column, base: Column, table: Column) -> Column:
+def fold_word(word: Column, base: Column, table: Column, bits: int) -> Column:
     """Merge the neighbours of the lowest rank, the leftmost first, until none is in the table.
 
     word: an array of longs, the ranks of the word's bytes. The fold has one step per byte; a step that
@@ -168,13 +180,13 @@ def fold_word(word: Column, base: Column, table: Column) -> Column:
 
     def ranked(state: Column) -> Column:
         """Rank and place of each pair, packed; a pair that is not in the table is above NONE."""
-        entry = lambda a, i: F.get(table, F.get(base, a) + F.get(state, i + 1)).bitwiseXOR(F.shiftleft(a, RANK_BITS))
+        entry = lambda a, i: F.get(table, F.get(base, a) + F.get(state, i + 1)).bitwiseXOR(F.shiftleft(a, bits))
         return F.transform(state, lambda a, i: F.shiftleft(entry(a, i), PLACE_BITS).bitwiseOR(i.cast("bigint")))
 
     def merge(state: Column, best: Column) -> Column:
         place = best.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
         merged = F.concat(F.slice(state, F.lit(1), place), F.array(F.shiftright(best, PLACE_BITS)), F.slice(state, place + 3, F.size(state)))
-        return F.when(best < F.lit(1 << RANK_BITS + PLACE_BITS), merged).otherwise(F.concat(F.array(F.lit(-1).cast("bigint")), state))
+        return F.when(best < F.lit(1 << bits + PLACE_BITS), merged).otherwise(F.concat(F.array(F.lit(-1).cast("bigint")), state))
 
     def step(state: Column, _: Column) -> Column:
         # a list of one element gives its value a name
@@ -188,7 +200,7 @@ def merge_long(word: list[int], pairs: dict[int, int]) -> list[int]:
     """The same merges with a heap, for one long word."""
     left, right, alive = list(range(-1, len(word) - 1)), [*range(1, len(word)), -1], [True] * len(word)
     word = list(word)
-    heap = [(pairs[k], i, word[i], word[i + 1]) for i in range(len(word) - 1) if (k := word[i] << 16 | word[i + 1]) in pairs]
+    heap = [(pairs[k], i, word[i], word[i + 1]) for i in range(len(word) - 1) if (k := word[i] << RIGHT | word[i + 1]) in pairs]
     heapq.heapify(heap)
     while heap:
         rank, i, a, b = heapq.heappop(heap)
@@ -199,7 +211,7 @@ def merge_long(word: list[int], pairs: dict[int, int]) -> list[int]:
         if right[j] >= 0:
             left[right[j]] = i
         for x, y in ((left[i], i), (i, right[i])):
-            if x >= 0 and y >= 0 and (k := word[x] << 16 | word[y]) in pairs:
+            if x >= 0 and y >= 0 and (k := word[x] << RIGHT | word[y]) in pairs:
                 heapq.heappush(heap, (pairs[k], x, word[x], word[y]))
     return [w for w, on in zip(word, alive) if on]
 
@@ -214,17 +226,14 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
     decoded_sha256 (of the bytes that the ids decode to).
     """
     ranks = read_ranks(rank_path)
-    by_rank: list[bytes] = [b""] * (max(ranks.values()) + 1)
-    for word, rank in ranks.items():
-        by_rank[rank] = word
     of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
     context = docs.sparkSession.sparkContext
-    sent = context.broadcast((of_byte, ranks, by_rank))
+    sent = context.broadcast((of_byte, ranks))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_byte, ranks, _ = sent.value
+        of_byte, ranks = sent.value
         place: dict[int, int] = {}  # of the words so far in this task
         for whole in batches:
             for batch in slices(whole, "text", BLOCK_BYTES):
@@ -270,55 +279,59 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
                 )
 
     schema = f"ids array<{kind}>, fresh boolean, first binary, use binary, kinds binary, known binary, long array<binary>, words array<array<bigint>>"
-    blocks = narrow.mapInArrow(split, schema)
-    base, table = map(literal, table_of(rank_path))
-    folded = blocks.withColumn("words", F.transform("words", lambda w: fold_word(w, base, table)))
+    blocks = in_arrow(narrow, split, schema)
+    base, table, bits = table_of(rank_path)
+    base, table = literal(base), literal(table)
+    folded = blocks.withColumn("words", F.transform("words", lambda w: fold_word(w, base, table, bits)))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_byte, ranks, by_rank = sent.value
+        of_byte, ranks = sent.value
         pairs = None
-        encoded: list[tuple[int, ...]] = []  # of the words so far in this task, as split numbers them
-        text: list[str] = []
-        binary: list[bytes] = []
-        sizes = np.zeros(0, np.int32)
+        # of the words so far in this task, as split numbers them: their ids, one after the other, and where each begins
+        known_ids, known_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
-                ids = row.column("ids").flatten()
-                first, use, known = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("first", np.int64), ("use", np.int32), ("known", np.int32)))
+                first, use, whole = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("first", np.int64), ("use", np.int32), ("known", np.int32)))
+                kinds = np.frombuffer(row.column("kinds")[0].as_buffer(), np.uint8)
                 if row.column("fresh")[0].as_py():
-                    encoded, text, binary, sizes = [], [], [], sizes[:0]
+                    known_ids, known_at = known_ids[:0], known_at[:1]
+                long = row.column("long")[0].as_py()
+                if long and pairs is None:
+                    pairs = merges(ranks)
+                long = [np.array(merge_long(of_byte[np.frombuffer(x, np.uint8)].tolist(), pairs), dtype=np.int32) for x in long]
                 inner = row.column("words").flatten()
-                values, heads = inner.flatten().to_numpy().tolist(), iter(inner.value_lengths().to_numpy().cumsum().tolist())
-                whole, long, a = iter(known.tolist()), iter(row.column("long")[0].as_py()), 0
-                new: list[tuple[int, ...]] = []
-                for k in row.column("kinds")[0].as_py():
-                    if k == 0:
-                        new.append((next(whole),))
-                    elif k == 1:
-                        b = next(heads)
-                        new.append(tuple(values[a + (values[a] < 0) : b]))  # a leading -1 marks the end of the fold
-                        a = b
-                    else:
-                        pairs = merges(ranks) if pairs is None else pairs
-                        new.append(tuple(merge_long([int(of_byte[b]) for b in next(long)], pairs)))
-                bounds = zip(first.tolist(), first[1:].tolist())
-                order = use.tolist()
-                if not digests:
-                    encoded += new
-                    out = [[x for w in order[a:b] for x in encoded[w]] for a, b in bounds]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
-                    continue
-                sizes = np.concatenate((sizes, np.array([len(x) for x in new], dtype=np.int32)))
-                text += [",".join(map(str, x)) for x in new]
-                binary += [b"".join([by_rank[i] for i in x]) for x in new]
-                total = np.concatenate(([0], np.cumsum(sizes[use], dtype=np.int64)))
-                shas = [(hashlib.sha256(",".join([text[w] for w in order[a:b]]).encode()).hexdigest(), hashlib.sha256(b"".join([binary[w] for w in order[a:b]])).hexdigest()) for a, b in bounds]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(total[first[1:]] - total[first[:-1]]), pa.array([x for x, _ in shas], pa.string()), pa.array([x for _, x in shas], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    out = f"id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
-    done = folded.mapInArrow(join, out)
-    return done.select(F.col("id").alias(id_col), *done.columns[1:])
+                values, sizes = inner.flatten().to_numpy(), inner.value_lengths().to_numpy().astype(np.int64)
+                marked = values < 0  # a leading -1 marks the end of the fold
+                if len(sizes):
+                    sizes = sizes - np.add.reduceat(marked, np.cumsum(sizes) - sizes)
+                length = np.ones(len(kinds), dtype=np.int64)
+                length[kinds == 1] = sizes
+                length[kinds == 2] = [len(x) for x in long]
+                at = np.cumsum(length) - length
+                new = np.zeros(int(length.sum()), dtype=np.int32)
+                new[at[kinds == 0]] = whole
+                new[spread(at[kinds == 1], sizes)] = values[~marked]
+                for k, x in zip(at[kinds == 2].tolist(), long):
+                    new[k : k + len(x)] = x
+                known_at = np.concatenate((known_at, known_at[-1] + np.cumsum(length)))
+                known_ids = np.concatenate((known_ids, new))
+                size = np.diff(known_at)[use]
+                out = known_ids[spread(known_at[use], size)]
+                heads = np.concatenate(([0], np.cumsum(size)))[first].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), pa.ListArray.from_arrays(pa.array(heads), pa.array(out))], ["id", "ids"])
+
+    encoded = in_arrow(folded, join, f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
+    if not digests:
+        return encoded
+    digest = F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256)
+    return decode(encoded, rank_path).select(id_col, F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("text_bytes", 256).alias("decoded_sha256"))
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range, one range after the other."""
+    heads = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) - np.repeat(heads - starts, sizes)
 
 
 def decode(encoded: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:
