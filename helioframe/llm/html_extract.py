@@ -10,6 +10,10 @@ Boilerplate is what stands in navigation, headers and footers of the page, aside
 and the like, or in elements whose class, id or role names such a part (adverts, sidebars, notices,
 comments, ...).
 
+Attributes are read one by one: `hidden` counts as an attribute of its own (or aria-hidden="true"), not within
+other names or values, and a quote opens a value only after an equals sign. Inline elements that are hidden
+or named as adverts and the like go with their text.
+
 Null html counts as empty; a page without main text has the text ''. Pages without a host vote
 together as one host. Ties between paths go to the longer path, then to the smaller string. Repeated
 rows are each reported, extra columns are ignored, an empty table gives no rows.
@@ -26,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helioframe.llm.shared import in_arrow, written
 from helioframe.llm.text_arrays import slices
 
-SLICE_BYTES = 4 << 20
-#: So many hosts' paths are sent to all tasks; more are joined by a shuffle.
+SLICE_BYTES = 1 << 20
+#: So many hosts' paths, and characters of them, are sent to all tasks; more meet the pages in a join of Spark's choice.
 MAX_SENT_HOSTS = 50_000
+MAX_SENT_CHARACTERS = 8_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select button title".split())
@@ -46,45 +52,84 @@ BOILER_NAMES = re.compile(
 )
 #: Elements that an opening tag closes if they are open.
 CLOSES = {"p": BLOCK} | {t: frozenset({t}) for t in ("li", "option")} | {"dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"})}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTR = re.compile(r"(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Inline elements whose names are these are left out with their text; other inline names say little.
+INLINE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|share|sharing|social\w*|cookies?|consent|popup|newsletter\w*|hidden)(?=$|[\s_-])", re.I)
+#: A tag's attributes: quotes count only where a value begins.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.S)
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 SPACE = re.compile(r"\s+")
+DIGITS = re.compile(r"[\d_-]+")
+
+
+def attributes(attrs: str) -> tuple[str, str, bool]:
+    """The names (class and id), the role and whether the element is hidden, by whole attributes."""
+    names, role, hidden = "", "", False
+    if attrs and not attrs.isspace():
+        for key, a, b, c in ATTR.findall(attrs):
+            key = key.lower()
+            if key in ("class", "id"):
+                names += " " + (a or b or c)
+            elif key == "role":
+                role = (a or b or c).strip().lower()
+            elif key == "hidden":
+                hidden = True
+            elif key == "aria-hidden":
+                hidden = hidden or (a or b or c).strip().lower() == "true"
+    return names, role, hidden
+
+
+class Path:
+    """A chain of containers; equal chains of a page are one object, so that depth costs no memory."""
+
+    __slots__ = ("parent", "label", "size", "below")
+
+    def __init__(self, parent: Path | None, label: str):
+        self.parent, self.label, self.below = parent, label, {}
+        self.size = len(label) + (parent.size + 1 if parent is not None else 0)
+
+    def child(self, label: str) -> Path:
+        if label not in self.below:
+            self.below[label] = Path(self, label)
+        return self.below[label]
+
+    def __str__(self) -> str:
+        labels, at = [], self
+        while at is not None:
+            labels.append(at.label)
+            at = at.parent
+        return ">".join(reversed(labels))
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "boiler", "own")
+    __slots__ = ("tag", "boiler", "article", "path")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str):
-        self.tag, self.parent = tag, parent
-        names, role, hidden = "", "", False
-        if attrs and not attrs.isspace():
-            for key, a, b, c in ATTR.findall(attrs):
-                key, value = key.lower(), a or b or c
-                if key == "role":
-                    role = value.lower()
-                elif key == "hidden":
-                    hidden = True
-                else:
-                    names += " " + value
-        within_article = parent is not None and "article" in parent.path
+        names, role, hidden = attributes(attrs)
+        self.tag = tag
         self.boiler = bool(
             (parent is not None and parent.boiler)
             or tag in BOILER_TAGS
-            or (tag == "header" and not within_article)
+            or (tag == "header" and not (parent is not None and parent.article))
             or hidden
             or role in BOILER_ROLES
             or (names and tag not in ("html", "body", "article", "main") and BOILER_NAMES.search(names))
         )
-        general = ".".join(sorted({re.sub(r"[\d_-]+", "", x) for x in names.lower().split()} - {""}))
-        here = f"{tag}.{general}" if general else tag
-        self.path = (parent.path + ">" if parent is not None and parent.path else "") + here if tag in CONTAINER or parent is None else parent.path
-        self.own = tag in CONTAINER
+        self.article = parent is not None and parent.article
+        if parent is None:
+            self.path = Path(None, tag)
+        elif tag in CONTAINER:
+            general = ".".join(sorted({DIGITS.sub("", x) for x in names.lower().split()} - {""}))
+            label = f"{tag}.{general}" if general else tag
+            self.path, self.article = parent.path.child(label), self.article or "article" in label
+        else:
+            self.path = parent.path
 
 
 def blocks(html: str) -> list[tuple[str, Element]]:
     """The page's blocks of text in order, with the element each stands in."""
-    root = Element("html", None, "")
-    stack, out, text = [root], [], []
+    stack, out, text = [Element("html", None, "")], [], []
+    opened: Counter = Counter()
+    left_out: list | None = None  # an inline element without its text: tag, how often it is open, depth of the stack
     at, size = 0, len(html)
 
     def end_block() -> None:
@@ -94,83 +139,118 @@ def blocks(html: str) -> list[tuple[str, Element]]:
             if joined:
                 out.append((joined, stack[-1]))
 
+    def close_from(k: int) -> None:
+        nonlocal left_out
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+        if left_out and len(stack) < left_out[2]:
+            left_out = None
+
     while at < size:
         found = TOKEN.search(html, at)
+        stop = found.start() if found is not None else size
+        if stop > at and not left_out:
+            text.append(html[at:stop])
         if found is None:
-            text.append(html[at:])
             break
-        if found.start() > at:
-            text.append(html[at : found.start()])
         at = found.end()
-        if found["cdata"]:
+        if found["cdata"] and not left_out:
             text.append(found["cdata"])
         tag = found["tag"]
         if tag is None:
             continue
         tag = tag.lower()
+        block = tag in BLOCK or tag in BOILER_TAGS
         if found["close"]:
             if tag == "br":
                 text.append(" ")
-            elif tag in BLOCK or tag in BOILER_TAGS:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-                if k:
+            elif block:
+                if opened[tag] > 0:
+                    k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag)
                     end_block()
-                    del stack[k:]
+                    close_from(k)
+            elif left_out and tag == left_out[0]:
+                left_out[1] -= 1
+                if not left_out[1]:
+                    left_out = None
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(html, at)
             if not found["attrs"].endswith("/"):
+                stop = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(html, at)
                 at = stop.end() if stop else size
             text.append(" ")
         elif tag in VOID:
             if tag == "hr":
                 end_block()
-            elif tag in ("br", "wbr"):
-                text.append(" " if tag == "br" else "")
-        elif tag in BLOCK or tag in BOILER_TAGS:
+            elif tag == "br":
+                text.append(" ")
+        elif block:
             end_block()
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = stack[k].tag
-                if open_tag == "p" or tag in CLOSES.get(open_tag, ()):
-                    if open_tag == "p" or tag in ("li", "option", "dt", "dd", "td", "th", "tr"):
-                        del stack[k:]
-                    break
-                if open_tag in ("ul", "ol", "table", "dl", "div", "section", "article", "body", "main"):
-                    break
-            if tag in ("html", "body") and any(e.tag == tag for e in stack[1:] or stack):
-                continue
-            if tag == "html":
+            lists = tag in ("li", "option", "dt", "dd", "td", "th", "tr")
+            if lists or opened["p"] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    open_tag = stack[k].tag
+                    if open_tag == "p" or tag in CLOSES.get(open_tag, ()):
+                        if open_tag == "p" or lists:
+                            close_from(k)
+                        break
+                    if open_tag in ("ul", "ol", "table", "dl", "div", "section", "article", "body", "main"):
+                        break
+            if tag == "html" or (tag == "body" and opened["body"] > 0):
                 continue
             stack.append(Element(tag, stack[-1], found["attrs"]))
+            opened[tag] += 1
+        elif left_out:
+            left_out[1] += tag == left_out[0]
+        elif not found["attrs"].endswith("/"):
+            names, role, hidden = attributes(found["attrs"])
+            if hidden or role in BOILER_ROLES or (names and INLINE_NAMES.search(names)):
+                left_out = [tag, 1, len(stack)]
     end_block()
     return out
 
 
-def container_scores(page: list[tuple[str, Element]]) -> Counter:
-    """Per container path: all of the text straight in it, half of the text one container further in."""
-    scores: Counter = Counter()
+def container_scores(page: list[tuple[str, Element]]) -> dict[Path, float]:
+    """Per container: all of the text straight in it, half of the text one container further in, a quarter beyond."""
+    scores: dict[Path, float] = {}
     for text, element in page:
         if element.boiler:
             continue
-        e, share, last = element, float(len(text)), None
-        while e is not None and share >= len(text) / 4:
-            if e.path != last:
-                scores[e.path] += share
-                last = e.path
-                share /= 2
-            e = e.parent
+        path, share = element.path, float(len(text))
+        while path is not None and share >= len(text) / 4:
+            scores[path] = scores.get(path, 0.0) + share
+            path, share = path.parent, share / 2
     return scores
 
 
-def best_path(scores: Counter) -> str | None:
-    return max(scores, key=lambda p: (scores[p], len(p), [-ord(c) for c in p])) if scores else None
+def best_path(scores: dict[Path, float]) -> str | None:
+    if not scores:
+        return None
+    most = max(scores.values())
+    longest = max(p.size for p, s in scores.items() if s == most)
+    return min(str(p) for p, s in scores.items() if s == most and p.size == longest)
 
 
 def text_in(page: list[tuple[str, Element]], path: str | None) -> str | None:
     """The text of the blocks within containers of that path, or None if there are none."""
-    if path is None:
+    if path is None or not page:
         return None
-    parts = [t for t, e in page if not e.boiler and (e.path == path or e.path.startswith(path + ">"))]
+    labels, within = path.split(">"), {}
+    parts = []
+    for text, element in page:
+        if element.boiler:
+            continue
+        chain, at = [], element.path
+        while at is not None and at not in within:
+            chain.append(at)
+            at = at.parent
+        inside = within[at] if at is not None else 0  # how many labels match from the top; -1 if one doesn't
+        for node in reversed(chain):
+            if 0 <= inside < len(labels):
+                inside = inside + 1 if node.label == labels[inside] else -1
+            within[node] = inside
+        if within[element.path] == len(labels):
+            parts.append(text)
     return "\n\n".join(parts) if parts else None
 
 
@@ -193,7 +273,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             keys = sorted(votes)
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array([votes[k] for k in keys], pa.int64())], ["host", "path", "votes"])
 
-    votes = pages.select("host", "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    votes = in_arrow(pages.select("host", "html"), vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     best = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc(F.length("path")), "path")
     return votes.withColumn("place", F.row_number().over(best)).where("place = 1").select("host", "path")
 
@@ -201,8 +281,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col and text of every page."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    paths = host_paths(rows)
-    chosen = paths.take(MAX_SENT_HOSTS + 1)
+    paths = written(host_paths(rows), "paths")
+    sums = paths.agg(F.count("*").alias("n"), F.sum(F.length("host") + F.length("path")).alias("characters")).first()
     kind = rows.schema["id"].dataType.simpleString()
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +295,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     out.append(got if got is not None else text_in(page, best_path(container_scores(page))) or "")
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
-    if len(chosen) <= MAX_SENT_HOSTS:
-        paths = F.broadcast(pages.sparkSession.createDataFrame([tuple(r) for r in chosen], "host string, path string"))
+    if sums["n"] <= MAX_SENT_HOSTS and (sums["characters"] or 0) <= MAX_SENT_CHARACTERS:
+        paths = F.broadcast(paths)
     joined = rows.join(paths, "host", "left").select("id", "url", "path", "html")
-    return joined.mapInArrow(text, f"id {kind}, url string, text string").toDF(id_col, url_col, "text")
+    return in_arrow(joined, text, f"id {kind}, url string, text string").toDF(id_col, url_col, "text")
