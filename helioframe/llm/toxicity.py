@@ -7,10 +7,13 @@ letter follows them. Where an exception phrase covers a match, the match does no
 count. What is left is the summed weight, seen both as such and against the text's length; a logistic
 curve over the two turns it into a score.
 
-The lexicon, the exception phrases and the curve are learnt from at most MAX_ROWS labelled
-texts, with counts taken in Spark. Null texts count as empty. Texts without a match get the score of the curve
-at zero. Null labels are left out; without labels of both kinds the lexicon is empty and all scores are
-0. Repeated rows each get their score, extra columns are ignored, an empty table gives no rows.
+The lexicon, the exception phrases and the curve are all learnt, from at most MAX_ROWS labelled texts, with
+counts taken in Spark; whole texts are read, and every entry that the evidence bears is kept. A beginning has
+one of PREFIX_LENGTHS letters, and an exception is a match with the one word before or after it: that is the
+form of the model. Null texts count as empty. Texts without a match get the score of the curve at zero. Null
+labels and labels other than 0 and 1 are left out; without labels of both kinds the lexicon is empty and
+all scores are near 0. Repeated rows each get their score, extra columns are ignored, an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -26,16 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helioframe.llm.labelled import remainder, sample, sigmoid
+from helioframe.llm.shared import in_arrow
 from helioframe.llm.text_arrays import slices
 
 THRESHOLD = 0.7
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A word or beginning must be in so many toxic texts, and so many times as common there.
 LEAST_TEXTS = 4
 LEAST_LOG_ODDS = 3.5
 #: ... and the log odds times the number of toxic texts must reach this, against chance finds.
 LEAST_EVIDENCE = 20.0
-PREFIX_LENGTHS = range(4, 7)
+PREFIX_LENGTHS = range(4, 11)
 #: Labelled texts to learn from at most; they bound the lexicon, which has no limit of its own.
 MAX_ROWS = 10_000
 
@@ -51,8 +55,8 @@ DROPPED = {c: "" for c, a in FOLD.items() if not a}
 SIGNS = "".join(chr(c) for c, a in FOLD.items() if a and not chr(c).isalnum())
 WORD = re.compile(r"\w+")
 SIGNED_WORD = re.compile(rf"[\w{re.escape(SIGNS)}]+")
-#: Mild uses of words that lexicons list; checked as folded phrases before learnt ones.
-EXCEPTIONS = ["trash can", "trash bin", "clown fish", "trash bag"]
+NEXT_WORD = re.compile(r"\w* \w+")
+REST = re.compile(r"\w*")
 
 
 def fold(text: str) -> str:
@@ -76,7 +80,7 @@ def terms_of(text: str) -> set[str]:
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     beginnings: dict[str, float] = field(default_factory=dict)
-    exceptions: list[str] = field(default_factory=lambda: [fold(x) for x in EXCEPTIONS])
+    exceptions: list[str] = field(default_factory=list)
     curve: tuple[float, float, float] = (-8.0, 0.0, 0.0)
 
     def automaton(self):
@@ -131,6 +135,20 @@ def _wordy(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
+def neighbours(folded: str, a: int, b: int) -> set[str]:
+    """The match at a to b with the word after it, and with the word before it."""
+    out = set()
+    after = NEXT_WORD.match(folded, b)
+    if after:
+        out.add(folded[a:b] + after[0])
+    if a > 1 and folded[a - 1] == " " and _wordy(folded[a - 2]):
+        k = a - 2
+        while k and _wordy(folded[k - 1]):
+            k -= 1
+        out.add(folded[k:b] + REST.match(folded, b)[0])
+    return out
+
+
 def measures(text: str | None, automaton) -> tuple[float, float]:
     """Summed weight, and weight per hundred characters of text (of at least a hundred)."""
     if not text or automaton is None:
@@ -145,7 +163,7 @@ def _curve_inputs(m: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Lexicon:
     """Learn the lexicon, its exceptions and the curve from at most max_rows labelled documents."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y"))
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y"))
     rows = docs.select(id_col, text_col).join(F.broadcast(sample(known, id_col, max_rows)), id_col).select("y", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
@@ -163,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 out = sorted(seen[0].keys() | seen[1].keys())
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array([seen[1][t] for t in out], pa.int64()), pa.array([seen[0][t] for t in out], pa.int64())], ["term", "p", "n"])
 
-    counts = rows.where("y in (0, 1)").mapInArrow(terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    counts = in_arrow(rows, terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
     best = counts.where(f"p >= {LEAST_TEXTS}").withColumn("w", odds).where((F.col("w") >= LEAST_LOG_ODDS) & (F.col("w") * F.col("p") >= LEAST_EVIDENCE)).orderBy("term").collect()
     words = {r["term"]: r["w"] for r in best if not r["term"].endswith("*")}
@@ -187,17 +205,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                     seen: set[str] = set()
                     folded = fold(text)
                     for a, b, _ in matches(folded, automaton, unfolded(text)) if automaton else ():
-                        after, before = re.match(r"\w* \w+", folded[b : b + 60]), re.search(r"\w+ $", folded[max(0, a - 60) : a])
-                        seen |= {folded[a:b] + after[0]} if after else set()
-                        seen |= {before[0] + folded[a:b] + re.match(r"\w*", folded[b:])[0]} if before else set()
+                        seen |= neighbours(folded, a, b)
                     out_t += seen
                     out_y += [y] * len(seen)
                 yield pa.RecordBatch.from_arrays([pa.array(out_t, pa.string()), pa.array(out_y, pa.int32())], ["term", "y"])
 
-    phrases = rows.mapInArrow(contexts, "term string, y int").groupBy("term").agg(F.sum("y").alias("p"), F.count("*").alias("all"))
+    phrases = in_arrow(rows, contexts, "term string, y int").groupBy("term").agg(F.sum("y").alias("p"), F.count("*").alias("all"))
     mild = phrases.where(f"all - p >= {LEAST_TEXTS} and p * 20 <= all").orderBy("term").collect()
     lexicon.exceptions += [r["term"] for r in mild]
-    got = rows.mapInArrow(_measured(docs.sparkSession.sparkContext.broadcast(lexicon), ["y"]), "y int, a double, b double").toPandas().sort_values(["y", "a", "b"])
+    got = in_arrow(rows, _measured(docs.sparkSession.sparkContext.broadcast(lexicon), ["y"]), "y int, a double, b double").toPandas().sort_values(["y", "a", "b"])
     lexicon.curve = _fit_curve(_curve_inputs(got[["a", "b"]].to_numpy()), got["y"].to_numpy(dtype=float))
     return lexicon
 
@@ -228,7 +244,7 @@ def _measured(sent, keys: list[str]):
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score, weight (of all matches) and density (weight per hundred characters)."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    m = narrow.mapInArrow(_measured(docs.sparkSession.sparkContext.broadcast(lexicon), ["id"]), f"id {narrow.schema['id'].dataType.simpleString()}, a double, b double")
+    m = in_arrow(narrow, _measured(docs.sparkSession.sparkContext.broadcast(lexicon), ["id"]), f"id {narrow.schema['id'].dataType.simpleString()}, a double, b double")
     c, s, d = lexicon.curve
     z = F.lit(c) + F.lit(s) * F.log1p("a") + F.lit(d) * F.log1p("b")
     return m.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-z))).alias("score"), F.col("a").alias("weight"), F.col("b").alias("density"))
