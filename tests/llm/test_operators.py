@@ -48,6 +48,18 @@ def test_exact_duplicates(docs, spark):
     kept = exact_dedup.drop_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (4, "a  b"), (4, "a b"), (None, "z"), (7, "c")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(odd.repartition(5)).collect()), key=str)
+    assert got == sorted([(None, 4, 3, False), (4, 4, 3, True), (4, 4, 3, True), (None, None, 1, False), (7, 7, 1, True)], key=str)
+
+
+def test_runs_are_merged_in_order(docs):
+    """Every round is an exchange by run and slot, a sort and a sort aggregate; nothing is hashed into memory."""
+    from pyspark.sql import functions as F
+
+    runs = exact_dedup.merged(exact_dedup.digest_runs(docs.repartition(13), "doc_id", "text"), F.col("d_id"), F.lit(1))
+    plan = exact_dedup.merge_round(runs, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan and "d_slot" in plan
 
 
 def shingles(text):
@@ -171,8 +183,29 @@ def test_warc(spark):
         assert bytes(got[i]["payload"]) == data and got[i]["sha1"] == hashlib.sha1(data).hexdigest() and got[i]["length"] == len(data) and got[i]["url"] == url
     assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items() if r["record_type"] == "revisit"} == {1: ("revisit", 9), 2: ("revisit", 9)}
     assert spark.read.parquet(folder + "/payloads").count() == 4
-    record = bytes({r["page_id"]: r["record"] for r in warc.records(warc.read_archive(spark, folder)).collect()}[9])
+    record = bytes(got[9]["record"])
     assert record.startswith(b"WARC/1.1\r\n") and record.endswith(big.encode() + b"\r\n\r\n")
+    assert bytes(got[1]["record"]).endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    report = {r["page_id"]: r for r in warc.report(warc.read_archive(spark, folder)).collect()}
+    assert {i: (report[i]["payload_bytes"], report[i]["payload_digest"]) for i in got} == {i: (len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in rows}
+
+
+@pytest.mark.parametrize("most", [4096, 1])
+def test_warc_of_repeated_null_and_text_identifiers(spark, most, monkeypatch):
+    from helioframe.llm.shared import shared_dir
+
+    monkeypatch.setattr(warc, "PART_RECORDS", most)
+    big = "x" * 1000
+    for k, kind in enumerate(("long", "string")):
+        of = (lambda x: x) if kind == "long" else (lambda x: x and f"p{x}")
+        rows = [(of(1), "u", big), (of(1), "u", big), (None, "", big), (of(3), "u", big), (of(3), "u", big), (None, "a\r\nX-Page-ID: 8", "y" * 1001), (None, None, "y" * 1001)]
+        folder = f"{shared_dir(spark)}/warc-odd-{most}-{k}"
+        warc.write_archive(spark.createDataFrame(rows, f"page_id {kind}, url string, html string"), folder)
+        archive = warc.read_archive(spark, folder)
+        got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.report(archive).collect()), key=str)
+        want = [(of(1), "revisit", of(3), 1000)] * 2 + [(None, "revisit", of(3), 1000)] + [(of(3), "response", None, 1000)] * 2 + [(None, "response", None, 1001)] * 2
+        assert got == sorted(want, key=str) and spark.read.parquet(folder + "/payloads").count() == 2
+        assert sorted((r["url"] for r in archive.collect()), key=str) == sorted(["u"] * 4 + ["", "aX-Page-ID: 8", None], key=str)
 
 
 HARD = ["it's  don't 'street ''s 's x's\n\n y  \n z", "", "   ", "a   ", "\n", "  \n\n  x", " 123 abc ½ x y 　z", "I'll I'LL we've 're' 'v 've", "a\t b\t\tc", " 's x!'s", "z" * 300, "é" * 150 + "!" * 200, "𝔘 日本語 ١٢٣ ", "'", "'d", "'l", "a'l", None]
@@ -200,6 +233,36 @@ def test_byte_bpe(spark, docs, most, monkeypatch):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(plain[r["doc_id"]].encode()).hexdigest())
 
 
+def test_byte_bpe_tells_very_long_words_apart(spark):
+    """Two words of more than 64 KiB that swap bytes 65,536 apart; in one task, and through the joins on words."""
+    import public_tokenizers
+    import tiktoken
+
+    rng = random.Random(5)
+    one = "".join(rng.choice("abcdefgh") for _ in range(70_000))
+    one = "a" + one[1:65_536] + "b" + one[65_537:]
+    two = "b" + one[1:65_536] + "a" + one[65_537:]
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    rows = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string").coalesce(1)
+    for r in byte_bpe.encode(rows, path, digests=True).collect():
+        text = (one, two)[r["doc_id"] - 1]
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, library.encode_ordinary(text))).encode()).hexdigest()
+    assert [r["component_id"] for r in ngram_join.near_duplicates(rows).orderBy("doc_id").collect()] == [1, 2]
+    bench = spark.createDataFrame([(9, two)], "item_id long, text string")
+    assert [r["n_hit"] for r in decontamination.decontaminate(rows, bench).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_ranks_above_16_bits_have_their_own_keys():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 70_000, b"cd": 4_464, b"abcd": 131_000}
+    assert byte_bpe.merges(ranks) == {97 << 32 | 98: 70_000, 99 << 32 | 100: 4_464, 70_000 << 32 | 4_464: 131_000}
+    base, table, bits = byte_bpe.rank_table(ranks)
+    assert bits == 17 and table[base[70_000] + 4_464] == 70_000 << bits | 131_000
+    with pytest.raises(ValueError):
+        byte_bpe.rank_table(ranks | {b"zz": 1 << 22})
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -237,6 +300,34 @@ def test_html():
     assert html_extract.blocks("") == []
 
 
+def test_html_attributes_are_read_one_by_one():
+    def text(page):
+        read = html_extract.blocks(page)
+        return html_extract.text_in(read, html_extract.best_path(html_extract.container_scores(read)))
+
+    for page in ("<div style='overflow:hidden'><p>Main</p></div>", "<article aria-hidden=\"false\">Main</article>", "<section title=\"hidden gems\"><p>Main</section>", "<div data-hidden=1 data-class='ad'>Main</div>", "<p title=it's>Main</p>", "<p title='a>b' id=x>Main</p>", "<p class=\"open>Main</p>", "<p>Ma<span class=ad>buy <span>now</span></span>in</p>", "<p>Main<span class='ad'>never closed</p>"):
+        assert text(page) == "Main", page
+    for page in ("<p hidden>no</p>", "<div aria-hidden='true'>no</div>", "<div HIDDEN=''>no</div>", "<div role=navigation>no</div>", "<div id='side-bar-3'>no</div>"):
+        assert text(page) is None, page
+    deep = "<div>" * 20_000 + "<p>in" + "</div>" * 20_000
+    assert text(deep) == "in" and text("<li>" * 20_000 + "x") == "x"
+    assert len(text("<p>" + "word " * 400_000)) == 5 * 400_000 - 1
+
+
+def test_html_finds_planted_articles(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for k in range(60):
+        parts = [prose(rng, rng.randint(3, 60)) + rng.choice([" & more", " <3", " “q”", ""]) for _ in range(rng.randint(1, 7))]
+        escaped = [p.replace("&", "&amp;").replace("<", rng.choice(["&lt;", "&#60;"])).replace(" ", rng.choice([" ", "\n  "])) for p in parts]
+        body = "".join(f"<p>{'<b>' + e + '</b>' if rng.random() < 0.3 else e}" + rng.choice(["</p>", ""]) for e in escaped)
+        inside = rng.choice(["article", "div class='story-%d'" % k])
+        rows.append((k, f"https://h{k % 3}.example/{k}", f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>{prose(rng, 9)}</a></ul></nav><!-- x --><{inside}>{body}<script>var a='</p>'</script></{inside.split()[0]}><div class='comments'><p>{prose(rng, 90)}</p></div><aside>{prose(rng, 20)}</aside><form><input><p>{prose(rng, 5)}</p></form><footer>&copy; {prose(rng, 30)}</footer></body></html>"))
+        want[k] = "\n\n".join(parts)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
+
+
 def test_html_consensus(spark):
     good = "<body><div class='c{k}'><p>{a}</p><p>{b}</p></div><div class='box'><p>{c}</p></div></body>"
     rows = [(k, "http://h.example/%d" % k, good.format(k=k, a="main " * 20, b="text " * 20, c="side")) for k in range(5)]
@@ -287,7 +378,7 @@ def test_toxicity(labelled):
     assert all(r["held_out"] == held(i, 3, 1) for i, r in got.items())
     assert sum(got[i]["predicted"] == int(i % 5 == 1) for i in tried) / len(tried) > 0.97
     assert got[900]["predicted"] == got[901]["predicted"] == 0
-    lexicon = toxicity.Lexicon({toxicity.fold("trash"): 2.0}, {"low": 1.0})
+    lexicon = toxicity.Lexicon({toxicity.fold("trash"): 2.0}, {"low": 1.0}, ["trash can"])
     automaton = lexicon.automaton()
     assert [w for _, _, w in toxicity.matches(toxicity.fold("TR4SH in the trash can, lowly slow"), automaton)] == [2.0, 1.0]
 
@@ -297,7 +388,7 @@ def test_toxicity_signs_end_words_and_the_lexicon_is_whole(spark):
     found = {t: toxicity.measures(t, automaton)[0] for t in ("you idiot!", "IDI0T!!", "an idi\u200bot$ | x", "idiot!x", "idiots!", "idiot@home")}
     assert found == {"you idiot!": 2.0, "IDI0T!!": 2.0, "an idi\u200bot$ | x": 2.0, "idiot!x": 0.0, "idiots!": 0.0, "idiot@home": 0.0}
     assert {"ldlotl", "ldlot"} <= toxicity.terms_of("idiot!")
-    excused = toxicity.Lexicon({toxicity.fold("trash"): 2.0}).automaton()
+    excused = toxicity.Lexicon({toxicity.fold("trash"): 2.0}, exceptions=["trash can"]).automaton()
     assert toxicity.measures("into the trash can!", excused)[0] == 0.0
     words = [f"{a}{b}{c}q" for a in "cdfghkmnpr" for b in "cdfghkmnprtvwx" for c in "cdfghkmnprtvwxyqab"]
     docs = spark.createDataFrame([(i, " ".join(words) if i < 6 else "calm and plain words") for i in range(200)], "doc_id long, text string")
@@ -305,6 +396,19 @@ def test_toxicity_signs_end_words_and_the_lexicon_is_whole(spark):
     assert len(words) > 2000 and set(toxicity.fit(docs, labels).words) == {toxicity.fold(w) for w in words}
 
 
+def test_toxicity_learns_exceptions_far_into_a_text_and_from_labels_of_two_kinds(spark):
+    long = "b" * 100
+    texts = [f"{'calm ' * 40}you vermin go" for _ in range(12)] + [f"{'calm ' * 40}{long} vermin control" for _ in range(6)] + ["calm plain words"] * 900
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i < 12 else (0 if i % 2 else 7) if i >= 18 else 0) for i in range(len(texts))], "doc_id long, toxic int")
+    lexicon = toxicity.fit(rows, labels)
+    assert {f"{toxicity.fold(long)} {toxicity.fold('vermin')}", toxicity.fold("vermin control")} == set(lexicon.exceptions)
+    automaton = lexicon.automaton()
+    assert toxicity.measures("the vermin", automaton)[0] > 0 and toxicity.measures("vermin control", automaton)[0] == 0
+    none = toxicity.fit(rows, spark.createDataFrame([(1, 7), (2, None)], "doc_id long, toxic int"))
+    assert not none.words and toxicity.score(rows, none).where("score > 0.01").count() == 0
+
+
 
 def test_language(spark):
     rng = random.Random(6)
