@@ -1,60 +1,65 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
-Each shard (a few MB of documents in a task) is turned into word numbers over the alphabet of the
+Each shard (SHARD_BYTES of documents in a task) is turned into word numbers over the alphabet of the
 benchmark's words; other words cannot be part of a match and only end a run of text. The shard's suffix
 order, its Burrows-Wheeler transform and a wavelet tree over it make the index. All benchmark phrases
 are searched backwards at once through wavelet-tree ranks; occurrences are located by walking to sampled
 suffix positions, and overlapping ones merge into removal spans.
 
 A phrase is each window of WINDOW consecutive words of an item; an item of fewer words, but not none, is
-one phrase. The phrases go to the tasks in blocks of at most MAX_PHRASES, with one pass over the
-documents for each block, so what is sent is bounded however large the benchmark is.
-
-Null texts have no words. Documents without words are reported with zeros and not contaminated. Repeated
-items each count; repeated documents are each reported. An empty benchmark contaminates nothing, and an
-empty document table gives no rows. Other columns are ignored.
+one phrase. A benchmark of more than about MAX_PHRASES phrases is dealt to blocks by Spark, and each block
+is sent to the tasks for a pass of its own over the documents, so the driver and a task hold one block
+(or one larger item) at a time however large the benchmark is. What several passes find is brought together
+by a key that each row gets once.
+
+Null texts have no words. Documents without words are reported with zeros and not contaminated. Items that
+repeat an identifier count once, a null identifier counts as ''; documents that repeat an identifier, or
+have none, are each reported. An empty benchmark contaminates nothing, and an empty document table gives
+no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helioframe.llm.shared import in_arrow, written
 from helioframe.llm.text_arrays import ALNUM_WORDS, slices, text_bytes, word_hashes, word_spans
 
 WINDOW = 10
-#: Phrases in one pass.
-MAX_PHRASES = 200_000
+#: Phrases in one pass, at 40 bytes and a few more each.
+MAX_PHRASES = 1_000_000
 #: Bytes of text in one shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: One suffix position in so many is kept.
 SAMPLE = 8
 
 
 class Phrases:
-    """The phrases of a block of items: word alphabet, symbols of each phrase, and the items of each."""
+    """The phrases of a block of items: word alphabet, symbols of each distinct phrase, and the items of each."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         raw, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
         starts, ends, first = word_spans(raw, offsets, ALNUM_WORDS)
-        hashes = word_hashes(raw, starts, ends)
-        self.alphabet, symbol = np.unique(hashes, return_inverse=True)
-        symbol = symbol.astype(np.int64) + 1
-        self.items = [str(i) for i, _ in items]
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for i in range(len(items)):
-            words = symbol[first[i] : first[i + 1]].tolist()
-            for k in range(max(1, len(words) - window + 1) if words else 0):
-                owners.setdefault(tuple(words[k : k + window]), set()).add(i)
-        self.lengths = np.array([len(p) for p in owners], dtype=np.int64)
-        self.symbols = np.zeros((len(owners), window), dtype=np.int64)
-        for r, p in enumerate(owners):
-            self.symbols[r, : len(p)] = p
-        self.owners = [np.array(sorted(x)) for x in owners.values()]
+        self.alphabet, symbol = np.unique(word_hashes(raw, starts, ends), return_inverse=True)
+        self.items = [i for i, _ in items]
+        words = np.diff(first)
+        count = np.where(words > window, words - window + 1, np.minimum(words, 1))
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - first[:-1], count)
+        lengths = np.repeat(np.minimum(words, window), count)
+        cells = np.minimum(at[:, None] + np.arange(window), max(len(symbol) - 1, 0))
+        symbols = np.where(np.arange(window) < lengths[:, None], symbol[cells] + 1 if len(symbol) else 0, 0).astype(np.int32)
+        self.symbols, use = np.unique(symbols, axis=0, return_inverse=True) if len(symbols) else (symbols, np.zeros(0, np.int64))
+        self.lengths = (self.symbols > 0).sum(1)
+        owners = np.unique(np.stack((use.ravel(), np.repeat(np.arange(len(items)), count)), axis=1), axis=0)
+        #: the items of phrase p stand at owner_at[p] to owner_at[p + 1]
+        self.owners, self.owner_at = owners[:, 1].astype(np.int32), np.searchsorted(owners[:, 0], np.arange(len(self.symbols) + 1))
         #: a bit for each low half of an alphabet hash: a quick no for most words
         self.maybe = np.zeros(1 << 18, dtype=bool)
         self.maybe[(self.alphabet & np.uint64(0x3FFFF)).astype(np.int64)] = True
@@ -121,9 +126,9 @@ class FmIndex:
 
     def search(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix range of each phrase, by backward search."""
-        low = np.zeros(len(symbols), dtype=np.int64)
-        high = np.full(len(symbols), len(self.before), dtype=np.int64)
-        for k in range(1, symbols.shape[1] + 1):
+        last = symbols[np.arange(len(symbols)), lengths - 1]
+        low, high = self.starts[last], self.starts[last + 1]
+        for k in range(2, symbols.shape[1] + 1):
             on = np.flatnonzero((lengths >= k) & (low < high))
             c = symbols[on, lengths[on] - k]
             low[on] = self.starts[c] + self.tree.rank(c, low[on])
@@ -183,18 +188,21 @@ def search_shard(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tupl
                 np.add.at(covered, where + phrases.lengths[phrase], -1)
                 doc = np.searchsorted(first, where, side="right") - 1
                 pairs = np.unique(np.stack((doc, phrase), axis=1), axis=0)
-                item = [phrases.owners[p] for p in pairs[:, 1]]
-                found = np.repeat(pairs[:, 0], [len(x) for x in item]), np.concatenate(item)
+                a, b = phrases.owner_at[pairs[:, 1]], phrases.owner_at[pairs[:, 1] + 1]
+                sizes = b - a
+                owner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - a, sizes)
+                found = np.repeat(pairs[:, 0], sizes), phrases.owners[owner]
     hit = np.cumsum(covered[:-1]) > 0
     return starts, ends, first, hit, found
 
 
-SCHEMA = "id {id}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+#: Spans hold their first and last word's numbers, and where they start and end in UTF-8 bytes.
+SPANS = "array<struct<first:int,last:int,start:int,end:int>>"
+SPAN_TYPE = pa.list_(pa.struct([(f, pa.int32()) for f in ("first", "last", "start", "end")]))
 
 
-def contaminated_spans(docs: DataFrame, benchmark: list[tuple[object, str | None]], id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document: n_words, n_hit, the items found (as strings) and the merged spans in UTF-8 bytes."""
-    phrases = Phrases(benchmark, window)
+def searched(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """Per row of docs (id, row, text): id, row, n_words, n_hit, the items found and the merged spans."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,47 +221,48 @@ def contaminated_spans(docs: DataFrame, benchmark: list[tuple[object, str | None
                 opens = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate(([False], hit[:-1]))))
                 closes = np.flatnonzero(hit & (edge[1:] | ~np.concatenate((hit[1:], [False]))))
                 owner = np.searchsorted(first, opens, side="right") - 1
-                spans: list[list[dict]] = [[] for _ in range(n)]
-                for d, a, b in zip(owner.tolist(), starts[opens].tolist(), ends[closes].tolist()):
-                    spans[d].append({"start": a - int(offsets[d]), "end": b - int(offsets[d])})
+                fields = (opens - first[owner], closes - first[owner], starts[opens] - offsets[owner], ends[closes] - offsets[owner])
+                spans = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in fields], ["first", "last", "start", "end"])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id"),
-                        pa.array(np.diff(first), pa.int64()),
-                        pa.array(sums[first[1:]] - sums[first[:-1]], pa.int64()),
+                        batch.column("id"), batch.column("row"), pa.array(np.diff(first), pa.int64()), pa.array(sums[first[1:]] - sums[first[:-1]], pa.int64()),
                         pa.array([sorted({phrases.items[i] for i in x}) for x in items], pa.list_(pa.string())),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), spans),
                     ],
-                    ["id", "n_words", "n_hit", "items", "spans"],
+                    ["id", "row", "n_words", "n_hit", "items", "spans"],
                 )
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(search, SCHEMA.format(id=narrow.schema["id"].dataType.simpleString()))
+    return in_arrow(docs.select("id", "row", "text"), search, f"id {docs.schema['id'].dataType.simpleString()}, row long, n_words long, n_hit long, items array<string>, spans {SPANS}")
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int = MAX_PHRASES) -> tuple[int, Iterator[Phrases]]:
+    """How many blocks of about so many phrases the items make, and the phrases of one block after the other."""
+    need = F.coalesce(F.length(text_col), F.lit(0)) / 2 + 1  # phrases are at least two bytes apart
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
+    count = max(1, math.ceil((benchmark.agg(F.sum(need)).first()[0] or 0) / most))
+    if count > 1:
+        items = written(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count))), "items")
 
+    def each() -> Iterator[Phrases]:
+        for k in range(count):
+            part = items.where(F.col("block") == k).drop("block") if count > 1 else items
+            yield Phrases([tuple(r) for r in part.collect()])
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int = MAX_PHRASES) -> list[list[tuple]]:
-    """The items in blocks of at most so many phrases (a larger item stands alone)."""
-    out: list[list[tuple]] = [[]]
-    room = most
-    for item, text in benchmark.select(item_col, text_col).toLocalIterator():
-        need = len(text or "") // 2 + 1  # phrases are at least two bytes apart
-        if need > room and out[-1]:
-            out.append([])
-            room = most
-        out[-1].append((item, text))
-        room -= need
-    return out
+    return count, each()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_phrases: int = MAX_PHRASES) -> DataFrame:
-    """Per document: id_col, n_words, n_hit, n_items, items_sha256, contaminated, spans (UTF-8 bytes)."""
-    parts = [contaminated_spans(docs, b, id_col, text_col) for b in blocks(benchmark, item_col, item_text_col, max_phrases)]
-    found = parts[0]
-    if len(parts) > 1:  # spans of several passes: words may be hit in more than one, so they are merged here
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-        found = merged_spans(docs, found, id_col, text_col)
+    """Per document: id_col, n_words, n_hit, n_items, items_sha256, contaminated and spans."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    count, parts = blocks(benchmark, item_col, item_text_col, max_phrases)
+    if count == 1:
+        found = searched(narrow, next(parts))
+    else:
+        narrow = written(narrow, "keyed")
+        every = [written(searched(narrow, p), "found") for p in parts]
+        hits = [x.where("n_hit > 0").select("row", "items", "spans") for x in every]
+        found = every[0].select("id", "row", "n_words").join(merged_spans(reduce(DataFrame.unionByName, hits)), "row", "left")
+        found = found.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumns({c: F.coalesce(c, F.array().cast(found.schema[c].dataType)) for c in ("items", "spans")})
     items = F.array_sort(F.array_distinct("items"))
     return found.select(
         F.col("id").alias(id_col), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
@@ -274,36 +283,36 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                     sums = np.concatenate(([0], np.cumsum(hit)))
                     yield batch.filter(pa.array(sums[first[1:]] == sums[first[:-1]]))
 
-        return part.mapInArrow(run, part.schema)
+        return in_arrow(part, run, part.schema)
 
-    for items in blocks(benchmark, item_col, item_text_col, max_phrases):
-        docs = clean(docs, Phrases(items))
+    count, parts = blocks(benchmark, item_col, item_text_col, max_phrases)
+    for k, phrases in enumerate(parts):
+        docs = clean(docs, phrases)
+        if k < count - 1:
+            docs = written(docs, "clean")
     return docs
 
 
-def merged_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Join the spans of several passes where they overlap, and count the hit words anew."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(found, "id")
+def merged_spans(hits: DataFrame) -> DataFrame:
+    """row, n_hit, items and spans of the rows that several passes found: their spans joined where words touch."""
+    rows = hits.groupBy("row").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", SHARD_BYTES):
-                raw, offsets = text_bytes(batch.column("text"))
-                starts, ends, first = word_spans(raw, offsets, ALNUM_WORDS)
-                hits, spans = [], []
-                for d, listed in enumerate(batch.column("spans").to_pylist()):
-                    cover = np.zeros(first[d + 1] - first[d] + 1, dtype=np.int64)
-                    a = np.searchsorted(starts[first[d] : first[d + 1]], [s["start"] + offsets[d] for s in listed])
-                    b = np.searchsorted(ends[first[d] : first[d + 1]], [s["end"] + offsets[d] for s in listed]) + 1
-                    np.add.at(cover, a.astype(int), 1)
-                    np.add.at(cover, b.astype(int), -1)
-                    on = np.concatenate(([0], (np.cumsum(cover) > 0).astype(np.int8)))
-                    opens, closes = np.flatnonzero(np.diff(on) == 1), np.flatnonzero(np.diff(on) == -1) - 1
-                    hits.append(int(on.sum()))
-                    spans.append([{"start": int(starts[first[d] + x] - offsets[d]), "end": int(ends[first[d] + y] - offsets[d])} for x, y in zip(opens, closes)])
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(hits, pa.int64()), batch.column("items"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "n_words", "n_hit", "items", "spans"])
-
-    return rows.select("id", "text", "n_words", "items", "spans").mapInArrow(merge, SCHEMA.format(id=rows.schema["id"].dataType.simpleString()))
+        for batch in batches:
+            n_hit, spans = [], []
+            for listed in batch.column("spans").to_pylist():
+                out: list[dict] = []
+                for x in sorted(listed, key=lambda x: (x["first"], x["last"])):
+                    if out and x["first"] <= out[-1]["last"] + 1:
+                        if x["last"] > out[-1]["last"]:
+                            out[-1] |= {"last": x["last"], "end": x["end"]}
+                    else:
+                        out.append(dict(x))
+                spans.append(out)
+                n_hit.append(sum(x["last"] - x["first"] + 1 for x in out))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(spans, SPAN_TYPE)], ["row", "n_hit", "items", "spans"])
+
+    return in_arrow(rows, merge, f"row long, n_hit long, items array<string>, spans {SPANS}")
 
 
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
