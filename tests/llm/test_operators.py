@@ -138,7 +138,19 @@ def brute_hits(text, items):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("most", [200_000, 10])
+@pytest.mark.parametrize("most", [1_000_000, 10])
+def test_decontamination_of_repeated_and_null_rows(spark, most):
+    """Documents with one identifier, or none, and different texts; items without identifier; with one pass and several."""
+    rng = random.Random(1)
+    items = [(k, prose(rng, 14)) for k in range(6)] + [(None, prose(rng, 12)), (2, prose(rng, 11))]
+    rows = [(5, f"a {items[0][1]} b {items[1][1]} {items[6][1]}"), (5, f"{items[2][1]} c"), (5, "clean words"), (None, items[7][1]), (None, None), (8, items[3][1] + " " + items[3][1])]
+    got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), max_phrases=most).collect()
+    want = sorted(((i, *brute_hits(t or "", [("" if k is None else k, x) for k, x in items])[:2], hashlib.sha256(",".join(brute_hits(t or "", [("" if k is None else k, x) for k, x in items])[2]).encode()).hexdigest()) for i, t in rows), key=str)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items_sha256"]) for r in got), key=str) == want
+    assert {len(r["spans"]) for r in got if r["doc_id"] == 8} == {1} and sum(r["contaminated"] for r in got) == 4
+
+
+@pytest.mark.parametrize("most", [1_000_000, 10])
 def test_decontamination(docs, spark, most):
     rng = random.Random(9)
     t = texts(docs)
