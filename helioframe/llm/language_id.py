@@ -1,17 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is read as byte sequences: each word with the space before it, cut every SEQUENCE bytes. The
-network runs over a sequence in both directions, labels every byte position with language
-probabilities, and a document's probabilities are the mean over all its positions. The state starts
-anew with every sequence, so a sequence that occurs often in a batch is run once and counted as often
-as it occurs; the result is that of running each occurrence.
-
-Training is backpropagation through time in numpy, on the driver, over at most labelled.MAX_ROWS rows
-and MAX_TRAIN_BYTES of each text's words (drawn over the whole text). The scoring reads whole texts.
-
-A null text, or one without a letter, is `und` with score 0. Rows with a null language or text are not
-learnt from; without any usable row every text is `und`. Repeated rows are each reported, ties between
-languages go to the first in alphabetical order, extra columns are ignored, an empty table gives no rows.
+A text is read as one stream of bytes, words and spaces alike. The network runs over it in both
+directions, labels every byte with language probabilities, and a document's probabilities are the mean over
+all its bytes. A stream is worked on in chunks of CHUNK bytes side by side: the state of either direction is
+carried into a chunk from RUN_IN bytes beyond its edge (or from the edge of the text, if that is nearer), so
+a byte's label depends on at least RUN_IN bytes on either side of it, and on no other text.
+
+Training is backpropagation through time in numpy, on the driver, over all bytes of at most MAX_ROWS
+documents, as many of each language as there are of the rarest up to an equal share; the loss weighs languages
+alike. Scoring reads whole texts.
+
+A null text, or one without a letter, is `und` with score 0. Rows with a null language or text, or an empty
+text, are not learnt from, and rows that repeat identifier, text and language are learnt from once; without
+any usable row every text is `und`. Repeated rows are each reported, ties between languages go to the
+first in alphabetical order, extra columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,44 +22,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helioframe.llm.labelled import remainder, sample
-from helioframe.llm.text_arrays import SPACE_SPLIT, slices, text_bytes, word_hashes, word_spans
-
-SEQUENCE = 16
-HIDDEN = 16
-MAX_ROWS = 4_000
-MAX_TRAIN_BYTES = 1_000
-STEPS = 500
-BATCH = 384
-SLICE_BYTES = 8 << 20
+from helioframe.llm.labelled import remainder
+from helioframe.llm.shared import in_arrow
+from helioframe.llm.text_arrays import slices, text_bytes
+
+CHUNK = 256
+RUN_IN = 32
+#: Chunks worked on side by side.
+ROWS = 2048
+HIDDEN = 8
+MAX_ROWS = 1_200
+#: Bytes of a training sequence, sequences in a step, and the fewest steps.
+SEQUENCE = 48
+BATCH = 256
+STEPS = 300
+SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
+#: The symbol beside a text's edge: it leaves the state as it is.
+EDGE = 256
 _ASCII_LETTERS = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 
 
-def sequences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct byte sequences (rows of SEQUENCE + 1 numbers, 256 = padding), lengths, per-document use.
-
-    The third result holds for each occurrence its document and its distinct sequence.
-    """
-    starts, ends, first = word_spans(raw, offsets, SPACE_SPLIT)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    pieces = (ends - starts + SEQUENCE - 1) // SEQUENCE
-    if len(pieces) and pieces.max() > 1:
-        heads = np.cumsum(pieces) - pieces
-        k = np.arange(int(pieces.sum())) - np.repeat(heads, pieces)
-        starts, ends, doc = np.repeat(starts, pieces) + k * SEQUENCE, np.repeat(ends, pieces), np.repeat(doc, pieces)
-        ends = np.minimum(ends, starts + SEQUENCE)
-    keys = word_hashes(raw, starts, ends, lower=False)
-    _, one, use = np.unique(keys, return_index=True, return_inverse=True)
-    lengths = (ends - starts)[one]
-    cells = np.arange(SEQUENCE)
-    padded = np.concatenate((raw, np.zeros(SEQUENCE, np.uint8)))
-    rows = np.where(cells < lengths[:, None], padded[starts[one][:, None] + cells], 256).astype(np.int16)
-    rows = np.concatenate((np.full((len(rows), 1), 32, np.int16), rows), axis=1)
-    return rows, lengths + 1, np.stack((doc, use), axis=0) if len(use) else np.zeros((2, 0), np.int64)
+def chunks(raw: np.ndarray, offsets: np.ndarray, size: int = CHUNK, run_in: int = RUN_IN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's chunks: document, first byte and length."""
+    count = -(-np.diff(offsets) // size)
+    doc = np.repeat(np.arange(len(count)), count)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * size + offsets[doc]
+    return doc, start, np.minimum(size, offsets[doc + 1] - start)
+
+
+def symbols(raw: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, before: int, after: int) -> np.ndarray:
+    """The bytes from before each start to after it, a column each; EDGE outside of the text."""
+    at = start + np.arange(-before, after)[:, None]
+    inside = (at >= offsets[doc]) & (at < offsets[doc + 1])
+    return np.where(inside, raw[np.clip(at, 0, len(raw) - 1)].astype(np.int64), EDGE)
 
 
 class Network:
@@ -68,98 +69,126 @@ class Network:
         self.langs, h = langs, hidden
         self.w: dict[str, np.ndarray] = {"out": rng.normal(0, 0.3, (2 * h, max(1, len(langs)))), "bias": np.zeros(max(1, len(langs)))}
         for d in "fb":
-            self.w["x" + d] = rng.normal(0, 0.4, (257, 3 * h))
+            self.w["x" + d] = rng.normal(0, 0.4, (EDGE + 1, 3 * h))
             self.w["u" + d] = rng.normal(0, 1 / np.sqrt(h), (h, 3 * h))
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
         self.h = h
 
-    def _direction(self, rows: np.ndarray, on: np.ndarray, d: str, keep: bool):
-        """States of one direction at each position; with keep, also what the way back needs."""
-        x, u, h = self.w["x" + d], self.w["u" + d], self.h
-        n, steps = rows.shape
-        state = np.zeros((n, h), np.float32)
-        states, kept = np.empty((steps, n, h), np.float32), []
+    def _states(self, cells: np.ndarray, d: str) -> np.ndarray:
+        """States of one direction after each position (a row of cells), from a state of zeros."""
+        h = self.h
+        x, u = self.w["x" + d].copy(), self.w["u" + d].copy()
+        x[EDGE] = 0
+        x[EDGE, :h] = -60  # the gate of the new state is shut
+        for m in (x, u):
+            m[:, : 2 * h] *= 0.5  # sigmoid(v) = tanh(v / 2) / 2 + 1 / 2
+        steps, n = cells.shape
+        out = np.empty((steps, n, h), x.dtype)
+        gates, rec, zr, c = np.empty((n, 3 * h), x.dtype), np.empty((n, 3 * h), x.dtype), np.empty((n, 2 * h), x.dtype), np.empty((n, h), x.dtype)
+        state = np.zeros((n, h), x.dtype)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            gates, rec = x[rows[:, t]], state @ u
-            zr = sigmoid32(gates[:, : 2 * h] + rec[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(gates[:, 2 * h :] + r * rec[:, 2 * h :])
-            m = on[:, t : t + 1]
-            new = state + m * z * (c - state)
-            if keep:
-                kept.append((t, state, z, r, c, rec[:, 2 * h :]))
-            state = new
-            states[t] = state
-        return states, kept
-
-    def probabilities(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The sum over a sequence's positions of the language probabilities at each."""
-        total = np.zeros((len(rows), len(self.langs)), np.float32)
-        by_length = np.argsort(lengths, kind="stable")  # little padding within a block
-        for a in range(0, len(rows), 4096):
-            block = by_length[a : a + 4096]
-            part, size = rows[block], lengths[block]
-            steps = int(size.max())
-            part = part[:, :steps]
-            on = (np.arange(steps) < size[:, None]).astype(np.float32)
-            f, _ = self._direction(part, on, "f", False)
-            b, _ = self._direction(part, on, "b", False)
-            logits = f @ self.w["out"][: self.h] + b @ self.w["out"][self.h :] + self.w["bias"]
-            e = np.exp(logits - logits.max(-1, keepdims=True))
-            total[block] = ((e / e.sum(-1, keepdims=True)) * on.T[:, :, None]).sum(0)
-        return total
-
-    def gradients(self, rows: np.ndarray, on: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """Backpropagation through time of the mean cross entropy over all positions."""
+            np.take(x, cells[t], axis=0, out=gates, mode="clip")
+            np.matmul(state, u, out=rec)
+            np.add(gates[:, : 2 * h], rec[:, : 2 * h], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(zr[:, h:], rec[:, 2 * h :], out=c)
+            c += gates[:, 2 * h :]
+            np.tanh(c, out=c)
+            c -= state
+            c *= zr[:, :h]
+            np.add(state, c, out=out[t])
+            state = out[t]
+        return out
+
+    def _softmax(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+        logits = f @ self.w["out"][: self.h]
+        logits += b @ self.w["out"][self.h :]
+        logits += self.w["bias"]
+        logits -= logits.max(-1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(-1, keepdims=True)
+        return logits
+
+    def pooled(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Each text's mean over its bytes of the language probabilities at each."""
+        doc, start, length = chunks(raw, offsets)
+        sums = np.zeros((len(offsets) - 1, len(self.langs)))
+        by_length = np.argsort(length, kind="stable")  # little padding side by side
+        for a in range(0, len(doc), ROWS):
+            part = by_length[a : a + ROWS]
+            longest = int(length[part].max())
+            cells = symbols(raw, offsets, doc[part], start[part], RUN_IN, longest + RUN_IN)
+            f = self._states(cells[: RUN_IN + longest], "f")[RUN_IN:]
+            b = self._states(cells[RUN_IN:], "b")[:longest]
+            each = self._softmax(f, b)
+            each *= (np.arange(longest)[:, None] < length[part])[:, :, None]
+            np.add.at(sums, doc[part], each.sum(0))
+        return sums / np.maximum(np.diff(offsets), 1)[:, None]
+
+    def gradients(self, cells: np.ndarray, on: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Backpropagation through time of the weighted mean cross entropy over the positions that are on."""
         h, w = self.h, self.w
-        f, kf = self._direction(rows, on, "f", True)
-        b, kb = self._direction(rows, on, "b", True)
-        both = np.concatenate((f, b), axis=2)
-        logits = both @ w["out"] + w["bias"]
-        e = np.exp(logits - logits.max(-1, keepdims=True))
-        delta = e / e.sum(-1, keepdims=True)
-        delta[:, np.arange(len(label)), label] -= 1
-        delta *= on.T[:, :, None] / on.sum()
-        g = {"out": np.einsum("tnh,tnl->hl", both, delta), "bias": delta.sum((0, 1))}
+        states, kept = {}, {}
+        steps, n = cells.shape
+        for d in "fb":
+            x, u = w["x" + d], w["u" + d]
+            state, states[d], kept[d] = np.zeros((n, h), x.dtype), np.empty((steps, n, h), x.dtype), []
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                gates, rec = x[cells[t]], state @ u
+                zr = 0.5 * np.tanh(0.5 * (gates[:, : 2 * h] + rec[:, : 2 * h])) + 0.5
+                z, r = zr[:, :h] * on[t][:, None], zr[:, h:]
+                c = np.tanh(gates[:, 2 * h :] + r * rec[:, 2 * h :])
+                kept[d].append((t, state, z, r, c, rec[:, 2 * h :]))
+                state = state + z * (c - state)
+                states[d][t] = state
+        delta = self._softmax(states["f"], states["b"])
+        delta[:, np.arange(n), label] -= 1
+        delta *= (on * weight)[:, :, None] / (on * weight).sum()
+        both = np.concatenate((states["f"], states["b"]), axis=2)
+        g = {"out": np.tensordot(both, delta, ((0, 1), (0, 1))), "bias": delta.sum((0, 1))}
         back = delta @ w["out"].T
-        for d, kept, part in (("f", kf, back[:, :, :h]), ("b", kb, back[:, :, h:])):
-            u = w["u" + d]
-            gx, gu, ds = np.zeros_like(w["x" + d]), np.zeros_like(u), np.zeros((len(label), h), np.float32)
-            for t, state, z, r, c, rc in reversed(kept):
+        for d, part in (("f", back[:, :, :h]), ("b", back[:, :, h:])):
+            u, gu, ds = w["u" + d], np.zeros_like(w["u" + d]), np.zeros((n, h), back.dtype)
+            all_gates = np.empty((steps, n, 3 * h), back.dtype)
+            for t, state, z, r, c, rc in reversed(kept[d]):
                 ds = ds + part[t]
-                m = on[:, t : t + 1]
-                dz, dc = ds * m * (c - state) * z * (1 - z), ds * m * z * (1 - c * c)
+                dz, dc = ds * (c - state) * z * (1 - z), ds * z * (1 - c * c)
                 dr = dc * rc * r * (1 - r)
-                gates = np.concatenate((dz, dr, dc), axis=1)
-                np.add.at(gx, rows[:, t], gates)
+                all_gates[t] = np.concatenate((dz, dr, dc), axis=1)
                 rec = np.concatenate((dz, dr, dc * r), axis=1)
                 gu += state.T @ rec
-                ds = ds * (1 - m * z) + rec @ u.T
-            g["x" + d], g["u" + d] = gx, gu
+                ds = ds * (1 - z) + rec @ u.T
+            at, flat = cells.ravel(), all_gates.reshape(-1, 3 * h)
+            g["x" + d], g["u" + d] = np.stack([np.bincount(at, v, EDGE + 1) for v in flat.T], axis=1), gu
         return g
 
-    def fit(self, rows: np.ndarray, lengths: np.ndarray, label: np.ndarray, steps: int = STEPS, seed: int = 3) -> Network:
+    def fit(self, raw: np.ndarray, offsets: np.ndarray, label: np.ndarray, seed: int = 3) -> Network:
+        """Train on all sequences of the texts, in a random order, again and again until STEPS steps are done."""
         rng = np.random.default_rng(seed)
+        doc, start, length = chunks(raw, offsets, SEQUENCE)
+        count = np.bincount(label[doc], length, len(self.langs))
+        weight = (count.sum() / np.maximum(count, 1) / max(1, (count > 0).sum()))[label[doc]].astype(np.float32)
+        rounds = max(1, -(-STEPS * BATCH // len(doc)))
+        steps = rounds * -(-len(doc) // BATCH)
         one = {k: np.zeros_like(v) for k, v in self.w.items()}
         two = {k: np.zeros_like(v) for k, v in self.w.items()}
-        for step in range(1, steps + 1):
-            pick = rng.integers(0, len(rows), BATCH)
-            size = lengths[pick]
-            part = rows[pick][:, : int(size.max())]
-            on = (np.arange(part.shape[1]) < size[:, None]).astype(np.float32)
-            rate = 0.02 * (1 - step / (steps + 1))
-            for k, g in self.gradients(part, on, label[pick]).items():
-                one[k] = 0.9 * one[k] + 0.1 * g
-                two[k] = 0.99 * two[k] + 0.01 * g * g
-                self.w[k] -= rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-6)
-                self.w[k] = self.w[k].astype(np.float32)
+        step = 0
+        for _ in range(rounds):
+            order = rng.permutation(len(doc))
+            for a in range(0, len(doc), BATCH):
+                pick, step = order[a : a + BATCH], step + 1
+                cells = symbols(raw, offsets, doc[pick], start[pick], 0, int(length[pick].max()))
+                on = (np.arange(len(cells))[:, None] < length[pick]).astype(np.float32)
+                rate = 0.03 * (1 - step / (steps + 1))
+                for k, g in self.gradients(cells, on, label[doc[pick]], weight[pick]).items():
+                    one[k] = 0.9 * one[k] + 0.1 * g
+                    two[k] = 0.99 * two[k] + 0.01 * g * g
+                    self.w[k] = (self.w[k] - rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return self
 
 
-def sigmoid32(x: np.ndarray) -> np.ndarray:
-    return (0.5 * np.tanh(0.5 * x) + 0.5).astype(np.float32)
-
-
 def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text has a letter; only texts without an ASCII one are decoded."""
     ascii_sums = np.concatenate(([0], np.cumsum(_ASCII_LETTERS[raw])))
@@ -170,36 +199,19 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Network:
-    """Train on at most max_rows documents with a language and a text."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(id_col, lang_col)
-    chosen = sample(known, id_col, max_rows)
-    got = docs.where(F.col(lang_col).isNotNull()).select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, text_col, lang_col)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Some words of each text, evenly over its length."""
-        for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                parts = (text or "").split()
-                step = max(1, len(text or "") // MAX_TRAIN_BYTES)
-                out.append(" ".join(parts[::step]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string()), batch.column("lang")], ["id", "text", "lang"])
-
-    narrow = got.toDF("id", "text", "lang")
-    rows = narrow.mapInArrow(words, narrow.schema).toPandas().sort_values("id", kind="stable")
-    langs = sorted(set(rows["lang"]))
-    net = Network(langs)
+    """Train on at most max_rows documents with a language and a text, the same number of each language at most."""
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(lang_col))
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(key.alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    langs = known.select("lang").distinct().count()
     if not langs:
-        return net
-    raw, offsets = text_bytes(pa.array(rows["text"].tolist(), pa.string()))
-    seqs, lengths, (doc, use) = sequences(raw, offsets)
-    if not len(use):
         return Network([])
-    label = np.array([langs.index(x) for x in rows["lang"]])[doc]
-    # as many sequences of each language in training, so that a rare one is not drowned
-    rng = np.random.default_rng(11)
-    even = np.concatenate([rng.choice(np.flatnonzero(label == k), 60_000) for k in range(len(langs)) if (label == k).any()])
-    return net.fit(seqs[use[even]], lengths[use[even]], label[even])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = known.select("key", "lang").distinct().withColumn("place", place).where(F.col("place") <= max(1, max_rows // langs)).select("key")
+    rows = known.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).toPandas().sort_values("key", kind="stable")
+    net = Network(sorted(set(rows["lang"])))
+    raw, offsets = text_bytes(pa.array(rows["text"].tolist(), pa.string()))
+    place_of = {x: k for k, x in enumerate(net.langs)}
+    return net.fit(raw, offsets, np.array([place_of[x] for x in rows["lang"]]))
 
 
 def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,17 +227,14 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
                 pred, score = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
                 lettered = has_letter(raw, offsets)
                 if net.langs and lettered.any():
-                    seqs, lengths, (doc, use) = sequences(raw, offsets)
-                    each = net.probabilities(seqs, lengths)
-                    sums = np.stack([np.bincount(doc, each[use, k], n) for k in range(len(net.langs))], axis=1)
-                    sums /= np.maximum(np.bincount(doc, lengths[use], n), 1)[:, None]
-                    best = sums.argmax(1)
+                    means = net.pooled(raw, offsets)
+                    best = means.argmax(1)
                     pred[lettered] = np.array(net.langs, dtype=object)[best[lettered]]
-                    score[lettered] = np.clip(sums[np.arange(n), best], 0, 1)[lettered]
+                    score[lettered] = np.clip(means[np.arange(n), best], 0, 1)[lettered]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, lang_pred string, score double").select(F.col("id").alias(id_col), "lang_pred", "score")
+    return in_arrow(narrow, run, f"id {narrow.schema['id'].dataType.simpleString()}, lang_pred string, score double").select(F.col("id").alias(id_col), "lang_pred", "score")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
