@@ -422,7 +422,8 @@ def test_toxicity_learns_exceptions_far_into_a_text_and_from_labels_of_two_kinds
 
 
 
-def test_language(spark):
+def test_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 150)
     rng = random.Random(6)
     syllables = {"aa": ["the", "ing", "th", "ou", "er"], "bb": ["ção", "lha", "ão", "nha", "os"], "cc": ["sch", "ung", "ü", "ein", "tz"]}
     rows = []
@@ -438,29 +439,73 @@ def test_language(spark):
     assert sum(got[i]["lang_pred"] == list(syllables)[i % 3] for i in tried) / len(tried) > 0.95
 
 
+def gru(net, d, symbols):
+    """States of one direction, a step at a time."""
+    import numpy as np
+
+    h, state, out = net.h, np.zeros(net.h), []
+    for c in symbols:
+        gates, rec = net.w["x" + d][c], state @ net.w["u" + d]
+        z, r = (1 / (1 + np.exp(-(gates[k : k + h] + rec[k : k + h]))) for k in (0, h))
+        state = state + z * (np.tanh(gates[2 * h :] + r * rec[2 * h :]) - state)
+        out.append(state)
+    return out
+
+
+def test_every_byte_is_labelled_from_both_sides():
+    """Whole streams, cut into chunks with a run-in: each byte's label is that of a plain recurrence over its surroundings."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    net = language_id.Network(["a", "b", "c"])
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    texts = [rng.integers(0, 256, n).astype(np.uint8) for n in (0, 1, 255, 256, 257, 700)]
+    raw, offsets = np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = net.pooled(raw, offsets)
+    for k, t in enumerate(texts):
+        sums = np.zeros(3)
+        for a in range(0, len(t), language_id.CHUNK):
+            b = min(a + language_id.CHUNK, len(t))
+            begin, end = max(0, a - language_id.RUN_IN), min(len(t), b + language_id.RUN_IN)
+            f, back = gru(net, "f", t[begin:b])[a - begin :], gru(net, "b", t[a:end][::-1])[::-1][: b - a]
+            z = np.stack([np.concatenate(x) for x in zip(f, back)]) @ net.w["out"] + net.w["bias"]
+            e = np.exp(z - z.max(1, keepdims=True))
+            sums += (e / e.sum(1, keepdims=True)).sum(0)
+        assert np.allclose(got[k], sums / max(1, len(t)))
+
+
 def test_network_gradients():
     import numpy as np
 
     net = language_id.Network(["a", "b"], hidden=3)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    rows, on, label = np.array([[32, 97, 98, 256], [32, 99, 100, 101]]), np.array([[1.0, 1, 1, 0], [1, 1, 1, 1]]), np.array([0, 1])
+    cells, on, label, weight = np.array([[32, 32], [97, 99], [98, 100], [256, 101]]), np.array([[1.0, 1], [1, 1], [1, 1], [0, 1]]), np.array([0, 1]), np.array([2.0, 0.5])
 
     def loss():
-        f, b = (net._direction(rows, on, d, False)[0].astype(np.float64) for d in "fb")
-        z = np.concatenate((f, b), axis=2) @ net.w["out"] + net.w["bias"]
-        p = z - np.log(np.exp(z).sum(-1, keepdims=True))
-        return -(p[:, np.arange(2), label] * on.T).sum() / on.sum()
-
-    grads = net.gradients(rows, on, label)
-    for k in ("out", "uf", "ub", "xf"):
-        at = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
-        keep, e = net.w[k][at], 1e-2
+        f, b = (net._states(cells, d) for d in "fb")
+        p = net._softmax(f, b)
+        return -(np.log(p[:, np.arange(2), label]) * on * weight).sum() / (on * weight).sum()
+
+    grads = net.gradients(cells, on, label, weight)
+    for k in ("out", "uf", "ub", "xf", "xb"):
+        at = np.unravel_index(np.abs(grads[k][: language_id.EDGE] if k[0] == "x" else grads[k]).argmax(), grads[k].shape)
+        keep, e = net.w[k][at], 1e-5
         net.w[k][at] = keep + e
         up = loss()
         net.w[k][at] = keep - e
         down = loss()
         net.w[k][at] = keep
-        assert abs((up - down) / (2 * e) - grads[k][at]) < 2e-3
+        assert abs((up - down) / (2 * e) - grads[k][at]) < 1e-6
+
+
+def test_languages_are_sampled_alike(spark, monkeypatch):
+    """A language of 8 among 1,200 labelled rows is learnt; rows that repeat count once."""
+    monkeypatch.setattr(language_id, "STEPS", 60)
+    rows = [(i, "the thing of other", "aa") for i in range(900)] + [(i, f"ão ção {i % 8} lhão", "bb") for i in range(900, 908)] + [(5000, "ção não lhão", None), (5001, "the other of", None)] + [(6000, "zz", "aa")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.fit(docs, max_rows=40)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, net).where("doc_id >= 5000").collect()}
+    assert (got[5000], got[5001]) == ("bb", "aa")
 
 
 def test_empty_tables(spark):
