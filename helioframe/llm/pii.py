@@ -1,22 +1,27 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base expressions find e-mail addresses, IP addresses, card and phone numbers; these are the seeds. The
-words next to a seed make lexical patterns (two before it, or the one after it). All other tokens with a
-digit, an @ or an [at] that have the shape of a kind are unseen instances. Spark scores the bipartite graph of
-patterns and instances in ROUNDS: a pattern is as sure as the mean of its distinct instances, an instance
-as sure as its patterns taken together. Instances of patterns with at least MIN_SEEDS seeds that come to
-MIN_SCORE are added as spans of that kind; base spans stay. Patterns come from seeds alone: what the rounds
-accept makes no new ones. Unseen instances are single tokens between white space, of at most MOST_TOKEN
-characters; longer ones are left out (base spans may be of any length).
-
-The expressions are written so that long runs of one class take linear time; they find the same matches
+words next to an instance make lexical patterns (two before it, or the one after it, within CONTEXT
+characters). Unseen instances are tokens between white space with a digit, an @ or an [at], and runs of
+digit groups with spaces, that have the shape of a kind and touch no base span. Spark scores the bipartite
+graph of patterns and instances: a pattern with at least MIN_SEEDS accepted instances is as sure as the mean
+score of all distinct instances and tokens next to it, an instance as sure as its patterns taken together;
+one that comes to MIN_SCORE is accepted, and so makes new patterns in the next round. Rounds go on until
+nothing new is accepted, ROUNDS times at most. Accepted instances are added as spans of their kind; base
+spans stay.
+
+All steps take time in proportion to the text's matches: places come from running sums in blocks, spans that
+touch are found in one pass over them in order, and contexts are cut from pieces of the text. The
+expressions are written so that long runs of one class take linear time; they find the same matches
 as the plain ones in the comments. Spans are in code points, the end exclusive. Null texts count as
-empty; texts without findings have zeros and empty strings. Repeated rows are each reported (their
-identifiers must be unique); extra columns are ignored; an empty table gives no rows.
+empty; texts without findings have zeros and empty strings. Rows are reported one by one, those that repeat
+an identifier too; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,28 +40,76 @@ BASE = {
 }
 #: What a text must have for a kind's expression to be tried at all.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
-#: Tokens that may be unseen instances, and the shapes of kinds.
+#: Tokens that may be unseen instances, runs of digit groups with spaces, and the shapes of kinds.
 TOKEN = r"(?<!\S)\S*(?:[0-9@]|\[at\]|\(at\))\S*+"
 HAS_TOKEN = r"[0-9@]|\[at\]|\(at\)"
-SHAPES = {"email": r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$|^[^@\s]+(?:\[at\]|\(at\))[^@\s]+$", "ip": r"^[0-9]{1,3}(?:[.:\-][0-9]{1,3}){3}$", "card": r"^(?:[0-9][ .\-]?){13,19}$", "phone": r"^\(?[0-9](?:[0-9().\-/]){6,18}$"}
-ROUNDS = 3
+SPACED = r"(?<![0-9(+])\(?[0-9]{1,6}\)?(?:[ .\-/]{1,2}[0-9]{2,6}){1,6}(?![0-9])"
+SHAPES = {"email": r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$|^[^@\s]+(?:\[at\]|\(at\))[^@\s]+$", "ip": r"^[0-9]{1,3}(?:[.:\-][0-9]{1,3}){3}$", "card": r"^(?:[0-9][ .\-]?){13,19}$", "phone": r"^\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,14}$"}
+ROUNDS = 6
 MIN_SEEDS = 5
 MIN_SCORE = 0.8
-MOST_TOKEN = 200
+#: Characters on either side in which a pattern's words are looked for.
+CONTEXT = 256
+#: Items of a block of running sums, and characters of a piece of text.
+BLOCK = 128
+PIECE = 512
+SPAN = "struct<k:int,start:int,end:int,value:string>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(items: Column, zero: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column]) -> Column:
+    """For each item, the values of all items before it combined.
+
+    First per block of BLOCK items, then within each, as appending to an array copies it.
+    """
+    kind = "array<int>"
+
+    def scan(part: Column, begin: Column, of: Callable[[Column], Column]) -> Column:
+        step = lambda s, x: F.struct(combine(s["at"], of(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(part, F.struct(begin.alias("at"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
+
+    def within(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda s, x: combine(s, value(x))))
+        heads = scan(sums, zero, lambda x: x)
+        return F.flatten(F.zip_with(blocks, heads, lambda b, h: scan(b, h, value)))
+
+    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.size(items) > 0, let(cut, within)).otherwise(F.array().cast(kind))
 
 
 def placed(text: Column, pattern: str) -> Column:
     """The matches of a pattern: array of (value, start, end)."""
-    hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(between, F.lit(1), F.size(hits)).alias("gap"))
-    empty = F.array().cast("array<struct<value:string,start:int,end:int>>")
 
-    def add(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(x["hit"].alias("value"), start.alias("start"), end.alias("end")))).alias("out"))
+    def rows(pairs: Column) -> Column:
+        before = running(pairs, F.lit(0), lambda x: F.length(x["gap"]) + F.length(x["hit"]), lambda a, b: a + b)
+        place = lambda x, at: F.struct(x["hit"].alias("value"), (at + F.length(x["gap"])).alias("start"), (at + F.length(x["gap"]) + F.length(x["hit"])).alias("end"))
+        return F.zip_with(pairs, before, place)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: let(F.arrays_zip(hits.alias("hit"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap")), rows))
+
+
+def spans_of(matches: Column, k: int) -> Column:
+    return F.transform(matches, lambda m: F.struct(F.lit(k).alias("k"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda s: s["out"])
+
+def apart(spans: Column, cover: Column) -> Column:
+    """The spans (k, start, end, value) that touch none of cover, in order."""
+    tag = lambda x, on: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(on).alias("on"), x["k"].alias("k"), x["value"].alias("value"))
+    far = 2**31 - 1
+
+    def free(every: Column) -> Column:
+        ends = running(every, F.lit(0), lambda x: F.when(x["on"] == 1, x["end"]).otherwise(F.lit(0)), F.greatest)
+        starts = F.reverse(running(F.reverse(every), F.lit(far), lambda x: F.when(x["on"] == 1, x["start"]).otherwise(F.lit(far)), F.least))
+        alone = F.filter(F.arrays_zip(every.alias("x"), ends.alias("a"), starts.alias("b")), lambda z: (z["x"]["on"] == 0) & (z["a"] <= z["x"]["start"]) & (z["b"] >= z["x"]["end"]))
+        return F.transform(alone, lambda z: F.struct(z["x"]["k"].alias("k"), z["x"]["start"].alias("start"), z["x"]["end"].alias("end"), z["x"]["value"].alias("value")))
+
+    both = F.array_sort(F.concat(F.transform(spans, lambda x: tag(x, 0)), F.transform(cover, lambda x: tag(x, 1))))
+    return F.when((F.size(spans) > 0) & (F.size(cover) > 0), let(both, free)).otherwise(spans)
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -74,19 +127,39 @@ def valid(kind: str, value: Column) -> Column:
 def base_spans(text: Column, kind: str) -> Column:
     """The valid base matches of a kind, as (k, start, end, value); k is the kind's place in KINDS."""
     found = F.filter(placed(text, BASE[kind]), lambda m: valid(kind, m["value"]))
-    rows = F.transform(found, lambda m: F.struct(F.lit(KINDS.index(kind)).alias("k"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-    return F.when(text.rlike(NEEDS[kind]), rows).otherwise(F.array().cast("array<struct<k:int,start:int,end:int,value:string>>"))
+    return F.when(text.rlike(NEEDS[kind]), spans_of(found, KINDS.index(kind))).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters; a long one goes by larger pieces first, as cutting one out reads all before it."""
+    size = F.length(text)
+    large = (F.ceil(F.sqrt(size.cast("double") / PIECE)) * PIECE).cast("int")
+
+    def cut(t: Column, width: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / width).cast("int")), lambda k: F.substring(t, k * width + 1, width))
 
+    several = F.flatten(F.transform(cut(text, large), lambda t: cut(t, F.lit(PIECE))))
+    return F.when(size > PIECE, several).otherwise(F.array(text))
 
-def before(text: Column, start: Column) -> Column:
+
+def between(parts: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, out of its pieces."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((F.greatest(end, F.lit(1)) - 1) / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(parts, first), F.lit("")), F.coalesce(F.get(parts, first + 1), F.lit("")))
+    joined = F.when(last <= first + 1, two).otherwise(F.array_join(F.slice(parts, first + 1, F.greatest(last - first + 1, F.lit(0))), ""))
+    return F.when(end > start, F.substring(joined, start - first * PIECE + 1, end - start)).otherwise(F.lit(""))
+
+
+def before(parts: Column, start: Column) -> Column:
     """The two words before a place, lower case, digits as 0."""
-    near = F.lower(F.substring(text, F.greatest(start - 59, F.lit(1)), F.least(start, F.lit(60))))
+    near = F.lower(between(parts, F.greatest(start - CONTEXT, F.lit(0)), start))
     return F.regexp_replace(F.regexp_extract(near, r"(\S+\s+\S+)\s*$", 1), "[0-9]", "0")
 
 
-def after(text: Column, end: Column) -> Column:
+def after(parts: Column, end: Column, size: Column) -> Column:
     """The word after a place, lower case, digits as 0."""
-    return F.regexp_replace(F.regexp_extract(F.lower(F.substring(text, end + 1, F.lit(40))), r"^\s*(\S+)", 1), "[0-9]", "0")
+    near = F.lower(between(parts, end, F.least(end + CONTEXT, size)))
+    return F.regexp_replace(F.regexp_extract(near, r"^\s*(\S+)", 1), "[0-9]", "0")
 
 
 def listed(spans: Column) -> Column:
@@ -96,45 +169,56 @@ def listed(spans: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Per document (id, text): its base spans, and what the graph needs of seeds and unseen tokens."""
-    base = docs.withColumn("base", F.concat(*(base_spans(F.col("text"), k) for k in KINDS)))
-    tokens = F.when(F.col("text").rlike(HAS_TOKEN), placed(F.col("text"), TOKEN)).otherwise(F.array().cast("array<struct<value:string,start:int,end:int>>"))
-    free = F.filter(tokens, lambda t: (t["end"] - t["start"] <= MOST_TOKEN) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    trimmed = F.transform(free, lambda t: F.struct(F.lit(-1).alias("k"), t["start"].alias("start"), (t["start"] + F.length(F.rtrim(t["value"], F.lit(".,;:!?)")))).alias("end"), F.rtrim(t["value"], F.lit(".,;:!?)")).alias("value")))
-    everything = F.concat("base", F.col("free"))
-    seen = F.transform(everything, lambda o: F.struct(o["k"].alias("k"), o["start"].alias("start"), o["end"].alias("end"), F.lower(o["value"]).alias("value"), before(F.col("text"), o["start"]).alias("before"), after(F.col("text"), o["end"]).alias("after")))
-    return base.withColumn("free", trimmed).select("id", F.transform("base", lambda b: F.struct(b["k"], b["start"], b["end"])).alias("base"), seen.alias("seen"))
+    """Per document (id, text): its base spans, and what the graph needs of seeds and unseen instances."""
+    text, none = F.col("text"), F.array().cast(f"array<{SPAN}>")
+    spaced = F.filter(placed(text, SPACED), lambda m: F.contains(m["value"], F.lit(" ")))
+    end = F.lit(".,;:!?)")
+    trimmed = F.transform(placed(text, TOKEN), lambda t: F.struct(F.lit(-1).alias("k"), t["start"].alias("start"), (t["start"] + F.length(F.rtrim(t["value"], end))).alias("end"), F.rtrim(t["value"], end).alias("value")))
+    found = docs.withColumn("base", F.concat(*(base_spans(text, k) for k in KINDS)))
+    found = found.withColumn("groups", F.when(text.rlike(r"[0-9)] \(?[0-9]"), apart(spans_of(spaced, -1), F.col("base"))).otherwise(none))
+    found = found.withColumn("free", F.concat("groups", F.when(text.rlike(HAS_TOKEN), apart(trimmed, F.concat("base", "groups"))).otherwise(none)))
+    found = found.withColumn("every", F.concat("base", "free")).withColumn("parts", F.when(F.size("every") > 0, pieces(text)).otherwise(F.array().cast("array<string>")))
+    found = found.withColumn("size", F.length(text))
+    seen = F.transform("every", lambda o: F.struct(o["k"].alias("k"), o["start"].alias("start"), o["end"].alias("end"), F.lower(o["value"]).alias("value"), before(F.col("parts"), o["start"]).alias("before"), after(F.col("parts"), o["end"], F.col("size")).alias("after")))
+    return found.select("id", F.monotonically_increasing_id().alias("row"), F.transform("base", lambda b: F.struct(b["k"], b["start"], b["end"])).alias("base"), seen.alias("seen"))
 
 
 def discovered(found: DataFrame) -> DataFrame:
-    """id, k, start and end of the instances that sure patterns discover."""
-    rows = found.select("id", F.explode("seen").alias("o")).select("id", "o.*")
+    """row, k, start and end of the instances that sure patterns discover."""
+    rows = found.select("row", F.explode("seen").alias("o")).select("row", "o.*")
     shapes = F.array_compact(F.array(*(F.when(F.col("value").rlike(SHAPES[kind]), F.lit(i)) for i, kind in enumerate(KINDS))))
     rows = rows.withColumn("kinds", F.when(F.col("k") >= 0, F.array("k")).otherwise(shapes)).withColumn("seed", (F.col("k") >= 0).cast("double"))
+    rows = rows.withColumn("value", F.when(F.length("value") > 64, F.sha2("value", 256)).otherwise(F.col("value")))
     patterns = F.array(F.concat(F.lit("<"), F.col("before")), F.concat(F.lit(">"), F.col("after")))
-    edges = rows.withColumn("pattern", F.explode(F.filter(patterns, lambda p: F.length(p) > 1)))
+    edges = rows.withColumn("pattern", F.explode(F.filter(patterns, lambda p: F.length(p) > 1))).groupBy("pattern", "value", "kinds").agg(F.max("seed").alias("seed"))
+    edges = written(edges, "edges")
     # every instance next to a pattern weighs it, whatever its kind: one of no kind counts against it
-    sizes = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")).groupBy("pattern").agg(F.count("*").alias("n"))
-    graph = edges.withColumn("kind", F.explode("kinds")).groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed"))
-    seeds = graph.groupBy("pattern", "kind").agg(F.sum("seed").alias("s")).where(f"s >= {MIN_SEEDS}").select("pattern", "kind")
-    graph = written(graph.join(seeds, ["pattern", "kind"]).join(sizes, "pattern"), "graph")
+    sizes = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")).groupBy("pattern").agg(F.count("*").alias("n")).where(f"n >= {MIN_SEEDS}")
+    graph = edges.withColumn("kind", F.explode("kinds")).groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed")).join(sizes, "pattern")
+    graph = written(graph, "graph")
     score = graph.groupBy("kind", "value").agg(F.max("seed").alias("score"))
+    accepted = -1
     for _ in range(ROUNDS):
-        sure = graph.join(score, ["kind", "value"]).groupBy("pattern", "kind").agg((F.sum("score") / F.max("n")).alias("sure"))
-        together = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-6)))))
-        score = graph.join(sure, ["pattern", "kind"]).groupBy("kind", "value").agg(F.greatest(F.max("seed"), together).alias("score"))
-        score = written(score, "scores")
-    fresh = score.where(f"score >= {MIN_SCORE}").join(graph.where("seed = 0").select("kind", "value").distinct(), ["kind", "value"], "left_semi")
+        by_pattern = graph.join(score, ["kind", "value"]).groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.max("n").alias("n"), F.sum((F.col("score") >= MIN_SCORE).cast("int")).alias("known"))
+        sure = by_pattern.where(f"known >= {MIN_SEEDS}").select("pattern", "kind", (F.col("s") / F.col("n")).alias("sure"))
+        together = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("sure", F.lit(0.0)), F.lit(1e-6)))))
+        score = written(graph.join(sure, ["pattern", "kind"], "left").groupBy("kind", "value").agg(F.greatest(F.max("seed"), together).alias("score")), "scores")
+        known = score.where(f"score >= {MIN_SCORE}").count()
+        if known == accepted:
+            break
+        accepted = known
+    seeds = graph.where("seed > 0").select("kind", "value").distinct()
+    fresh = score.where(f"score >= {MIN_SCORE}").join(seeds, ["kind", "value"], "left_anti")
     places = rows.where("k < 0").withColumn("kind", F.explode("kinds"))
-    return places.join(fresh.select("kind", "value"), ["kind", "value"]).select("id", F.col("kind").alias("k"), "start", "end")
+    return places.join(fresh.select("kind", "value"), ["kind", "value"]).select("row", F.col("kind").alias("k"), "start", "end")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, base and all spans as arrays of (k, start, end), k being the place in KINDS."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = written(occurrences(texts), "found")
-    more = discovered(found).groupBy("id").agg(F.collect_set(F.struct("k", "start", "end")).alias("more"))
-    rows = found.select("id", "base").join(more, "id", "left")
+    more = discovered(found).groupBy("row").agg(F.collect_set(F.struct("k", "start", "end")).alias("more"))
+    rows = found.select("id", "row", "base").join(more, "row", "left")
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", F.col("more")))
     return rows.select(F.col("id").alias(id_col), "base", every.alias("spans"))
 
@@ -153,13 +237,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spans = find(docs, id_col, text_col).select(F.col(id_col).alias("id"), ordered.alias("spans"))
     joined = docs.select(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row")).join(spans, "id")
     old = F.col("row")[text_col]
-    text = F.coalesce(old, F.lit(""))
+    joined = joined.withColumn("parts", pieces(F.coalesce(old, F.lit("")))).withColumn("done", running(F.col("spans"), F.lit(0), lambda x: x["end"], F.greatest))
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
-
-    def put(s: Column, x: Column) -> Column:
-        cut = F.concat(s["out"], F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0))), F.get(names, x["k"]))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], cut).otherwise(s["out"]).alias("out"))
-
-    new = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    # a span that begins within an earlier one is part of it
+    put = F.zip_with("spans", "done", lambda x, at: F.when(x["start"] >= at, F.concat(between(F.col("parts"), at, x["start"]), F.get(names, x["k"]))).otherwise(F.lit("")))
+    last = F.array_max(F.transform("spans", lambda x: x["end"]))
+    new = F.concat(F.array_join(put, ""), between(F.col("parts"), last, F.length(old)))
     changed = F.when(F.size("spans") > 0, new).otherwise(old)
     return joined.select(*(changed.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
