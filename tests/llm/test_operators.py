@@ -305,6 +305,35 @@ def test_pii(spark):
     assert pii.redact(docs).where(f"doc_id = {last - 1}").first()["text"] == "please write to <email> now"
 
 
+def test_pii_discovers_in_generations_and_by_row(spark):
+    """Seeds make patterns, what they find makes more; spaced and long instances, rows that repeat an identifier."""
+    rows = [f"please call +1 (988) 555-{1000 + k} thanks" for k in range(12)]
+    rows += [f"please call (988) 555-{2000 + k} thanks" for k in range(6)]  # found by the seeds' words
+    rows += [f"desk number (988) 555-{2000 + k} anytime" for k in range(6)] + ["desk number 988 555 7777 anytime"]  # by what those found
+    rows += [f"log in as user{k}@mail.example.com today" for k in range(12)] + ["log in as " + "x" * 300 + "[at]mail.example.com today"]
+    rows += [f"item number {k} only" for k in range(20)]
+    docs = spark.createDataFrame([(k // 2, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    got = {(r["doc_id"], r["spans"]) for r in pii.report(docs).where("n_discovered > 0").collect()}
+    want = set()
+    for k, t in enumerate(rows):
+        for kind, m in (("phone", re.search(r"(?<!\+1 )\(988\) 555-....|988 555 7777", t)), ("email", re.search(r"x+\[at\]\S+", t))):
+            want |= {(k // 2, f"{kind}:{m.start()}:{m.end()}")} if m else set()
+    assert got == want and len(want) == 8
+
+
+def test_pii_of_long_texts_takes_time_in_proportion(spark):
+    import time
+
+    line = "host 10.1.{}.{} said code {} to user{}@mail.example.com at +1 (988) 555-{:04d}\n"
+    text = "é" + "".join(line.format(k % 256, k // 256 % 256, k, k, k % 10000) for k in range(6_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = pii.report(docs).first()
+    assert (r["n_ip"], r["n_email"], r["n_phone"]) == (6_000, 6_000, 6_000) and time.time() - began < 120
+    want = [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text) if passes(k, m[0])]
+    assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+
+
 def test_html():
     page = "<body><nav>menu</nav><div class='post'><h1>T</h1><p>a &amp; b<br>c<p>d <script>x<y</script></div><div class='comments'><p>no</div><div id=sidebar>x</div><form>y</form><footer>z"
     blocks = html_extract.blocks(page)
