@@ -3,10 +3,9 @@
 A block of documents becomes one row: the distinct words (pieces of the pre-tokeniser's pattern) that are
 new to its task, as arrays of byte ranks, and for every document which words follow each other. Higher-order functions fold each
 distinct word: in every step the neighbouring pair of the lowest rank merges, until no pair is in the rank
-map. The map is a literal of the plan: two constant arrays, with the rank of (left, right) at base[left] +
-right, as the look-up in Spark's own map type is a linear search. Then the encoded words are strung
-together for each document, and decoding, in Spark functions too, concatenates the binary pieces of the ids.
-No row is shuffled; what a task holds is bounded by BLOCK_BYTES (or one longer text) and MAX_WORDS.
+map; then they decode it, concatenating the binary pieces of its ids. The map is a literal of the plan: two constant arrays, with the rank of (left, right) at base[left] +
+right (null for none), as the look-up in Spark's own map type is a linear search. Then the encoded and the
+decoded words are strung together for each document; decode() takes whole documents' ids. No row is shuffled; what a task holds is bounded by BLOCK_BYTES (or one longer text) and MAX_WORDS.
 
 Words of more than FOLD_BYTES bytes, on which the folding would take quadratic time, are merged with a heap
 by the same rule. Ranks are read on the driver from a file whose path is a parameter; they must be below
@@ -19,6 +18,7 @@ table gives no rows. A pattern other than the default one needs its own splitter
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator
@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import in_arrow
+from helioframe.llm.shared import in_arrow, release
 from helioframe.llm.text_arrays import slices, text_bytes, word_hashes
 
 BLOCK_BYTES = 1 << 20
 #: A task starts a new list of words beyond so many.
-MAX_WORDS = 200_000
+MAX_WORDS = 400_000
 FOLD_BYTES = 96
 #: Bits of a place in a word, of the largest ranks there may be, and of the right one of two in a key.
 PLACE_BITS = 8
@@ -167,8 +167,8 @@ def table_of(path: str) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def literal(values: np.ndarray) -> Column:
-    """A constant array of the plan."""
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
+    """A constant array of the plan, with null for EMPTY."""
+    return F.split(F.lit(",".join("" if v == EMPTY else str(v) for v in values.tolist())), ",").try_cast("array<bigint>")
 
 
 def fold_word(word: Column, base: Column, table: Column, bits: int) -> Column:
@@ -179,14 +179,14 @@ def fold_word(word: Column, base: Column, table: Column, bits: int) -> Column:
     """
 
     def ranked(state: Column) -> Column:
-        """Rank and place of each pair, packed; a pair that is not in the table is above NONE."""
+        """Rank and place of each pair, packed; null or more than any rank for a pair that isn't in the table."""
         entry = lambda a, i: F.get(table, F.get(base, a) + F.get(state, i + 1)).bitwiseXOR(F.shiftleft(a, bits))
         return F.transform(state, lambda a, i: F.shiftleft(entry(a, i), PLACE_BITS).bitwiseOR(i.cast("bigint")))
 
     def merge(state: Column, best: Column) -> Column:
         place = best.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
         merged = F.concat(F.slice(state, F.lit(1), place), F.array(F.shiftright(best, PLACE_BITS)), F.slice(state, place + 3, F.size(state)))
-        return F.when(best < F.lit(1 << bits + PLACE_BITS), merged).otherwise(F.concat(F.array(F.lit(-1).cast("bigint")), state))
+        return F.when(F.coalesce(best < F.lit(1 << bits + PLACE_BITS), F.lit(False)), merged).otherwise(F.concat(F.array(F.lit(-1).cast("bigint")), state))
 
     def step(state: Column, _: Column) -> Column:
         # a list of one element gives its value a name
@@ -234,6 +234,7 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_byte, ranks = sent.value
+        pairs = None
         place: dict[int, int] = {}  # of the words so far in this task
         for whole in batches:
             for batch in slices(whole, "text", BLOCK_BYTES):
@@ -247,85 +248,83 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
                 at = np.array([place.setdefault(h, len(place)) for h in distinct.tolist()], dtype=np.int32)
                 new = np.flatnonzero(at >= begun)
                 data = raw.tobytes()
-                spans, kinds, known, long = [], [], [], []
+                found = []
                 for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist()):
                     rank = ranks.get(data[a:b])
                     if rank is not None:  # an entry as a whole is its own encoding
-                        known.append(rank)
-                        kinds.append(0)
+                        found.append(np.array([rank]))
                     elif b - a <= FOLD_BYTES:
-                        spans.append((a, b))
-                        kinds.append(1)
+                        found.append(of_byte[raw[a:b]])
                     else:
-                        long.append(data[a:b])
-                        kinds.append(2)
-                bounds = np.array(spans, dtype=np.int64).reshape(-1, 2)
-                lengths = bounds[:, 1] - bounds[:, 0]
-                heads = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                cells = np.arange(heads[-1]) - np.repeat(heads[:-1] - bounds[:, 0], lengths)
-                words = pa.ListArray.from_arrays(pa.array(heads), pa.array(of_byte[raw[cells]] if len(cells) else np.zeros(0, np.int64)))
+                        pairs = merges(ranks) if pairs is None else pairs
+                        found.append(np.array(merge_long(of_byte[raw[a:b]].tolist(), pairs)))
+                heads = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(heads), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id")),
                         pa.array([fresh]),
                         pa.array([first.astype(np.int64).tobytes()], pa.binary()),
                         pa.array([at[use].tobytes() if len(use) else b""], pa.binary()),
-                        pa.array([bytes(kinds)], pa.binary()),
-                        pa.array([np.array(known, np.int32).tobytes()], pa.binary()),
-                        pa.array([long], pa.list_(pa.binary())),
                         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
                     ],
-                    ["ids", "fresh", "first", "use", "kinds", "known", "long", "words"],
+                    ["ids", "fresh", "first", "use", "words"],
                 )
 
-    schema = f"ids array<{kind}>, fresh boolean, first binary, use binary, kinds binary, known binary, long array<binary>, words array<array<bigint>>"
+    schema = f"ids array<{kind}>, fresh boolean, first binary, use binary, words array<array<bigint>>"
     blocks = in_arrow(narrow, split, schema)
     base, table, bits = table_of(rank_path)
     base, table = literal(base), literal(table)
-    folded = blocks.withColumn("words", F.transform("words", lambda w: fold_word(w, base, table, bits)))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_byte, ranks = sent.value
-        pairs = None
-        # of the words so far in this task, as split numbers them: their ids, one after the other, and where each begins
-        known_ids, known_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    # a leading -1 marks the end of a fold
+    folded = blocks.withColumn("words", F.transform("words", lambda w: F.filter(fold_word(w, base, table, bits), lambda i: i >= 0)))
+    if digests:
+        hexed = piece_table(ranks)
+        numbers = F.transform("words", lambda w: F.array_join(w.cast("array<string>"), ","))
+        folded = folded.select("ids", "fresh", "first", "use", F.transform("words", F.size).alias("sizes"), numbers.alias("numbers"), F.transform("words", lambda w: joined_pieces(w, hexed)).alias("pieces"))
+    release()
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Each block's row, whether its task's list of words begins anew, its identifiers and use of words."""
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
-                first, use, whole = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("first", np.int64), ("use", np.int32), ("known", np.int32)))
-                kinds = np.frombuffer(row.column("kinds")[0].as_buffer(), np.uint8)
-                if row.column("fresh")[0].as_py():
-                    known_ids, known_at = known_ids[:0], known_at[:1]
-                long = row.column("long")[0].as_py()
-                if long and pairs is None:
-                    pairs = merges(ranks)
-                long = [np.array(merge_long(of_byte[np.frombuffer(x, np.uint8)].tolist(), pairs), dtype=np.int32) for x in long]
-                inner = row.column("words").flatten()
-                values, sizes = inner.flatten().to_numpy(), inner.value_lengths().to_numpy().astype(np.int64)
-                marked = values < 0  # a leading -1 marks the end of the fold
-                if len(sizes):
-                    sizes = sizes - np.add.reduceat(marked, np.cumsum(sizes) - sizes)
-                length = np.ones(len(kinds), dtype=np.int64)
-                length[kinds == 1] = sizes
-                length[kinds == 2] = [len(x) for x in long]
-                at = np.cumsum(length) - length
-                new = np.zeros(int(length.sum()), dtype=np.int32)
-                new[at[kinds == 0]] = whole
-                new[spread(at[kinds == 1], sizes)] = values[~marked]
-                for k, x in zip(at[kinds == 2].tolist(), long):
-                    new[k : k + len(x)] = x
-                known_at = np.concatenate((known_at, known_at[-1] + np.cumsum(length)))
-                known_ids = np.concatenate((known_ids, new))
-                size = np.diff(known_at)[use]
-                out = known_ids[spread(known_at[use], size)]
-                heads = np.concatenate(([0], np.cumsum(size)))[first].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), pa.ListArray.from_arrays(pa.array(heads), pa.array(out))], ["id", "ids"])
-
-    encoded = in_arrow(folded, join, f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
-    if not digests:
-        return encoded
-    digest = F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256)
-    return decode(encoded, rank_path).select(id_col, F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("text_bytes", 256).alias("decoded_sha256"))
+                first, use = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("first", np.int64), ("use", np.int32)))
+                yield row, row.column("fresh")[0].as_py(), row.column("ids").flatten(), first, use
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words' ids, one word after the other, and where each begins: of the words so far in this task."""
+        known_ids, known_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        for row, fresh, ids, first, use in documents(batches):
+            if fresh:
+                known_ids, known_at = known_ids[:0], known_at[:1]
+            words = row.column("words").flatten()
+            known_at = np.concatenate((known_at, known_at[-1] + np.cumsum(words.value_lengths().to_numpy(), dtype=np.int64)))
+            known_ids = np.concatenate((known_ids, words.flatten().to_numpy().astype(np.int32)))
+            size = np.diff(known_at)[use]
+            heads = np.concatenate(([0], np.cumsum(size)))[first].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(heads), pa.array(known_ids[spread(known_at[use], size)]))], ["id", "ids"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: list[bytes] = []
+        pieces: list[bytes] = []
+        sizes = np.zeros(0, np.int32)
+        for row, fresh, ids, first, use in documents(batches):
+            if fresh:
+                numbers, pieces, sizes = [], [], sizes[:0]
+            numbers += row.column("numbers").flatten().cast(pa.binary()).to_pylist()
+            pieces += row.column("pieces").flatten().to_pylist()
+            sizes = np.concatenate((sizes, row.column("sizes").flatten().to_numpy()))
+            total = np.concatenate(([0], np.cumsum(sizes[use], dtype=np.int64)))
+            order, shas, decoded = use.tolist(), [], []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                part = order[a:b]
+                shas.append(hashlib.sha256(b",".join([numbers[w] for w in part])).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([pieces[w] for w in part])).hexdigest())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(total[first[1:]] - total[first[:-1]]), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    if digests:
+        return in_arrow(folded, digest, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return in_arrow(folded, join, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -334,9 +333,17 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(heads - starts, sizes)
 
 
+def piece_table(ranks: dict[bytes, int]) -> Column:
+    """The binary pieces by rank, in hexadecimal digits, as a constant of the plan."""
+    of_rank = {rank: word for word, rank in ranks.items()}
+    return F.split(F.lit(",".join(of_rank.get(k, b"").hex() for k in range(max(of_rank) + 1))), ",")
+
+
+def joined_pieces(ids: Column, table: Column) -> Column:
+    """The pieces of the ids, one after the other, as binary."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i.cast("int"))), ""))
+
+
 def decode(encoded: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:
     """encoded with a column text_bytes: the binary pieces of the ids, one after the other."""
-    pieces_of = {rank: word for word, rank in read_ranks(rank_path).items()}
-    hexed = [pieces_of.get(k, b"").hex() for k in range(max(pieces_of) + 1)]
-    table = F.split(F.lit(",".join(hexed)), ",")
-    return encoded.withColumn("text_bytes", F.unhex(F.array_join(F.transform(F.coalesce(ids_col, F.array().cast("array<int>")), lambda i: F.get(table, i)), "")))
+    return encoded.withColumn("text_bytes", joined_pieces(F.coalesce(ids_col, F.array().cast("array<int>")), piece_table(read_ranks(rank_path))))

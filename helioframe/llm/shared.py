@@ -66,7 +66,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    gc.collect()
+    release()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
@@ -83,24 +83,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bits of the filter in likely_in, as a power of two: 1 MB, however many keys there are.
+#: Bits of the largest filter in likely_in, as a power of two: 1 MB, however many keys there are.
 FILTER_BITS = 23
 
 
 def likely_in(keys: DataFrame, key: str) -> Column:
     """A condition on a column named key that holds for all keys and for few other values (a Bloom filter).
 
-    It is a constant of the plan of fixed size, to be checked before a shuffle; with very many keys it
-    lets more through, so an exact join has to follow.
+    It is a constant of the plan, to be checked before a shuffle: 16 bits for each key, up to 2^FILTER_BITS in
+    all. With very many keys it lets more through, so an exact join has to follow.
     """
-    h = F.xxhash64(key)
-    cell = F.shiftrightunsigned(h, 64 - FILTER_BITS)
+    bits = min(FILTER_BITS, max(12, (16 * keys.count()).bit_length()))
+    cell = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
     bit = cell.bitwiseAND(F.lit(63)).cast("int")
     words = keys.select(F.shiftright(cell, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = [0] * (1 << FILTER_BITS - 6)
+    table = [0] * (1 << bits - 6)
     for r in words.toLocalIterator():
-        bits[r["w"]] = r["b"]
-    constant = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+        table[r["w"]] = r["b"]
+    constant = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
     return F.call_function("shiftrightunsigned", F.get(constant, F.shiftright(cell, 6)), bit).bitwiseAND(F.lit(1)) == 1
 
 
