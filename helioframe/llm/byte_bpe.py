@@ -4,7 +4,7 @@ A block of documents becomes one row: the distinct words (pieces of the pre-toke
 new to its task, as arrays of byte ranks, and for every document which words follow each other. Higher-order functions fold each
 distinct word: in every step the neighbouring pair of the lowest rank merges, until no pair is in the rank
 map; then they decode it, concatenating the binary pieces of its ids. The map is a literal of the plan: two constant arrays, with the rank of (left, right) at base[left] +
-right (null for none), as the look-up in Spark's own map type is a linear search. Then the encoded and the
+right, as the look-up in Spark's own map type is a linear search. Then the encoded and the
 decoded words are strung together for each document; decode() takes whole documents' ids. No row is shuffled; what a task holds is bounded by BLOCK_BYTES (or one longer text) and MAX_WORDS.
 
 Words of more than FOLD_BYTES bytes, on which the folding would take quadratic time, are merged with a heap
@@ -40,8 +40,8 @@ FOLD_BYTES = 96
 PLACE_BITS = 8
 MOST_RANK_BITS = 21
 RIGHT = 32
-#: What an empty cell of the rank table holds.
-EMPTY = 1 << 50
+#: An empty cell of the rank table, while it is filled.
+EMPTY = -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,7 +158,8 @@ def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, int]:
         table[at + cells] = (left << bits) | np.array([r for _, r in row])
         while table[free_from] != EMPTY:
             free_from += 1
-    return base, table[: int(np.flatnonzero(table != EMPTY).max(initial=0)) + width], bits
+    table = table[: int(np.flatnonzero(table != EMPTY).max(initial=0)) + width]
+    return base, np.where(table == EMPTY, width << bits, table), bits  # the row of no rank
 
 
 @lru_cache(maxsize=2)
@@ -167,8 +168,8 @@ def table_of(path: str) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def literal(values: np.ndarray) -> Column:
-    """A constant array of the plan, with null for EMPTY."""
-    return F.split(F.lit(",".join("" if v == EMPTY else str(v) for v in values.tolist())), ",").try_cast("array<bigint>")
+    """A constant array of the plan."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
 
 def fold_word(word: Column, base: Column, table: Column, bits: int) -> Column:
@@ -179,14 +180,14 @@ def fold_word(word: Column, base: Column, table: Column, bits: int) -> Column:
     """
 
     def ranked(state: Column) -> Column:
-        """Rank and place of each pair, packed; null or more than any rank for a pair that isn't in the table."""
+        """Rank and place of each pair, packed; a pair that is not in the table is above any rank."""
         entry = lambda a, i: F.get(table, F.get(base, a) + F.get(state, i + 1)).bitwiseXOR(F.shiftleft(a, bits))
         return F.transform(state, lambda a, i: F.shiftleft(entry(a, i), PLACE_BITS).bitwiseOR(i.cast("bigint")))
 
     def merge(state: Column, best: Column) -> Column:
         place = best.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
         merged = F.concat(F.slice(state, F.lit(1), place), F.array(F.shiftright(best, PLACE_BITS)), F.slice(state, place + 3, F.size(state)))
-        return F.when(F.coalesce(best < F.lit(1 << bits + PLACE_BITS), F.lit(False)), merged).otherwise(F.concat(F.array(F.lit(-1).cast("bigint")), state))
+        return F.when(best < F.lit(1 << bits + PLACE_BITS), merged).otherwise(F.concat(F.array(F.lit(-1).cast("bigint")), state))
 
     def step(state: Column, _: Column) -> Column:
         # a list of one element gives its value a name
