@@ -202,11 +202,15 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     """Train on at most max_rows documents with a language and a text, the same number of each language at most."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(lang_col))
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(key.alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    langs = known.select("lang").distinct().count()
+    counts = known.groupBy("lang").agg(F.count("*").alias("all"))
+    langs = counts.count()
     if not langs:
         return Network([])
+    most = max(1, max_rows // langs)
+    # about twice as many by their hashes, wherever they are, and of those the ones with the smallest keys
+    some = known.select("key", "lang").join(counts, "lang").where(F.pmod("key", F.lit(1 << 31)).cast("double") * F.col("all") < float(2 * most) * (1 << 31))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    chosen = known.select("key", "lang").distinct().withColumn("place", place).where(F.col("place") <= max(1, max_rows // langs)).select("key")
+    chosen = some.select("key", "lang").distinct().withColumn("place", place).where(F.col("place") <= most).select("key")
     rows = known.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).toPandas().sort_values("key", kind="stable")
     net = Network(sorted(set(rows["lang"])))
     raw, offsets = text_bytes(pa.array(rows["text"].tolist(), pa.string()))
