@@ -238,16 +238,16 @@ def g10_free_intervals(spark, sf_dir):
 
 
 @query("j13_interpolation", """
-    WITH p AS (SELECT user_id % 2 AS parity, (value * 10)::DOUBLE AS pos, length(event_type)::DOUBLE + event_id AS v, event_id FROM events WHERE event_id % 3 = 0),
-    o AS (SELECT parity, pos, v FROM (SELECT *, row_number() OVER (PARTITION BY parity, pos ORDER BY event_id) AS k FROM p) WHERE k = 1),
-    q AS (SELECT event_id, user_id % 2 AS parity, (value * 10)::DOUBLE AS pos FROM events WHERE event_id % 3 = 1),
-    l AS (SELECT q.*, o.pos AS la, o.v AS lv FROM q ASOF LEFT JOIN o ON q.parity = o.parity AND q.pos >= o.pos),
-    b AS (SELECT l.*, o.pos AS ua, o.v AS uv FROM l ASOF LEFT JOIN o ON l.parity = o.parity AND l.pos <= o.pos)
+    WITH e AS (SELECT event_id, event_type IN ('view', 'click') AS known, user_id // 2 AS street, user_id % 2 AS parity, (value * 10)::DOUBLE AS pos, length(event_type)::DOUBLE + event_id AS v FROM events),
+    o AS (SELECT street, parity, pos, v FROM (SELECT *, row_number() OVER (PARTITION BY street, parity, pos ORDER BY event_id) AS k FROM e WHERE known) WHERE k = 1),
+    q AS (SELECT event_id, street, parity, pos FROM e WHERE NOT known),
+    l AS (SELECT q.*, o.pos AS la, o.v AS lv FROM q ASOF LEFT JOIN o ON q.street = o.street AND q.parity = o.parity AND q.pos >= o.pos),
+    b AS (SELECT l.*, o.pos AS ua, o.v AS uv FROM l ASOF LEFT JOIN o ON l.street = o.street AND l.parity = o.parity AND l.pos <= o.pos)
     SELECT event_id, round(la, 4) AS lower_at, round(ua, 4) AS upper_at,
            round(CASE WHEN la = ua THEN lv WHEN ua - la > 0 AND ua - la <= 200 THEN lv + (uv - lv) * (pos - la) / (ua - la) END, 4) AS interpolated FROM b""")
 def j13_interpolation(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 2).alias("parity"), (F.col("value") * 10).alias("at"), (F.length("event_type").cast("double") + F.col("event_id")).alias("v"))
-    out = ordered.as_of_pair(e.where("event_id % 3 = 1").select("event_id", "parity", "at"), e.where("event_id % 3 = 0"), ["parity"], "at", "v", "event_id", 200.0)
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").isin("view", "click").alias("known"), F.floor(F.col("user_id") / 2).alias("street"), (F.col("user_id") % 2).alias("parity"), (F.col("value") * 10).alias("at"), (F.length("event_type").cast("double") + F.col("event_id")).alias("v"))
+    out = ordered.as_of_pair(e.where("not known").select("event_id", "street", "parity", "at"), e.where("known"), ["street", "parity"], "at", "v", "event_id", 200.0)
     return out.select("event_id", F.round("lower_at", 4).alias("lower_at"), F.round("upper_at", 4).alias("upper_at"), F.round("interpolated", 4).alias("interpolated"))
 
 
@@ -299,6 +299,16 @@ def j6_contains_else_nearest(spark, sf_dir):
     return spatial.containing_else_nearest(near_boxes(spark, sf_dir)[0], "pid", "bid").select("pid", "bid", "contains")
 
 
+@query("f9_home_like", f"""
+    WITH {PLACES_SQL}, ok AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, d_center, bid) AS rank FROM hits WHERE area / 20 <= 13 AND NOT cx < cy - 500 AND area <= 1200),
+    m AS (SELECT pid, list_sort(list(area)) AS a FROM ok WHERE rank <= 8 GROUP BY pid)
+    SELECT pid, bid, rank FROM ok JOIN m USING (pid) WHERE area BETWEEN 0.5 * a[len(a) // 2 + 1] AND 2.0 * a[len(a) // 2 + 1]""")
+def f9_home_like(spark, sf_dir):
+    hits = near_boxes(spark, sf_dir)[0].withColumn("height_m", F.col("area") / 20)
+    cx, cy = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
+    return spatial.home_like(hits.withColumn("mapped", F.when(cx < cy - 500, "retail")), "pid", ["d", "d_center", "bid"], 2).select("pid", "bid", "rank")
+
+
 @query("j7_homes_on_footprints", f"""
     WITH {PLACES_SQL} SELECT bid, count(DISTINCT CASE WHEN d <= 3 THEN pid % 7 END) AS homes FROM boxes LEFT JOIN hits USING (bid) GROUP BY bid""")
 def j7_homes_on_footprints(spark, sf_dir):
@@ -413,6 +423,15 @@ def f7_occupancy(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.occupancy_from_text(t).alias("occupancy"))
 
 
+@query("f6_occupancy_class", """
+    WITH p AS (SELECT p_partkey, CASE WHEN p_size > 5 THEN ['apartments', 'house', 'retail', 'barn', 'terrace', 'garage'][p_size % 6 + 1] END AS mapped FROM part)
+    SELECT p_partkey, CASE mapped WHEN 'apartments' THEN 'R-2' WHEN 'house' THEN 'R-3' WHEN 'terrace' THEN 'R-3' WHEN 'retail' THEN 'commercial' WHEN 'garage' THEN 'commercial' END AS occupancy FROM p""")
+def f6_occupancy_class(spark, sf_dir):
+    classes = F.array(*(F.lit(c) for c in ("apartments", "house", "retail", "barn", "terrace", "garage")))
+    mapped = F.when(F.col("p_size") > 5, F.get(classes, F.col("p_size") % 6))
+    return table(spark, sf_dir, "part").select("p_partkey", text.occupancy_from_class(mapped).alias("occupancy"))
+
+
 # --- roll-ups ----------------------------------------------------------------------------------------
 
 BUILDINGS_SQL = "b AS (SELECT o_custkey AS site, o_orderkey, o_orderkey % 4000 AS building, o_totalprice AS kw, o_orderstatus <> 'P' AS counted, o_orderpriority = '1-URGENT' AS review, CASE WHEN o_orderkey % 5 = 0 THEN 'carport_or_garage' ELSE 'building' END AS kind FROM orders)"
@@ -431,6 +450,13 @@ def a4_site_rollup(spark, sf_dir):
     return out.select("site", "buildings", F.round("dc_kw", 2).alias("dc_kw"), "module_count", F.round("carport_kw", 2).alias("carport_kw"), F.round("uncounted_buildings_kw", 2).alias("uncounted_buildings_kw"), "needs_review")
 
 
+@query("a6_raised_extra", f"""
+    WITH {BUILDINGS_SQL} SELECT site, round(coalesce(sum(CASE WHEN counted THEN (o_orderkey % 13) * CASE WHEN building = 0 THEN 0 ELSE kw / building END END), 0), 2) AS raised_extra_kw FROM b GROUP BY site""")
+def a6_raised_extra(spark, sf_dir):
+    rows = buildings(spark, sf_dir).withColumn("extra", F.col("o_orderkey") % 13)
+    return rollup.raised_extra_kw(rows, "site", "extra", "kw", "building", "counted").select("site", F.round("raised_extra_kw", 2).alias("raised_extra_kw"))
+
+
 @query("a5_property_rollup", f"""
     WITH {BUILDINGS_SQL}, g AS (SELECT *, site % 10 AS grp FROM b), f AS (SELECT *, row_number() OVER (PARTITION BY grp, building ORDER BY o_orderkey) AS k FROM g)
     SELECT grp, count(DISTINCT site) AS sites, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END)::BIGINT AS buildings, round(coalesce(sum(kw) FILTER (WHERE k = 1 AND counted), 0), 1) AS dc_kw, bool_or(review) AS needs_review FROM f GROUP BY grp""")

@@ -72,26 +72,29 @@ def j15_same_owner(spark, sf_dir):
 
 @query("j19_segment_by_index", """
     WITH s AS (SELECT o_orderkey, [o_orderkey % 30, o_custkey % 30, o_custkey % 7] AS pitch FROM orders)
-    SELECT l_orderkey, l_partkey, l_linenumber, coalesce(pitch[l_linenumber], 0)::BIGINT AS pitch FROM lineitem JOIN s ON l_orderkey = o_orderkey""")
+    SELECT l_orderkey, l_partkey, l_linenumber, coalesce(pitch[l_linenumber], 0)::BIGINT AS pitch FROM lineitem LEFT JOIN s ON l_orderkey = o_orderkey""")
 def j19_segment_by_index(spark, sf_dir):
     segments = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.col("o_orderkey") % 30, F.col("o_custkey") % 30, F.col("o_custkey") % 7).alias("segments"))
-    panels = table(spark, sf_dir, "lineitem").join(segments, F.col("l_orderkey") == F.col("o_orderkey"))
+    panels = table(spark, sf_dir, "lineitem").join(segments, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return panels.select("l_orderkey", "l_partkey", "l_linenumber", F.coalesce(F.try_element_at("segments", F.col("l_linenumber")), F.lit(0)).alias("pitch"))
 
 
 @query("j25_nearest_qualifying", f"""
-    WITH {PLACES_SQL} SELECT pid, bid, round(d, 4) AS d FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, bid) AS k FROM hits WHERE area >= 150 AND bid % 3 <> 0) WHERE k = 1""")
+    WITH {PLACES_SQL} SELECT pid, bid, round(d, 4) AS d FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, bid) AS k FROM hits WHERE area >= 150 AND cx < cy) WHERE k = 1""")
 def j25_nearest_qualifying(spark, sf_dir):
-    hits = near_boxes(spark, sf_dir)[0].where("area >= 150 and bid % 3 <> 0")
+    hits = near_boxes(spark, sf_dir)[0].where("area >= 150 and (xmin + xmax) / 2 < (ymin + ymax) / 2")
     return ordered.first_by_key(hits, ["pid"], ["d", "bid"]).select("pid", "bid", F.round("d", 4).alias("d"))
 
 
 @query("j26_points_to_new_buildings", f"""
-    WITH {PLACES_SQL}, h AS (SELECT bid, min(pid) AS first_point FROM hits WHERE d <= 3 GROUP BY bid) SELECT bid, first_point FROM h WHERE bid % 5 <> 0""")
+    WITH {PLACES_SQL}, f AS (SELECT pid, bid, row_number() OVER (PARTITION BY pid ORDER BY d, d_center, bid) AS k FROM hits WHERE d <= 3),
+    have AS (SELECT bid FROM boxes WHERE (xmax - xmin) * (ymax - ymin) < 100)
+    SELECT bid, min(pid) AS first_point FROM f WHERE k = 1 AND bid NOT IN (SELECT bid FROM have) GROUP BY bid""")
 def j26_points_to_new_buildings(spark, sf_dir):
     hits, boxes = near_boxes(spark, sf_dir)
-    have = boxes.where("bid % 5 = 0").select("bid")
-    return hits.where("d <= 3").join(have, "bid", "left_anti").groupBy("bid").agg(F.min("pid").alias("first_point"))
+    have = boxes.where("(xmax - xmin) * (ymax - ymin) < 100").select("bid")
+    first = ordered.first_by_key(hits.where("d <= 3"), ["pid"], ["d", "d_center", "bid"])
+    return first.join(have, "bid", "left_anti").groupBy("bid").agg(F.min("pid").alias("first_point"))
 
 
 @query("a9_histogram", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")

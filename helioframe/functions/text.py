@@ -20,6 +20,13 @@ ENTITY_WORDS = ["LLC", "LP", "LLP", "INC", "CO", "CORP", "CORPORATION", "LTD", "
 GENERIC_NAME_WORDS = ["the", "at", "of", "on", "and", "apartments", "apartment", "apts", "apt", "homes", "residences", "luxury", "community", "phase", "i", "ii", "iii", "north", "south", "east", "west", "a", "in"]
 # The kinds of obstruction that first words name.
 OBSTRUCTION_WORDS = {"hvac": "hvac", "rtu": "hvac", "vent": "vent", "skylight": "skylight", "hatch": "hatch", "standpipe": "standpipe", "smoke": "smoke_vent", "obstruction": "other"}
+# Mapped building classes by occupancy; other classes have none.
+R2_CLASSES = ["apartments", "dormitory"]
+R3_CLASSES = ["house", "detached", "semidetached_house", "terrace", "bungalow", "cabin", "farm", "static_caravan"]
+COMMERCIAL_CLASSES = [
+    "commercial", "retail", "industrial", "warehouse", "office", "supermarket", "hotel", "school", "university", "college", "hospital", "public",
+    "civic", "government", "church", "manufacture", "kindergarten", "parking", "service", "sports_hall", "storage_tank", "transportation", "garage",
+]
 COMPASS = {name: 45.0 * i for i, name in enumerate(["N", "NE", "E", "SE", "S", "SW", "W", "NW"])}
 # The expressions of permit descriptions.
 SOLAR = r"(?i)SOLAR|PHOTOVOLTAIC|\bPV\b"
@@ -143,6 +150,11 @@ def occupancy_from_text(text: Column) -> Column:
     )
 
 
+def occupancy_from_class(mapped: Column) -> Column:
+    """R-2, R-3 or commercial of a mapped building class; null if it tells none."""
+    return F.when(mapped.isin(R2_CLASSES), "R-2").when(mapped.isin(R3_CLASSES), "R-3").when(mapped.isin(COMMERCIAL_CLASSES), "commercial")
+
+
 def existing_solar_check(address: Column, year_built: Column, doubtful: Column, first_year: int = 2020) -> Column:
     """Why a Californian site may have solar already, or ''."""
     california = F.coalesce(address.rlike(CALIFORNIA), F.lit(False))

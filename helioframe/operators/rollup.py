@@ -25,6 +25,12 @@ def site_rollup(buildings: DataFrame, site: str, kw: str, raw_kw: str, modules:
     )
 
 
+def raised_extra_kw(buildings: DataFrame, site: str, extra: str, kw: str, modules: str, counted: str) -> DataFrame:
+    """kW that raised racking would add on counted buildings, at each one's own kW a module (0 without modules)."""
+    more = F.col(extra) * F.coalesce(F.try_divide(F.col(kw), F.col(modules)), F.lit(0.0))
+    return buildings.groupBy(site).agg(F.coalesce(F.sum(F.when(F.col(counted), more)), F.lit(0.0)).alias("raised_extra_kw"))
+
+
 def property_rollup(rows: DataFrame, group: str, site: str, building: str, kw: str, counted: str, review: str, order: str) -> DataFrame:
     """Per group each building once, as its first occurrence has it."""
     first = rows.withColumn("x_place", F.row_number().over(Window.partitionBy(group, building).orderBy(order)))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Mapped classes that are no homes.
+NONRESIDENTIAL = ["retail", "commercial", "warehouse", "industrial", "office", "supermarket", "manufacture", "service", "parking", "school", "hospital", "church"]
+
 
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("bigint")
@@ -57,6 +60,19 @@ def containing_else_nearest(pairs: DataFrame, key: str, order: str) -> DataFrame
     return pairs.withColumn("x_place", F.row_number().over(w)).where("x_place = 1").drop("x_place").withColumn("contains", inside)
 
 
+def home_like(pairs: DataFrame, key: str, order: list[Column | str], n: int, most_area: float = 1200.0, most_height: float = 13.0, pool: int = 4) -> DataFrame:
+    """Matches that look like a community's homes (mapped, height_m, area), with their rank.
+
+    Non-residential, tall and very large ones go; of the rest, those of 0.5 to 2 times the upper median
+    area of the nearest pool * n stay.
+    """
+    home = ~F.coalesce(F.col("mapped").isin(NONRESIDENTIAL), F.lit(False)) & (F.col("height_m").isNull() | (F.col("height_m") <= most_height)) & (F.col("area") <= most_area)
+    ranked = pairs.where(home).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    areas = F.array_sort(F.collect_list("area"))
+    middle = ranked.where(F.col("rank") <= pool * n).groupBy(key).agg(F.get(areas, F.floor(F.size(areas) / 2).cast("int")).alias("x_middle"))
+    return ranked.join(middle, key).where(F.col("area").between(0.5 * F.col("x_middle"), 2.0 * F.col("x_middle"))).drop("x_middle")
+
+
 def distinct_on_boxes(pairs: DataFrame, boxes: DataFrame, key: str, what: list[str]) -> DataFrame:
     """How many distinct (what) lie on each box; 0 where none do."""
     counts = pairs.groupBy(key).agg(F.countDistinct(F.struct(*what)).alias("homes"))
