@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import byte_bpe, decontamination, exact_dedup, html_extract, language_id, ngram_join, pii, quality, toxicity, warc
+from helioframe.llm import byte_bpe, chat_format, decontamination, exact_dedup, filter_audit, hard_negatives, html_extract, language_id, ngram_join, pii, quality, toxicity, warc
 from helioframe.llm.shared import shared_dir, table
 
 
@@ -57,6 +57,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.report(chat_format.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -68,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_chat_format": op11_chat_format,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +99,64 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to
         FROM q""",
+    "op11_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        t AS (
+            SELECT *, regexp_replace(text, '([<\[])(~*)(s>|/s>|INST\]|/INST\]|ROLE:|/ROLE\]|text:|image:|audio:|document:)', '\1~\2\3', 'g') AS escaped FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(escaped) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 14 + length(coalesce(role, '')) END)::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
+    "op12_hard_negatives": """
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+            FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT p.anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+        QUALIFY row_number() OVER w <= 5""",
+    "op13_filter_audit": r"""
+        WITH w AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        f AS (
+            SELECT part, (len(words) < 200)::INT AS a, (100 * len(list_distinct(words)) < 50 * len(words))::INT AS b,
+                   (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT AS c, regexp_matches(text, '[#$%&*|]')::INT AS d,
+                   coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS e,
+                   EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1) AS good,
+                   EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1) AS toxic
+            FROM w),
+        m AS (
+            SELECT part, CASE WHEN a = 1 THEN 'A' ELSE '' END || CASE WHEN b = 1 THEN 'B' ELSE '' END || CASE WHEN c = 1 THEN 'C' ELSE '' END
+                   || CASE WHEN d = 1 THEN 'D' ELSE '' END || CASE WHEN e = 1 THEN 'E' ELSE '' END AS failed,
+                   count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM f GROUP BY 1, 2),
+        l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        o AS (
+            SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t
+            WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+        z AS (
+            SELECT part, filter_order, step, filter_order[step] AS letter, n, good, toxic, failed,
+                   len(list_filter(string_split(failed, ''), lambda g: g <> '' AND instr(filter_order[1:step - 1], g) > 0)) > 0 AS before,
+                   instr(failed, filter_order[step]) > 0 AS here
+            FROM m, o, range(1, 6) g(step)),
+        y AS (
+            SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT before AND NOT here), 0) AS kept, coalesce(sum(n) FILTER (NOT before AND here), 0) AS removed,
+                   coalesce(sum(n) FILTER (before AND here), 0) AS redundant, coalesce(sum(n) FILTER (failed = letter), 0) AS unique_fails,
+                   coalesce(sum(good) FILTER (NOT before AND here), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT before AND here), 0) AS toxic_lost
+            FROM z GROUP BY ALL)
+        SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+               good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+        FROM y""",
 }
