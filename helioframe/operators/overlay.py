@@ -18,9 +18,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helioframe.operators.stages import stored
+
 #: Edges of a band, and of a cell, on average.
 BAND_EDGES, CELL_EDGES = 128, 64
-#: Trapezoids narrower than this at both ends are left out.
+#: Trapezoids flatter than this, or narrower at both ends, are left out: edges that are all but level make some.
 SLIVER = 1e-9
 
 
@@ -42,16 +44,17 @@ def edges(shapes: DataFrame, key: list[str], side: Column, rings: Column) -> Dat
     """The edges of shapes: key..., side, x0, y0, x1, y1 (upwards) and w, by how much the region's winding grows across.
 
     rings is an array of rings, each an array of points (x, y), closed or not: the outer ring, then holes, in any
-    direction. Shapes of a key and side are united. Null shapes and rings, and rings of less than three points, have
+    direction. Keys mustn't be named as columns of the edges or the result are, nor start with x_ or k_.
+    Shapes of a key and side are united. Null shapes and rings, and rings of less than three points, have
     no edges; level edges aren't needed.
     """
-    ring = shapes.select(*key, side.alias("side"), F.posexplode(rings).alias("at", "ring")).where(F.size("ring") >= 3)
-    ring = ring.withColumn("ring", oriented(F.col("ring"), F.col("at") > 0))
-    following = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-    one = ring.select(*key, "side", F.explode(F.arrays_zip(F.col("ring").alias("p"), following.alias("q"))).alias("e")).select(*key, "side", "e.p", "e.q")
-    up = F.col("p.y") < F.col("q.y")
-    pick = lambda a, b, c: F.when(up, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}"))
-    return one.where(F.col("p.y") != F.col("q.y")).select(
+    ring = shapes.select(*key, side.alias("side"), F.posexplode(rings).alias("x_at", "x_ring")).where(F.size("x_ring") >= 3)
+    ring = ring.withColumn("x_ring", oriented(F.col("x_ring"), F.col("x_at") > 0))
+    following = F.concat(F.slice("x_ring", 2, F.size("x_ring")), F.slice("x_ring", 1, 1))
+    one = ring.select(*key, "side", F.explode(F.arrays_zip(F.col("x_ring").alias("x_p"), following.alias("x_q"))).alias("x_e")).select(*key, "side", "x_e.x_p", "x_e.x_q")
+    up = F.col("x_p.y") < F.col("x_q.y")
+    pick = lambda a, b, c: F.when(up, F.col(f"x_{a}.{c}")).otherwise(F.col(f"x_{b}.{c}"))
+    return one.where(F.col("x_p.y") != F.col("x_q.y")).select(
         *key, "side", pick("p", "q", "x").alias("x0"), pick("p", "q", "y").alias("y0"), pick("q", "p", "x").alias("x1"), pick("q", "p", "y").alias("y1"), F.when(up, -1).otherwise(1).alias("w")
     )
 
@@ -75,9 +78,9 @@ def banded(edges: DataFrame, key: list[str]) -> DataFrame:
     border = F.col("low") + F.col("step") * F.col("band")
     a = F.when(F.col("band") == 0, F.col("y0")).otherwise(F.greatest("y0", border))
     b = F.when(F.col("band") == F.col("bands") - 1, F.col("y1")).otherwise(F.least("y1", F.col("low") + F.col("step") * (F.col("band") + 1)))
-    rows = rows.withColumn("a", a).withColumn("b", b).where("a < b")
-    cut = rows.select(*key, "band", "side", at(F.col("a")).alias("x0"), F.col("a").alias("y0"), at(F.col("b")).alias("x1"), F.col("b").alias("y1"), "w", "cell", "low", "west")
-    return cut
+    rows = rows.withColumn("x_a", a).withColumn("x_b", b).where("x_a < x_b")
+    ends = {"x0": at(F.col("x_a")), "y0": F.col("x_a"), "x1": at(F.col("x_b")), "y1": F.col("x_b")}
+    return rows.select(*key, "band", "side", *[v.alias(c) for c, v in ends.items()], "w", "cell", "low", "west")
 
 
 def crossings(cut: DataFrame, by: list[str]) -> DataFrame:
@@ -103,7 +106,7 @@ def overlay(edges: DataFrame, key: list[str], wanted: Mapping[str, str] | list[s
     an empty result; keys may be null.
     """
     by = [*key, "band"]
-    cut = banded(edges, key)
+    cut = stored(banded(edges, key))  # read four times
     ends = cut.select(*by, F.explode(F.array("y0", "y1")).alias("y"))
     lines = ends.unionByName(crossings(cut, by)).groupBy(*by).agg(F.array_sort(F.collect_set("y")).alias("ys"))
     lines = lines.select(*[F.col(c).alias(f"k_{c}") for c in by], F.arrays_zip(F.col("ys").alias("a"), F.slice("ys", 2, F.size("ys")).alias("b")).alias("slabs"))
@@ -116,7 +119,7 @@ def overlay(edges: DataFrame, key: list[str], wanted: Mapping[str, str] | list[s
     states = swept.select(*by, "y0", "y1", "xa", "xb", *[(F.col(f"n_{s}") > 0).alias(f"in_{s}") for s in wanted]).withColumn("now", inside)
     changes = states.withColumn("before", F.lag("now", 1, False).over(w)).where("now <> before")
     found = changes.select(*key, "y0", "y1", "now", F.col("xa").alias("xl0"), F.col("xb").alias("xl1"), F.lead("xa").over(w).alias("xr0"), F.lead("xb").over(w).alias("xr1"))
-    return found.where(F.col("now") & ((F.col("xr0") - F.col("xl0") > SLIVER) | (F.col("xr1") - F.col("xl1") > SLIVER))).drop("now")
+    return found.where(F.col("now") & (F.col("y1") - F.col("y0") > SLIVER) & ((F.col("xr0") - F.col("xl0") > SLIVER) | (F.col("xr1") - F.col("xl1") > SLIVER))).drop("now")
 
 
 def trapezoid_area() -> Column:

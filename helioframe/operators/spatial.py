@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helioframe.functions import geometry
+from helioframe.operators import overlay
+
 # Mapped classes that are no homes.
 NONRESIDENTIAL = ["retail", "commercial", "warehouse", "industrial", "office", "supermarket", "manufacture", "service", "parking", "school", "hospital", "church"]
 
@@ -77,3 +80,83 @@ def distinct_on_boxes(pairs: DataFrame, boxes: DataFrame, key: str, what: list[s
     """How many distinct (what) lie on each box; 0 where none do."""
     counts = pairs.groupBy(key).agg(F.countDistinct(F.struct(*what)).alias("homes"))
     return boxes.select(key).join(counts, key, "left").withColumn("homes", F.coalesce("homes", F.lit(0)))
+
+
+def bounds(rings: str) -> dict[str, Column]:
+    """The box of an array of rings, as columns xmin, ymin, xmax, ymax."""
+    values = {c: F.flatten(rings)[c] for c in ("x", "y")}
+    return {f"{c}{e}": f(v) for c, v in values.items() for e, f in (("min", F.array_min), ("max", F.array_max))}
+
+
+def meeting_boxes(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """Rows of a and b whose boxes (b's columns named b_xmin and so on) have a common area; each pair meets in one cell."""
+
+    def celled(df: DataFrame, p: str) -> DataFrame:
+        span = lambda c: F.explode(F.sequence(cell(F.col(f"{p}{c}min"), size), cell(F.col(f"{p}{c}max"), size)))
+        return df.withColumn("x_cx", span("x")).withColumn("x_cy", span("y"))
+
+    pairs = celled(a, "").join(celled(b, "b_"), ["x_cx", "x_cy"])
+    common = (F.col("xmin") < F.col("b_xmax")) & (F.col("b_xmin") < F.col("xmax")) & (F.col("ymin") < F.col("b_ymax")) & (F.col("b_ymin") < F.col("ymax"))
+    first = (F.col("x_cx") == cell(F.greatest("xmin", "b_xmin"), size)) & (F.col("x_cy") == cell(F.greatest("ymin", "b_ymin"), size))
+    return pairs.where(common & first).drop("x_cx", "x_cy")
+
+
+def near_pairs(shapes: DataFrame, key: str, rings: str, others: DataFrame, other_key: str, other_rings: str, size: float) -> DataFrame:
+    """key, other_key and both shapes' rings (rings, b_rings) where their boxes have a common area."""
+    a = shapes.select(key, F.col(rings).alias("rings")).withColumns(bounds("rings"))
+    b = others.select(other_key, F.col(other_rings).alias("b_rings")).withColumns({f"b_{c}": v for c, v in bounds("b_rings").items()})
+    return meeting_boxes(a, b, size).select(key, other_key, "rings", "b_rings")
+
+
+def area_fractions(shapes: DataFrame, key: str, rings: str, zones: DataFrame, zone_key: str, zone_rings: str, size: float) -> DataFrame:
+    """key and fraction: how much of each shape's area lies in the zones, which count once where they overlap.
+
+    Shapes without an area have no fraction (null). size is that of the cells in which shapes and zones meet: about
+    that of a usual zone.
+    """
+    pairs = near_pairs(shapes, key, rings, zones, zone_key, zone_rings, size)
+    own = overlay.edges(shapes, [key], F.lit("shape"), F.col(rings))
+    edges = own.unionByName(overlay.edges(pairs, [key], F.lit("zone"), F.col("b_rings")))
+    covered = overlay.areas(overlay.overlay(edges, [key], ["shape", "zone"], F.col("in_shape") & F.col("in_zone")), [key], "covered")
+    whole = overlay.areas(overlay.overlay(own, [key], ["shape"], F.col("in_shape")), [key], "whole")
+    found = whole.join(covered, key, "left").select(key, (F.coalesce("covered", F.lit(0.0)) / F.col("whole")).alias("fraction"))
+    return shapes.select(key).join(found, key, "left")
+
+
+def mostly_inside(areas: DataFrame, key: str, rings: str, buildings: DataFrame, building_key: str, building_rings: str, size: float, least: float = 0.5) -> DataFrame:
+    """Buildings of which a share of at least least lies in an area: key, building_key, m2, share, rank (largest first).
+
+    A building may lie in several areas; equally large ones rank by their keys.
+    """
+    pairs = near_pairs(areas, key, rings, buildings, building_key, building_rings, size)
+    both = [key, building_key]
+    edges = overlay.edges(pairs, both, F.lit("area"), F.col("rings")).unionByName(overlay.edges(pairs, both, F.lit("building"), F.col("b_rings")))
+    wanted = overlay.overlay(edges, both, ["area", "building"], F.col("in_building")).groupBy(*both)
+    whole = wanted.agg(F.sum(overlay.trapezoid_area()).alias("m2"))
+    shared = overlay.areas(overlay.overlay(edges, both, ["area", "building"], F.col("in_building") & F.col("in_area")), both, "shared")
+    found = whole.join(shared, both).withColumn("share", F.col("shared") / F.col("m2")).where(F.col("share") >= least - 1e-9)
+    return found.select(*both, "m2", "share", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("m2", 6)), building_key)).alias("rank"))
+
+
+def covers(rings: str, x: Column, y: Column) -> Column:
+    """Whether a shape with holes has a point inside."""
+    return F.size(F.filter(rings, lambda r: geometry.contains(r, x, y))) % 2 == 1
+
+
+def first_containing(extras: DataFrame, key: str, rings: str, roofs: DataFrame, roof_key: str, roof_rings: str, order: str, size: float) -> DataFrame:
+    """key and roof_key: of each extra shape the first roof, by order, that has the shape's interior point inside.
+
+    Extras that lie in no roof have a null roof_key (see unowned), as have those without an area.
+    """
+    points = overlay.interior_points(extras, [key], rings).withColumns({"px": F.col("x"), "py": F.col("y")})
+    boxes = roofs.select(roof_key, F.col(order).alias("x_order"), F.col(roof_rings).alias("x_rings")).withColumns(bounds("x_rings"))
+    near = points_near_boxes(points, boxes, 0.0, size).where(covers("x_rings", F.col("px"), F.col("py")))
+    first = near.groupBy(key).agg(F.min_by(roof_key, F.struct("x_order", roof_key)).alias(roof_key))
+    return extras.select(key).join(first, key, "left")
+
+
+def unowned(owned: DataFrame, key: str, roof_key: str) -> None:
+    """Raise for extras outside of all roofs, with the first of their keys."""
+    lost = owned.where(F.col(roof_key).isNull()).orderBy(key).limit(5).collect()
+    if lost:
+        raise ValueError("not inside any roof outline: " + ", ".join(str(r[key]) for r in lost))

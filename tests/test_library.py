@@ -27,37 +27,6 @@ def column_ring(points):
     return F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points))
 
 
-def test_packing_of_a_warehouse_roof():
-    inner, part = (100 - 8) * FT, (200 - 8 - 4) / 2 * FT
-    zone = [rectangle(0, 0, part, inner), rectangle(part + 4 * FT, 0, 2 * part + 4 * FT, inner)]
-    assert len(packing.pack(zone, 2.278, 1.134, 1.154)) == 576
-
-
-def test_packing_of_an_l_shape():
-    shape = np.array([(0, 0), (10, 0), (10, 5), (5, 5), (5, 10), (0, 10)], dtype=float)
-    assert len(packing.pack([shape], 2.0, 1.0, 1.0, gap=0.0)) == 35
-    hole = [rectangle(0, 0, 10, 10), rectangle(4, 4, 6, 6)]
-    assert len(packing.pack(hole, 1.0, 1.0, 1.0, gap=0.0)) == 96
-
-
-def test_free_intervals_agree_with_sampling():
-    rng = np.random.default_rng(5)
-    shape = np.array([(0, 0), (8, 1), (9, 6), (5, 4), (3, 8), (-1, 5)], dtype=float)
-    for _ in range(60):
-        low = rng.uniform(0, 7)
-        found = packing.free_intervals([shape], low, low + 0.8)
-        for x in rng.uniform(-1, 9, 40):
-            inside = all(_inside(shape, x, y) for y in np.linspace(low + 1e-6, low + 0.8 - 1e-6, 41))
-            if inside != any(a < x < b for a, b in found):
-                assert min(abs(x - e) for ab in found for e in ab) < 0.05
-
-
-def _inside(ring, x, y):
-    a, b = ring, np.roll(ring, -1, axis=0)
-    hit = (a[:, 1] > y) != (b[:, 1] > y)
-    return ((a[hit, 0] + (b[hit, 0] - a[hit, 0]) * (y - a[hit, 1]) / (b[hit, 1] - a[hit, 1])) > x).sum() % 2 == 1
-
-
 def test_principal_axes_and_ring_measures(spark):
     turn = math.radians(30)
     ring = rectangle(0, 0, 40, 15) @ np.array([[math.cos(turn), math.sin(turn)], [-math.sin(turn), math.cos(turn)]])
