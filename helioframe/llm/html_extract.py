@@ -8,7 +8,12 @@ the host's is missing from it).
 
 Boilerplate is what stands in navigation, headers and footers of the page, asides, forms, scripts, styles
 and the like, or in elements whose class, id or role names such a part (adverts, sidebars, notices,
-comments, ...).
+comments, ...). A name that only has such a word as a part ("has-sidebar", "legal-news") doesn't count for an
+element that holds all but the whole of the page's remaining text; and if names would leave no text at all, the
+elements with most text are kept in spite of theirs.
+
+Scripts, styles and other raw elements end at their closing tag and never close themselves, whatever their last
+attribute ends with; only svg and math may. Elements that can hold their like end at the matching closing tag.
 
 Attributes are read one by one: `hidden` counts as an attribute of its own (or aria-hidden="true"), not within
 other names or values, and a quote opens a value only after an equals sign. Inline elements that are hidden
@@ -40,16 +45,23 @@ MAX_SENT_CHARACTERS = 8_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select button title".split())
+#: Of these, those that close themselves with a slash, and those that can hold their like.
+FOREIGN = frozenset({"svg", "math"})
+NESTED = FOREIGN | {"noscript", "template", "object", "canvas", "button", "select"}
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINER = frozenset("html body main article section div td blockquote".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
-BOILER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|side-?bar\w*|aside|widgets?|related\w*|recommend\w*|"
+BOILER_WORDS = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|side-?bar\w*|aside|widgets?|related\w*|recommend\w*|"
     r"share|sharing|social\w*|comments?|comment-?list|disqus|respond|repl(?:y|ies)|discussion|cookies?|consent|gdpr|notice\w*|alert\w*|popup\w*|modal|overlay|newsletter\w*|subscri\w*|"
-    r"signup|login|search\w*|pagination|pager|skip|copyright|legal|disclaimer|tags?|toolbar|hidden)(?=$|[\s_-])",
-    re.I,
+    r"signup|login|search\w*|pagination|pager|skip|copyright|legal|disclaimer|tags?|toolbar|hidden)"
 )
+BOILER_NAMES = re.compile(rf"(?:^|[\s_-]){BOILER_WORDS}(?=$|[\s_-])", re.I)
+#: A whole class or id that is such a word.
+BOILER_WHOLE = re.compile(rf"(?:^|\s){BOILER_WORDS}(?=$|\s)", re.I)
+#: An element with a word in its name is kept if the page's other text is less than this share of its own.
+OTHER_TEXT = 0.1
 #: Elements that an opening tag closes if they are open.
 CLOSES = {"p": BLOCK} | {t: frozenset({t}) for t in ("li", "option")} | {"dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"})}
 #: Inline elements whose names are these are left out with their text; other inline names say little.
@@ -101,19 +113,26 @@ class Path:
 
 
 class Element:
-    __slots__ = ("tag", "boiler", "article", "path")
+    """hard: boilerplate by tags, roles or hiding; whole and named: the nearest element around that a whole name, or a part of one, makes suspect."""
+
+    __slots__ = ("tag", "hard", "whole", "named", "outer", "boiler", "article", "path")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str):
         names, role, hidden = attributes(attrs)
-        self.tag = tag
-        self.boiler = bool(
-            (parent is not None and parent.boiler)
+        self.tag, self.boiler = tag, False
+        self.hard = bool(
+            (parent is not None and parent.hard)
             or tag in BOILER_TAGS
             or (tag == "header" and not (parent is not None and parent.article))
             or hidden
             or role in BOILER_ROLES
-            or (names and tag not in ("html", "body", "article", "main") and BOILER_NAMES.search(names))
         )
+        self.whole, self.named, self.outer = (parent.whole, parent.named, parent.named) if parent is not None else (None, None, None)
+        if names and tag not in ("html", "body", "article", "main"):
+            if BOILER_WHOLE.search(names):
+                self.whole = self
+            elif BOILER_NAMES.search(names):
+                self.named = self
         self.article = parent is not None and parent.article
         if parent is None:
             self.path = Path(None, tag)
@@ -125,6 +144,58 @@ class Element:
             self.path = parent.path
 
 
+def judge(page: list[tuple[str, Element]]) -> None:
+    """Settle which elements of a page are boilerplate, by what those with suspect names hold."""
+    outside, own = 0, Counter()
+    for text, e in page:
+        if not e.hard and e.whole is None:
+            if e.named is None:
+                outside += len(text)
+            else:
+                own[e.named] += len(text)
+    most, kept = max(own.values(), default=0), set()
+    for e, size in own.items():
+        if outside < OTHER_TEXT * size and 2 * size >= most:
+            while e is not None and e not in kept:  # with what is around it
+                kept.add(e)
+                e = e.outer
+    clean: dict[Element | None, bool] = {None: True}
+
+    def named_clean(e: Element | None) -> bool:
+        chain = []
+        while e not in clean:
+            chain.append(e)
+            e = e.outer
+        state = clean[e]
+        for x in reversed(chain):
+            state = clean[x] = state and x in kept
+        return state
+
+    for _, e in page:
+        e.boiler = e.hard or e.whole is not None or not named_clean(e.named)
+    if all(e.boiler for _, e in page):
+        sizes: Counter = Counter()
+        for text, e in page:
+            if not e.hard:
+                sizes[e.whole, e.named] += len(text)
+        most = max(sizes.values(), default=0)
+        for _, e in page:
+            e.boiler = e.hard or 2 * sizes[e.whole, e.named] < most
+
+
+def raw_end(html: str, at: int, tag: str) -> int:
+    """Where a raw element whose content begins at a place ends: behind its closing tag, or at the page's end."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(html, at):
+        if m[1]:
+            depth -= 1
+        elif tag in NESTED and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(html)
+
+
 def blocks(html: str) -> list[tuple[str, Element]]:
     """The page's blocks of text in order, with the element each stands in."""
     stack, out, text = [Element("html", None, "")], [], []
@@ -175,9 +246,8 @@ def blocks(html: str) -> list[tuple[str, Element]]:
                     left_out = None
             continue
         if tag in RAW:
-            if not found["attrs"].endswith("/"):
-                stop = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(html, at)
-                at = stop.end() if stop else size
+            if tag not in FOREIGN or not found["attrs"].endswith("/"):
+                at = raw_end(html, at, tag)
             text.append(" ")
         elif tag in VOID:
             if tag == "hr":
@@ -207,6 +277,7 @@ def blocks(html: str) -> list[tuple[str, Element]]:
             if hidden or role in BOILER_ROLES or (names and INLINE_NAMES.search(names)):
                 left_out = [tag, 1, len(stack)]
     end_block()
+    judge(out)
     return out
 
 
