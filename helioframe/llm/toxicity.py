@@ -126,9 +126,15 @@ def matches(folded: str, automaton, plain: str | None = None) -> list[tuple[int,
                 if a not in hits or weight > hits[a][1]:
                     hits[a] = (b, weight)
     out = sorted((a, b, w) for a, (b, w) in hits.items())
-    if excused:
-        out = [(a, b, w) for a, b, w in out if not any(x <= a and b <= y for x, y in excused)]
-    return out
+    # one sweep: reach is how far the exceptions reach that begin at a match or before it
+    excused.sort()
+    kept, reach, i = [], 0, 0
+    for a, b, w in out:
+        while i < len(excused) and excused[i][0] <= a:
+            reach, i = max(reach, excused[i][1]), i + 1
+        if b > reach:
+            kept.append((a, b, w))
+    return kept
 
 
 def _wordy(c: str) -> bool:
