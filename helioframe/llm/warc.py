@@ -36,6 +36,16 @@ def record_urn(page_id: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12))
 
 
+def one_line(text: Column) -> Column:
+    """Text without line ends, which become %0D and %0A; what looks like one of these gets a 25 after its %."""
+    return F.replace(F.replace(F.regexp_replace(text, "%((?:25)*0[AD])", "%25$1"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def as_before(line: Column) -> Column:
+    """The text of one_line."""
+    return F.regexp_replace(F.replace(F.replace(line, F.lit("%0D"), F.lit("\r")), F.lit("%0A"), F.lit("\n")), "%25((?:25)*0[AD])", "%$1")
+
+
 def header_block(page_id: Column, url: Column, kind: Column, refers_to: Column, sha1: Column, length: Column) -> Column:
     """The header lines of a record, ended by an empty line."""
     def line(name: str, value: Column) -> Column:
@@ -48,13 +58,13 @@ def header_block(page_id: Column, url: Column, kind: Column, refers_to: Column,
         line("WARC-Type", kind),
         line("WARC-Record-ID", F.concat(F.lit("<"), record_urn(page_id), F.lit(">"))),
         F.lit(f"WARC-Date: {EPOCH}{CRLF}"),
-        line("WARC-Target-URI", F.regexp_replace(url, r"[\r\n]", "")),
-        line("X-Page-ID", page_id.cast("string")),
+        line("WARC-Target-URI", one_line(url)),
+        line("X-Page-ID", one_line(page_id.cast("string"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
         line("X-Payload-Length", length.cast("string")),
         F.when(revisit, F.lit(f"WARC-Profile: {REVISIT_PROFILE}{CRLF}")),
         F.when(revisit, line("WARC-Refers-To", F.concat(F.lit("<"), record_urn(refers_to), F.lit(">")))),
-        F.when(revisit, line("X-Refers-To-Page-ID", refers_to.cast("string"))),
+        F.when(revisit, line("X-Refers-To-Page-ID", one_line(refers_to.cast("string")))),
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(length).cast("string")),
         F.lit(CRLF),
     )
@@ -110,7 +120,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
     response = field("WARC-Type") == "response"
     rows = read.select(
-        field("X-Page-ID").cast(kind).alias("page_id"), field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("url"), field("X-Refers-To-Page-ID").cast(kind).alias("refers_to"),
+        as_before(field("X-Page-ID")).cast(kind).alias("page_id"), field("WARC-Type").alias("record_type"), as_before(field("WARC-Target-URI")).alias("url"), as_before(field("X-Refers-To-Page-ID")).cast(kind).alias("refers_to"),
         F.concat("header", F.when(response, F.col("payload")).otherwise(F.lit(b"")), F.lit(b"\r\n\r\n")).alias("record"), "payload", "sha1", F.col("a_bytes").alias("length"),
         ((F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "") == F.col("sha1")) & (field("X-Payload-Length").cast("long") == F.col("a_bytes"))).alias("agrees"),
     )
