@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helioframe.operators import quantiles
+from helioframe.operators.stages import stored
 
 MIN_SAMPLES = 5
 TOLERANCE = 0.10
@@ -29,11 +30,27 @@ def accuracy(samples: DataFrame, predicted: str, true: str, by: list[str], toler
     return found.select(*by, "n", "within", "median_abs", "mean_abs", "median_signed", "p90_abs")
 
 
+def ratios(samples: DataFrame, predicted: str, true: str, key: str, *more: str) -> DataFrame:
+    """A long form of the ratios true / predicted: by key as column `segment`, and again without it as `global`."""
+    rows = samples.where((F.col(predicted) > 0) & (F.col(true) > 0)).select(key, *more, (F.col(true) / F.col(predicted)).alias("v"))
+    both = F.array(F.struct(F.col(key).alias("key"), F.lit("segment").alias("c")), F.struct(F.lit(None).alias("key"), F.lit("global").alias("c")))
+    return rows.withColumn("x", F.explode(both)).select("x.key", "x.c", *more, "v")
+
+
+def medians(long: DataFrame, tests: str | None = None) -> DataFrame:
+    """key, test, c, n and factor: the medians of ratios of each key and of all."""
+    ranks = {c: quantiles.median_ranks("m") for c in ("segment", "global")}
+    by = ["key", "test"] if tests else ["key"]
+    found = quantiles.selected(long, ["key"], ranks, tests)
+    return found.groupBy(*by, "c").agg(F.max("n").alias("n"), (F.sum("value") / F.count("*")).alias("factor"))
+
+
 def fit(samples: DataFrame, predicted: str, true: str, key: str, min_samples: int = MIN_SAMPLES) -> tuple[DataFrame, float | None]:
     """Median ratio true / predicted per key with at least min_samples, and of all samples."""
-    ratios = samples.where((F.col(predicted) > 0) & (F.col(true) > 0)).withColumn("ratio", F.col(true) / F.col(predicted))
-    factors = ratios.groupBy(key).agg(F.median("ratio").alias("factor"), F.count("*").alias("n")).where(F.col("n") >= min_samples)
-    return factors, quantiles.median(ratios, "ratio")
+    found = stored(medians(stored(ratios(samples, predicted, true, key))))
+    overall = found.where("c = 'global'").first()
+    factors = found.where((F.col("c") == "segment") & (F.col("n") >= min_samples)).select(F.col("key").alias(key), "factor", "n")
+    return factors, None if overall is None else overall["factor"]
 
 
 def with_factor(rows: DataFrame, factors: DataFrame, overall: float | None, key: str) -> DataFrame:
@@ -53,15 +70,15 @@ def fold(ordinal: str, folds: int) -> Column:
 
 def cross_validate(samples: DataFrame, predicted: str, true: str, key: str, ordinal: str, folds: int = 5, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """samples with their fold and the prediction calibrated on all other folds."""
-    rows = samples.withColumn("fold", fold(ordinal, folds))
-    ratios = rows.where((F.col(predicted) > 0) & (F.col(true) > 0)).withColumn("ratio", F.col(true) / F.col(predicted))
-    # each row trains every fold but its own
-    train = ratios.withColumn("test", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)).cast("array<bigint>"), F.array(F.col("fold").cast("bigint")))))
-    factors = train.groupBy("test", key).agg(F.median("ratio").alias("factor"), F.count("*").alias("n")).where(F.col("n") >= min_samples)
-    overall = {k: quantiles.median(ratios.where(F.col("fold") != k), "ratio") for k in range(folds)}
-    default = F.coalesce(*(F.when(F.col("fold") == k, F.lit(v)) for k, v in overall.items()))
-    joined = rows.join(factors.select(F.col("test").alias("fold"), key, "factor"), ["fold", key], "left")
-    return joined.select(*samples.columns, "fold", (F.col(predicted) * F.coalesce("factor", default, F.lit(1.0))).alias("calibrated"))
+    rows = samples.withColumn("fold", fold(ordinal, folds).cast("int"))
+    # a row counts for every fold but its own
+    others = F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold"))
+    long = stored(ratios(rows.withColumn("tests", others), predicted, true, key, "tests"))
+    found = stored(medians(long, "tests"))
+    own = found.where((F.col("c") == "segment") & (F.col("n") >= min_samples)).select(F.col("test").alias("fold"), F.col("key").alias(key), "factor")
+    overall = found.where("c = 'global'").select(F.col("test").alias("fold"), F.col("factor").alias("x_overall"))  # a row per fold
+    joined = rows.join(own, ["fold", key], "left").join(F.broadcast(overall), "fold", "left")
+    return joined.select(*samples.columns, "fold", (F.col(predicted) * F.coalesce("factor", "x_overall", F.lit(1.0))).alias("calibrated"))
 
 
 def auto_accept(rows: DataFrame, predicted: str, true: str, needs_review: Column, by: list[str]) -> DataFrame:

@@ -1,56 +1,23 @@
-"""Exact order statistics without gathering a column in one task."""
+"""Exact order statistics of groups of any size, all groups, columns and ranks in the same passes.
+
+Three passes count values: in buckets of equal ratio, within the bucket that a rank falls into in cells of equal
+width, and within that cell value by value. Counts are combined map-side, so what a pass shuffles are counts, and the
+rows of the brackets that are still open; no group's values are gathered, and nothing comes to the driver.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A bracket of at most so many rows is sorted on the driver; of brackets of groups, all together.
-MOST_COLLECTED = 10_000
-BUCKETS = 1024
-#: With more groups than this, ranks_by sorts each group in a window.
-MOST_GROUPS = 1000
-
-
-def order_statistics(df: DataFrame, value: str, ranks: list[int]) -> list[float]:
-    """The values at 0-based ranks of a whole column of doubles (nulls left out).
-
-    Each pass counts rows in BUCKETS ranges of a bracket and goes on with the range that holds the rank,
-    so a pass shuffles BUCKETS rows per task at most, whatever the size of the table.
-    """
-    rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
-    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
-    out = []
-    for rank in ranks:
-        a, b, left, inside = low, high, rank, n
-        while inside > MOST_COLLECTED and a < b:
-            width = (b - a) / BUCKETS
-            if width == 0 or a + width == a:
-                break
-            cell = F.least(F.floor((F.col("v") - a) / width), F.lit(BUCKETS - 1))
-            found = rows.where(F.col("v").between(a, b)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("c").collect()
-            for r in found:
-                if left < r["n"]:
-                    a, b, inside = r["lo"], r["hi"], r["n"]
-                    break
-                left -= r["n"]
-        if a == b:
-            out.append(a)
-        else:
-            out.append(sorted(r["v"] for r in rows.where(F.col("v").between(a, b)).collect())[left])
-    return out
-
+from helioframe.operators.stages import stored
 
-def median(df: DataFrame, value: str) -> float | None:
-    """The interpolating median of a whole column, or None if it has no value."""
-    n = df.select(F.count(value)).first()[0]
-    if not n:
-        return None
-    lo, hi = order_statistics(df, value, [(n - 1) // 2, n // 2])
-    return (lo + hi) / 2
+#: Buckets of a doubling in the first pass, cells of a bucket in the second.
+PER_DOUBLING, CELLS = 64, 4096
 
 
 def at_rank(df: DataFrame, by: list[str], value: str, rank: Column, name: str) -> DataFrame:
@@ -65,71 +32,80 @@ def same(by: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in by), F.lit(True))
 
 
-def ranks_by(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """Per group, the values at named 0-based ranks, each computed from the group's size `n` (nulls left out).
+def long_form(rows: DataFrame, by: list[str], values: Mapping[str, str], more: list[str] | None = None) -> DataFrame:
+    """by..., more..., c and v: the values of several columns (c: its name here, v: the value) below each other, nulls left out."""
+    each = F.array(*[F.struct(F.lit(c).alias("c"), F.col(v).cast("double").alias("v")) for c, v in values.items()])
+    return rows.select(*by, *(more or []), F.explode(each).alias("x")).select(*by, *(more or []), "x.c", "x.v").where("v is not null")
+
+
+def bucket(v: Column) -> Column:
+    """A number that never falls as v grows; NaN comes last, as in Spark's order."""
+    size = F.floor(F.log2(F.abs(v)) * PER_DOUBLING) + 100_000.0
+    return F.when(F.isnan(v), 1e9).when(v == 0, 0.0).when(F.abs(v) == math.inf, F.signum(v) * 1e8).otherwise(F.signum(v) * size)
+
+
+def placed(counts: DataFrame, key: list[str], order: str) -> DataFrame:
+    """counts with below: how many values of the key come before."""
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumn("below", F.sum("m").over(w) - F.col("m"))
 
-    As order_statistics does for one column, each pass counts rows in ranges of every group's brackets, so that
-    a group may be as large as the table. Groups are for a report: up to MOST_GROUPS have their brackets on the
-    driver; more of them are sorted group by group in windows that spill.
+
+def selected(long: DataFrame, by: list[str], ranks: Mapping[str, Mapping[str, Column]], tests: str | None = None) -> DataFrame:
+    """by..., c, n (how many values), name and value: for each column c of a long form, the values at named ranks.
+
+    A rank is 0-based and computed from n. With tests, the name of an array column of long, a row counts in every group
+    of its array, whose name comes as column test: what is counted is multiplied, not the rows. Groups may be null.
     """
-    rows = df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null").persist()
-    try:
-        finite = F.when(~F.isnan("v") & (F.abs("v") < math.inf), F.col("v"))
-        sizes = rows.groupBy(*by).agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count("*").alias("n"))
-        groups = sizes.withColumns({f"rank_{k}": r.cast("bigint") for k, r in ranks.items()}).limit(MOST_GROUPS + 1).collect()
-        if len(groups) <= MOST_GROUPS:
-            return df.sparkSession.createDataFrame(*_ranks_of(rows, by, groups, list(ranks)))
-    finally:
-        rows.unpersist()
-    w = Window.partitionBy(*by)
-    placed = rows.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("v")) - 1)
-    return placed.groupBy(*by).agg(*(F.max(F.when(F.col("place") == r, F.col("v"))).alias(k) for k, r in ranks.items()))
-
-
-def _ranks_of(rows: DataFrame, by: list[str], groups: list, names: list[str]) -> tuple[list[tuple], str]:
-    """Rows and schema of ranks_by. A bracket is (group, lowest, highest value, rows below, rows inside)."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in by)
-    found, wanted = {}, {}
-    for g, r in enumerate(groups):
-        for k in names:
-            wanted[g, k] = (g, -math.inf if r["lo"] is None else r["lo"], math.inf if r["hi"] is None else r["hi"], 0, r["n"])
-    first = True
-    while wanted:
-        brackets = sorted({b for b in wanted.values()})
-        fine = max(16, min(BUCKETS, 64 * BUCKETS // len(brackets)))
-        # the rows of small brackets, and of those too narrow to cut, are counted value by value
-        least, split = max(16, MOST_COLLECTED // len(brackets)), []
-        for i, (g, a, b, _, inside) in enumerate(brackets):
-            width = b / fine - a / fine
-            split.append((*(groups[g][c] for c in by), i, a, b, width if inside > least and 0 < width < math.inf and a + width > a else None))
-        table = rows.sparkSession.createDataFrame(split, f"{schema}, i int, a double, b double, width double").withColumnsRenamed({c: f"g_{c}" for c in by})
-        # values that are no number or infinite only meet the first brackets and have cells of their own
-        inside = F.col("v").between(F.col("a"), F.col("b")) | F.lit(first)
-        cell = F.when(F.isnan("v"), float(fine + 1)).when(F.col("v") == math.inf, float(fine)).when(F.col("v") == -math.inf, -1.0)
-        cell = cell.otherwise(F.least(F.floor((F.col("v") - F.col("a")) / F.col("width")), F.lit(fine - 1)).cast("double"))
-        key = F.when(F.col("width").isNull(), F.col("v")).otherwise(cell)
-        joined = rows.join(F.broadcast(table), same(by) & inside)
-        cells = joined.groupBy("i", key.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("i", "c").collect()
-        at: dict[int, list] = {}
-        for r in cells:
-            at.setdefault(r["i"], []).append(r)
-        place = {b: i for i, b in enumerate(brackets)}
-        for (g, k), bracket in list(wanted.items()):
-            below, rank = bracket[3], groups[g][f"rank_{k}"]
-            for r in at[place[bracket]]:
-                if rank < below + r["n"]:
-                    if r["lo"] == r["hi"] or math.isnan(r["lo"]):
-                        found[g, k] = r["lo"]
-                        del wanted[g, k]
-                    else:
-                        wanted[g, k] = (g, r["lo"], r["hi"], below, r["n"])
-                    break
-                below += r["n"]
-            else:
-                raise ValueError(f"no rank {rank} in a group of {groups[g]['n']} rows")
-        first = False
-    out = [(*(r[c] for c in by), *(found[g, k] for k in names)) for g, r in enumerate(groups)]
-    return out, f"{schema}, " + ", ".join(f"`{k}` double" for k in names)
+    own = [*by, "c"]
+    raw = long.groupBy(*own, *([tests] if tests else []), bucket(F.col("v")).alias("b")).agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    if tests:
+        own = [*by, "test", "c"]
+        raw = raw.withColumn("test", F.explode(tests)).groupBy(*own, "b").agg(F.sum("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    wanted = reduce(lambda rest, c: F.when(F.col("c") == c, F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks[c].items()])).otherwise(rest), ranks, F.lit(None))
+    counts = placed(raw.withColumn("n", F.sum("m").over(Window.partitionBy(*own))), own, "b").withColumn("r", F.explode(wanted))
+    here = (F.col("below") <= F.col("r.rank")) & (F.col("r.rank") < F.col("below") + F.col("m"))
+    brackets = counts.where(here).select(*own, "n", "r.name", (F.col("r.rank") - F.col("below")).alias("rest"), "lo", "hi")
+
+    def inside(brackets: DataFrame, cell: Column) -> DataFrame:
+        """The counts of each bracket's cells, and where the rank is among them."""
+        named = brackets.withColumnsRenamed({c: f"k_{c}" for c in own})
+        match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in own if c != "test"])
+        if tests:
+            match &= F.array_contains(tests, F.col("k_test"))
+        key = [*(f"k_{c}" for c in own), "n", "name", "rest"]
+        met = long.join(named, match & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        found = met.groupBy(*key, cell.alias("b")).agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        found = placed(found, key, "b").where((F.col("below") <= F.col("rest")) & (F.col("rest") < F.col("below") + F.col("m")))
+        return found.select(*[F.col(f"k_{c}").alias(c) for c in own], "n", "name", (F.col("rest") - F.col("below")).alias("rest"), F.col("low").alias("lo"), F.col("high").alias("hi"))
+
+    width = F.col("hi") - F.col("lo")
+    cell = F.when((F.abs(F.col("lo")) < math.inf) & (width > 0), F.floor((F.col("v") - F.col("lo")) / (width / CELLS)).cast("double")).otherwise(0.0)
+    last = inside(inside(brackets, cell), F.col("v"))
+    return last.select(*own, "n", "name", F.col("lo").alias("value"))
+
+
+def wide(found: DataFrame, by: list[str], ranks: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """A row per group with n_<c> and the columns <c>_<name> of selected."""
+    at = lambda c, k: F.max(F.when((F.col("c") == c) & (F.col("name") == k), F.col("value"))).alias(f"{c}_{k}")
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("c") == c, F.col("n"))).alias(f"n_{c}") for c in ranks], *[at(c, k) for c in ranks for k in ranks[c]])
+
+
+def ranks_by(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Per group, the values at named 0-based ranks, each computed from the group's size n (nulls left out)."""
+    found = wide(selected(long_form(df, by, {"v": value}), by, {"v": ranks}), by, {"v": ranks})
+    return found.select(*by, *[F.col(f"v_{k}").alias(k) for k in ranks])
+
+
+def order_statistics(df: DataFrame, value: str, ranks: list[int]) -> list[float]:
+    """The values at 0-based ranks of a whole column of doubles (nulls left out)."""
+    found = ranks_by(df, [], value, {f"r{k}": F.lit(k) for k in set(ranks)}).first()
+    return [found[f"r{k}"] for k in ranks]
+
+
+def median(df: DataFrame, value: str) -> float | None:
+    """The interpolating median of a whole column, or None if it has no value."""
+    found = ranks_by(df, [], value, median_ranks("m")).first()
+    return None if found is None or found["m_lo"] is None else (found["m_lo"] + found["m_hi"]) / 2
 
 
 def median_ranks(name: str) -> dict[str, Column]:
@@ -139,12 +115,12 @@ def median_ranks(name: str) -> dict[str, Column]:
 
 def with_medians(base: DataFrame, df: DataFrame, by: list[str], values: dict[str, str], more: dict[str, dict[str, Column]] | None = None) -> DataFrame:
     """base (a row per group) with medians of df's value columns, and with `more` values at ranks: column to names and ranks."""
-    for name, value in values.items():
-        extra = (more or {}).get(value, {})
-        got = ranks_by(df, by, value, median_ranks("x") | extra)
-        got = got.select(*(F.col(c).alias(f"g_{c}") for c in by), ((F.col("x_lo") + F.col("x_hi")) / 2).alias(name), *extra)
-        base = base.join(got, same(by), "left").drop(*(f"g_{c}" for c in by))
-    return base
+    ranks = {name: median_ranks("x") | (more or {}).get(value, {}) for name, value in values.items()}
+    long = stored(long_form(df, by, values))
+    got = wide(selected(long, by, ranks), by, ranks)
+    medians = [((F.col(f"{name}_x_lo") + F.col(f"{name}_x_hi")) / 2).alias(name) for name in values]
+    got = got.select(*(F.col(c).alias(f"g_{c}") for c in by), *medians, *[F.col(f"{name}_{k}").alias(k) for name, value in values.items() for k in (more or {}).get(value, {})])
+    return base.join(got, same(by), "left").drop(*(f"g_{c}" for c in by))
 
 
 def upper_median_rank() -> Column:

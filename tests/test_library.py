@@ -67,8 +67,7 @@ def test_interpolation(spark):
     assert got[("MAIN", 120.0)] == pytest.approx(-118.002) and got[("MAIN", 140.0)] == -118.004 and got[("MAIN", 500.0)] is None and got[("OAK", 1.0)] is None
 
 
-def test_order_statistics(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "MOST_COLLECTED", 5)
+def test_order_statistics(spark):
     df = spark.range(1000).select((F.pmod(F.xxhash64("id"), F.lit(400)) / 7).alias("v"))
     xs = sorted(r["v"] for r in df.collect())
     assert quantiles.order_statistics(df, "v", [0, 17, 500, 999]) == [xs[0], xs[17], xs[500], xs[999]]
@@ -76,7 +75,6 @@ def test_order_statistics(spark, monkeypatch):
 
 
 def test_ranks_of_large_groups_by_bucket_counts(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "MOST_COLLECTED", 5)
     rng = np.random.default_rng(3)
     rows = [("wide", float(x)) for x in np.exp(rng.normal(0, 9, 900))] + [("ties", float(x)) for x in rng.integers(0, 3, 901)] + [(None, float(x)) for x in rng.normal(size=40)]
     rows += [("odd", x) for x in (math.inf, -math.inf, math.nan, 1.0, 2.0, -3.0, 2.0)] + [("ties", None)]
@@ -86,8 +84,9 @@ def test_ranks_of_large_groups_by_bucket_counts(spark, monkeypatch):
     for g in ("wide", "ties", None, "odd"):
         xs = sorted((x for k, x in rows if k == g and x is not None), key=lambda x: (math.isnan(x), x))
         expected[g] = (xs[(len(xs) - 1) // 2], xs[len(xs) // 2], xs[round(0.9 * (len(xs) - 1))])
-    for most in (1000, 2):  # bucket counts; windows
-        monkeypatch.setattr(quantiles, "MOST_GROUPS", most)
+    for per_doubling, cells in ((64, 4096), (1, 2)):
+        monkeypatch.setattr(quantiles, "PER_DOUBLING", per_doubling)
+        monkeypatch.setattr(quantiles, "CELLS", cells)
         assert {r["g"]: tuple(r)[1:] for r in quantiles.ranks_by(df, ["g"], "v", ranks).collect()} == expected
     assert quantiles.ranks_by(df.limit(0), ["g"], "v", ranks).collect() == []
 
