@@ -170,3 +170,15 @@ def j8_first_containing(spark, sf_dir):
     """The roof that each drawn shape belongs to: the first that has the shape's interior point inside."""
     zones, panels = zones_and_panels(spark, sf_dir)
     return spatial.first_containing(panels, "c_custkey", "rings", zones, "s_suppkey", "rings", "s_suppkey", 30.0)
+
+
+@query("g1_geodesic_round_trip", """
+    SELECT vec_id, round(embedding[1]::DOUBLE * 100000)::DOUBLE AS x, round(embedding[2]::DOUBLE * 100000)::DOUBLE AS y FROM embeddings""")
+def g1_geodesic_round_trip(spark, sf_dir):
+    """Metres to degrees and back, up to some 50 km away, at latitudes all over the globe: exact to a millimetre."""
+    e = table(spark, sf_dir, "embeddings")
+    x, y = (F.round(F.col("embedding")[i].cast("double") * 100000) for i in (0, 1))
+    lon0, lat0 = (F.col("vec_id") * 31 % 360 - 180).cast("double"), (F.col("vec_id") * 17 % 161 - 80).cast("double")
+    there = e.select("vec_id", lon0.alias("lon0"), lat0.alias("lat0"), geometry.geodesic_lonlat(x, y, lon0, lat0).alias("p"))
+    back = there.select("vec_id", geometry.geodesic_xy(F.col("p.lon"), F.col("p.lat"), F.col("lon0"), F.col("lat0")).alias("q"))
+    return back.select("vec_id", (F.round("q.x", 3) + 0.0).alias("x"), (F.round("q.y", 3) + 0.0).alias("y"))

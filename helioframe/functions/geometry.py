@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,82 @@ def local_xy(lon: Column, lat: Column, lon0: Column, lat0: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
+#: Steps of the geodesic series; each gains three digits or more.
+STEPS = 8
+FLATTENING = 1 - math.sqrt(1 - E2)
+SEMI_MINOR = SEMI_MAJOR * (1 - FLATTENING)
+
+
+def _series(cos2_alpha: Column) -> tuple[Column, Column]:
+    """The two coefficients of the arc length along a geodesic, by its azimuth at the equator."""
+    u2 = cos2_alpha * (E2 / (1 - E2))
+    return 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))), u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
+
+
+def _arc_correction(b: Column, sin_s: Column, cos_s: Column, mid: Column) -> Column:
+    return b * sin_s * (mid + b / 4 * (cos_s * (2 * mid * mid - 1) - b / 6 * mid * (4 * sin_s * sin_s - 3) * (4 * mid * mid - 3)))
+
+
+def geodesic_xy(lon: Column, lat: Column, lon0: Column, lat0: Column) -> Column:
+    """Metres east and north of (lon0, lat0), azimuthal equidistant, exact to below 1 mm up to a few thousand km.
+
+    The distance and direction of the geodesic, by a fixed number of steps of its series on the auxiliary sphere.
+    """
+    u1, u2 = (F.atan((1 - FLATTENING) * F.tan(F.radians(p))) for p in (lat0, lat))
+    known = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon - lon0).alias("l"))
+
+    def values(k: Column, turn: Column) -> dict[str, Column]:
+        a, b = k["c2"] * F.sin(turn), k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(turn)
+        sin_s, cos_s = F.hypot(a, b), k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(turn)
+        sin_alpha = k["c1"] * k["c2"] * F.sin(turn) / F.greatest(sin_s, F.lit(1e-300))
+        cos2 = F.greatest(1 - sin_alpha * sin_alpha, F.lit(1e-300))
+        return {"a": a, "b": b, "sin_s": sin_s, "cos_s": cos_s, "sin_alpha": sin_alpha, "cos2": cos2, "mid": cos_s - 2 * k["s1"] * k["s2"] / cos2}
+
+    def state(k: Column, turn: Column) -> Column:
+        return F.struct(k.alias("k"), *[v.alias(c) for c, v in values(k, turn).items()])
+
+    def step(x: Column, _: Column) -> Column:
+        c = FLATTENING / 16 * x["cos2"] * (4 + FLATTENING * (4 - 3 * x["cos2"]))
+        sigma = F.atan2(x["sin_s"], x["cos_s"])
+        turn = x["k"]["l"] + (1 - c) * FLATTENING * x["sin_alpha"] * (sigma + c * x["sin_s"] * (x["mid"] + c * x["cos_s"] * (2 * x["mid"] * x["mid"] - 1)))
+        return state(x["k"], turn)
+
+    def xy(x: Column) -> Column:
+        big, small = _series(x["cos2"])
+        long = SEMI_MINOR * big * (F.atan2(x["sin_s"], x["cos_s"]) - _arc_correction(small, x["sin_s"], x["cos_s"], x["mid"]))
+        span = F.greatest(x["sin_s"], F.lit(1e-300))  # the sine and cosine of the azimuth are a / span and b / span
+        return F.struct((long * x["a"] / span).alias("x"), (long * x["b"] / span).alias("y"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), state(known, known["l"]), step, xy)
+
+
+def geodesic_lonlat(x: Column, y: Column, lon0: Column, lat0: Column) -> Column:
+    """The point (lon, lat) so many metres east and north of (lon0, lat0): the inverse of geodesic_xy."""
+    u1, long = F.atan((1 - FLATTENING) * F.tan(F.radians(lat0))), F.hypot(x, y)
+    sin_a, cos_a = (F.when(long > 0, v / F.greatest(long, F.lit(1e-300))).otherwise(n) for v, n in ((x, 0.0), (y, 1.0)))
+    sin_alpha = F.cos(u1) * sin_a
+    big, small = _series(1 - sin_alpha * sin_alpha)
+    known = F.struct(
+        F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), sin_a.alias("sa"), cos_a.alias("ca"), sin_alpha.alias("sin_alpha"), F.atan2(F.tan(u1), cos_a).alias("start"), small.alias("small"), (long / (SEMI_MINOR * big)).alias("first"), lon0.alias("lon0")
+    )
+
+    def step(s: Column, _: Column) -> Column:
+        k, sigma = s["k"], s["sigma"]
+        return F.struct(k.alias("k"), (k["first"] + _arc_correction(k["small"], F.sin(sigma), F.cos(sigma), F.cos(2 * k["start"] + sigma))).alias("sigma"))
+
+    def lonlat(s: Column) -> Column:
+        k, sin_s, cos_s, mid = s["k"], F.sin(s["sigma"]), F.cos(s["sigma"]), F.cos(2 * s["k"]["start"] + s["sigma"])
+        across = k["s1"] * sin_s - k["c1"] * cos_s * k["ca"]
+        lat = F.atan2(k["s1"] * cos_s + k["c1"] * sin_s * k["ca"], (1 - FLATTENING) * F.hypot(k["sin_alpha"], across))
+        turn = F.atan2(sin_s * k["sa"], k["c1"] * cos_s - k["s1"] * sin_s * k["ca"])
+        cos2 = 1 - k["sin_alpha"] * k["sin_alpha"]
+        c = FLATTENING / 16 * cos2 * (4 + FLATTENING * (4 - 3 * cos2))
+        turn = turn - (1 - c) * FLATTENING * k["sin_alpha"] * (s["sigma"] + c * sin_s * (mid + c * cos_s * (2 * mid * mid - 1)))
+        return F.struct((k["lon0"] + F.degrees(turn)).alias("lon"), F.degrees(lat).alias("lat"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(known.alias("k"), known["first"].alias("sigma")), step, lonlat)
+
+
 def rotated(ring: Column, degrees: Column) -> Column:
     c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
     return F.transform(ring, lambda p: F.struct((p["x"] * c - p["y"] * s).alias("x"), (p["x"] * s + p["y"] * c).alias("y")))

@@ -40,3 +40,16 @@ def test_first_roof_of_a_shape(spark):
     with pytest.raises(ValueError, match="3"):
         spatial.unowned(owned, "k", "roof")
     spatial.unowned(owned.where("k <> 3"), "k", "roof")
+
+
+def test_geodesics(spark):
+    from pyspark.sql import functions as F
+
+    from helioframe.functions import geometry
+
+    at = lambda lon, lat, lon0, lat0: geometry.geodesic_xy(*map(F.lit, (lon, lat, lon0, lat0)))
+    r = spark.range(1).select(at(1.0, 0.0, 0.0, 0.0).alias("equator"), at(7.0, 46.0, 7.0, 45.0).alias("meridian"), at(7.0, 45.0, 7.0, 45.0).alias("same"), at(-118.24, 34.06, -118.25, 34.05).alias("near"), geometry.local_xy(*map(F.lit, (-118.24, 34.06, -118.25, 34.05))).alias("plain")).first()
+    # known lengths: a degree of the equator, and of a meridian from 45 to 46 degrees
+    assert r["equator"]["x"] == pytest.approx(111319.4908, abs=1e-3) and abs(r["equator"]["y"]) < 1e-6
+    assert r["meridian"]["y"] == pytest.approx(111141.548, abs=0.01) and (r["same"]["x"], r["same"]["y"]) == (0, 0)
+    assert r["near"]["x"] == pytest.approx(r["plain"]["x"], abs=1e-3) and r["near"]["y"] == pytest.approx(r["plain"]["y"], abs=1e-3)
