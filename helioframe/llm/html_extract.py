@@ -10,7 +10,7 @@ Boilerplate is what stands in navigation, headers and footers of the page, aside
 and the like, or in elements whose class, id or role names such a part (adverts, sidebars, notices,
 comments, ...). A name that only has such a word as a part ("has-sidebar", "legal-news") doesn't count for an
 element that holds all but the whole of the page's remaining text; and if names would leave no text at all, the
-elements with most text are kept in spite of theirs.
+elements with most text are kept in spite of theirs, if that is 200 code points or more.
 
 Scripts, styles and other raw elements end at their closing tag and never close themselves, whatever their last
 attribute ends with; only svg and math may. Elements that can hold their like end at the matching closing tag.
@@ -58,8 +58,10 @@ BOILER_WORDS = (
     r"signup|login|search\w*|pagination|pager|skip|copyright|legal|disclaimer|tags?|toolbar|hidden)"
 )
 BOILER_NAMES = re.compile(rf"(?:^|[\s_-]){BOILER_WORDS}(?=$|[\s_-])", re.I)
-#: A whole class or id that is such a word.
-BOILER_WHOLE = re.compile(rf"(?:^|\s){BOILER_WORDS}(?=$|\s)", re.I)
+#: A whole class or id that is such a word, with a number or without.
+BOILER_WHOLE = re.compile(rf"(?:^|\s){BOILER_WORDS}(?:[_-]?\d+)?(?=$|\s)", re.I)
+#: Where names leave no text, what stands under a whole name is kept from so many code points on.
+LEAST_KEPT = 200
 #: An element with a word in its name is kept if the page's other text is less than this share of its own.
 OTHER_TEXT = 0.1
 #: Elements that an opening tag closes if they are open.
@@ -179,8 +181,9 @@ def judge(page: list[tuple[str, Element]]) -> None:
             if not e.hard:
                 sizes[e.whole, e.named] += len(text)
         most = max(sizes.values(), default=0)
-        for _, e in page:
-            e.boiler = e.hard or 2 * sizes[e.whole, e.named] < most
+        if most >= LEAST_KEPT:
+            for _, e in page:
+                e.boiler = e.hard or 2 * sizes[e.whole, e.named] < most
 
 
 def raw_end(html: str, at: int, tag: str) -> int:
