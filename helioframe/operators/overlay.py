@@ -6,15 +6,18 @@ to right tells where the wanted combination of regions begins and ends. The resu
 
     key..., y0, y1 (the slab), xl0, xl1 (the left side at y0 and y1), xr0, xr1 (the right side)
 
-Keys with many edges are cut into bands of y, and crossings are looked for in cells, so that a key may be large:
-no key's edges are gathered, and the slabs of a band only span that band.
+Keys of at most SMALL edges are gathered, and each is swept where it lies (swept), which moves every edge once. Keys
+with more edges are cut into bands of y, and crossings are looked for in cells, so that a key may be large: its edges
+aren't gathered, and the slabs of a band only span that band.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from helioframe.operators.stages import stored
 
 #: Edges of a band, and of a cell, on average.
 BAND_EDGES, CELL_EDGES = 128, 64
+#: Edges of a key that is swept where it lies, and pairs of edges held at once there.
+SMALL, PAIRS = 96, 100_000
 #: Trapezoids flatter than this, or narrower at both ends, are left out: edges that are all but level make some.
 SLIVER = 1e-9
 
@@ -105,13 +110,115 @@ def overlay(edges: DataFrame, key: list[str], wanted: Mapping[str, str] | list[s
     empty. Regions that only touch have nothing in common. An empty table, or one in which nothing is inside, gives
     an empty result; keys may be null.
     """
+    edges = edges.where(F.col("side").isin(*wanted)).dropna(subset=["x0", "y0", "x1", "y1"])
+    many = stored(edges.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select(*[F.col(k).alias(f"k_{k}") for k in key]))
+    if many.isEmpty():
+        return swept(edges, key, list(wanted), inside)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key])
+    return swept(edges.join(many, same, "left_anti"), key, list(wanted), inside).unionByName(joined(edges.join(many, same, "left_semi"), key, list(wanted), inside))
+
+
+def swept(edges: DataFrame, key: list[str], wanted: list[str], inside: Column) -> DataFrame:
+    """overlay of keys with few edges."""
+    number = reduce(lambda rest, s: F.when(F.col("side") == s[1], s[0]).otherwise(rest), enumerate(wanted), F.lit(0))
+    one = F.struct(number.cast("long").alias("s"), F.col("w").cast("long").alias("w"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    held = edges.groupBy(*key).agg(F.collect_list(one).alias("x_edges"))
+    for bits in range(2 ** len(wanted)):  # what inside says of every combination of sides
+        held = held.withColumns({f"in_{s}": F.lit(bool(bits >> n & 1)) for n, s in enumerate(wanted)}).withColumn(f"x_{bits}", F.coalesce(inside, F.lit(False)))
+    held = held.select(*key, F.array(*[f"x_{bits}" for bits in range(2 ** len(wanted))]).alias("x_inside"), "x_edges")
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in held.select(*key).schema]
+    return held.mapInArrow(sweeping(len(key)), ", ".join([*types, *(f"{c} double" for c in ("y0", "y1", "xl0", "xl1", "xr0", "xr1"))]))
+
+
+def sweeping(keys: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of keys with their x_inside and x_edges to batches of trapezoids, so many keys at once as PAIRS allows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, inside = batch.column(keys + 1), batch.column(keys)
+            n = np.diff(lists.offsets.to_numpy())
+            edges = {c: lists.flatten().field(c).to_numpy() for c in ("s", "w", "x0", "y0", "x1", "y1")}
+            truth = inside.flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(len(n), -1)
+            part, start = (np.cumsum(n.astype(np.int64) ** 2) - 1) // PAIRS, np.concatenate(([0], np.cumsum(n)))
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(n)]))
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    row, found = sweep(n[a:b], truth[a:b], {c: v[start[a] : start[b]] for c, v in edges.items()})
+                    own = batch.slice(a, b - a).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*own.columns[:keys], *map(pa.array, found)], names=[*batch.schema.names[:keys], "y0", "y1", "xl0", "xl1", "xr0", "xr1"])
+
+    return run
+
+
+def ranges(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts n: which of them each element belongs to, and its place there."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def sweep(n: np.ndarray, truth: np.ndarray, e: dict[str, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The trapezoids of keys with n edges each, all at once: the key's number, and y0, y1, xl0, xl1, xr0, xr1."""
+    first = np.cumsum(n) - n
+    of, _ = ranges(n)
+    x0, y0, x1, y1 = (e[c] for c in ("x0", "y0", "x1", "y1"))
+
+    def at(i: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(y == y0[i], x0[i], np.where(y == y1[i], x1[i], x0[i] + (x1[i] - x0[i]) * ((y - y0[i]) / (y1[i] - y0[i]))))
+
+    pair, k = ranges(n * n)
+    i, j = first[pair] + k // n[pair], first[pair] + k % n[pair]
+    low, high = np.maximum(y0[i], y0[j]), np.minimum(y1[i], y1[j])
+    meet = (i < j) & (low < high)
+    i, j, low, high = i[meet], j[meet], low[meet], high[meet]
+    d0, d1 = at(i, low) - at(j, low), at(i, high) - at(j, high)
+    cross = d0 * d1 < 0
+    ys = np.concatenate([y0, y1, (low + (high - low) * np.divide(d0, d0 - d1, out=np.zeros_like(d0), where=cross))[cross]])
+    key = np.concatenate([of, of, of[i[cross]]])
+    order = np.lexsort((ys, key))
+    new = np.concatenate(([True], (np.diff(key[order]) != 0) | (np.diff(ys[order]) != 0)))
+    place = np.empty(len(ys), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    height = ys[order][new]
+    # a slab reaches from each height to the next one; edges are cut into those that they span
+    count = place[len(of) : 2 * len(of)] - place[: len(of)]
+    edge, k = ranges(count)
+    slab = place[edge] + k
+    a, b = height[slab], height[slab + 1]
+    thick = b - a > SLIVER
+    edge, slab, a, b = edge[thick], slab[thick], a[thick], b[thick]
+    xa, xb = at(edge, a), at(edge, b)
+    order = np.lexsort((xa, xa + xb, slab))
+    edge, slab, a, b, xa, xb = (v[order] for v in (edge, slab, a, b, xa, xb))
+    begins = np.concatenate(([True], np.diff(slab) != 0))[: len(slab)]
+    head = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    bits = np.zeros(len(slab), dtype=np.int64)
+    for s in range(truth.shape[1].bit_length() - 1):
+        w = np.where(e["s"][edge] == s, e["w"][edge], 0)
+        total = np.cumsum(w)
+        bits |= (total - (total - w)[head] > 0).astype(np.int64) << s
+    # edges that coincide count together
+    leads = begins | np.concatenate(([True], np.diff(xa + xb) != 0))[: len(slab)]
+    lead = np.flatnonzero(leads)
+    now = truth[of[edge], bits][np.concatenate((lead[1:], [len(slab)])).astype(np.int64) - 1] if len(slab) else np.zeros(0, dtype=bool)
+    before = np.concatenate(([False], now[:-1]))[: len(now)] & ~begins[lead]
+    at_change = lead[now != before]
+    opens = np.flatnonzero(now[now != before])
+    opens = opens[opens + 1 < len(at_change)]
+    left, right = at_change[opens], at_change[opens + 1]
+    wide = (slab[left] == slab[right]) & ((xa[right] - xa[left] > SLIVER) | (xb[right] - xb[left] > SLIVER))
+    left, right = left[wide], right[wide]
+    return of[edge[left]], [a[left], b[left], xa[left], xb[left], xa[right], xb[right]]
+
+
+def joined(edges: DataFrame, key: list[str], wanted: list[str], inside: Column) -> DataFrame:
+    """overlay of keys with many edges."""
     by = [*key, "band"]
     cut = stored(banded(edges, key))  # read four times
     ends = cut.select(*by, F.explode(F.array("y0", "y1")).alias("y"))
     lines = ends.unionByName(crossings(cut, by)).groupBy(*by).agg(F.array_sort(F.collect_set("y")).alias("ys"))
     lines = lines.select(*[F.col(c).alias(f"k_{c}") for c in by], F.arrays_zip(F.col("ys").alias("a"), F.slice("ys", 2, F.size("ys")).alias("b")).alias("slabs"))
-    joined = cut.join(lines, reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in by]))
-    piece = joined.withColumn("slab", F.explode(F.filter("slabs", lambda s: (s["a"] >= F.col("y0")) & (s["b"] <= F.col("y1")))))
+    both = cut.join(lines, reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in by]))
+    piece = both.withColumn("slab", F.explode(F.filter("slabs", lambda s: (s["a"] >= F.col("y0")) & (s["b"] <= F.col("y1")))))
     piece = piece.select(*by, "side", "w", F.col("slab.a").alias("y0"), F.col("slab.b").alias("y1"), at(F.col("slab.a")).alias("xa"), at(F.col("slab.b")).alias("xb"))
     # edges that coincide count together: sums over a range include all of them, so only the first can change a state
     w = Window.partitionBy(*by, "y0").orderBy(F.col("xa") + F.col("xb"))

@@ -73,6 +73,18 @@ def test_algebra_of_any_polygons(spark, shapes, case):
         assert got.get(k, 0) == pytest.approx(want, rel=2e-3, abs=1e-2), k
 
 
+@pytest.mark.parametrize("case", range(len(CASES)))
+def test_keys_with_few_edges_are_swept_as_joins_would_have_them(spark, shapes, case):
+    table = spark.createDataFrame([*shapes, (None, "a", star(random.Random(3), 0, 0, 2, 5))], f"k int, s string, rings {RINGS}")
+    inside, edges = F.expr(CASES[case][0]), overlay.edges(table, ["k"], F.col("s"), F.col("rings")).where("k < 9 or k is null")
+    swept = overlay.overlay(edges, ["k"], ["a", "b", "c"], inside)
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan  # every edge moves once
+    area = lambda found: {r["k"]: r["area"] for r in overlay.areas(found, ["k"]).collect()}
+    got = area(swept)
+    assert len(got) > 3 and got == pytest.approx(area(overlay.joined(edges, ["k"], ["a", "b", "c"], inside)), abs=1e-6)
+
+
 def test_results_are_regions_again(spark, shapes):
     table = spark.createDataFrame(shapes, f"k int, s string, rings {RINGS}")
     edges = overlay.edges(table, ["k"], F.col("s"), F.col("rings"))
