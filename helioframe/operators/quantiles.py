@@ -50,11 +50,12 @@ def placed(counts: DataFrame, key: list[str], order: str) -> DataFrame:
     return counts.withColumn("below", F.sum("m").over(w) - F.col("m"))
 
 
-def selected(long: DataFrame, by: list[str], ranks: Mapping[str, Mapping[str, Column]], tests: str | None = None) -> DataFrame:
+def selected(long: DataFrame, by: list[str], ranks: Mapping[str, Mapping[str, Column]], tests: str | None = None, few: bool = False) -> DataFrame:
     """by..., c, n (how many values), name and value: for each column c of a long form, the values at named ranks.
 
     A rank is 0-based and computed from n. With tests, the name of an array column of long, a row counts in every group
     of its array, whose name comes as column test: what is counted is multiplied, not the rows. Groups may be null.
+    With few, the groups are a short list: their brackets are broadcast, as else all rows of a group meet in one task.
     """
     own = [*by, "c"]
     raw = long.groupBy(*own, *([tests] if tests else []), bucket(F.col("v")).alias("b")).agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -73,7 +74,7 @@ def selected(long: DataFrame, by: list[str], ranks: Mapping[str, Mapping[str, Co
         if tests:
             match &= F.array_contains(tests, F.col("k_test"))
         key = [*(f"k_{c}" for c in own), "n", "name", "rest"]
-        met = long.join(named, match & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        met = long.join(F.broadcast(named) if few else named, match & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         found = met.groupBy(*key, cell.alias("b")).agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
         found = placed(found, key, "b").where((F.col("below") <= F.col("rest")) & (F.col("rest") < F.col("below") + F.col("m")))
         return found.select(*[F.col(f"k_{c}").alias(c) for c in own], "n", "name", (F.col("rest") - F.col("below")).alias("rest"), F.col("low").alias("lo"), F.col("high").alias("hi"))
@@ -113,11 +114,11 @@ def median_ranks(name: str) -> dict[str, Column]:
     return {f"{name}_lo": F.floor((F.col("n") - 1) / 2), f"{name}_hi": F.floor(F.col("n") / 2)}
 
 
-def with_medians(base: DataFrame, df: DataFrame, by: list[str], values: dict[str, str], more: dict[str, dict[str, Column]] | None = None) -> DataFrame:
+def with_medians(base: DataFrame, df: DataFrame, by: list[str], values: dict[str, str], more: dict[str, dict[str, Column]] | None = None, few: bool = False) -> DataFrame:
     """base (a row per group) with medians of df's value columns, and with `more` values at ranks: column to names and ranks."""
     ranks = {name: median_ranks("x") | (more or {}).get(value, {}) for name, value in values.items()}
     long = stored(long_form(df, by, values))
-    got = wide(selected(long, by, ranks), by, ranks)
+    got = wide(selected(long, by, ranks, few=few), by, ranks)
     medians = [((F.col(f"{name}_x_lo") + F.col(f"{name}_x_hi")) / 2).alias(name) for name in values]
     got = got.select(*(F.col(c).alias(f"g_{c}") for c in by), *medians, *[F.col(f"{name}_{k}").alias(k) for name, value in values.items() for k in (more or {}).get(value, {})])
     return base.join(got, same(by), "left").drop(*(f"g_{c}" for c in by))

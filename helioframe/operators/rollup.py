@@ -77,5 +77,5 @@ def sweep(samples: DataFrame, scenarios: DataFrame, predicted: str, true: str, t
     """Per scenario (name, factor; a short list): hits, median errors and floors below -10 %."""
     rows = samples.crossJoin(F.broadcast(scenarios)).withColumn("err", (F.col(predicted) * F.col("factor") - F.col(true)) / F.col(true))
     base = rows.groupBy("scenario").agg(F.count("*").alias("n"), F.sum((F.abs("err") <= tolerance).cast("int")).alias("hits"), F.sum((F.col("err") < -0.1).cast("int")).alias("floors"))
-    found = quantiles.with_medians(base, rows.withColumn("abs", F.abs("err")), ["scenario"], {"median_abs": "abs", "median_err": "err"})
+    found = quantiles.with_medians(base, rows.withColumn("abs", F.abs("err")), ["scenario"], {"median_abs": "abs", "median_err": "err"}, few=True)
     return found.select("scenario", "n", "hits", "median_abs", "median_err", "floors")

@@ -253,3 +253,20 @@ def test_unit_points_bring_in_their_first_building_only(spark):
     hits = spatial.points_near_boxes(points, boxes, 3.0)
     assert sorted((r["pid"], r["bid"]) for r in hits.collect()) == [(1, 7), (1, 8)]
     assert [(r["pid"], r["bid"]) for r in ordered.first_by_key(hits, ["pid"], ["d", "bid"]).collect()] == [(1, 7)]
+
+
+def test_rows_of_a_short_list_of_scenarios_do_not_meet_by_scenario(spark):
+    samples = spark.range(4000).select((F.col("id") % 997 + 1.0).alias("p"), (F.col("id") % 991 + 2.0).alias("t"))
+    scenarios = spark.createDataFrame([("low", 0.9), ("high", 1.1)], "scenario string, factor double")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        long = quantiles.long_form(samples.crossJoin(F.broadcast(scenarios)).withColumn("e", F.col("p") * F.col("factor") - F.col("t")), ["scenario"], {"e": "e"})
+        plan = quantiles.selected(long, ["scenario"], {"e": quantiles.median_ranks("x")}, few=True)._jdf.queryExecution().executedPlan().toString()
+        found = {r["scenario"]: r for r in rollup.sweep(samples, scenarios, "p", "t").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan
+    for name, factor in (("low", 0.9), ("high", 1.1)):
+        err = [((i % 997 + 1.0) * factor - (i % 991 + 2.0)) / (i % 991 + 2.0) for i in range(4000)]
+        assert found[name]["n"] == 4000 and found[name]["median_err"] == pytest.approx(float(np.median(err))) and found[name]["median_abs"] == pytest.approx(float(np.median(np.abs(err))))
