@@ -262,11 +262,12 @@ PLACES_SQL = """
     hits AS (SELECT *, sqrt((cx - px) ** 2 + (cy - py) ** 2) AS d_center FROM near WHERE d <= 40)"""
 
 
-def near_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def near_boxes(spark: SparkSession, sf_dir: str, nearest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points with the boxes within 40 m, or only those among which the nearest ones are; and all boxes."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("embedding")[0].cast("double") * 1000).alias("x"), (F.col("embedding")[1].cast("double") * 1000).alias("y"))
     points = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"))
     boxes = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("bid"), F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + 5 + F.col("vec_id") % 20).alias("xmax"), (F.col("y") + 5 + F.col("vec_id") % 15).alias("ymax"))
-    hits = spatial.points_near_boxes(points, boxes, 40.0)
+    hits = spatial.points_near_nearest_boxes(points, "pid", boxes, 40.0, nearest) if nearest else spatial.points_near_boxes(points, boxes, 40.0)
     cx, cy = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
     hits = hits.withColumn("d_center", F.sqrt((cx - F.col("px")) ** 2 + (cy - F.col("py")) ** 2)).withColumn("area", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
     return hits, boxes
@@ -281,7 +282,7 @@ def j2_range_join(spark, sf_dir):
     WITH {PLACES_SQL} SELECT pid, bid, round(d, 4) AS d, round(runner_up_d, 4) AS runner_up_d FROM
     (SELECT *, row_number() OVER w AS k, lead(d) OVER w AS runner_up_d FROM hits WINDOW w AS (PARTITION BY pid ORDER BY d, d_center, bid)) WHERE k = 1""")
 def j3_nearest_runner_up(spark, sf_dir):
-    out = spatial.nearest_with_runner_up(near_boxes(spark, sf_dir)[0], "pid", ["d", "d_center", "bid"])
+    out = spatial.nearest_with_runner_up(near_boxes(spark, sf_dir, 2)[0], "pid", ["d", "d_center", "bid"])
     return out.select("pid", "bid", F.round("d", 4).alias("d"), F.round("runner_up_d", 4).alias("runner_up_d"))
 
 

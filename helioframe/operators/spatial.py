@@ -29,6 +29,23 @@ def points_near_boxes(points: DataFrame, boxes: DataFrame, reach: float, size: f
     return p.join(b, ["x_cx", "x_cy"]).drop("x_cx", "x_cy").withColumn("d", box_distance()).where(F.col("d") <= reach)
 
 
+def points_near_nearest_boxes(points: DataFrame, key: str, boxes: DataFrame, reach: float, k: int, levels: int = 8) -> DataFrame:
+    """points_near_boxes without boxes farther from a point (key, unique) than its k-th nearest: for what is nearest, not for all.
+
+    Where k boxes have their middle in a point's cell of a grid, its k-th nearest box is no farther than that cell is
+    wide across. The finest grid in which that is so bounds how far a point looks; without one it looks as far as reach.
+    """
+    grids = F.explode(F.array(*[F.lit(reach / 2**n) for n in range(levels)]))
+    at = lambda x: F.floor(x / F.col("x_size")).cast("bigint")
+    celled = lambda df, x, y: df.withColumn("x_size", grids).withColumns({"x_cx": at(x), "x_cy": at(y)})
+    middles = celled(boxes, (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2).groupBy("x_size", "x_cx", "x_cy").agg(F.count("*").alias("x_n")).where(F.col("x_n") >= k).drop("x_n")
+    bounds = celled(points, F.col("px"), F.col("py")).select(key, "x_size", "x_cx", "x_cy").join(middles, ["x_size", "x_cx", "x_cy"]).groupBy(key).agg(F.min("x_size").alias("x_across"))
+    looking = points.join(bounds, key, "left").withColumn("x_bound", F.least(F.coalesce(F.col("x_across") * (2**0.5 * (1 + 1e-9)), F.lit(reach)), F.lit(reach))).drop("x_across")
+    close = F.col("x_bound") <= reach / 4
+    pairs = points_near_boxes(looking.where(close), boxes, reach / 4).unionByName(points_near_boxes(looking.where(~close), boxes, reach))
+    return pairs.where(F.col("d") <= F.col("x_bound")).drop("x_bound")
+
+
 def box_distance() -> Column:
     dx = F.greatest(F.col("xmin") - F.col("px"), F.lit(0.0), F.col("px") - F.col("xmax"))
     dy = F.greatest(F.col("ymin") - F.col("py"), F.lit(0.0), F.col("py") - F.col("ymax"))

@@ -270,3 +270,18 @@ def test_rows_of_a_short_list_of_scenarios_do_not_meet_by_scenario(spark):
     for name, factor in (("low", 0.9), ("high", 1.1)):
         err = [((i % 997 + 1.0) * factor - (i % 991 + 2.0)) / (i % 991 + 2.0) for i in range(4000)]
         assert found[name]["n"] == 4000 and found[name]["median_err"] == pytest.approx(float(np.median(err))) and found[name]["median_abs"] == pytest.approx(float(np.median(np.abs(err))))
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_points_only_meet_boxes_as_near_as_their_nearest(spark, k):
+    rng = np.random.default_rng(5)
+    boxes = [(i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(np.column_stack([rng.normal(0, 30, (300, 2)), rng.uniform(1, 9, (300, 2))]))]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 45, (200, 2)))]
+    p, b = spark.createDataFrame(points, "pid int, px double, py double"), spark.createDataFrame(boxes, "bid int, xmin double, ymin double, xmax double, ymax double")
+    every, few = spatial.points_near_boxes(p, b, 40.0), spatial.points_near_nearest_boxes(p, "pid", b, 40.0, k)
+    all_pairs, pairs = {(r["pid"], r["bid"]): r["d"] for r in every.collect()}, {(r["pid"], r["bid"]): r["d"] for r in few.collect()}
+    assert pairs.items() <= all_pairs.items() and len(pairs) < len(all_pairs) / 2
+    for i in {a for a, _ in all_pairs}:
+        own = sorted(d for (a, _), d in all_pairs.items() if a == i)
+        furthest = own[min(k, len(own)) - 1]
+        assert {x for x, d in all_pairs.items() if x[0] == i and d <= furthest} <= pairs.keys()
