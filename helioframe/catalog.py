@@ -297,7 +297,7 @@ def j4_campus(spark, sf_dir):
     WITH {PLACES_SQL} SELECT pid, bid, d = 0 AS contains FROM
     (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY CASE WHEN d = 0 THEN 0 ELSE 1 END, d, bid) AS k FROM hits) WHERE k = 1""")
 def j6_contains_else_nearest(spark, sf_dir):
-    return spatial.containing_else_nearest(near_boxes(spark, sf_dir)[0], "pid", "bid").select("pid", "bid", "contains")
+    return spatial.containing_else_nearest(near_boxes(spark, sf_dir, 1)[0], "pid", "bid").select("pid", "bid", "contains")
 
 
 @query("f9_home_like", f"""
