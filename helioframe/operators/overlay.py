@@ -284,7 +284,7 @@ def with_border(shapes: DataFrame, key: list[str], side: str, rings: str, distan
 
 def inset(shapes: DataFrame, key: list[str], rings: str, distance: Column) -> DataFrame:
     """Trapezoids of shapes drawn in by a distance with mitred corners; arms narrower than twice that vanish."""
-    return overlay(with_border(shapes, key, "shape", rings, distance, "rim"), key, ["shape", "rim"], F.col("in_shape") & ~F.col("in_rim"))
+    return overlay(stored(with_border(shapes, key, "shape", rings, distance, "rim")), key, ["shape", "rim"], F.col("in_shape") & ~F.col("in_rim"))
 
 
 def interior_points(shapes: DataFrame, key: list[str], rings: str) -> DataFrame:
