@@ -63,7 +63,7 @@ def a24_dissolve(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     plot = rectangle(column("c_custkey", 37, 199), column("c_custkey", 91, 197), column("c_custkey", 1, 13) + 2, column("c_custkey", 1, 7) + 2)
     edges = overlay.edges(c, ["c_nationkey"], F.lit("plot"), F.array(geometry.rotated(plot, column("c_nationkey", 7))))
-    found = overlay.areas(overlay.overlay(edges, ["c_nationkey"], ["plot"], F.col("in_plot")), ["c_nationkey"])
+    found = overlay.areas(overlay.overlay(edges, ["c_nationkey"], ["plot"], F.col("in_plot"), tiles=True), ["c_nationkey"])
     return found.select("c_nationkey", F.round("area", 3).alias("area"))
 
 

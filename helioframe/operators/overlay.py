@@ -8,7 +8,8 @@ to right tells where the wanted combination of regions begins and ends. The resu
 
 Keys of at most SMALL edges are gathered, and each is swept where it lies (swept), which moves every edge once. Keys
 with more edges are cut into bands of y, and crossings are looked for in cells, so that a key may be large: its edges
-aren't gathered, and the slabs of a band only span that band.
+aren't gathered, and the slabs of a band only span that band. Where only areas or regions are wanted, such keys are cut
+into tiles: one that no edge can change, as enough shapes cover it, isn't cut into slabs at all.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from helioframe.operators.stages import stored
 BAND_EDGES, CELL_EDGES = 128, 64
 #: Edges of a key that is swept where it lies, and pairs of edges held at once there.
 SMALL, PAIRS = 96, 100_000
+#: Edges of a tile on average, at most so many tiles to an edge; and edges of a tile that is swept where it lies.
+TILE_EDGES, EDGE_TILES, TILE_SMALL = 24, 8, 512
 #: Trapezoids flatter than this, or narrower at both ends, are left out: edges that are all but level make some.
 SLIVER = 1e-9
 
@@ -103,19 +106,29 @@ def crossings(cut: DataFrame, by: list[str]) -> DataFrame:
     return pairs.select(*by, (low + (high - low) * (F.col("d0") / (F.col("d0") - F.col("d1")))).alias("y"))
 
 
-def overlay(edges: DataFrame, key: list[str], wanted: Mapping[str, str] | list[str], inside: Column) -> DataFrame:
+def overlay(edges: DataFrame, key: list[str], wanted: Mapping[str, str] | list[str], inside: Column, tiles: bool = False) -> DataFrame:
     """The trapezoids of each key in which inside holds, a condition on boolean columns in_<side> for the sides in wanted.
 
     A point is in a side where its winding is positive, so overlapping parts of a side are united and holes are
     empty. Regions that only touch have nothing in common. An empty table, or one in which nothing is inside, gives
-    an empty result; keys may be null.
+    an empty result; keys may be null. With tiles the trapezoids of large keys are cut at the borders of tiles as well,
+    which suits areas and further overlays, but not chords or rows.
     """
     edges = edges.where(F.col("side").isin(*wanted)).dropna(subset=["x0", "y0", "x1", "y1"])
-    many = stored(edges.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select(*[F.col(k).alias(f"k_{k}") for k in key]))
+    return by_size(edges, key, list(wanted), inside, SMALL, tiled if tiles else joined)
+
+
+def by_size(edges: DataFrame, key: list[str], wanted: list[str], inside: Column, small: int, large: Callable[[DataFrame, list[str], list[str], Column], DataFrame]) -> DataFrame:
+    """Keys of at most small edges are swept, the others go to large."""
+    many = stored(edges.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > small).select(*[F.col(k).alias(f"k_{k}") for k in key]))
     if many.isEmpty():
-        return swept(edges, key, list(wanted), inside)
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key])
-    return swept(edges.join(many, same, "left_anti"), key, list(wanted), inside).unionByName(joined(edges.join(many, same, "left_semi"), key, list(wanted), inside))
+        return swept(edges, key, wanted, inside)
+    same = same_key(key)
+    return swept(edges.join(many, same, "left_anti"), key, wanted, inside).unionByName(large(edges.join(many, same, "left_semi"), key, wanted, inside))
+
+
+def same_key(key: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key])
 
 
 def swept(edges: DataFrame, key: list[str], wanted: list[str], inside: Column) -> DataFrame:
@@ -229,6 +242,104 @@ def joined(edges: DataFrame, key: list[str], wanted: list[str], inside: Column)
     return found.where(F.col("now") & (F.col("y1") - F.col("y0") > SLIVER) & ((F.col("xr0") - F.col("xl0") > SLIVER) | (F.col("xr1") - F.col("xl1") > SLIVER))).drop("now")
 
 
+def level_edges(edges: DataFrame, key: list[str]) -> DataFrame:
+    """key..., side, y, xa, xb, w: the level edges that close the rings again, w being how much the winding grows upwards."""
+    ends = F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("w").alias("d")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), (-F.col("w")).alias("d")))
+    corners = edges.select(*key, "side", F.inline(ends)).groupBy(*key, "side", "y", "x").agg(F.sum("d").alias("d")).where("d <> 0")
+    across = Window.partitionBy(*key, "side", "y").orderBy("x")
+    level = corners.select(*key, "side", "y", F.col("x").alias("xa"), F.lead("x").over(across).alias("xb"), F.sum("d").over(across.rowsBetween(Window.unboundedPreceding, 0)).alias("w"))
+    return level.where("w <> 0")
+
+
+def tile_pieces(edges: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
+    """Edges cut at the borders of tiles: key..., t_cy, t_cx (the tile), side, w, x0, y0, x1, y1; step, delta, from.
+
+    step is by how much the edge changes the winding of the lower left corners of the tiles to the right. Above the
+    height from, where the edge meets the tile's left border, the winding there changes by delta.
+    """
+    rows = edges.join(spans, same_key(key)).drop(*(f"k_{k}" for k in key))
+    place = lambda v, base: F.floor((v - F.col(base)) / F.col("t_size"))
+    line = lambda c, base: F.col(base) + F.col("t_size") * F.col(c)
+    rows = rows.withColumn("t_cy", F.explode(F.sequence(place(F.col("y0"), "t_low"), place(F.col("y1"), "t_low"))))
+    rows = rows.withColumns({"t_a": F.greatest("y0", line("t_cy", "t_low")), "t_b": F.least(F.col("y1"), F.col("t_low") + F.col("t_size") * (F.col("t_cy") + 1)), "t_spans": F.col("y0") <= line("t_cy", "t_low")}).where("t_a < t_b")
+    rows = rows.withColumns({"t_xa": at(F.col("t_a")), "t_xb": at(F.col("t_b"))}).drop("x0", "y0", "x1", "y1")
+    rows = rows.withColumns({"t_k0": place(F.col("t_xa"), "t_west"), "t_k1": place(F.col("t_xb"), "t_west")})
+    rows = rows.withColumn("t_cx", F.explode(F.sequence(F.least("t_k0", "t_k1"), F.greatest("t_k0", "t_k1"))))
+    left, right = line("t_cx", "t_west"), F.col("t_west") + F.col("t_size") * (F.col("t_cx") + 1)
+    height = lambda x: F.least(F.greatest(F.col("t_a") + (F.col("t_b") - F.col("t_a")) * ((x - F.col("t_xa")) / (F.col("t_xb") - F.col("t_xa"))), F.col("t_a")), F.col("t_b"))
+    east = F.col("t_k0") < F.col("t_k1")
+    first, last = F.col("t_cx") == F.col("t_k0"), F.col("t_cx") == F.col("t_k1")
+    into, out_of = F.when(east, left).otherwise(right), F.when(east, right).otherwise(left)
+    border = F.when(east & ~first, left).when((F.col("t_k0") > F.col("t_k1")) & ~last, left)
+    return rows.select(
+        *key, "t_cy", "t_cx", "side", "w", F.when(first, F.col("t_xa")).otherwise(into).alias("x0"), F.when(first, F.col("t_a")).otherwise(height(into)).alias("y0"),
+        F.when(last, F.col("t_xb")).otherwise(out_of).alias("x1"), F.when(last, F.col("t_b")).otherwise(height(out_of)).alias("y1"),
+        F.when(first & F.col("t_spans"), F.col("w")).otherwise(0).alias("step"), F.when(border.isNull(), 0).when(east, -F.col("w")).otherwise(F.col("w")).alias("delta"), height(border).alias("from"),
+    )
+
+
+def level_pieces(level: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
+    """Level edges as tile_pieces has them; they aren't edges of a tile, but change the winding along its left border."""
+    rows = level.join(spans, same_key(key)).drop(*(f"k_{k}" for k in key))
+    place = lambda v, base: F.floor((v - F.col(base)) / F.col("t_size"))
+    rows = rows.withColumn("t_cy", place(F.col("y"), "t_low")).withColumn("t_first", place(F.col("xa"), "t_west"))
+    rows = rows.withColumn("t_cx", F.explode(F.sequence("t_first", F.greatest("t_first", place(F.least(F.coalesce("xb", "t_east"), "t_east"), "t_west")))))
+    # edges that begin on the lower border count there already
+    met = (F.col("t_cx") > F.col("t_first")) & (F.col("y") > F.col("t_low") + F.col("t_size") * F.col("t_cy"))
+    none = F.lit(None).cast("double")
+    return rows.select(*key, "t_cy", "t_cx", "side", F.lit(0).alias("w"), *[none.alias(c) for c in ("x0", "y0", "x1", "y1")], F.lit(0).alias("step"), F.when(met, F.col("w")).otherwise(0).alias("delta"), F.when(met, F.col("y")).alias("from"))
+
+
+def tiled(edges: DataFrame, key: list[str], wanted: list[str], inside: Column) -> DataFrame:
+    """overlay of keys with many edges, cut into tiles; for areas and further overlays.
+
+    Of a tile the winding at its lower left corner is known, and by how much the edges that meet it can change that at
+    most: where this leaves no side open, it is inside as a whole or not at all. Only the others are cut into slabs.
+    """
+    edges = stored(edges.groupBy(*key, "side", "x0", "y0", "x1", "y1").agg(F.sum("w").alias("w")).where("w <> 0"))
+    n, long = F.count("*"), F.sum(F.abs(F.col("x1") - F.col("x0")) + F.col("y1") - F.col("y0"))
+    spans = edges.groupBy(*key).agg(n.alias("n"), long.alias("long"), F.min("y0").alias("low"), F.max("y1").alias("high"), F.min(F.least("x0", "x1")).alias("west"), F.max(F.greatest("x0", "x1")).alias("t_east"))
+    area = (F.col("high") - F.col("low")) * (F.col("t_east") - F.col("west"))
+    wide = (F.sqrt(F.col("long") ** 2 + 4 * TILE_EDGES * F.col("n") * area) - F.col("long")) / (2 * F.col("n"))
+    spans = spans.withColumn("t_size", F.greatest(wide, F.col("long") / F.col("n") / EDGE_TILES))
+    spans = stored(spans.select(*[F.col(k).alias(f"k_{k}") for k in key], "t_size", (F.col("low") - 0.381966 * F.col("t_size")).alias("t_low"), (F.col("west") - 0.618034 * F.col("t_size")).alias("t_west"), "t_east"))
+    level = stored(level_edges(edges, key))
+    pieces = tile_pieces(edges, spans, key).unionByName(level_pieces(level, spans, key))
+
+    tile = [*key, "t_cy", "t_cx"]
+    sums = {}
+    for s in wanted:
+        mine = lambda v: F.sum(F.when(F.col("side") == s, v).otherwise(0))
+        sums |= {f"step_{s}": mine(F.col("step")), f"less_{s}": mine(F.greatest(-F.col("w"), F.lit(0)) + F.greatest(-F.col("delta"), F.lit(0))), f"more_{s}": mine(F.greatest("w", F.lit(0)) + F.greatest("delta", F.lit(0)))}
+    found = pieces.groupBy(*tile).agg(*[v.alias(c) for c, v in sums.items()])
+    across = Window.partitionBy(*key, "t_cy").orderBy("t_cx")
+    found = found.withColumns({f"base_{s}": F.coalesce(F.sum(f"step_{s}").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for s in wanted}).withColumn("t_next", F.lead("t_cx").over(across))
+    found = found.withColumn("t_open", reduce(lambda a, b: a | b, [(F.col(f"base_{s}") <= F.col(f"less_{s}")) & (F.col(f"base_{s}") + F.col(f"more_{s}") > 0) for s in wanted]))
+    found = stored(found.select(*tile, "t_next", "t_open", *[f"base_{s}" for s in wanted], *[(F.col(f"base_{s}") + F.col(f"step_{s}")).alias(f"next_{s}") for s in wanted]))
+
+    placed = found.join(spans, same_key(key)).drop(*(f"k_{k}" for k in key))
+    rectangle = lambda a, b: [
+        (F.col("t_low") + F.col("t_size") * F.col("t_cy")).alias("y0"), (F.col("t_low") + F.col("t_size") * (F.col("t_cy") + 1)).alias("y1"),
+        *[(F.col("t_west") + F.col("t_size") * v).alias(c) for c, v in (("xl0", a), ("xl1", a), ("xr0", b), ("xr1", b))]]
+    states = lambda df, of: df.withColumns({f"in_{s}": F.col(f"{of}_{s}") > 0 for s in wanted}).where(inside)
+    whole = states(placed.where("not t_open"), "base").select(*key, *rectangle(F.col("t_cx"), F.col("t_cx") + 1))
+    gaps = states(placed.where("t_next > t_cx + 1"), "next").select(*key, *rectangle(F.col("t_cx") + 1, F.col("t_next")))
+
+    opened = placed.where("t_open")
+    of_tile = opened.select(*[F.col(k).alias(f"k_{k}") for k in tile], (F.col("t_low") + F.col("t_size") * (F.col("t_cy") + 1)).alias("t_top"), (F.col("t_west") + F.col("t_size") * F.col("t_cx")).alias("t_left"))
+    met = pieces.join(of_tile, same_key(tile)).drop(*(f"k_{k}" for k in tile))
+    own = met.where("y0 < y1").select(*tile, "side", "x0", "y0", "x1", "y1", "w")
+    rising = met.where((F.col("delta") != 0) & (F.col("from") < F.col("t_top"))).select(*tile, "side", F.col("t_left").alias("x0"), F.col("from").alias("y0"), F.col("t_left").alias("x1"), F.col("t_top").alias("y1"), F.col("delta").alias("w"))
+    upright = lambda side, x, w: F.struct(F.lit(side).alias("side"), x.alias("x0"), w.cast("long").alias("w"))
+    left, right = F.col("t_west") + F.col("t_size") * F.col("t_cx"), F.col("t_west") + F.col("t_size") * (F.col("t_cx") + 1)
+    sides = F.array(*[upright(s, left, F.col(f"base_{s}")) for s in wanted], upright("x_tile", left, F.lit(1)), upright("x_tile", right, F.lit(-1)))
+    low, high = F.col("t_low") + F.col("t_size") * F.col("t_cy"), F.col("t_low") + F.col("t_size") * (F.col("t_cy") + 1)
+    frame = opened.select(*tile, low.alias("y0"), high.alias("y1"), F.inline(sides)).where("w <> 0").withColumn("x1", F.col("x0"))
+    cut = stored(own.unionByName(rising).unionByName(frame))
+    parts = by_size(cut, tile, [*wanted, "x_tile"], inside & F.col("in_x_tile"), TILE_SMALL, joined).drop("t_cy", "t_cx")
+    return whole.unionByName(gaps).unionByName(parts)
+
+
 def trapezoid_area() -> Column:
     return (F.col("xr0") - F.col("xl0") + F.col("xr1") - F.col("xl1")) / 2 * (F.col("y1") - F.col("y0"))
 

@@ -134,8 +134,8 @@ def area_fractions(shapes: DataFrame, key: str, rings: str, zones: DataFrame, zo
     pairs = near_pairs(shapes, key, rings, zones, zone_key, zone_rings, size)
     own = overlay.edges(shapes, [key], F.lit("shape"), F.col(rings))
     edges = own.unionByName(overlay.edges(pairs, [key], F.lit("zone"), F.col("b_rings")))
-    covered = overlay.areas(overlay.overlay(edges, [key], ["shape", "zone"], F.col("in_shape") & F.col("in_zone")), [key], "covered")
-    whole = overlay.areas(overlay.overlay(own, [key], ["shape"], F.col("in_shape")), [key], "whole")
+    covered = overlay.areas(overlay.overlay(edges, [key], ["shape", "zone"], F.col("in_shape") & F.col("in_zone"), tiles=True), [key], "covered")
+    whole = overlay.areas(overlay.overlay(own, [key], ["shape"], F.col("in_shape"), tiles=True), [key], "whole")
     found = whole.join(covered, key, "left").select(key, (F.coalesce("covered", F.lit(0.0)) / F.col("whole")).alias("fraction"))
     return shapes.select(key).join(found, key, "left")
 
@@ -148,9 +148,9 @@ def mostly_inside(areas: DataFrame, key: str, rings: str, buildings: DataFrame,
     pairs = near_pairs(areas, key, rings, buildings, building_key, building_rings, size)
     both = [key, building_key]
     edges = overlay.edges(pairs, both, F.lit("area"), F.col("rings")).unionByName(overlay.edges(pairs, both, F.lit("building"), F.col("b_rings")))
-    wanted = overlay.overlay(edges, both, ["area", "building"], F.col("in_building")).groupBy(*both)
+    wanted = overlay.overlay(edges, both, ["area", "building"], F.col("in_building"), tiles=True).groupBy(*both)
     whole = wanted.agg(F.sum(overlay.trapezoid_area()).alias("m2"))
-    shared = overlay.areas(overlay.overlay(edges, both, ["area", "building"], F.col("in_building") & F.col("in_area")), both, "shared")
+    shared = overlay.areas(overlay.overlay(edges, both, ["area", "building"], F.col("in_building") & F.col("in_area"), tiles=True), both, "shared")
     found = whole.join(shared, both).withColumn("share", F.col("shared") / F.col("m2")).where(F.col("share") >= least - 1e-9)
     return found.select(*both, "m2", "share", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("m2", 6)), building_key)).alias("rank"))
 

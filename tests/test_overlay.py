@@ -156,3 +156,28 @@ def test_large_keys_are_cut_into_bands(spark, monkeypatch, shapes):
     for k in got:
         assert got[k] == pytest.approx(scanned([(s, rings) for i, s, rings in shapes if i == k], lambda n: n["a"] and not n["b"]), rel=2e-3, abs=1e-2)
     assert len(got) == 2
+
+
+@pytest.mark.parametrize("case", range(len(CASES)))
+def test_tiles_have_the_same_areas(spark, monkeypatch, shapes, case):
+    monkeypatch.setattr(overlay, "SMALL", 0)
+    monkeypatch.setattr(overlay, "TILE_EDGES", 6)
+    monkeypatch.setattr(overlay, "TILE_SMALL", 20)
+    level = [(11, s, box(float(i), i % 3.0, i + 2.0 + i % 2, i % 3 + 2.0)) for i in range(6) for s in "ab"] + [(None, "a", box(0.0, 0.0, 900.0, 0.5)), (None, "b", box(3.0, -2.0, 4.0, 700.0))]
+    table = spark.createDataFrame([*shapes, *level], f"k int, s string, rings {RINGS}")
+    inside, edges = F.expr(CASES[case][0]), overlay.edges(table, ["k"], F.col("s"), F.col("rings"))
+    area = lambda found: {r["k"]: r["area"] for r in overlay.areas(found, ["k"]).collect()}
+    got = area(overlay.overlay(edges, ["k"], ["a", "b", "c"], inside, tiles=True))
+    assert len(got) > 3 and got == pytest.approx(area(overlay.swept(edges, ["k"], ["a", "b", "c"], inside)), abs=1e-6)
+
+
+def test_tiles_that_are_covered_are_not_cut(spark):
+    """Where shapes lie dense, their number doubles the trapezoids at most: slabs grow with the square of it."""
+    def dissolved(n):
+        shapes = [(1, "a", box(i * 37 % 53.0, i * 91 % 47.0, i * 37 % 53 + i % 13 + 2.0, i * 91 % 47 + i % 7 + 2.0)) for i in range(n)]
+        covered = {(x, y) for _, _, [[(x0, y0), _, (x1, y1), _]] in shapes for x in range(int(x0), int(x1)) for y in range(int(y0), int(y1))}
+        found = overlay.overlay(overlay.edges(spark.createDataFrame(shapes, f"k int, s string, rings {RINGS}"), ["k"], F.col("s"), F.col("rings")), ["k"], ["a"], F.col("in_a"), tiles=True).cache()
+        assert overlay.areas(found, ["k"]).first()["area"] == pytest.approx(len(covered), abs=1e-6)
+        return found.count()
+
+    assert dissolved(4000) < 2 * dissolved(2000)
