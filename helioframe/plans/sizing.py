@@ -140,8 +140,9 @@ def packed_planes(buildings: DataFrame, planes: DataFrame, obstructions: DataFra
     seen = stored(usable(found, PLANE))
     frames = stored(layouts(rows, seen, design))
     regions = stored(usable(framed(found, frames), [*PLANE, "layout"]))
-    runs = packing.packed(regions, [*PLANE, "layout"], specs(frames, design), design.phases)
-    best = packing.best_runs(runs, PLANE, ["layout", "orientation"])
+    layout = [*PLANE, "layout"], specs(frames, design)
+    runs = packing.packed(regions, *layout, design.phases)
+    best = packing.best_layouts(regions, *layout, PLANE, ["layout", "orientation"], design.phases)
     return rows.join(overlay.areas(seen, PLANE, "usable"), PLANE, "left"), best, runs
 
 

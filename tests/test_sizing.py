@@ -126,3 +126,28 @@ def test_modules_lie_inside(spark):
 def test_nothing_to_pack(spark):
     assert layout(spark, [box(0.0, 0.0, 1.0, 0.5)], 2.0, 1.0, 1.0, 0.0) == []
     assert layout(spark, None, 2.0, 1.0, 1.0, 0.0) == []
+
+
+def test_small_regions_are_packed_as_joins_would_have_them(spark):
+    rng = random.Random(5)
+    rows = [(k, [[(rng.uniform(3, 15) * math.cos(i / 9 * 2 * math.pi), rng.uniform(3, 12) * math.sin(i / 9 * 2 * math.pi)) for i in range(9)]]) for k in range(6)]
+    rows += [(6, [box(0.0, 0.0, 30.0, 9.0), box(4.0, 4.0, 6.0, 6.0)]), (None, [box(0.0, 0.0, 20.0, 20.0)]), (7, [box(0.0, 0.0, 0.4, 0.4)])]
+    edges = overlay.edges(spark.createDataFrame(rows, f"k int, rings {RINGS}"), ["k"], F.lit("a"), F.col("rings"))
+    regions = overlay.overlay(edges, ["k"], ["a"], F.col("in_a"))
+    kinds = [(0, 1.1, 0.7, 0.8, 0.02, None, None), (1, 0.7, 1.1, 1.1, 0.0, 8.0, 1.0)]
+    spec = spark.createDataFrame([(k, *s) for k, _ in rows for s in kinds], "k int, o int, along double, depth double, pitch double, gap double, most double, aisle double")
+    runs = packing.packed(regions, ["k"], spec)
+    moved = packing.joined(regions, ["k"], spec, 8)
+    plain = lambda df: sorted([(-1 if r["k"] is None else r["k"], r["o"], r["phase"], round(r["y"], 6), round(r["x"], 6), r["n"]) for r in df.collect()])
+    got = plain(runs)
+    assert len(got) > 300 and got == plain(moved)
+    best = lambda df: {(r["k"], r["o"], r["phase"], r["modules"]) for r in df.collect()}
+    layouts = packing.best_layouts(regions, ["k"], spec, ["k"], ["o"])
+    assert len(best(layouts)) == 8 and best(layouts) == best(packing.best_runs(moved, ["k"], ["o"]))
+    plan = layouts._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan.split("MapInArrow")[0]  # no row of modules is a row of a table
+
+
+def test_large_regions_are_packed_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SMALL", 0)
+    assert len(layout(spark, [box(0.0, 0.0, 10.0, 10.0), box(4.0, 4.0, 6.0, 6.0)], 1.0, 1.0, 1.0, 0.0)) == 96
