@@ -262,12 +262,17 @@ PLACES_SQL = """
     hits AS (SELECT *, sqrt((cx - px) ** 2 + (cy - py) ** 2) AS d_center FROM near WHERE d <= 40)"""
 
 
-def near_boxes(spark: SparkSession, sf_dir: str, nearest: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Points with the boxes within 40 m, or only those among which the nearest ones are; and all boxes."""
+def near_boxes(spark: SparkSession, sf_dir: str, nearest: int | None = None, only: str = "true", of: DataFrame | None = None, reach: float = 40.0, met: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Points with the boxes within reach, or only those among which the nearest ones are; and all boxes.
+
+    only: which boxes count. of: which points (pid). met: pairs are for windows by the cell they met in.
+    """
     e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("embedding")[0].cast("double") * 1000).alias("x"), (F.col("embedding")[1].cast("double") * 1000).alias("y"))
     points = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"))
-    boxes = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("bid"), F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + 5 + F.col("vec_id") % 20).alias("xmax"), (F.col("y") + 5 + F.col("vec_id") % 15).alias("ymax"))
-    hits = spatial.points_near_nearest_boxes(points, "pid", boxes, 40.0, nearest) if nearest else spatial.points_near_boxes(points, boxes, 40.0)
+    points = points if of is None else points.join(of, "pid", "left_semi")
+    boxes = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("bid"), F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + 5 + F.col("vec_id") % 20).alias("xmax"), (F.col("y") + 5 + F.col("vec_id") % 15).alias("ymax")).where(only)
+    size = reach / 4 if met else max(reach, 20.0)
+    hits = spatial.points_near_nearest_boxes(points, "pid", boxes, reach, nearest) if nearest else spatial.points_near_boxes(points, boxes, reach, size, met)
     cx, cy = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
     hits = hits.withColumn("d_center", F.sqrt((cx - F.col("px")) ** 2 + (cy - F.col("py")) ** 2)).withColumn("area", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
     return hits, boxes
@@ -290,7 +295,7 @@ def j3_nearest_runner_up(spark, sf_dir):
     WITH {PLACES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, d_center, bid) AS match_rank FROM hits)
     SELECT pid, bid, match_rank FROM r WHERE match_rank = 1 OR (d_center <= 30 AND area >= 50)""")
 def j4_campus(spark, sf_dir):
-    return spatial.campus(near_boxes(spark, sf_dir)[0], "pid", ["d", "d_center", "bid"], 30.0, 50.0).select("pid", "bid", "match_rank")
+    return spatial.campus(near_boxes(spark, sf_dir, met=True)[0], [*spatial.MET, "pid"], ["d", "d_center", "bid"], 30.0, 50.0).select("pid", "bid", "match_rank")
 
 
 @query("j6_contains_else_nearest", f"""
@@ -305,9 +310,9 @@ def j6_contains_else_nearest(spark, sf_dir):
     m AS (SELECT pid, list_sort(list(area)) AS a FROM ok WHERE rank <= 8 GROUP BY pid)
     SELECT pid, bid, rank FROM ok JOIN m USING (pid) WHERE area BETWEEN 0.5 * a[len(a) // 2 + 1] AND 2.0 * a[len(a) // 2 + 1]""")
 def f9_home_like(spark, sf_dir):
-    hits = near_boxes(spark, sf_dir)[0].withColumn("height_m", F.col("area") / 20)
+    hits = near_boxes(spark, sf_dir, met=True)[0].withColumn("height_m", F.col("area") / 20)
     cx, cy = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
-    return spatial.home_like(hits.withColumn("mapped", F.when(cx < cy - 500, "retail")), "pid", ["d", "d_center", "bid"], 2).select("pid", "bid", "rank")
+    return spatial.home_like(hits.withColumn("mapped", F.when(cx < cy - 500, "retail")), [*spatial.MET, "pid"], ["d", "d_center", "bid"], 2).select("pid", "bid", "rank")
 
 
 @query("j7_homes_on_footprints", f"""

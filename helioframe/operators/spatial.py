@@ -20,13 +20,23 @@ def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("bigint")
 
 
-def points_near_boxes(points: DataFrame, boxes: DataFrame, reach: float, size: float | None = None) -> DataFrame:
-    """Points (px, py) with the boxes (xmin, ymin, xmax, ymax) within reach, and the distance d to each."""
+#: The cell that pairs met in (see points_near_boxes), and tasks over which such cells are dealt.
+MET, MET_TASKS = ["x_cx", "x_cy"], 512
+
+
+def points_near_boxes(points: DataFrame, boxes: DataFrame, reach: float, size: float | None = None, met: bool = False) -> DataFrame:
+    """Points (px, py) with the boxes (xmin, ymin, xmax, ymax) within reach, and the distance d to each.
+
+    With met, pairs keep the cell they met in (MET). All of a point's are in its one cell, and cells are dealt over
+    MET_TASKS, so a window by MET and the point takes pairs where they met: points and boxes are moved, pairs are not.
+    """
     size = size or max(reach, 1e-9)
     p = points.withColumn("x_cx", cell(F.col("px"), size)).withColumn("x_cy", cell(F.col("py"), size))
     span = lambda a, b: F.sequence(cell(F.col(a) - reach, size), cell(F.col(b) + reach, size))
     b = boxes.withColumn("x_cx", F.explode(span("xmin", "xmax"))).withColumn("x_cy", F.explode(span("ymin", "ymax")))
-    return p.join(b, ["x_cx", "x_cy"]).drop("x_cx", "x_cy").withColumn("d", box_distance()).where(F.col("d") <= reach)
+    p = p.repartition(MET_TASKS, *MET) if met else p
+    pairs = p.join(b, MET).withColumn("d", box_distance()).where(F.col("d") <= reach)
+    return pairs if met else pairs.drop(*MET)
 
 
 def points_near_nearest_boxes(points: DataFrame, key: str, boxes: DataFrame, reach: float, k: int, levels: int = 8) -> DataFrame:
@@ -67,7 +77,7 @@ def nearest_with_runner_up(pairs: DataFrame, key: str, order: list[Column | str]
     return pairs.withColumn("runner_up_d", F.lead("d").over(w)).withColumn("x_place", F.row_number().over(w)).where("x_place = 1").drop("x_place")
 
 
-def campus(pairs: DataFrame, key: str, order: list[Column | str], radius: float, least_area: float) -> DataFrame:
+def campus(pairs: DataFrame, key: str | list[str], order: list[Column | str], radius: float, least_area: float) -> DataFrame:
     """The nearest match, and further ones within radius that are large enough (d_center, area)."""
     ranked = pairs.withColumn("match_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.where((F.col("match_rank") == 1) | ((F.col("d_center") <= radius) & (F.col("area") >= least_area)))
@@ -80,7 +90,7 @@ def containing_else_nearest(pairs: DataFrame, key: str, order: str) -> DataFrame
     return pairs.withColumn("x_place", F.row_number().over(w)).where("x_place = 1").drop("x_place").withColumn("contains", inside)
 
 
-def home_like(pairs: DataFrame, key: str, order: list[Column | str], n: int, most_area: float = 1200.0, most_height: float = 13.0, pool: int = 4) -> DataFrame:
+def home_like(pairs: DataFrame, key: str | list[str], order: list[Column | str], n: int, most_area: float = 1200.0, most_height: float = 13.0, pool: int = 4) -> DataFrame:
     """Matches that look like a community's homes (mapped, height_m, area), with their rank.
 
     Non-residential, tall and very large ones go; of the rest, those of 0.5 to 2 times the upper median
@@ -88,9 +98,9 @@ def home_like(pairs: DataFrame, key: str, order: list[Column | str], n: int, mos
     """
     home = ~F.coalesce(F.col("mapped").isin(NONRESIDENTIAL), F.lit(False)) & (F.col("height_m").isNull() | (F.col("height_m") <= most_height)) & (F.col("area") <= most_area)
     ranked = pairs.where(home).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    areas = F.array_sort(F.collect_list("area"))
-    middle = ranked.where(F.col("rank") <= pool * n).groupBy(key).agg(F.get(areas, F.floor(F.size(areas) / 2).cast("int")).alias("x_middle"))
-    return ranked.join(middle, key).where(F.col("area").between(0.5 * F.col("x_middle"), 2.0 * F.col("x_middle"))).drop("x_middle")
+    pooled = F.array_sort(F.collect_list(F.when(F.col("rank") <= pool * n, F.col("area"))).over(Window.partitionBy(key)))
+    middle = ranked.withColumn("x_pool", pooled).withColumn("x_middle", F.get("x_pool", F.floor(F.size("x_pool") / 2).cast("int")))
+    return middle.where(F.col("area").between(0.5 * F.col("x_middle"), 2.0 * F.col("x_middle"))).drop("x_pool", "x_middle")
 
 
 def distinct_on_boxes(pairs: DataFrame, boxes: DataFrame, key: str, what: list[str]) -> DataFrame:
