@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helioframe.catalog import PLACES_SQL, near_boxes, query, table
 from helioframe.operators import community
+from helioframe.operators.stages import stored
 
 
 @query("j15_further_parcels", """
@@ -40,12 +41,16 @@ def j15_further_parcels(spark, sf_dir):
     SELECT pid, bid, taken::INT AS place, homes::INT AS homes FROM c WHERE fits AND taken - 1 + have < 4 AND (NOT known OR checked <= 12)""")
 def j27_community_sample(spark, sf_dir):
     """Homes taken as a sample of each community, nearest first, others' passed over where owners are known."""
-    hits = near_boxes(spark, sf_dir)[0].withColumnRenamed("pid", "site")
-    marked = hits.select(
-        "site", "bid", "d", "area", F.lit(None).cast("string").alias("mapped"), (F.col("area") / 20).alias("height_m"), F.when(F.col("bid") % 3 == 0, 2).otherwise(0).alias("counted"),
-        F.when(F.col("bid") % 7 > 0, F.col("bid") % 5 != 0).alias("same_owner"),
-    )
+    def marked(hits):
+        return hits.withColumnRenamed("pid", "site").select(
+            "site", "bid", "d", "area", F.lit(None).cast("string").alias("mapped"), (F.col("area") / 20).alias("height_m"), F.when(F.col("bid") % 3 == 0, 2).otherwise(0).alias("counted"),
+            F.when(F.col("bid") % 7 > 0, F.col("bid") % 5 != 0).alias("same_owner"),
+        )
+
     sites = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("site"))
     sites = sites.select("site", (F.col("site") % 90 + 5).alias("units"), F.when(F.col("site") % 5 != 0, "R-3").otherwise("R-2").alias("occupancy"), (F.col("site") % 4 == 0).alias("owner_known"))
-    picked, _ = community.community_sample(sites, marked.where("d <= 1").select("site", "bid", "area", "counted"), marked, 4)
+    # what is found is counted first: where buildings lie dense, no site is asked, and what else is near isn't looked for
+    asked = stored(community.asked_sites(sites, marked(near_boxes(spark, sf_dir, reach=1.0)[0])))
+    near = marked(near_boxes(spark, sf_dir, of=asked.select(F.col("site").alias("pid")))[0])
+    picked, _ = community.sampled(asked, near.where("d <= 1"), near, 4)
     return picked.select(F.col("site").alias("pid"), "bid", "place", "homes")

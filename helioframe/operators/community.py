@@ -24,6 +24,13 @@ def homes(area: Column, counted: Column) -> Column:
     return F.when(F.coalesce(counted, F.lit(0)) > 0, counted).otherwise(rows).cast("int")
 
 
+def asked_sites(sites: DataFrame, found: DataFrame) -> DataFrame:
+    """The sites that community_sample samples, with radius and have: few buildings are found at any, so few are near."""
+    have = found.groupBy("site").agg(F.count("*").cast("int").alias("have"), F.sum(homes(F.col("area"), F.col("counted"))).alias("have_homes"))
+    asked = sites.join(have, "site", "left").withColumns({"have": F.coalesce("have", F.lit(0)), "have_homes": F.coalesce("have_homes", F.lit(0)), "radius": solar.community_radius(F.col("units"))})
+    return asked.where((F.col("units") >= LEAST_UNITS) & (F.col("occupancy") == "R-3") & (F.col("have") < ENOUGH_BUILDINGS) & (F.col("have_homes") * 2 < F.col("units")))
+
+
 def community_sample(sites: DataFrame, found: DataFrame, near: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """A sample of homes around the sites whose units far exceed the homes found: (buildings, sites with a reason).
 
@@ -36,9 +43,11 @@ def community_sample(sites: DataFrame, found: DataFrame, near: DataFrame, n: int
 
     The buildings picked: site, bid, place, homes. The sites sampled: site, radius, have, picked, skipped, reason.
     """
-    have = found.groupBy("site").agg(F.count("*").cast("int").alias("have"), F.sum(homes(F.col("area"), F.col("counted"))).alias("have_homes"))
-    asked = sites.join(have, "site", "left").withColumns({"have": F.coalesce("have", F.lit(0)), "have_homes": F.coalesce("have_homes", F.lit(0)), "radius": solar.community_radius(F.col("units"))})
-    asked = asked.where((F.col("units") >= LEAST_UNITS) & (F.col("occupancy") == "R-3") & (F.col("have") < ENOUGH_BUILDINGS) & (F.col("have_homes") * 2 < F.col("units")))
+    return sampled(asked_sites(sites, found), found, near, n)
+
+
+def sampled(asked: DataFrame, found: DataFrame, near: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """community_sample of asked_sites; found and near are only needed for these."""
     within = near.join(asked.select("site", "radius", "have", "owner_known"), "site").where(F.col("d") <= F.col("radius")).join(found.select("site", "bid"), ["site", "bid"], "left_anti")
     order = ["d", "bid"]
     alike = spatial.home_like(within, "site", order, n).drop("rank")
