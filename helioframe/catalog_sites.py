@@ -82,7 +82,7 @@ def j19_segment_by_index(spark, sf_dir):
 @query("j25_nearest_qualifying", f"""
     WITH {PLACES_SQL} SELECT pid, bid, round(d, 4) AS d FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, bid) AS k FROM hits WHERE area >= 150 AND cx < cy) WHERE k = 1""")
 def j25_nearest_qualifying(spark, sf_dir):
-    hits = near_boxes(spark, sf_dir)[0].where("area >= 150 and (xmin + xmax) / 2 < (ymin + ymax) / 2")
+    hits = near_boxes(spark, sf_dir, 1, "(xmax - xmin) * (ymax - ymin) >= 150 and (xmin + xmax) / 2 < (ymin + ymax) / 2")[0]
     return ordered.first_by_key(hits, ["pid"], ["d", "bid"]).select("pid", "bid", F.round("d", 4).alias("d"))
 
 
