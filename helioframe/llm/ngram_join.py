@@ -12,11 +12,14 @@ order is that of a hash, but shingles which more than HEAVY documents would so b
 exactly) come last; the order only decides how large shards get, never what is found. Sets of sizes n and m
 must share a known number of their first shingles, so a pair that the trees bring up in fewer shards than
 that is dropped unseen. Large groups of near copies would be brought up again and again: each entity is
-first verified against the one that leads most of its shards, or stands before it in most, and shards
-whose members are all linked by then are not walked. Of the pairs from the trees, the one that shares most
+first verified against the one that leads most of its shards, or stands before it in most, then against the
+one of its large shards that is in most of them, and shards whose members are all linked by then are not walked. Of the pairs from the trees, the one that shares most
 shards with an entity is verified first, and then those whose ends are not linked yet. A shard of more
 than BLOCK entities is cut into blocks, and each pair of blocks is a task's work of its own, so that no
-group is gathered whole.
+group is gathered whole. Near copies that are too far apart to be linked meet in many shards, and there are as
+many pairs of them as the square of their number: in a shard of more than LEAF entities, each row carries the
+first few of its entity's large shards, so that a pair is only looked at where its ends first meet, and finer
+points, which leave out most pairs before they are a row.
 
 Results are connected components, not pairs; no link between different texts is lost. Shingles are
 compared as 64-bit hashes, whole sets as 128-bit ones. Null and empty texts, and texts without words, have
@@ -46,6 +49,9 @@ HEAVY = 256
 BLOCK = 2048
 LEAF = 16
 SLICE_BYTES = 1 << 20
+#: Large shards that a row knows of its entity, and the logarithm of the most groups of a finer point that it carries.
+FIRST = 8
+CARRIED_BITS = 10
 #: Keys beyond which the filter of a plan's constants lets too much through, and a table is sent as well.
 FILTER_KEYS = 1 << 19
 
@@ -217,23 +223,63 @@ def fine_bounds(left: pa.Array, right: pa.Array) -> np.ndarray:
     x, y = left.to_pylist(), right.to_pylist()
     out = np.zeros(len(x), dtype=np.int64)
     kinds = np.array([(p[0], q[0]) for p, q in zip(x, y)], dtype=np.int64).reshape(-1, 2)
-
-    def counts(points: list[bytes], bits: int, fewest: int) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(b"".join(points), dtype=np.uint8).reshape(len(points), -1)
-        cells = (raw[:, 9:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(len(points), 1 << bits)
-        folded = cells.reshape(len(points), -1, 1 << fewest).sum(1, dtype=np.int32) if bits > fewest else cells
-        return folded, np.ascontiguousarray(raw[:, 1:9]).view(np.int64)[:, 0]
-
     for b, c in np.unique(kinds, axis=0).tolist():
         rows = np.flatnonzero((kinds == (b, c)).all(1))
         step = max(1, (1 << 22) >> max(b, c))
         for k in range(0, len(rows), step):
             at = rows[k : k + step]
-            (p, e), (q, f) = counts([x[i] for i in at], b, min(b, c)), counts([y[i] for i in at], c, min(b, c))
+            (p, e), (q, f) = fine_counts([x[i] for i in at], b, min(b, c)), fine_counts([y[i] for i in at], c, min(b, c))
             out[at] = np.minimum(p, q).sum(1, dtype=np.int64) + e + f
     return out
 
 
+def fine_counts(points: list[bytes], bits: int, fewest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of finer points of so many bits, folded to fewer groups, and the shingles that they leave out."""
+    raw = np.frombuffer(b"".join(points), dtype=np.uint8).reshape(len(points), -1)
+    cells = (raw[:, 9:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(len(points), 1 << bits)
+    folded = cells.reshape(len(points), -1, 1 << fewest).sum(1, dtype=np.int32) if bits > fewest else cells
+    return folded, np.ascontiguousarray(raw[:, 1:9]).view(np.int64)[:, 0]
+
+
+def fine_limits(points: list[bytes | None], x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many shingles the sets at x and y share at most; most where one of them carries no finer point."""
+    out = most.copy()
+    kinds = np.array([p[0] if p is not None else 0 for p in points], dtype=np.int64)
+    code = kinds[x] << 8 | kinds[y]
+    for k in np.flatnonzero(np.bincount(code)).tolist():
+        b, c = k >> 8, k & 255
+        if not b or not c:
+            continue
+        rows, place, sides = np.flatnonzero(code == k), np.zeros(len(points), dtype=np.int64), {}
+        for bits in {b, c}:
+            own = np.flatnonzero(kinds == bits)
+            place[own] = np.arange(len(own))
+            sides[bits] = fine_counts([points[i] for i in own], bits, min(b, c))
+        (p, e), (q, f) = sides[b], sides[c]
+        step = max(1, (1 << 22) >> min(b, c))
+        for s in range(0, len(rows), step):
+            at = rows[s : s + step]
+            i, j = place[x[at]], place[y[at]]
+            out[at] = np.minimum(p[i], q[j]).sum(1, dtype=np.int64) + e[i] + f[j]
+    return out
+
+
+def met_before(token: int, firsts: list[list[int] | None], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the members at x and y of a shard are known to meet in an earlier one (of the commonest 64)."""
+    sizes = [len(f) if f is not None else 0 for f in firsts]
+    known = np.array([t for f in firsts if f is not None for t in f], dtype=np.int64)
+    member = np.repeat(np.arange(len(firsts)), sizes)
+    member, known = member[known < token], known[known < token]
+    distinct, which, times = np.unique(known, return_inverse=True, return_counts=True)
+    bit = np.full(len(distinct), -1)
+    common = np.argsort(-times, kind="stable")[:64]
+    bit[common] = np.arange(len(common))
+    mask = np.zeros(len(firsts), dtype=np.uint64)
+    has = bit[which] >= 0
+    np.bitwise_or.at(mask, member[has], np.uint64(1) << bit[which[has]].astype(np.uint64))
+    return (mask[x] & mask[y]) != 0
+
+
 def enough(shared, a, b):
     """Whether so many shared shingles make sets of sizes a and b similar enough."""
     return 100 * shared >= PERCENT * (a + b - shared)
@@ -335,24 +381,31 @@ class Tree:
         return a[fit], b[fit]
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, entities: DataFrame) -> DataFrame:
     """Pairs of entities with different roots whose points allow a link, and in how many shards (c) they meet.
 
-    rows: token, sig, n, root and point, in shards of which those above BLOCK are cut into blocks. Pairs that
-    meet in fewer shards than similar sets of their sizes do are left out.
+    rows: token, sig, n, root and m (members of the shard); shards above BLOCK are cut into blocks. Pairs that meet
+    in fewer shards than similar sets of their sizes do are left out. A pair that meets in a shard of more than LEAF
+    is held against its finer points there, once, and c is then what these allow it to share.
     """
-    sizes = rows.groupBy("token").agg(F.count("*").alias("m"))
-    blocks = (F.floor((F.col("m") + BLOCK - 1) / BLOCK)).cast("int")
-    rows = rows.join(sizes.where(f"m > {BLOCK}").select("token", blocks.alias("blocks")), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    large = F.col("m") > LEAF
+    firsts = rows.where(large).groupBy("sig").agg(F.slice(F.array_sort(F.collect_set("token")), 1, FIRST).alias("first"))
+    carried = F.when(F.length("fine") <= 9 + (1 << CARRIED_BITS - 2), F.col("fine"))
+    points = entities.select("sig", "point", carried.alias("fine")).join(firsts, "sig", "left")
+    blocks = F.floor((F.col("m") + BLOCK - 1) / BLOCK).cast("int")
+    rows = rows.join(points, "sig").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "sig", "n", "root", "point")
+    rows = rows.select(
+        "token", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "sig", "n", "root", "m", "point",
+        F.when(large, F.col("fine")).alias("fine"), F.when(large, F.col("first")).alias("first"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        def emit(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
             both = np.stack((np.minimum(x, y), np.maximum(x, y), least_in_common(n, m)), axis=1) if len(x) else np.zeros((0, 3), np.int64)
-            both, times = np.unique(both, axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in both.T.copy()), pa.array(times.astype(np.int64))], ["a", "b", "r", "c"])
+            both, which = np.unique(both, axis=0, return_inverse=True)
+            times = np.bincount(which.ravel(), weights=c, minlength=len(both))
+            return pa.RecordBatch.from_arrays([*(pa.array(k) for k in both.T.copy()), pa.array(times.astype(np.int64))], ["a", "b", "r", "c"])
 
         rest = None
         for batch in batches:
@@ -380,15 +433,16 @@ def walk(batch: pa.RecordBatch, last: bool, emit) -> Iterator[pa.RecordBatch]:
     if not stop:
         return
     batch = batch.slice(0, stop)
-    cols = {c: batch.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j", "mine", "sig", "n", "root")}
+    cols = {c: batch.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j", "mine", "sig", "n", "root", "m")}
     points = coordinates(batch.column("point"))
     fresh = np.concatenate(([True], (cols["token"][1:] != cols["token"][:-1]) | (cols["i"][1:] != cols["i"][:-1]) | (cols["j"][1:] != cols["j"][:-1])))
     heads = np.flatnonzero(fresh)
     ends = np.concatenate((heads[1:], [stop]))
     sizes = ends - heads
+    large = cols["m"][heads] > LEAF
     left, right = [], []
     # small shards all at once: each row with the one k rows on
-    small = np.repeat(sizes <= LEAF, sizes)
+    small = np.repeat(~large, sizes)
     end_of = np.repeat(ends, sizes)
     for k in range(1, LEAF):
         x = np.flatnonzero(small & (np.arange(stop) + k < end_of))
@@ -403,7 +457,8 @@ def walk(batch: pa.RecordBatch, last: bool, emit) -> Iterator[pa.RecordBatch]:
         fit = enough(np.minimum(points[p], points[q]).sum(1, dtype=np.int64), cols["n"][p], cols["n"][q])
         left.append(p[fit])
         right.append(q[fit])
-    for a, b in zip(heads[sizes > LEAF].tolist(), ends[sizes > LEAF].tolist()):
+    shared = [np.ones(len(p), np.int64) for p in left]
+    for a, b in zip(heads[large].tolist(), ends[large].tolist()):
         if cols["i"][a] == cols["j"][a]:
             one = np.arange(a, b)
             tree = Tree(points[one], cols["n"][one])
@@ -416,11 +471,20 @@ def walk(batch: pa.RecordBatch, last: bool, emit) -> Iterator[pa.RecordBatch]:
             p, q = Tree(points[one], cols["n"][one]).pairs(Tree(points[two], cols["n"][two]), False)
             p, q = one[p], two[q]
         fit = cols["root"][p] != cols["root"][q]
+        p, q = p[fit], q[fit]
+        if not len(p):
+            continue
+        new = ~met_before(int(cols["token"][a]), batch.column("first").slice(a, b - a).to_pylist(), p - a, q - a)
+        p, q = p[new], q[new]
+        n, m = cols["n"][p], cols["n"][q]
+        most = fine_limits(batch.column("fine").slice(a, b - a).to_pylist(), p - a, q - a, np.minimum(n, m))
+        fit = enough(most, n, m)
         left.append(p[fit])
         right.append(q[fit])
+        shared.append(most[fit])
     if left:
         p, q = np.concatenate(left), np.concatenate(right)
-        yield emit(cols["sig"][p], cols["sig"][q], cols["n"][p], cols["n"][q])
+        yield emit(cols["sig"][p], cols["sig"][q], cols["n"][p], cols["n"][q], np.concatenate(shared))
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -442,7 +506,13 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     left = unlinked(shared, rooted(entities, roots))
     discard(shared)
-    pairs = written(candidates(left.join(entities.select("sig", "point"), "sig")), "pairs")
+    hubs = written(central(left), "central")
+    if not hubs.isEmpty():
+        links = written(links.unionByName(linked(narrow, entities, hubs)), "links")
+        roots = components(links, "a", "b")
+        mixed, left = left, unlinked(left, rooted(entities, roots))
+        discard(mixed)
+    pairs = written(candidates(left, entities), "pairs")
     discard(left)
     ends = pairs.select(F.col("a").alias("sig"), "c", F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("sig"), "c", F.col("a").alias("other")))
     best = ends.groupBy("sig").agg(F.max(F.struct("c", "other")).alias("x")).select(F.least("sig", "x.other").alias("a"), F.greatest("sig", "x.other").alias("b")).distinct()
@@ -480,10 +550,23 @@ def favourites(shared: DataFrame, other: str) -> DataFrame:
     return best.select(F.least("sig", "x.other").alias("a"), F.greatest("sig", "x.other").alias("b"))
 
 
+def central(left: DataFrame) -> DataFrame:
+    """Each entity with the one that leads most of its large shards and isn't linked with it yet, as pairs (a, b).
+
+    A shard is led by the entity that is in most large shards: of a group of near copies, the one that the others
+    were made from, or one like it, which is nearer to them than they are to each other.
+    """
+    large = left.where(F.col("m") > LEAF).select("token", "sig", "n", "root")
+    often = large.groupBy("sig").agg(F.count("*").alias("w"))
+    leads = large.join(often, "sig").groupBy("token").agg(F.max(F.struct("w", "sig", "n", "root")).alias("x"))
+    leads = leads.select("token", F.col("x.sig").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.root").alias("lead_root"))
+    return favourites(large.join(leads, "token").where("root <> lead_root"), "lead")
+
+
 def unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of shards whose members are not all in one component yet: token, sig, n and root."""
+    """The rows of shards whose members are not all in one component yet: token, sig, n, root and m (the members)."""
     rows = written(shared.select("token", "sig", "n").join(roots, "sig"), "members")
-    mixed = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    mixed = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 <> r1").select("token", "m")
     left = written(rows.join(mixed, "token"), "mixed")
     discard(rows)
     return left
