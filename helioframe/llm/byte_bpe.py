@@ -21,7 +21,7 @@ import base64
 import hashlib
 import heapq
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,8 +36,7 @@ BLOCK_BYTES = 1 << 20
 #: A task starts a new list of words beyond so many.
 MAX_WORDS = 400_000
 FOLD_BYTES = 96
-#: Bits of a place in a word, of the largest ranks there may be, and of the right one of two in a key.
-PLACE_BITS = 8
+#: Bits of the largest ranks there may be, and of the right one of two in a key.
 MOST_RANK_BITS = 21
 RIGHT = 32
 #: An empty cell of the rank table, while it is filled.
@@ -179,19 +178,21 @@ def fold_word(word: Column, base: Column, table: Column, bits: int) -> Column:
     finds no pair marks the end by a leading -1, and the steps after it pass the array through.
     """
 
+    def named(value: Column, use: Callable[[Column], Column]) -> Column:
+        """use(value), with value worked out once: a list of one element gives its value a name."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
     def ranked(state: Column) -> Column:
-        """Rank and place of each pair, packed; a pair that is not in the table is above any rank."""
-        entry = lambda a, i: F.get(table, F.get(base, a) + F.get(state, i + 1)).bitwiseXOR(F.shiftleft(a, bits))
-        return F.transform(state, lambda a, i: F.shiftleft(entry(a, i), PLACE_BITS).bitwiseOR(i.cast("bigint")))
+        """The rank of each pair; a pair that is not in the table is above any rank, and the last element has none."""
+        return F.zip_with(state, F.slice(state, F.lit(2), F.size(state)), lambda a, b: F.get(table, F.get(base, a) + b).bitwiseXOR(F.shiftleft(a, bits)))
 
-    def merge(state: Column, best: Column) -> Column:
-        place = best.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-        merged = F.concat(F.slice(state, F.lit(1), place), F.array(F.shiftright(best, PLACE_BITS)), F.slice(state, place + 3, F.size(state)))
-        return F.when(best < F.lit(1 << bits + PLACE_BITS), merged).otherwise(F.concat(F.array(F.lit(-1).cast("bigint")), state))
+    def merge(state: Column, ranks: Column, best: Column) -> Column:
+        place = F.array_position(ranks, best).cast("int")
+        merged = F.concat(F.slice(state, F.lit(1), place - 1), F.array(best), F.slice(state, place + 2, F.size(state)))
+        return F.when(best < F.lit(1 << bits), merged).otherwise(F.concat(F.array(F.lit(-1).cast("bigint")), state))
 
     def step(state: Column, _: Column) -> Column:
-        # a list of one element gives its value a name
-        merged = F.get(F.transform(F.array(F.array_min(ranked(state))), lambda best: merge(state, best)), F.lit(0))
+        merged = named(ranked(state), lambda ranks: named(F.array_min(ranks), lambda best: merge(state, ranks, best)))
         return F.when((F.size(state) < 2) | (F.get(state, F.lit(0)) == -1), state).otherwise(merged)
 
     return F.aggregate(F.sequence(F.lit(1), F.size(word)), word, step)
@@ -249,18 +250,23 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
                 at = np.array([place.setdefault(h, len(place)) for h in distinct.tolist()], dtype=np.int32)
                 new = np.flatnonzero(at >= begun)
                 data = raw.tobytes()
-                found = []
-                for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist()):
+                begin, size = starts[one[new]], (ends - starts)[one[new]]
+                done = {}  # words that need no fold
+                for k, (a, b) in enumerate(zip(begin.tolist(), (begin + size).tolist())):
                     rank = ranks.get(data[a:b])
                     if rank is not None:  # an entry as a whole is its own encoding
-                        found.append(np.array([rank]))
-                    elif b - a <= FOLD_BYTES:
-                        found.append(of_byte[raw[a:b]])
-                    else:
+                        done[k] = [rank]
+                    elif b - a > FOLD_BYTES:
                         pairs = merges(ranks) if pairs is None else pairs
-                        found.append(np.array(merge_long(of_byte[raw[a:b]].tolist(), pairs)))
-                heads = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                words = pa.ListArray.from_arrays(pa.array(heads), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64()))
+                        done[k] = merge_long(of_byte[raw[a:b]].tolist(), pairs)
+                length, size[list(done)] = size.copy(), 0
+                length[list(done)] = [len(x) for x in done.values()]
+                heads = np.concatenate(([0], np.cumsum(length)))
+                symbols = np.empty(heads[-1], dtype=np.int64)
+                symbols[spread(heads[:-1], size)] = of_byte[raw[spread(begin, size)]]
+                for k, x in done.items():
+                    symbols[heads[k] : heads[k + 1]] = x
+                words = pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(symbols))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id")),

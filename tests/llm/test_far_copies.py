@@ -1,10 +1,12 @@
-"""Groups of near copies of which many are too far apart to be linked."""
+"""Groups of near copies of which many are too far apart to be linked, and the cost of a fold of the token encoder."""
 
 import random
 
 import numpy as np
 import pyarrow as pa
-from helioframe.llm import ngram_join
+from pyspark.sql import functions as F
+
+from helioframe.llm import byte_bpe, ngram_join
 from tests.llm.test_operators import brute_components, shingles
 
 
@@ -46,3 +48,8 @@ def test_a_pair_is_made_once_for_all_large_shards():
     pairs = {(min(p), max(p)) for p in made}
     assert len(made) == len(pairs) and {(i, j) for i in range(10) for j in range(i + 1, 10)} <= pairs
     assert not any(i >= 10 for i, _ in pairs)
+
+
+def test_a_fold_ranks_a_pair_by_its_two_ranks(spark):
+    fold = str(byte_bpe.fold_word(F.col("word"), F.col("base"), F.col("rows"), 17))
+    assert "zip_with" in fold and fold.count("shiftleft") == 1
