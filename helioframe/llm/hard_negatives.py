@@ -1,10 +1,10 @@
 """Hard negatives of anchors, by a block matrix product of anchors and rows (SUMMA).
 
 Rows and anchors are dealt to blocks, and their vectors to chunks of dimensions. Block (a, k) of the anchors goes to
-all row blocks r and block (r, k) of the rows to all anchor blocks a; where they meet, a task multiplies them to a
-partial tile of 64-bit scores. The partial tiles of (a, r) are dealt by (a, r) and added as they stream by, and a
-finished tile is reduced at once to the few rows of each anchor that can still matter. Spark's windows then take
-the best of all tiles.
+all row blocks r and block (r, k) of the rows to all anchor blocks a, dealt by (a, r). There a task multiplies them
+chunk by chunk as they stream by, adds the products to one tile of 64-bit scores, and reduces the finished tile at
+once to the few rows of each anchor that can still matter. Tiles are never moved. Spark's windows then take the best
+of all tiles.
 
 Blocks hold rows of labels that hash alike, so that the first product, which finds the positives, only needs tiles
 of like blocks; the second one looks for negatives within the windows that the positives set. A label with most of
@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from helioframe.llm.shared import in_arrow, written
 
@@ -100,22 +99,22 @@ def chunked(base: DataFrame, own: str, grid: Grid, blocks: list[int], more: list
     )
 
 
-def partial_tiles(anchors: DataFrame, rows: DataFrame, grid: Grid, alike: bool, carried: list[str]) -> DataFrame:
-    """Products of the chunks of anchors and rows: a, r, k, tile (64-bit scores, row by row) and the carried columns."""
-    left = anchors.withColumn("r", F.explode(partners(grid.rows, alike))).drop("g")
-    right = rows.withColumn("a", F.explode(partners(grid.anchors, alike))).drop("g")
-    met = left.join(right, ["a", "r", "k"]).select("a", "r", "k", *carried, "a_values", "r_values")
-    kept = met.columns[:-2]
+def met(anchors: DataFrame, rows: DataFrame, grid: Grid, alike: bool) -> DataFrame:
+    """The chunks of anchors and rows that meet: a, r, k, side (0: anchors, 1: rows), values, ids, labels, windows.
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                left, right = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, CHUNK) for c in ("a_values", "r_values"))
-                tile = product(left, right).tobytes()
-                own = batch.slice(i, 1).select(kept)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([tile], pa.binary())], [*kept, "tile"])
+    Both are dealt by (a, r) and come in order of (a, r, k, side). Nothing is joined: Spark would take the compressed
+    size of the tables for that of the blocks, and send a copy of them for each partner to the driver.
+    """
+    windows = next((f.dataType for f in anchors.schema if f.name == "a_windows"), None)
+    given = F.lit(None).cast("string") if windows is None else F.lit(None).cast(windows)
+
+    def side(blocks: DataFrame, own: str, other: str, theirs: list[int]) -> DataFrame:
+        found = blocks.withColumn(other, F.explode(partners(theirs, alike)))
+        more = F.col(f"{own}_windows") if f"{own}_windows" in blocks.columns else given
+        return found.select("a", "r", "k", F.lit(int(own == "r")).alias("side"), *[F.col(f"{own}_{c}").alias(c) for c in ("values", "ids", "labels")], more.alias("windows"))
 
-    return in_arrow(met, multiply, StructType([*met.schema.fields[:-2], StructField("tile", BinaryType())]))
+    both = side(anchors, "a", "r", grid.rows).unionByName(side(rows, "r", "a", grid.anchors))
+    return both.repartition("a", "r").sortWithinPartitions("a", "r", "k", "side")
 
 
 def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -126,21 +125,30 @@ def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return left @ right.T
 
 
-def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
-    """The sums of tiles that come in order of (a, r, k), each with the first chunk's columns; holds one tile at a time."""
-    at, first, total = None, {}, None
+def added(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[dict, np.ndarray]]:
+    """The tiles of chunks (so many dimensions wide) that come as met() deals them, each with the first chunks' columns.
+
+    It holds one tile and one chunk of either side at a time.
+    """
+    at, first, total, left = None, {}, None, None
     for batch in batches:
+        columns = {c: batch.column(c) for c in batch.schema.names}
         for i in range(batch.num_rows):
-            key = (batch.column("a")[i].as_py(), batch.column("r")[i].as_py())
-            tile = np.frombuffer(batch.column("tile")[i].as_buffer(), dtype=np.int64)
-            if key == at:
-                total += tile
-                continue
-            if at is not None:
-                yield first, total
-            at, total = key, tile.copy()
-            first = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c not in ("a", "r", "k", "tile")}
-    if at is not None:
+            key = (columns["a"][i].as_py(), columns["r"][i].as_py())
+            k, own = columns["k"][i].as_py(), "r" if columns["side"][i].as_py() else "a"
+            if key != at:
+                if total is not None:
+                    yield first, total
+                at, first, total, left = key, {}, None, None
+            if k == 0:
+                first |= {f"{own}_{c}": columns[c][i].as_py() for c in ("ids", "labels", "windows")}
+            values = columns["values"][i].values.to_numpy(zero_copy_only=False).reshape(-1, width)
+            if own == "a":
+                left = (k, values)
+            elif left is not None and left[0] == k:
+                tile = product(left[1], values)
+                total = tile if total is None else np.add(total, tile, out=total)
+    if total is not None:
         yield first, total
 
 
@@ -152,23 +160,23 @@ def tops(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, most: int) ->
     return at[np.lexsort((ids[at], ~scores[at]))[:most]]
 
 
-def reduced(tiles: DataFrame, schema: str, rows_of) -> DataFrame:
-    """Deal partial tiles by (a, r), add them, and turn each whole tile into rows.
+def reduced(chunks: DataFrame, schema: str, rows_of) -> DataFrame:
+    """Multiply and add the chunks that meet, and turn each whole tile into rows.
 
     rows_of(first, ids, same, scores, i) yields rows for anchor i of a tile: ids are those of the tile's rows, same
     says which of them have the anchor's label, and scores are the anchor's.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, total in added(batches):
+        for first, scores in added(batches, CHUNK):
             ids, codes = np.array(first["r_ids"], dtype=np.int64), {x: n for n, x in enumerate(dict.fromkeys(first["r_labels"]))}
-            labels, scores = np.array([codes[x] for x in first["r_labels"]]), total.reshape(len(first["a_ids"]), len(ids))
+            labels = np.array([codes[x] for x in first["r_labels"]])
             found = [row for i, label in enumerate(first["a_labels"]) for row in rows_of(first, ids, labels == codes.get(label, -1), scores[i], i)]
             if found:
                 columns = [c.split()[0] for c in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([row[j] for row in found], pa.int64()) for j in range(len(columns))], columns)
 
-    return in_arrow(tiles.repartition("a", "r").sortWithinPartitions("a", "r", "k"), task, schema)
+    return in_arrow(chunks, task, schema)
 
 
 def mine(
@@ -191,15 +199,15 @@ def mine(
     if not sum(grid.anchors):
         return spark.createDataFrame([], schema)
     blocks = written(chunked(base, "r", grid, grid.rows, []), "row-blocks")
-    anchors, carried = base.where("anchor"), ["a_ids", "a_labels", "r_ids", "r_labels"]
+    anchors = base.where("anchor")
 
     def likest(first, ids, same, scores, i):
         own = first["a_ids"][i]
         for at in tops(scores, ids, same & (ids != own), positives):
             yield own, int(ids[at]), int(scores[at])
 
-    tiles = partial_tiles(chunked(anchors, "a", grid, grid.anchors, []), blocks, grid, True, carried)
-    found = reduced(tiles, "anchor_id long, positive_id long, positive_score long", likest)
+    chunks = met(chunked(anchors, "a", grid, grid.anchors, []), blocks, grid, True)
+    found = reduced(chunks, "anchor_id long, positive_id long, positive_score long", likest)
     best = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     found = written(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= positives).drop("n"), "positives")
 
@@ -210,8 +218,8 @@ def mine(
                 yield first["a_ids"][i], positive["positive_id"], int(ids[at]), positive["positive_score"], int(scores[at])
 
     windows = found.groupBy(F.col("anchor_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("positive_id", "positive_score"))).alias("windows"))
-    tiles = partial_tiles(chunked(anchors.join(windows, "id"), "a", grid, grid.anchors, ["windows"]), blocks, grid, False, [*carried, "a_windows"])
-    found = reduced(tiles, "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long", within)
+    chunks = met(chunked(anchors.join(windows.hint("merge"), "id"), "a", grid, grid.anchors, ["windows"]), blocks, grid, False)
+    found = reduced(chunks, "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long", within)
     best = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -119,6 +119,14 @@ def test_hard_negatives(spark, monkeypatch, blocks):
     assert hard_negatives.mine(table, F.col("vec_id") < 0).count() == 0
 
 
+def test_blocks_are_never_broadcast(spark):
+    rows = [(i, [0.5 + i % 3] * 64, i % 4) for i in range(3000)]  # small in a file, large in memory
+    found = hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), F.col("vec_id") % 10 == 0)
+    assert found.count() == 300 * 25
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_product_is_exact():
     big = np.array([[2**40 + 1, 3]], dtype=np.int64)
     assert hard_negatives.product(big, big)[0, 0] == (2**40 + 1) ** 2 + 9 - 2**64 * round(((2**40 + 1) ** 2 + 9) / 2**64)  # wraps, as documented
