@@ -253,13 +253,18 @@ def j13_interpolation(spark, sf_dir):
 
 # --- spatial joins -------------------------------------------------------------------------------
 
-PLACES_SQL = """
+def places_sql(reach: int) -> str:
+    """Points, boxes and hits, the pairs within reach."""
+    return f"""
     pts AS (SELECT vec_id AS pid, embedding[1]::DOUBLE * 1000 AS px, embedding[2]::DOUBLE * 1000 AS py FROM embeddings WHERE vec_id % 2 = 0),
     boxes AS (SELECT vec_id AS bid, x AS xmin, y AS ymin, x + 5 + vec_id % 20 AS xmax, y + 5 + vec_id % 15 AS ymax FROM (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y FROM embeddings WHERE vec_id % 2 = 1)),
     near AS (SELECT pid, bid, px, py, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy, (xmax - xmin) * (ymax - ymin) AS area,
              sqrt(greatest(xmin - px, 0, px - xmax) ** 2 + greatest(ymin - py, 0, py - ymax) ** 2) AS d FROM pts, boxes
-             WHERE px BETWEEN xmin - 40 AND xmax + 40 AND py BETWEEN ymin - 40 AND ymax + 40),
-    hits AS (SELECT *, sqrt((cx - px) ** 2 + (cy - py) ** 2) AS d_center FROM near WHERE d <= 40)"""
+             WHERE px BETWEEN xmin - {reach} AND xmax + {reach} AND py BETWEEN ymin - {reach} AND ymax + {reach}),
+    hits AS (SELECT *, sqrt((cx - px) ** 2 + (cy - py) ** 2) AS d_center FROM near WHERE d <= {reach})"""
+
+
+PLACES_SQL = places_sql(40)
 
 
 def near_boxes(spark: SparkSession, sf_dir: str, nearest: int | None = None, only: str = "true", of: DataFrame | None = None, reach: float = 40.0, met: bool = False) -> tuple[DataFrame, DataFrame]:

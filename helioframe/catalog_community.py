@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helioframe.catalog import PLACES_SQL, near_boxes, query, table
+from helioframe.catalog import near_boxes, places_sql, query, table
 from helioframe.operators import community
 from helioframe.operators.stages import stored
 
@@ -29,7 +29,7 @@ def j15_further_parcels(spark, sf_dir):
 
 
 @query("j27_community_sample", f"""
-    WITH {PLACES_SQL}, s AS (SELECT pid, pid % 90 + 5 AS units, pid % 4 = 0 AS known FROM pts WHERE pid % 5 <> 0),
+    WITH {places_sql(1000)}, s AS (SELECT pid, pid % 90 + 5 AS units, pid % 4 = 0 AS known FROM pts WHERE pid % 5 <> 0),
     h AS (SELECT *, CASE WHEN bid % 3 = 0 THEN 2 WHEN area >= 300 THEN greatest(1, round_even(area / 100, 0)) ELSE 1 END AS homes, CASE WHEN bid % 7 > 0 THEN bid % 5 <> 0 END AS same FROM hits),
     f AS (SELECT pid, count(*) AS have, sum(homes) AS have_homes FROM h WHERE d <= 1 GROUP BY pid),
     a AS (SELECT s.*, coalesce(have, 0) AS have, greatest(150, least(1000, 1.6 * sqrt(units * 450 / pi()))) AS radius FROM s LEFT JOIN f USING (pid)
@@ -51,6 +51,6 @@ def j27_community_sample(spark, sf_dir):
     sites = sites.select("site", (F.col("site") % 90 + 5).alias("units"), F.when(F.col("site") % 5 != 0, "R-3").otherwise("R-2").alias("occupancy"), (F.col("site") % 4 == 0).alias("owner_known"))
     # what is found is counted first: where buildings lie dense, no site is asked, and what else is near isn't looked for
     asked = stored(community.asked_sites(sites, marked(near_boxes(spark, sf_dir, reach=1.0)[0])))
-    near = marked(near_boxes(spark, sf_dir, of=asked.select(F.col("site").alias("pid")))[0])
-    picked, _ = community.sampled(asked, near.where("d <= 1"), near, 4)
+    around = lambda some, reach: marked(near_boxes(spark, sf_dir, of=some.select(F.col("site").alias("pid")), reach=reach)[0])
+    picked, _ = community.sampled_in_circles(asked, stored(around(asked, 1.0)), around, 4)
     return picked.select(F.col("site").alias("pid"), "bid", "place", "homes")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helioframe.functions import solar
 from helioframe.operators import spatial
+from helioframe.operators.stages import stored
 
 #: Square metres of a home in a row of homes; smaller buildings than three of them are one home.
 HOME_M2 = 100.0
@@ -48,6 +52,32 @@ def community_sample(sites: DataFrame, found: DataFrame, near: DataFrame, n: int
 
 def sampled(asked: DataFrame, found: DataFrame, near: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """community_sample of asked_sites; found and near are only needed for these."""
+    return told(asked, looked_at(asked, found, near, n))
+
+
+def sampled_in_circles(asked: DataFrame, found: DataFrame, look: Callable[[DataFrame, float], DataFrame], n: int, reach: float = 40.0) -> tuple[DataFrame, DataFrame]:
+    """sampled, with near looked for as far as it matters: look(sites, reach) gives what is within reach of sites (site).
+
+    Circles double until each site is done: its whole radius has been looked at, or the pool that home_like takes is
+    full and the last building needed, or allowed, was found. What is farther away comes later in both.
+    """
+    most = asked.agg(F.max("radius")).first()[0] or 0.0
+    left, seen = asked, []
+    while True:
+        reach = reach if reach * 1.25 < most else most
+        rows = stored(looked_at(left, found, look(left.select("site"), reach), n))
+        if reach >= most:
+            break
+        ends = rows.groupBy("site").agg((F.bool_or("pool_full") & ((F.max("taken") + F.first("have") >= n) | (F.first("owner_known") & (F.max("check") >= CHECKS * n)))).alias("ended"))
+        marked = left.join(ends, "site", "left").withColumn("done", F.coalesce("ended", F.lit(False)) | (F.col("radius") <= reach) | (F.col("have") >= n)).drop("ended")
+        left = stored(marked.where(~F.col("done")).drop("done"))
+        seen.append(rows.join(left, "site", "left_anti"))
+        reach *= 2
+    return told(asked, reduce(DataFrame.unionByName, [*seen, rows]))
+
+
+def looked_at(asked: DataFrame, found: DataFrame, near: DataFrame, n: int) -> DataFrame:
+    """The buildings that are looked at for each site's sample, with check (their place), fits and taken (so far)."""
     within = near.join(asked.select("site", "radius", "have", "owner_known"), "site").where(F.col("d") <= F.col("radius")).join(found.select("site", "bid"), ["site", "bid"], "left_anti")
     order = ["d", "bid"]
     alike = spatial.home_like(within, "site", order, n).drop("rank")
@@ -56,15 +86,19 @@ def sampled(asked: DataFrame, found: DataFrame, near: DataFrame, n: int) -> tupl
     fits = ~F.col("owner_known") | F.coalesce("same_owner", F.lit(False))
     # every candidate is a check; those after the last one needed, or allowed, are never looked at
     seen = alike.withColumn("check", F.row_number().over(w)).withColumn("fits", fits).withColumn("taken", F.sum(fits.cast("int")).over(so_far))
-    seen = seen.where((F.col("taken") - F.col("fits").cast("int") + F.col("have") < n) & (~F.col("owner_known") | (F.col("check") <= CHECKS * n)))
+    return seen.where((F.col("taken") - F.col("fits").cast("int") + F.col("have") < n) & (~F.col("owner_known") | (F.col("check") <= CHECKS * n)))
+
+
+def told(asked: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The buildings picked of those looked at, and the sites with their reasons."""
     picked = seen.where("fits").select("site", "bid", F.col("taken").cast("int").alias("place"), homes(F.col("area"), F.col("counted")).alias("homes"))
     sums = seen.groupBy("site").agg(F.count_if("fits").cast("int").alias("picked"), F.count_if(F.col("owner_known") & (F.col("same_owner") == F.lit(False))).cast("int").alias("skipped"))
-    told = asked.join(sums, "site", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("picked", "skipped")})
+    counted = asked.join(sums, "site", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("picked", "skipped")})
     reason = F.concat(
         F.lit("community_sampled_"), (F.col("have") + F.col("picked")).cast("string"), F.lit("_buildings_within_"), F.bround("radius", 0).cast("int").cast("string"), F.lit("m"),
         F.when(F.col("skipped") > 0, F.concat(F.lit("_skipped_"), F.col("skipped").cast("string"), F.lit("_other_owners"))).otherwise(""), F.when(F.col("owner_known"), "").otherwise("_ownership_not_checked"),
     )
-    return picked, told.select("site", "radius", "have", "picked", "skipped", reason.alias("reason"))
+    return picked, counted.select("site", "radius", "have", "picked", "skipped", reason.alias("reason"))
 
 
 def further_parcels(points: DataFrame, own: DataFrame, budget: int = LOOKUPS) -> DataFrame:

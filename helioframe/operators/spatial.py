@@ -91,16 +91,17 @@ def containing_else_nearest(pairs: DataFrame, key: str, order: str) -> DataFrame
 
 
 def home_like(pairs: DataFrame, key: str | list[str], order: list[Column | str], n: int, most_area: float = 1200.0, most_height: float = 13.0, pool: int = 4) -> DataFrame:
-    """Matches that look like a community's homes (mapped, height_m, area), with their rank.
+    """Matches that look like a community's homes (mapped, height_m, area), with their rank and whether the pool is full.
 
     Non-residential, tall and very large ones go; of the rest, those of 0.5 to 2 times the upper median
-    area of the nearest pool * n stay.
+    area of the nearest pool * n stay (pool_full: there are so many).
     """
     home = ~F.coalesce(F.col("mapped").isin(NONRESIDENTIAL), F.lit(False)) & (F.col("height_m").isNull() | (F.col("height_m") <= most_height)) & (F.col("area") <= most_area)
     ranked = pairs.where(home).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     pooled = F.array_sort(F.collect_list(F.when(F.col("rank") <= pool * n, F.col("area"))).over(Window.partitionBy(key)))
     middle = ranked.withColumn("x_pool", pooled).withColumn("x_middle", F.get("x_pool", F.floor(F.size("x_pool") / 2).cast("int")))
-    return middle.where(F.col("area").between(0.5 * F.col("x_middle"), 2.0 * F.col("x_middle"))).drop("x_pool", "x_middle")
+    alike = middle.where(F.col("area").between(0.5 * F.col("x_middle"), 2.0 * F.col("x_middle")))
+    return alike.withColumn("pool_full", F.size("x_pool") >= pool * n).drop("x_pool", "x_middle")
 
 
 def distinct_on_boxes(pairs: DataFrame, boxes: DataFrame, key: str, what: list[str]) -> DataFrame:

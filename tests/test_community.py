@@ -4,6 +4,10 @@ import math
 import random
 from statistics import median_high
 
+import duckdb
+from pyspark.sql import functions as F
+
+import __spark_entry__
 from helioframe.operators import community
 
 
@@ -66,3 +70,37 @@ def test_community_sample(spark):
     )
     assert {(r["site"], r["bid"]): (r["place"], r["homes"]) for r in picked.collect()} == want and len(want) > 20
     assert {r["site"]: r["reason"] for r in told.collect()} == reasons and any("skipped" in r for r in reasons.values())
+
+
+def test_circles_widen_until_the_sample_is_whole(spark):
+    rng = random.Random(10)
+    asked = [(s, rng.choice([150.0, 320.0, 1000.0]), rng.randrange(8), rng.random() < 0.5, "R-3") for s in range(120)]
+    asked = spark.createDataFrame(asked, "site int, radius double, have int, owner_known boolean, occupancy string").withColumn("have", F.col("have").cast("int"))
+    rows = [(s, b, round(rng.uniform(0, 1100) * (s % 4 + 1) / 4, 0), rng.choice([90.0, 150.0, 180.0, 700.0, 1500.0]), None, None, 0, rng.choice([True, False, False, None])) for s in range(118) for b in range(rng.choice([0, 3, 30, 150]))]
+    near = spark.createDataFrame(rows, "site int, bid int, d double, area double, mapped string, height_m double, counted int, same_owner boolean")
+    found, reaches, n = near.where("bid % 9 = 0").select("site", "bid"), [], 6
+
+    def look(sites, reach):
+        reaches.append(reach)
+        return near.join(sites, "site").where(F.col("d") <= reach)
+
+    for got, want in zip(community.sampled_in_circles(asked, found, look, n), community.sampled(asked, found, near, n)):
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 100
+    assert reaches == [40.0, 80.0, 160.0, 320.0, 640.0, 1000.0]
+    assert community.sampled_in_circles(asked.limit(0), found, look, n)[0].count() == 0
+
+
+def test_sample_takes_homes_as_far_as_the_radius(spark, tmp_path):
+    rng, folder = random.Random(11), str(tmp_path)
+    rows = [(i, [rng.uniform(-0.4, 0.4), rng.uniform(-0.4, 0.4)]) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(folder + "/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    got = sorted(map(tuple, __spark_entry__.queries()["j27_community_sample"](spark, folder).collect()))
+    assert got == sorted(db.sql(__spark_entry__.oracle_sql()["j27_community_sample"]).fetchall())
+    at, far = dict(rows), 0
+    for site, bid, *_ in got:
+        (px, py), (x, y) = at[site], at[bid]
+        gap = lambda p, low, size: max(1000 * low - 1000 * p, 0, 1000 * p - 1000 * low - size)
+        far = max(far, math.hypot(gap(px, x, 5 + bid % 20), gap(py, y, 5 + bid % 15)))
+    assert far > 100
